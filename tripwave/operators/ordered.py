@@ -194,7 +194,7 @@ def islands(df: DataFrame, ax: Axis, cols: list[str], breaks: Callable[[Column,
     rows = rows.withColumn("_before", F.lag("_now").over(ax.rows))
     cut = F.col("_before").isNotNull() & F.coalesce(breaks(F.col("_now"), F.col("_before")), F.lit(True))
     rows = rows.withColumn("_start", F.when(cut, F.col("_at")))
-    rows = rows.withColumn("_run", F.last("_start", ignorenulls=True).over(
+    rows = rows.withColumn("_own_run", F.last("_start", ignorenulls=True).over(
         ax.rows.rowsBetween(Window.unboundedPreceding, 0)))
     summary = rows.groupBy(*ax.cells).agg(
         F.min_by("_now", "_at").alias("_head"), F.max_by("_now", "_at").alias("_tail"),
@@ -208,8 +208,8 @@ def islands(df: DataFrame, ax: Axis, cols: list[str], breaks: Callable[[Column,
     carried = F.last("_open_run", ignorenulls=True).over(ax.chunks.rowsBetween(Window.unboundedPreceding, -1))
     heads = summary.withColumn("_carried", carried).select(
         *ax.cells, F.when(F.col("_opens"), F.col("_head_at")).otherwise(F.col("_carried")).alias("_head_run"))
-    done = rows.join(heads, ax.cells, "left").withColumn(out, F.coalesce("_run", "_head_run"))
-    return done.drop("_now", "_at", "_before", "_start", "_run", "_head_run", CHUNK)
+    done = rows.join(heads, ax.cells, "left").withColumn(out, F.coalesce("_own_run", "_head_run"))
+    return done.drop("_now", "_at", "_before", "_start", "_own_run", "_head_run", CHUNK)
 
 
 def asof(left: DataFrame, right: DataFrame, ax: Axis, left_at: Column, right_at: Column,

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripwave.operators import fusion, peaks, timeseries as ts_ops
-from tripwave.operators.ordered import row_index
-from tripwave.params import Resampling
+from tripwave.operators.ordered import Axis, row_index
+from tripwave.params import Detection, Resampling
 from tripwave.plans.registry import query, r6, rounded
 from tripwave.plans.views import DAY_US, HOUR_US, SIG_SQL, sig, sig_axis
 
 BIN = Resampling(bin_len=6 * HOUR_US, max_gap=DAY_US)
+SIG_DETECTION = Detection(window_rows=5, alpha=0.05, min_dist_rows=2, gyro_trigger=75.0)
 
 
 @query("dedupe_samples", f"""WITH {SIG_SQL}
@@ -57,7 +58,7 @@ def gap_quarantine(spark, folder):
 
 
 @query("resample_mean", f"""WITH {SIG_SQL}
-SELECT trip_id, ts_us // {6 * HOUR_US} AS bin, round(avg(v), 6) AS v, round(avg(speed), 6) AS speed
+SELECT trip_id, ts_us // {6 * HOUR_US} AS bin, r6(avg(v)) AS v, r6(avg(speed)) AS speed
 FROM sig GROUP BY ALL""")
 def resample_mean(spark, folder):
     binned = ts_ops.bin_mean(sig(spark, folder), ["trip_id"], "ts_us", ["v", "speed"], p=BIN)
@@ -100,7 +101,7 @@ def _grid(spark, folder, **kw):
 
 
 @query("interpolate_limit", f"""WITH {SIG_SQL}, {GRID_SQL}
-SELECT trip_id, bin, observed, round(v, 6) AS v, round(e, 6) AS e FROM filled WHERE v IS NOT NULL""")
+SELECT trip_id, bin, observed, r6(v) AS v, r6(e) AS e FROM filled WHERE v IS NOT NULL""")
 def interpolate_limit(spark, folder):
     return rounded(_grid(spark, folder).select("trip_id", "bin", "observed", "v", "e"), "v", "e")
 
@@ -113,7 +114,7 @@ def ffill_limit(spark, folder):
 
 @query("drop_unfilled", f"""WITH {SIG_SQL}, {GRID_SQL}
 SELECT trip_id, count(*) AS n_rows, count(*) FILTER (NOT observed) AS n_filled,
-       round(sum(e), 6) AS e_sum, min(bin) * {6 * HOUR_US} AS first_us
+       r6(sum(e)) AS e_sum, min(bin) * {6 * HOUR_US} AS first_us
 FROM filled WHERE v IS NOT NULL AND e IS NOT NULL GROUP BY trip_id""")
 def drop_unfilled(spark, folder):
     kept = _grid(spark, folder).na.drop(subset=["v", "e"])
@@ -133,9 +134,9 @@ m AS (SELECT *,
   first_value(c IGNORE NULLS) OVER down AS a
   FROM n WINDOW up AS (PARTITION BY trip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                 down AS (PARTITION BY trip_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
-SELECT trip_id, idx, round(CASE WHEN c IS NOT NULL THEN c
+SELECT trip_id, idx, r6(CASE WHEN c IS NOT NULL THEN c
   WHEN idx - p <= 4 THEN b + coalesce((a - b) / (q - p), 0) * least(idx - p, 2)
-  WHEN q - idx <= 2 THEN a END, 6) AS c FROM m""")
+  WHEN q - idx <= 2 THEN a END) AS c FROM m""")
 def fill_rows(spark, folder):
     s = sig(spark, folder)
     ax = sig_axis(s)
@@ -159,7 +160,7 @@ def min_length_guard(spark, folder):
 
 @query("sample_rate", f"""WITH {SIG_SQL},
 steps AS (SELECT trip_id, ts_us - lag(ts_us) OVER (PARTITION BY trip_id ORDER BY ts_us, event_id) AS step FROM sig)
-SELECT trip_id, round(median(step), 3) AS median_step, round(1e9 / median(step), 6) AS hz,
+SELECT trip_id, round(median(step), 3) AS median_step, r6(1e9 / median(step)) AS hz,
        CAST(greatest(1, floor(5 * (1e9 / median(step)))) AS BIGINT) AS min_dist
 FROM steps WHERE step IS NOT NULL GROUP BY trip_id""")
 def sample_rate(spark, folder):
@@ -169,7 +170,7 @@ def sample_rate(spark, folder):
 
 
 @query("rolling_stats", f"""WITH {SIG_SQL}
-SELECT trip_id, event_id, round(coalesce(stddev_samp(v) OVER w, 0), 6) AS roll_std, round(avg(v) OVER w, 6) AS roll_mean
+SELECT trip_id, event_id, r6(coalesce(stddev_samp(v) OVER w, 0)) AS roll_std, r6(avg(v) OVER w) AS roll_mean
 FROM sig WINDOW w AS (PARTITION BY trip_id ORDER BY ts_us, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def rolling_stats(spark, folder):
     s = sig(spark, folder).select("trip_id", "ts_us", "event_id", "v")
@@ -187,7 +188,7 @@ e AS (SELECT trip_id, idx, event_id, v AS slow, v AS fast FROM num WHERE idx = 0
   UNION ALL
   SELECT n.trip_id, n.idx, n.event_id, 0.01 * n.v + 0.99 * e.slow, 0.05 * n.v + 0.95 * e.fast
   FROM e JOIN num n ON n.trip_id = e.trip_id AND n.idx = e.idx + 1)
-SELECT trip_id, event_id, round(slow, 6) AS slow, round(fast, 6) AS fast FROM e""")
+SELECT trip_id, event_id, r6(slow) AS slow, r6(fast) AS fast FROM e""")
 def ema_baseline(spark, folder):
     s = sig(spark, folder).select("trip_id", "ts_us", "event_id", "v")
     ax = sig_axis(s)
@@ -200,12 +201,12 @@ ENERGY_SQL = f"""{NUM_SQL},
 en AS (SELECT *, coalesce(stddev_samp(v) OVER w, 0) AS energy, avg(g) OVER w AS genergy FROM num
   WINDOW w AS (PARTITION BY trip_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 thr AS (
-  SELECT trip_id, idx, energy AS b, 0.0 AS d, CAST(genergy AS DOUBLE) AS gb, 0.0 AS gd FROM en WHERE idx = 0
+  SELECT trip_id, idx, CAST(energy AS DOUBLE) AS b, 0.0::DOUBLE AS d, CAST(genergy AS DOUBLE) AS gb, 0.0::DOUBLE AS gd FROM en WHERE idx = 0
   UNION ALL
   SELECT en.trip_id, en.idx,
-    0.05 * en.energy + 0.95 * thr.b,
+    0.05::DOUBLE * en.energy + 0.95::DOUBLE * thr.b,
     0.05 * abs(en.energy - (0.05 * en.energy + 0.95 * thr.b)) + 0.95 * thr.d,
-    0.05 * en.genergy + 0.95 * thr.gb,
+    0.05::DOUBLE * en.genergy + 0.95::DOUBLE * thr.gb,
     0.05 * abs(en.genergy - (0.05 * en.genergy + 0.95 * thr.gb)) + 0.95 * thr.gd
   FROM thr JOIN en ON en.trip_id = thr.trip_id AND en.idx = thr.idx + 1),
 act AS (
@@ -215,8 +216,8 @@ act AS (
 
 
 @query("adaptive_threshold", f"""WITH RECURSIVE {SIG_SQL}, {ENERGY_SQL}
-SELECT trip_id, event_id, round(energy, 6) AS energy, round(threshold, 6) AS threshold,
-       round(gyro_threshold, 6) AS gyro_threshold, active FROM act""")
+SELECT trip_id, event_id, r6(energy) AS energy, r6(threshold) AS threshold,
+       r6(gyro_threshold) AS gyro_threshold, active FROM act""")
 def adaptive_threshold(spark, folder):
     s = sig(spark, folder)
     out = peaks.adaptive_energy(s, sig_axis(s), "v", "g", SIG_DETECTION)
@@ -224,11 +225,6 @@ def adaptive_threshold(spark, folder):
                    "energy", "threshold", "gyro_threshold")
 
 
-from tripwave.params import Detection  # noqa: E402
-
-SIG_DETECTION = Detection(window_rows=5, alpha=0.05, min_dist_rows=2, gyro_trigger=75.0)
-
-
 @query("bandpass_iir", f"""WITH RECURSIVE {SIG_SQL}, {NUM_SQL},
 lagged AS (SELECT trip_id, event_id, idx, v, coalesce(lag(v, 1) OVER w, 0) AS x1, coalesce(lag(v, 2) OVER w, 0) AS x2,
     coalesce(lag(v, 3) OVER w, 0) AS x3, coalesce(lag(v, 4) OVER w, 0) AS x4 FROM num
@@ -240,7 +236,7 @@ y AS (SELECT trip_id, event_id, idx, f AS y0, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS
     d.f + 2.3350824020765124::DOUBLE * y.y0 - 1.9509646897792021::DOUBLE * y.y1
         + 0.8192636853124013::DOUBLE * y.y2 - 0.2066719851665643::DOUBLE * y.y3, y.y0, y.y1, y.y2
   FROM y JOIN drive d ON d.trip_id = y.trip_id AND d.idx = y.idx + 1)
-SELECT trip_id, event_id, round(y0, 6) AS y FROM y""")
+SELECT trip_id, event_id, r6(y0) AS y FROM y""")
 def bandpass_iir(spark, folder):
     s = sig(spark, folder).select("trip_id", "ts_us", "event_id", "v")
     out = fusion.causal_filters(s, sig_axis(s), {"y": "v"}, {})
@@ -258,7 +254,7 @@ y AS (SELECT trip_id, event_id, idx, v AS y0, v AS y1 FROM x WHERE idx = 0
   SELECT x.trip_id, x.event_id, x.idx,
     c.b0 * x.v + 2 * c.b0 * x.x1 + c.b0 * x.x2 - c.a1 * y.y0 - c.a2 * y.y1, y.y0
   FROM y JOIN x ON x.trip_id = y.trip_id AND x.idx = y.idx + 1 JOIN c ON true)
-SELECT trip_id, event_id, round(y0, 6) AS y FROM y""")
+SELECT trip_id, event_id, r6(y0) AS y FROM y""")
 def lowpass_iir(spark, folder):
     s = sig(spark, folder).select("trip_id", "ts_us", "event_id", "v")
     out = fusion.causal_filters(s, sig_axis(s), {}, {"y": "v"})
@@ -301,20 +297,19 @@ def sig_peaks(spark, folder):
     found = found.withColumnRenamed("event_id", "peak_id").select(
         "trip_id", "ts_us", "peak_id", "lat", "lon", F.col("v").alias("peak_vertical"), F.abs("v").alias("peak_mag"),
         F.col("g").cast("double").alias("peak_gyro_mag"), F.col("speed").alias("peak_speed"), "energy", "threshold")
-    from tripwave.operators.ordered import Axis
     return found, Axis(("trip_id",), ("ts_us", "peak_id"), ax.chunk_len)
 
 
 @query("detect_peaks", f"""WITH RECURSIVE {SIG_SQL}, {REGION_SQL}
 SELECT trip_id, ts_us, event_id AS peak_id, lat, lon, v AS peak_vertical, abs(v) AS peak_mag,
        CAST(g AS DOUBLE) AS peak_gyro_mag, speed AS peak_speed,
-       round(energy, 6) AS energy, round(threshold, 6) AS threshold FROM pk""")
+       r6(energy) AS energy, r6(threshold) AS threshold FROM pk""")
 def detect_peaks(spark, folder):
     return rounded(sig_peaks(spark, folder)[0], "energy", "threshold")
 
 
 @query("threshold_summary", f"""WITH RECURSIVE {SIG_SQL}, {ENERGY_SQL}
-SELECT trip_id, round(avg(threshold), 6) AS mean_threshold, round(avg(gyro_threshold), 6) AS mean_gyro_threshold
+SELECT trip_id, r6(avg(threshold)) AS mean_threshold, r6(avg(gyro_threshold)) AS mean_gyro_threshold
 FROM act GROUP BY trip_id""")
 def threshold_summary(spark, folder):
     s = sig(spark, folder)

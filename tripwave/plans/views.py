@@ -102,3 +102,29 @@ LI_SQL = """li AS (
          l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)"""
 
 LI_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def sensor(spark: SparkSession, folder: str) -> DataFrame:
+    """``sig`` with accelerometer, gravity and gyroscope columns derived from its values."""
+    g, e = F.col("g"), F.col("event_id")
+    return sig(spark, folder).select(
+        "*", F.col("v").alias("magnitude"), (F.col("v") - 50).alias("a_vertical"), (g / 10.0).alias("a_horizontal"),
+        (g % 7).cast("double").alias("gx"), (g % 11).cast("double").alias("gy"), (g % 13).cast("double").alias("gz"),
+        (g / 10.0).alias("lin_ax"), (e % 17).cast("double").alias("lin_ay"), (F.col("v") / 10).alias("lin_az"),
+        (e % 3).cast("double").alias("grav_x"), (e % 5).cast("double").alias("grav_y"), (g % 3).cast("double").alias("grav_z"))
+
+
+SENSOR_SQL = f"""{SIG_SQL},
+sensor AS (SELECT *, v AS magnitude, v - 50 AS a_vertical, g / 10.0 AS a_horizontal,
+  (g % 7)::DOUBLE AS gx, (g % 11)::DOUBLE AS gy, (g % 13)::DOUBLE AS gz,
+  g / 10.0 AS lin_ax, (event_id % 17)::DOUBLE AS lin_ay, v / 10 AS lin_az,
+  (event_id % 3)::DOUBLE AS grav_x, (event_id % 5)::DOUBLE AS grav_y, (g % 3)::DOUBLE AS grav_z FROM sig)"""
+
+
+def marked(spark: SparkSession, folder: str) -> DataFrame:
+    """The anomaly rows of ``sig`` as labelled events."""
+    return sig(spark, folder).where(F.col("cls") != "Non-Event").select(
+        "trip_id", F.col("event_id").alias("ev"), F.col("ts_us").alias("at"), F.col("cls").alias("label"))
+
+
+MARKED_SQL = """marked AS (SELECT trip_id, event_id AS ev, ts_us AS at, cls AS label FROM sig WHERE cls <> 'Non-Event')"""
