@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import haversine, holds, severity_level, to_g
-from tripwave.operators.ordered import Axis, islands, row_index, with_blocks
+from tripwave.operators.ordered import Axis, islands, materialize, row_index, with_blocks
 from tripwave.operators.timeseries import ema
 from tripwave.params import Clustering, Detection
 
@@ -47,8 +47,12 @@ def adaptive_energy(df: DataFrame, ax: Axis, signal: str, gyro: str | None, p: D
 
 
 def regions(energy: DataFrame, ax: Axis) -> DataFrame:
-    """Rows of active regions, inactive rows between close active ones included, with the region's start index."""
-    inside = energy.where("in_region")
+    """Rows of active regions, inactive rows between close active ones included, with the region's start index.
+
+    The region rows, a small part of the samples, are written once so that the
+    two passes over them do not repeat the threshold windows.
+    """
+    inside = materialize(energy.where("in_region"))
     numbered = Axis(ax.keys, ("idx",), 50_000)
     runs = islands(inside, numbered, ["idx"], lambda now, before: now["idx"] - before["idx"] > 1, "_region")
     return runs.withColumn("region", F.col("_region.idx")).drop("_region")

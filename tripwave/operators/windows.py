@@ -144,10 +144,8 @@ def event_numbers(events: DataFrame, ax: Axis, out: str = "event_no") -> DataFra
 def representative(df: DataFrame, by: Sequence[str], score: Column, tie: str, k: int) -> DataFrame:
     """The k-th largest row per group by ``score``, first by ``tie``.
 
-    Salted groups keep their k best first, so a group of any size ends as 64 * k rows.
+    Spark keeps k rows per group and input partition before the shuffle (window group limit).
     """
-    salted = df.withColumn("_score", score).withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(64)))
-    part = Window.partitionBy(*by, "_salt").orderBy(F.desc("_score"), tie)
-    top = salted.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k)
-    final = Window.partitionBy(*by).orderBy(F.desc("_score"), tie)
-    return top.withColumn("_r", F.row_number().over(final)).where(F.col("_r") == k).drop("_r", "_salt", "_score")
+    order = Window.partitionBy(*by).orderBy(F.desc("_score"), tie)
+    ranked = df.withColumn("_score", score).withColumn("_r", F.row_number().over(order))
+    return ranked.where(F.col("_r") <= k).where(F.col("_r") == k).drop("_r", "_score")

@@ -18,8 +18,9 @@ SIG_WINDOW = EventWindow(half=HALF, context_from=10 * DAY_US, context_to=2 * DAY
                          per_second=float(HOUR_US))
 SIG_CLUSTER = Clustering(max_dt=DAY_US, max_dist_m=700.0)
 
-CLUSTER_SQL = f"""{REGION_SQL},
-pl AS (SELECT trip_id, ts_us, event_id AS peak_id, lat, lon, v AS peak_vertical, abs(v) AS peak_mag, g::DOUBLE AS peak_gyro_mag,
+def cluster_sql(vertical: str = "v") -> str:
+    return f"""{REGION_SQL},
+pl AS (SELECT trip_id, ts_us, event_id AS peak_id, lat, lon, {vertical} AS peak_vertical, abs(v) AS peak_mag, g::DOUBLE AS peak_gyro_mag,
          speed AS peak_speed, lag(ts_us) OVER w AS pts, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon
        FROM pk WINDOW w AS (PARTITION BY trip_id ORDER BY ts_us, event_id)),
 hav AS (SELECT *, pow(sin(radians(lat - plat) / 2), 2)
@@ -28,7 +29,7 @@ nw AS (SELECT *, CASE WHEN ts_us - pts <= {DAY_US} AND 6371000 * 2 * atan2(sqrt(
 cl AS (SELECT *, sum(fresh) OVER (PARTITION BY trip_id ORDER BY ts_us, peak_id) AS c FROM nw)"""
 
 
-@query("cluster_peaks", f"""WITH RECURSIVE {SIG_SQL}, {CLUSTER_SQL}
+@query("cluster_peaks", f"""WITH RECURSIVE {SIG_SQL}, {cluster_sql()}
 SELECT trip_id, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS n_peaks FROM cl GROUP BY trip_id, c""")
 def cluster_peaks(spark, folder):
     found, ax = sig_peaks(spark, folder)
@@ -37,7 +38,8 @@ def cluster_peaks(spark, folder):
         F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count(F.lit(1)).alias("n_peaks")).drop("cluster")
 
 
-EVENTS_SQL = f"""{CLUSTER_SQL},
+def events_sql(vertical: str = "v") -> str:
+    return f"""{cluster_sql(vertical)},
 evs AS (SELECT trip_id, c, arg_max(struct_pack(t := ts_us, lat := lat, lon := lon, v := peak_vertical),
                  struct_pack(a := abs(peak_vertical), b := -ts_us)) AS top,
           max(peak_mag) AS peak_mag, max(peak_gyro_mag) AS peak_gyro_mag, avg(peak_speed) AS speed_mean, count(*) AS n_peaks
@@ -50,7 +52,7 @@ ev AS (SELECT trip_id, top.t AS at, top.lat AS lat, top.lon AS lon, top.v AS pea
        FROM evs)"""
 
 
-@query("cluster_events", f"""WITH RECURSIVE {SIG_SQL}, {EVENTS_SQL}
+@query("cluster_events", f"""WITH RECURSIVE {SIG_SQL}, {events_sql()}
 SELECT trip_id, "at", lat, lon, peak_vertical, peak_mag, peak_gyro_mag, r6(speed_mean) AS speed_mean, n_peaks,
        r6(peak_vertical_g) AS peak_vertical_g, level FROM ev""")
 def cluster_events(spark, folder):
@@ -61,7 +63,7 @@ def cluster_events(spark, folder):
                    "speed_mean", "peak_vertical_g")
 
 
-@query("global_event_ids", f"""WITH RECURSIVE {SIG_SQL}, {EVENTS_SQL}
+@query("global_event_ids", f"""WITH RECURSIVE {SIG_SQL}, {events_sql()}
 SELECT candidate_id, trip_id, "at" FROM ev""")
 def global_event_ids(spark, folder):
     found, ax = sig_peaks(spark, folder)
@@ -100,7 +102,7 @@ def clip_sql(x: str, lo: float, hi: float) -> str:
     return f"greatest({lo}, least({hi}, {x}))"
 
 
-@query("candidates_scored", f"""WITH RECURSIVE {SENSOR_SQL}, {EVENTS_SQL}, {window_sql('ev', 'candidate_id')},
+@query("candidates_scored", f"""WITH RECURSIVE {SENSOR_SQL}, {events_sql('v - 50')}, {window_sql('ev', 'candidate_id')},
 sc AS (SELECT ev.*, coalesce(du.dur, 0) AS event_duration, coalesce(jk.jerk, 0) AS vert_jrk,
   CASE WHEN speed_mean * 3.6 < 30 THEN 1 + 0.5 * exp(-speed_mean * 3.6 / 10) ELSE 1.0 END AS speed_factor
   FROM ev LEFT JOIN du ON du.ev = ev.candidate_id LEFT JOIN jk ON jk.ev = ev.candidate_id),
