@@ -170,7 +170,7 @@ def focal_loss(df: DataFrame, y: str, proba: str, gamma: float = 2.0, weights: S
                   (F.sum(w * F.pow(1 - p, F.lit(gamma)) * ce) / F.sum(w)).alias("focal_loss"))
 
 
-def minority_f1(df: DataFrame, y: str, pred: str) -> Column:
+def minority_f1(y: str, pred: str) -> Column:
     def f1(c: int) -> Column:
         return ratio(2.0 * F.count_if((F.col(y) == c) & (F.col(pred) == c)),
                      F.count_if(F.col(y) == c) + F.count_if(F.col(pred) == c))
@@ -192,7 +192,7 @@ def permutation_importance(df: DataFrame, ident: str, y: str, channels: Sequence
     runs = {"baseline": pairs} | {c: pairs.withColumn(c, F.col(f"_x_{c}")) for c in channels}
     out = None
     for name, rows in runs.items():
-        scored = predict(rows).agg(minority_f1(rows, y, "pred").alias("f1")).withColumn("channel", F.lit(name))
+        scored = predict(rows).agg(minority_f1(y, "pred").alias("f1")).withColumn("channel", F.lit(name))
         out = scored if out is None else out.unionByName(scored)
     return out
 

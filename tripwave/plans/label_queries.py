@@ -13,6 +13,7 @@ from tripwave.plans.sample_queries import SEG_SQL
 from tripwave.plans.views import (DAY_US, HOUR_US, LAB_SQL, MARKED_SQL, SENSOR_SQL, SIG_SQL, lab, marked, sensor, sig,
                                   sig_axis)
 from tripwave.sources.tables import read_table
+from tripwave.sources.trips import with_accelerometer
 
 
 @query("magnitude", f"""WITH {SENSOR_SQL}
@@ -50,8 +51,6 @@ def gravity_projection(spark, folder):
 @query("derived_axes", f"""WITH {SENSOR_SQL}
 SELECT event_id, r6(lin_ax + grav_x) AS ax, r6(lin_ay + grav_y) AS ay, r6(lin_az + grav_z) AS az FROM sensor""")
 def derived_axes(spark, folder):
-    from tripwave.sources.trips import with_accelerometer
-
     out = with_accelerometer(sensor(spark, folder).drop("ax", "ay", "az"))
     return rounded(out.select("event_id", "ax", "ay", "az"), "ax", "ay", "az")
 
@@ -113,8 +112,8 @@ def speed_buckets(spark, folder):
 
 
 @query("unit_check", f"""WITH {SIG_SQL}
-SELECT trip_id, max(v) AS max_magnitude, CASE WHEN max(v) < 2 THEN 'too_small' WHEN max(v) > 300 THEN 'too_large' ELSE 'ok' END AS unit
-FROM (SELECT trip_id, CASE WHEN v > 300 THEN v * 2 ELSE v END AS v FROM sig) GROUP BY trip_id""".replace("max(v) > 300", "max(v) > 500"))
+SELECT trip_id, max(v) AS max_magnitude, CASE WHEN max(v) < 2 THEN 'too_small' WHEN max(v) > 500 THEN 'too_large' ELSE 'ok' END AS unit
+FROM (SELECT trip_id, CASE WHEN v > 300 THEN v * 2 ELSE v END AS v FROM sig) GROUP BY trip_id""")
 def unit_check(spark, folder):
     s = sig(spark, folder).withColumn("v", F.when(F.col("v") > 300, F.col("v") * 2).otherwise(F.col("v")))
     out = s.groupBy("trip_id").agg(F.max("v").alias("max_magnitude"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tripwave.functions.exprs import clean_nans
 
@@ -46,19 +46,19 @@ def with_accelerometer(df: DataFrame) -> DataFrame:
     return require_columns(df, ("gx", "gy", "gz"), "gyroscope")
 
 
-def base_name(path) -> F.Column:
+def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
 
 
 def read_trip_csv(spark: SparkSession, folder: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
-    """All trip CSVs of a folder in one scan; ``trip_file`` is the base name, ``file_pos`` the byte order.
+    """All trip CSVs of a folder in one scan; ``trip_file`` is the base name, ``file_pos`` the order in the file.
 
     NaN becomes NULL and the timestamp an integer millisecond.
     """
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(folder, pathGlobFilter="*.csv")
-    keyed = raw.select("*", base_name(F.col("_metadata.file_path")).alias("trip_file"),
-                       F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("file_pos"))
-    return clean_nans(keyed.drop("_block")).withColumn("ts_ms", F.floor("timestamp").cast("bigint"))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    keyed = raw.select("*", base_name(F.col("_metadata.file_path")).alias("trip_file"), at.alias("file_pos"))
+    return clean_nans(keyed).withColumn("ts_ms", F.floor("timestamp").cast("bigint"))
 
 
 def read_trip_meta(spark: SparkSession, folder: str) -> DataFrame:
