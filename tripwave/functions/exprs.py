@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -171,10 +172,18 @@ def best_class(proba: Column) -> Column:
     return (F.array_position(proba, F.array_max(proba)) - 1).cast("int")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row; a plain column would be evaluated again inside every lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def array_sum(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    shifted = bind(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return bind(shifted, lambda e: bind(array_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def class_name(index: Column) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tripwave.functions.exprs import array_sum, bind
 from tripwave.operators.ordered import Axis, row_index
 
 
@@ -70,7 +71,7 @@ def group_kfold(df: DataFrame, key: str, label: str, classes: Sequence[object],
     totals = trips.agg(*[F.sum(F.col("counts")[i]) for i in range(len(classes))]).first()
     whole = np.maximum(np.array([float(t or 0) for t in totals]), 1.0)
     spread = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda a, c: a + c * c) / len(classes)
-                    - F.pow(F.aggregate("counts", F.lit(0.0), lambda a, c: a + c) / len(classes), F.lit(2.0)))
+                    - F.pow(array_sum(F.col("counts")) / len(classes), F.lit(2.0)))
     key_type = dict(df.dtypes)[key]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,10 +156,9 @@ def _scaled(c: str) -> Column:
 def instance_scale(channel: Column, eps: float = 1e-8) -> Column:
     """Each row's own z-score with the population std."""
     n = F.size(channel)
-    mean = F.aggregate(channel, F.lit(0.0), lambda a, x: a + x) / n
-    centred = F.transform(channel, lambda x: x - mean)
-    std = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda a, x: a + x * x) / n)
-    return F.transform(centred, lambda x: x / (std + eps))
+    spread = bind(array_sum(channel) / n, lambda mean: F.struct(
+        mean.alias("mean"), F.sqrt(array_sum(F.transform(channel, lambda x: (x - mean) * (x - mean))) / n).alias("std")))
+    return bind(spread, lambda s: F.transform(channel, lambda x: (x - s["mean"]) / (s["std"] + eps)))
 
 
 def feature_columns(df: DataFrame, banned: Sequence[str]) -> list[str]:

@@ -1,6 +1,7 @@
 """All registered queries."""
 
-from tripwave.plans import label_queries, report_queries, sample_queries, window_queries  # noqa: F401
+from tripwave.plans import (label_queries, model_queries, report_queries, sample_queries, source_queries,  # noqa: F401
+                            window_queries)
 from tripwave.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -51,13 +51,16 @@ def base_name(path: Column) -> Column:
 
 
 def read_trip_csv(spark: SparkSession, folder: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
-    """All trip CSVs of a folder in one scan; ``trip_file`` is the base name, ``file_pos`` the order in the file.
+    """All trip CSVs of a folder in one scan; ``trip_file`` is the base name,
+    ``trip_folder`` the folder it lies in, ``file_pos`` the order in the file.
 
     NaN becomes NULL and the timestamp an integer millisecond.
     """
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(folder, pathGlobFilter="*.csv")
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    keyed = raw.select("*", base_name(F.col("_metadata.file_path")).alias("trip_file"), at.alias("file_pos"))
+    path = F.col("_metadata.file_path")
+    keyed = raw.select("*", base_name(path).alias("trip_file"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("trip_folder"),
+                       at.alias("file_pos"))
     return clean_nans(keyed).withColumn("ts_ms", F.floor("timestamp").cast("bigint"))
 
 
@@ -74,9 +77,12 @@ def pair_meta(samples: DataFrame, meta: DataFrame) -> DataFrame:
     return joined.withColumn("trip_id", F.coalesce("tripId", F.concat("trip_file", F.lit(".csv")))).drop("tripId")
 
 
-def read_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per labelled event; ``time_s`` is NULL in documents without an event mapping."""
-    docs = spark.read.schema(LABEL_SCHEMA).json(folder, multiLine=True, pathGlobFilter="*.json")
+def read_labels(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+    """One row per labelled event; ``time_s`` is NULL in documents without an event mapping.
+
+    Documents come one per file (``multi_line``) or one per line.
+    """
+    docs = spark.read.schema(LABEL_SCHEMA).json(folder, multiLine=multi_line, pathGlobFilter="*.json")
     rows = docs.select("trip_id", "labeled_at", "notes", "event_mapping", F.explode("labels").alias("_no", "label"))
     return rows.select("trip_id", F.col("_no").cast("int").alias("event_no"), "label",
                        F.col("event_mapping")[F.col("_no")].alias("time_s"), "labeled_at", "notes")
