@@ -38,25 +38,29 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.linalg.solve(np.eye(len(drive)) - transition, drive)
 
 
-def filter_rows(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Causal filter output of ``x``, starting from ``state``."""
+def filter_rows(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Causal filter output of ``x`` from ``state``, and the state after its last row."""
     transition, drive, out, direct = companion(np.asarray(b, float), np.asarray(a, float))
-    order, n = len(drive), len(x)
-    powers = [np.eye(order)]
-    for _ in range(STEP):
-        powers.append(transition @ powers[-1])
-    impulse = np.array([direct] + [out @ powers[k] @ drive for k in range(STEP - 1)])
-    rows, cols = np.indices((STEP, STEP))
-    response = np.where(rows >= cols, impulse[rows - cols], 0.0)
-    observe = np.stack([out @ powers[k] for k in range(STEP)])
-    reach = np.stack([powers[STEP - 1 - k] @ drive for k in range(STEP)], axis=1)
-    padded = np.zeros(-(-n // STEP) * STEP)
-    padded[:n] = x
-    parts = padded.reshape(-1, STEP)
-    gained = parts @ reach.T
-    states = np.empty((len(parts), order))
     s = np.asarray(state, float)
-    for i, g in enumerate(gained):
-        states[i] = s
-        s = powers[STEP] @ s + g
-    return (parts @ response.T + states @ observe.T).reshape(-1)[:n]
+    whole = len(x) // STEP * STEP
+    y = np.empty(len(x))
+    if whole:
+        powers = [np.eye(len(drive))]
+        for _ in range(STEP):
+            powers.append(transition @ powers[-1])
+        impulse = np.array([direct] + [out @ powers[k] @ drive for k in range(STEP - 1)])
+        rows, cols = np.indices((STEP, STEP))
+        response = np.where(rows >= cols, impulse[rows - cols], 0.0)
+        observe = np.stack([out @ powers[k] for k in range(STEP)])
+        reach = np.stack([powers[STEP - 1 - k] @ drive for k in range(STEP)], axis=1)
+        parts = np.asarray(x[:whole], float).reshape(-1, STEP)
+        gained = parts @ reach.T
+        states = np.empty((len(parts), len(drive)))
+        for i, g in enumerate(gained):
+            states[i] = s
+            s = powers[STEP] @ s + g
+        y[:whole] = (parts @ response.T + states @ observe.T).reshape(-1)
+    for i in range(whole, len(x)):
+        y[i] = out @ s + direct * x[i]
+        s = transition @ s + drive * x[i]
+    return y, s

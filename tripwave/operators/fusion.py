@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripwave.functions.exprs import gravity_projection, magnitude
 from tripwave.functions.recurrence import filter_rows, lowpass_coefficients, steady_state
-from tripwave.operators.ordered import Axis, exact_quantiles, islands, row_index, with_blocks
+from tripwave.operators.ordered import Axis, islands, row_index, with_blocks
 from tripwave.operators.timeseries import fill_rows, resample
 from tripwave.params import BANDPASS_A, BANDPASS_B, Resampling
 
@@ -38,10 +38,10 @@ def causal_filters(df: DataFrame, ax: Axis, bandpass: dict[str, str], lowpass: d
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx").reset_index(drop=True)
         for out, src in bandpass.items():
-            pdf[out] = filter_rows(band_b, band_a, pdf[src].to_numpy(float), np.zeros(len(band_a) - 1))
+            pdf[out] = filter_rows(band_b, band_a, pdf[src].to_numpy(float), np.zeros(len(band_a) - 1))[0]
         for out, src in lowpass.items():
             x = pdf[src].to_numpy(float)
-            pdf[out] = x if low is None else filter_rows(*low, x, steady_state(*low) * x[0])
+            pdf[out] = x if low is None else filter_rows(*low, x, steady_state(*low) * x[0])[0]
         return pdf[pdf["_own"]]
 
     done = blocks.groupBy(*ax.keys, "_block").applyInPandas(run, schema)

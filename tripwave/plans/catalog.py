@@ -1,7 +1,12 @@
 """All registered queries."""
 
-from tripwave.plans import (label_queries, model_queries, report_queries, sample_queries, source_queries,  # noqa: F401
-                            window_queries)
+from tripwave.plans import sample_queries  # noqa: F401
+from tripwave.plans import window_queries  # noqa: F401
+from tripwave.plans import label_queries  # noqa: F401
+from tripwave.plans import report_queries  # noqa: F401
+from tripwave.plans import source_queries  # noqa: F401
+from tripwave.plans import model_queries  # noqa: F401
+from tripwave.plans import stream_queries  # noqa: F401
 from tripwave.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -16,11 +16,14 @@ DAY_US = 24 * HOUR_US
 
 
 def sig(spark: SparkSession, folder: str) -> DataFrame:
+    return sig_columns(read_table(spark, folder, "events"))
+
+
+def sig_columns(events: DataFrame) -> DataFrame:
     """Events as trip samples: one trip per user, microsecond clock (session time zone UTC)."""
-    e = read_table(spark, folder, "events")
     g = F.get_json_object("props", "$.k").cast("int")
     return (
-        e.select(
+        events.select(
             F.col("user_id").alias("trip_id"),
             "event_id",
             F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
@@ -105,9 +108,13 @@ LI_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def sensor(spark: SparkSession, folder: str) -> DataFrame:
+    return sensor_columns(sig(spark, folder))
+
+
+def sensor_columns(samples: DataFrame) -> DataFrame:
     """``sig`` with accelerometer, gravity and gyroscope columns derived from its values."""
     g, e = F.col("g"), F.col("event_id")
-    return sig(spark, folder).select(
+    return samples.select(
         "*", F.col("v").alias("magnitude"), (F.col("v") - 50).alias("a_vertical"), (g / 10.0).alias("a_horizontal"),
         (g % 7).cast("double").alias("gx"), (g % 11).cast("double").alias("gy"), (g % 13).cast("double").alias("gz"),
         (g / 10.0).alias("lin_ax"), (e % 17).cast("double").alias("lin_ay"), (F.col("v") / 10).alias("lin_az"),
