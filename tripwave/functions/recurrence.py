@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -38,6 +39,21 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.linalg.solve(np.eye(len(drive)) - transition, drive)
 
 
+@functools.lru_cache(maxsize=32)
+def block_matrices(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For one sub-block of STEP rows: response to its inputs, to its start state, and how both make the next state."""
+    transition, drive, out, direct = companion(np.array(b), np.array(a))
+    powers = [np.eye(len(drive))]
+    for _ in range(STEP):
+        powers.append(transition @ powers[-1])
+    impulse = np.array([direct] + [out @ powers[k] @ drive for k in range(STEP - 1)])
+    rows, cols = np.indices((STEP, STEP))
+    response = np.where(rows >= cols, impulse[rows - cols], 0.0)
+    observe = np.stack([out @ powers[k] for k in range(STEP)])
+    reach = np.stack([powers[STEP - 1 - k] @ drive for k in range(STEP)], axis=1)
+    return response, observe, reach, powers[STEP]
+
+
 def filter_rows(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Causal filter output of ``x`` from ``state``, and the state after its last row."""
     transition, drive, out, direct = companion(np.asarray(b, float), np.asarray(a, float))
@@ -45,20 +61,13 @@ def filter_rows(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray)
     whole = len(x) // STEP * STEP
     y = np.empty(len(x))
     if whole:
-        powers = [np.eye(len(drive))]
-        for _ in range(STEP):
-            powers.append(transition @ powers[-1])
-        impulse = np.array([direct] + [out @ powers[k] @ drive for k in range(STEP - 1)])
-        rows, cols = np.indices((STEP, STEP))
-        response = np.where(rows >= cols, impulse[rows - cols], 0.0)
-        observe = np.stack([out @ powers[k] for k in range(STEP)])
-        reach = np.stack([powers[STEP - 1 - k] @ drive for k in range(STEP)], axis=1)
+        response, observe, reach, leap = block_matrices(tuple(map(float, b)), tuple(map(float, a)))
         parts = np.asarray(x[:whole], float).reshape(-1, STEP)
         gained = parts @ reach.T
         states = np.empty((len(parts), len(drive)))
         for i, g in enumerate(gained):
             states[i] = s
-            s = powers[STEP] @ s + g
+            s = leap @ s + g
         y[:whole] = (parts @ response.T + states @ observe.T).reshape(-1)
     for i in range(whole, len(x)):
         y[i] = out @ s + direct * x[i]

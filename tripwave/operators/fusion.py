@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripwave.functions.exprs import gravity_projection, magnitude
@@ -35,16 +36,19 @@ def causal_filters(df: DataFrame, ax: Axis, bandpass: dict[str, str], lowpass: d
     low = lowpass_coefficients(cutoff_hz, sample_hz)
     band_b, band_a = np.array(BANDPASS_B), np.array(BANDPASS_A)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("idx")
+        own = block.column("_own")
         for out, src in bandpass.items():
-            pdf[out] = filter_rows(band_b, band_a, pdf[src].to_numpy(float), np.zeros(len(band_a) - 1))[0]
+            x = block.column(src).to_numpy().astype(float)
+            block = block.append_column(out, pa.array(filter_rows(band_b, band_a, x, np.zeros(len(band_a) - 1))[0]))
         for out, src in lowpass.items():
-            x = pdf[src].to_numpy(float)
-            pdf[out] = x if low is None else filter_rows(*low, x, steady_state(*low) * x[0])[0]
-        return pdf[pdf["_own"]]
+            x = block.column(src).to_numpy().astype(float)
+            y = x if low is None else filter_rows(*low, x, steady_state(*low) * x[0])[0]
+            block = block.append_column(out, pa.array(y))
+        return block.filter(own)
 
-    done = blocks.groupBy(*ax.keys, "_block").applyInPandas(run, schema)
+    done = blocks.groupBy(*ax.keys, "_block").applyInArrow(run, schema)
     return done.drop("_own", "_block")
 
 

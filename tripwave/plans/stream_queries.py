@@ -10,7 +10,7 @@ from tripwave.plans.model_queries import DIMS, SMALL, _table, _task
 from tripwave.plans.registry import SQL, query, r6, rounded
 from tripwave.plans.sample_queries import SIG_DETECTION
 from tripwave.plans.views import DAY_US, HOUR_US, SENSOR_SQL, SIG_SQL, sensor_columns, sig_columns
-from tripwave.plans.window_queries import SIG_CLUSTER
+from tripwave.plans.window_queries import SIG_CLUSTER, cluster_sql
 from tripwave.sources import stage
 from tripwave.sources.tables import read_table
 from tripwave.streaming import streams
@@ -67,7 +67,18 @@ def stream_bandpass(spark, folder):
     return out.select("trip_id", "event_id", r6("bandpass").alias("y"))
 
 
-@query("stream_candidates")
+IDLE = f"+ {2 * DAY_US // 1000} < (SELECT max(ts_us) // 1000 - 3600000 FROM sig)"
+CLOSED = f"""region_end + 2 < (SELECT max(n.idx) FROM num n WHERE n.trip_id = pk.trip_id)
+  OR (SELECT max(n.ts_us) // 1000 FROM num n WHERE n.trip_id = pk.trip_id) {IDLE}"""
+
+
+@query("stream_candidates", f"""WITH RECURSIVE {SIG_SQL}, {cluster_sql('v', CLOSED)},
+lst AS (SELECT trip_id, max(ts_us) // 1000 AS newest FROM sig GROUP BY trip_id),
+g AS (SELECT trip_id, c, min(ts_us) AS first, max(ts_us) AS last, arg_max(struct_pack(t := ts_us, lat := lat, lon := lon, v := peak_vertical),
+   struct_pack(a := abs(peak_vertical), b := -ts_us)) AS top, max(peak_gyro_mag) AS peak_gyro_mag, sum(peak_speed) AS speed_sum, count(*) AS n_peaks,
+   max(c) OVER (PARTITION BY trip_id) AS newest_c FROM cl GROUP BY trip_id, c)
+SELECT trip_id, first, last, top.t AS time, top.lat AS lat, top.lon AS lon, top.v AS peak_vertical, peak_gyro_mag, r6(speed_sum) AS speed_sum, n_peaks
+FROM g JOIN lst USING (trip_id) WHERE c < newest_c OR newest {IDLE}""")
 def stream_candidates(spark, folder):
     """Clusters that closed before the end of the stream."""
     out = streams.candidates(replay(spark, folder), "trip_id", "at", ["ts_us", "event_id"], "v", "g", "1 hour",

@@ -18,11 +18,11 @@ SIG_WINDOW = EventWindow(half=HALF, context_from=10 * DAY_US, context_to=2 * DAY
                          per_second=float(HOUR_US))
 SIG_CLUSTER = Clustering(max_dt=DAY_US, max_dist_m=700.0)
 
-def cluster_sql(vertical: str = "v") -> str:
+def cluster_sql(vertical: str = "v", kept: str = "true") -> str:
     return f"""{REGION_SQL},
 pl AS (SELECT trip_id, ts_us, event_id AS peak_id, lat, lon, {vertical} AS peak_vertical, abs(v) AS peak_mag, g::DOUBLE AS peak_gyro_mag,
          speed AS peak_speed, lag(ts_us) OVER w AS pts, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon
-       FROM pk WINDOW w AS (PARTITION BY trip_id ORDER BY ts_us, event_id)),
+       FROM pk WHERE {kept} WINDOW w AS (PARTITION BY trip_id ORDER BY ts_us, event_id)),
 hav AS (SELECT *, pow(sin(radians(lat - plat) / 2), 2)
           + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2) AS h FROM pl),
 nw AS (SELECT *, CASE WHEN ts_us - pts <= {DAY_US} AND 6371000 * 2 * atan2(sqrt(h), sqrt(1 - h)) <= 700 THEN 0 ELSE 1 END AS fresh FROM hav),
