@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import ratio, speed_bucket
-from tripwave.operators.ordered import Axis, exact_quantiles, range_chunks, running
+from tripwave.operators.ordered import Axis, exact_quantiles, join_per_key, range_chunks, running
 from tripwave.params import CLASSES
 
 
@@ -114,7 +114,7 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ())
     """Equal-width counts between the group's extremes; the last bin includes the maximum."""
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     ends = known.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    rows = known.join(ends, list(by)) if by else attach_one(known, ends)
+    rows = join_per_key(known, ends, by, ["_x"]) if by else attach_one(known, ends)
     place = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))))
     rows = rows.withColumn("bin", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(F.lit(0)))
     width = (F.col("_hi") - F.col("_lo")) / bins

@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripwave.functions.exprs import best_class, ratio
-from tripwave.operators.ordered import CHUNK, Axis, previous, range_chunks, row_index, running
+from tripwave.operators.aggregates import attach_one
+from tripwave.operators.ordered import CHUNK, Axis, join_per_key, previous, range_chunks, row_index, running
 
 
 def threshold_decision(proba: Column, pothole: float, bump: float) -> Column:
@@ -87,10 +88,8 @@ def pr_curve(df: DataFrame, positive: Column, score: str, by: Sequence[str] = ()
     ax = Axis(tuple(by), ("_neg",), None)
     curve = running(ranged, ax, {"tp": F.col("_pos"), "called": F.col("_cnt")}, keep_chunk=True)
     totals = ranged.groupBy(*by).agg(F.sum("_pos").alias("_p"))
-    key = list(by) or ["_all"]
-    if not by:
-        curve, totals = curve.withColumn("_all", F.lit(0)), F.broadcast(totals.withColumn("_all", F.lit(0)))  # one row
-    out = curve.join(totals, key).select(
+    joined = join_per_key(curve, totals, by, ["threshold"]) if by else attach_one(curve, totals)
+    out = joined.select(
         *by, "threshold", "_neg", CHUNK, "tp", "called", (F.col("tp") / F.col("called")).alias("precision"),
         ratio(F.col("tp"), F.col("_p"), None).alias("recall"))
     return out if keep_chunk else out.drop("_neg", CHUNK)
@@ -199,9 +198,8 @@ def permutation_importance(df: DataFrame, ident: str, y: str, channels: Sequence
 
 def importance_drop(scores: DataFrame) -> DataFrame:
     """Channels by falling F1 drop against the ``baseline`` row."""
-    base = scores.where("channel = 'baseline'").select(F.col("f1").alias("_base"), F.lit(0).alias("_k"))
-    rows = scores.where("channel <> 'baseline'").withColumn("_k", F.lit(0))
-    out = rows.join(F.broadcast(base), "_k").select("channel", F.col("f1").alias("new_f1"), (F.col("_base") - F.col("f1")).alias("f1_drop"))
+    base = scores.where("channel = 'baseline'").select(F.col("f1").alias("_base"))
+    out = attach_one(scores.where("channel <> 'baseline'"), base).select("channel", F.col("f1").alias("new_f1"), (F.col("_base") - F.col("f1")).alias("f1_drop"))
     return out.orderBy(F.desc("f1_drop"), "channel")
 
 

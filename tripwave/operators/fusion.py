@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripwave.functions.exprs import gravity_projection, magnitude
-from tripwave.functions.recurrence import filter_rows, lowpass_coefficients, steady_state
-from tripwave.operators.ordered import Axis, islands, row_index, with_blocks
+from tripwave.functions.recurrence import CausalFilter, lowpass as lowpass_filter
+from tripwave.operators.ordered import Axis, islands, join_per_key, materialize, row_index, with_blocks
 from tripwave.operators.timeseries import fill_rows, resample
 from tripwave.params import BANDPASS_A, BANDPASS_B, Resampling
 
@@ -33,18 +33,17 @@ def causal_filters(df: DataFrame, ax: Axis, bandpass: dict[str, str], lowpass: d
     added = [*bandpass, *lowpass]
     schema = T.StructType([f for f in blocks.schema.fields]
                           + [T.StructField(c, T.DoubleType()) for c in added])
-    low = lowpass_coefficients(cutoff_hz, sample_hz)
-    band_b, band_a = np.array(BANDPASS_B), np.array(BANDPASS_A)
+    low, band = lowpass_filter(cutoff_hz, sample_hz), CausalFilter(BANDPASS_B, BANDPASS_A)
 
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by("idx")
         own = block.column("_own")
         for out, src in bandpass.items():
             x = block.column(src).to_numpy().astype(float)
-            block = block.append_column(out, pa.array(filter_rows(band_b, band_a, x, np.zeros(len(band_a) - 1))[0]))
+            block = block.append_column(out, pa.array(band.run(x, band.rest())[0]))
         for out, src in lowpass.items():
             x = block.column(src).to_numpy().astype(float)
-            y = x if low is None else filter_rows(*low, x, steady_state(*low) * x[0])[0]
+            y = x if low is None else low.run(x, low.steady() * x[0])[0]
             block = block.append_column(out, pa.array(y))
         return block.filter(own)
 
@@ -57,15 +56,17 @@ def native_fusion(df: DataFrame, ax: Axis, numeric: list[str], other: list[str]
     """Resampled trip with vertical, horizontal and linear magnitude from the phone's own fusion columns.
 
     Missing-value guards, gap splitting and quarantine are separate operators; the
-    caller passes trips or segments that passed them.
+    caller passes trips or segments that passed them. The filled samples and the
+    grid are written once each: every step reads its input twice (rows and chunk
+    summaries), and unwritten steps would multiply those reads.
     """
     native = ["lin_ax", "lin_ay", "lin_az", "grav_x", "grav_y", "grav_z"]
     missing = [c for c in native if c not in df.columns]
     if missing:
         raise ValueError(f"missing native fusion columns: {', '.join(missing)}")
     ts = ax.order[0]
-    filled = fill_rows(row_index(df, ax), ax, "idx", native).drop("idx")
-    grid = resample(filled, ax.keys, ts, numeric, ["ax", "ay", "az"], ax.chunk_len, other, p)
+    filled = materialize(fill_rows(row_index(df, ax), ax, "idx", native).drop("idx"))
+    grid = materialize(resample(filled, ax.keys, ts, numeric, ["ax", "ay", "az"], ax.chunk_len, other, p))
     lin = tuple(F.col(c) for c in native[:3])
     grav = tuple(F.col(c) for c in native[3:])
     vertical, horizontal = gravity_projection(lin, grav)
@@ -116,7 +117,7 @@ def welch_bands(df: DataFrame, ax: Axis, value: str, bands: dict[str, tuple[floa
     cut = rows.withColumn("_seg", F.explode(F.sequence(F.greatest(F.lit(0), last - 1), last)))
     arrays = cut.groupBy(*ax.keys, "_seg").agg(
         F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("x")))).alias("_rows"))
-    arrays = arrays.join(lengths, list(ax.keys))
+    arrays = join_per_key(arrays, lengths, ax.keys, ["_seg"])
     whole = (F.size("_rows") == segment_rows) | ((F.col("_seg") == 0) & (F.col("_n") < segment_rows))
     names = list(bands)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tripwave.functions.exprs import array_sum, best_class, bind
 from tripwave.operators.aggregates import correlation_pairs
 from tripwave.operators.evaluation import classification_report, pr_areas
-from tripwave.operators.ordered import materialize
+from tripwave.operators.ordered import join_per_key, materialize
 from tripwave.operators.split import balanced_weights, inject_missing
 
 # Default boosting parameters when no tuned set is given.
@@ -97,7 +97,7 @@ TRAINERS = {"forest": train_forest, "boosted": train_boosted}
 
 def out_of_fold(df: DataFrame, folds: DataFrame, task: Task, train: Callable[[DataFrame, Task], Scorer]) -> DataFrame:
     """Every row scored by a model that never saw its trip; absent classes get one row from the whole table."""
-    rows = materialize(df.join(folds, task.trip))
+    rows = materialize(join_per_key(df, folds, [task.trip], [task.ident]))
     out = None
     for f in sorted(r[0] for r in folds.select("fold").distinct().collect()):  # at most k fold numbers
         part = inject_missing(rows.where(F.col("fold") != f), rows, task.label, task.ident)
@@ -202,7 +202,7 @@ def ablate_data(df: DataFrame, folds: DataFrame, task: Task, steps: Mapping[str,
                 trainer: str = "forest") -> DataFrame:
     """Macro F1 for every on/off combination of training-set steps (2^n configurations)."""
     names = {c: str(c) for c in range(task.classes)}
-    rows = materialize(df.join(folds, task.trip))
+    rows = materialize(join_per_key(df, folds, [task.trip], [task.ident]))
     fold_ids = sorted(r[0] for r in folds.select("fold").distinct().collect())
     out = None
     for switches in itertools.product((False, True), repeat=len(steps)):
@@ -211,7 +211,7 @@ def ablate_data(df: DataFrame, folds: DataFrame, task: Task, steps: Mapping[str,
         for f in fold_ids:
             part = inject_missing(rows.where(F.col("fold") != f), rows, task.label, task.ident)
             for name, step in steps.items():
-                part = step(part) if config[name] else part
+                part = materialize(step(part)) if config[name] else part
             done = TRAINERS[trainer](part, task)(rows.where(F.col("fold") == f)).select(task.label, best_class(F.col("proba")).alias("pred"))
             scored = done if scored is None else scored.unionByName(done)
         macro = classification_report(scored, task.label, "pred", names).where("label = 'macro avg'")

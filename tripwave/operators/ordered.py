@@ -13,7 +13,7 @@ what the next chunk needs, and the summaries are joined back. Two kinds of cut:
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -47,6 +47,11 @@ class Axis:
     def rows(self) -> WindowSpec:
         return Window.partitionBy(*self.cells).orderBy(*self.order)
 
+    @property
+    def rows_back(self) -> WindowSpec:
+        """Rows from last to first: a frame of following rows costs quadratic time, preceding ones do not."""
+        return Window.partitionBy(*self.cells).orderBy(*[F.desc(c) for c in self.order])
+
     @property
     def chunks(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(CHUNK)
@@ -94,6 +99,18 @@ def _carried(rows: DataFrame, ax: Axis, aggs: Mapping[str, Column], carry: Mappi
     return rows.join(carried, ax.cells, "left")
 
 
+def join_per_key(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner",
+                 salts: int = 32) -> DataFrame:
+    """Join rows with a per-key table, the rows of one key spread over ``salts`` tasks by the ``spread`` columns.
+
+    A plain join on the trip would bring a whole trip to one task, and, because its
+    partitioning also satisfies finer groupings, leave it there for later steps.
+    """
+    rows = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    table = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(table, [*keys, "_salt"], how).drop("_salt")
+
+
 def row_index(df: DataFrame, ax: Axis, out: str = "idx") -> DataFrame:
     """Zero-based position of each row in its stream."""
     rows = ax.cut(df).withColumn("_rn", F.row_number().over(ax.rows))
@@ -165,11 +182,11 @@ def fill(df: DataFrame, ax: Axis, back: Mapping[str, Column] | None = None,
     for name, c in {**back, **ahead}.items():
         rows = rows.withColumn(f"_v_{name}", c)
     upto = ax.rows.rowsBetween(Window.unboundedPreceding, 0)
-    after = ax.rows.rowsBetween(1, Window.unboundedFollowing)
+    after = ax.rows_back.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select(
         "*",
         *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_in_{n}") for n in back],
-        *[F.first(f"_v_{n}", ignorenulls=True).over(after).alias(f"_in_{n}") for n in ahead],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(after).alias(f"_in_{n}") for n in ahead],
     )
 
     def at(n: str) -> Column:
@@ -178,9 +195,9 @@ def fill(df: DataFrame, ax: Axis, back: Mapping[str, Column] | None = None,
     aggs = {f"_s_{n}": F.max_by(f"_v_{n}", at(n)) for n in back}
     aggs |= {f"_s_{n}": F.min_by(f"_v_{n}", at(n)) for n in ahead}
     earlier = ax.chunks.rowsBetween(Window.unboundedPreceding, -1)
-    later = ax.chunks.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*ax.keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = {f"_c_{n}": F.last(f"_s_{n}", ignorenulls=True).over(earlier) for n in back}
-    carry |= {f"_c_{n}": F.first(f"_s_{n}", ignorenulls=True).over(later) for n in ahead}
+    carry |= {f"_c_{n}": F.last(f"_s_{n}", ignorenulls=True).over(later) for n in ahead}
     done = _carried(rows, ax, aggs, carry)
     names = [*back, *ahead]
     for n in names:

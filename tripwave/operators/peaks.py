@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import haversine, holds, severity_level, to_g
-from tripwave.operators.ordered import Axis, islands, materialize, row_index, with_blocks
+from tripwave.operators.ordered import Axis, islands, join_per_key, materialize, row_index, with_blocks
 from tripwave.operators.timeseries import ema
 from tripwave.params import Clustering, Detection
 
@@ -74,7 +74,7 @@ def detect_peaks(df: DataFrame, ax: Axis, signal: str, gyro: str | None, keep: l
     rows = regions(energy, ax)
     found = region_peaks(rows, ax, signal, [*keep, "energy", "threshold"])
     lengths = df.groupBy(*ax.keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3")
-    return found.join(lengths.select(*ax.keys), list(ax.keys), "left_semi")
+    return join_per_key(found, lengths.select(*ax.keys), ax.keys, ["region"], "left_semi")
 
 
 def thresholds_per_trip(energy: DataFrame, ax: Axis) -> DataFrame:
@@ -127,5 +127,5 @@ def number_events(events: DataFrame, trip_bucket, ax: Axis, start: int = 0, out:
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_bucket", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_base"))
     offsets = trips.join(totals, "_bucket").select(key, (F.col("_before") + F.col("_base")).alias("_offset"))
-    done = numbered.join(offsets, key)
+    done = join_per_key(numbered, offsets, [key], ax.order)
     return done.withColumn(out, F.col("_in_trip") + F.col("_offset") + start).drop("_in_trip", "_offset")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripwave.functions.exprs import haversine
-from tripwave.operators.ordered import Axis, asof, fill, running_max
+from tripwave.operators.ordered import Axis, asof, fill, join_per_key, running_max
 from tripwave.operators.windows import range_join
 
 # Which label wins when two land on one event.
@@ -152,8 +152,8 @@ def align(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     return a.join(b, on)
 
 
-def keep_trips(df: DataFrame, trips: DataFrame, key: str) -> DataFrame:
-    return df.join(trips.select(key), key, "left_semi")
+def keep_trips(df: DataFrame, trips: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    return join_per_key(df, trips.select(key), [key], spread, "left_semi")
 
 
 def union_background(events: DataFrame, background: DataFrame) -> DataFrame:

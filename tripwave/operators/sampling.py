@@ -125,7 +125,8 @@ def smote(df: DataFrame, ident: str, label: str, vector: str, dim: int, seed: in
             continue
         rows = df.where(F.col(label) == F.lit(value)).select(ident, vector)
         per_row, extra = divmod(top - n, n)
-        numbered = row_index(rows.withColumn("_h", seeded_unit(seed, F.col(ident))), Axis((), ("_h", ident), 1), "_i")
+        numbered = row_index(rows.withColumn("_h", F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1 << 30))),
+                             Axis((), ("_h", ident), 1 << 18), "_i")
         copies = F.lit(per_row) + (F.col("_i") < extra).cast("int")
         wanted = numbered.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
         wanted = wanted.withColumn("rank", (F.floor(seeded_unit(seed + 1, F.col(ident), F.col("_copy")) * k) + 1).cast("int"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import array_sum, bind
+from tripwave.operators.aggregates import attach_one
 from tripwave.operators.ordered import Axis, row_index
 
 
@@ -99,9 +100,8 @@ def group_holdout(df: DataFrame, key: str, share: float, order: Column, chunk_le
     """The first ``ceil(share * n)`` trips in hash order."""
     trips = df.select(key).distinct().withColumn("_o", order)
     numbered = row_index(trips, Axis((), ("_o", key), chunk_len), "_i")
-    n = trips.agg(F.ceil(F.count(F.lit(1)) * share).alias("_k"), F.lit(0).alias("_j"))
-    kept = numbered.withColumn("_j", F.lit(0)).join(F.broadcast(n), "_j").where(F.col("_i") < F.col("_k"))  # one row
-    return kept.select(key)
+    n = trips.agg(F.ceil(F.count(F.lit(1)) * share).alias("_k"))
+    return attach_one(numbered, n).where(F.col("_i") < F.col("_k")).select(key)
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -123,9 +123,9 @@ def inject_missing(train: DataFrame, pool: DataFrame, label: str, order: str) ->
 def label_index(df: DataFrame, label: str, out: str = "label_idx") -> DataFrame:
     """Zero-based index of the label in alphabetical order."""
     names = df.select(label).distinct().where(F.col(label).isNotNull())
-    order = names.agg(F.array_sort(F.collect_list(label)).alias("_names"), F.lit(0).alias("_k"))  # one row, one entry per class
-    found = df.withColumn("_k", F.lit(0)).join(F.broadcast(order), "_k")
-    return found.withColumn(out, (F.array_position("_names", F.col(label)) - 1).cast("int")).drop("_k", "_names")
+    order = names.agg(F.array_sort(F.collect_list(label)).alias("_names"))  # one entry per class
+    found = attach_one(df, order)
+    return found.withColumn(out, (F.array_position("_names", F.col(label)) - 1).cast("int")).drop("_names")
 
 
 def scaler(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
@@ -141,8 +141,7 @@ def scaler(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, arrays: Sequence[str]) -> DataFrame:
-    one = params.withColumn("_k", F.lit(0))
-    out = df.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k")  # one row
+    out = attach_one(df, params)
     for c in arrays:
         out = out.withColumn(c, _scaled(c))
     return out.select(*df.columns)

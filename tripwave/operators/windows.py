@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tripwave.operators.ordered import Axis, asof, previous, row_index
+from tripwave.operators.ordered import Axis, asof, join_per_key, previous, row_index
 from tripwave.operators.timeseries import bounded_fill
 from tripwave.params import Tensor
 
@@ -30,7 +30,7 @@ def sliding_windows(df: DataFrame, ax: Axis, size: int, hop: int) -> DataFrame:
     """Each row once per trip-anchored window [start, start + size) that ends inside the trip."""
     ts = ax.order[0]
     span = df.groupBy(*ax.keys).agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
-    rows = df.join(span, list(ax.keys))
+    rows = join_per_key(df, span, ax.keys, ax.order)
     k = F.floor((F.col(ts) - F.col("_t0")) / hop)
     first = F.greatest(F.lit(0), F.floor((F.col(ts) - F.col("_t0") - size) / hop) + 1)
     rows = rows.withColumn("_k", F.explode(F.sequence(first, F.greatest(first, k)))).where(F.col("_k") <= k)
@@ -86,11 +86,11 @@ def event_tensors(samples: DataFrame, events: DataFrame, key: str, ts: str, even
     by = Window.partitionBy(key, event)
     row = by.orderBy(ts)
     upto = row.rowsBetween(Window.unboundedPreceding, 0)
-    after = row.rowsBetween(1, Window.unboundedFollowing)
+    after = by.orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, -1)
     pairs = pairs.withColumn("_i", F.row_number().over(row).cast("bigint"))
     for c in p.channels:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("pos"), F.col(c).alias("val")))
-        filled = bounded_fill(F.col("_i"), F.last(known, True).over(upto), F.first(known, True).over(after), 5, 5, 5)
+        filled = bounded_fill(F.col("_i"), F.last(known, True).over(upto), F.last(known, True).over(after), 5, 5, 5)
         pairs = pairs.withColumn(f"_f_{c}", F.coalesce(F.col(c), filled))
     cells = F.struct("_i", *[F.col(f"_f_{c}").cast("float").alias(c) for c in p.channels])
     windows = pairs.groupBy(key, event).agg(
@@ -129,13 +129,14 @@ def channel_rms(channel: Column) -> Column:
     return F.sqrt(total / F.size(channel))
 
 
-def event_numbers(events: DataFrame, ax: Axis, out: str = "event_no") -> DataFrame:
+def event_numbers(events: DataFrame, ax: Axis, out: str = "event_no", id_chunk: int = 100_000) -> DataFrame:
     """One-based number of an event in its trip, by time, unknown times last."""
     at = ax.order[0]
     known = row_index(events.where(F.col(at).isNotNull()), ax, "_i")
     counts = known.groupBy(*ax.keys).agg(F.count(F.lit(1)).alias("_n"))
-    late = Axis(ax.keys, ax.order[1:], ax.chunk_len)
-    unknown = row_index(events.where(F.col(at).isNull()), late, "_i").join(counts, list(ax.keys), "left")
+    late = Axis(ax.keys, ax.order[1:], id_chunk)
+    unknown = row_index(events.where(F.col(at).isNull()), late, "_i")
+    unknown = join_per_key(unknown, counts, ax.keys, ax.order[1:], "left")
     numbered = known.withColumn(out, F.col("_i") + 1).drop("_i")
     return numbered.unionByName(
         unknown.withColumn(out, F.col("_i") + 1 + F.coalesce("_n", F.lit(0))).drop("_i", "_n"))

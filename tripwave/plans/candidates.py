@@ -9,7 +9,7 @@ from tripwave.operators import timeseries
 from tripwave.operators.features import event_features
 from tripwave.operators.fusion import native_fusion
 from tripwave.operators.labels import suggest_labels
-from tripwave.operators.ordered import Axis, materialize
+from tripwave.operators.ordered import Axis, join_per_key, materialize
 from tripwave.operators.peaks import cluster_events, cluster_peaks, detect_peaks, number_events
 from tripwave.operators.reconcile import near_gap, union_background
 from tripwave.operators.windows import event_tensors, in_segments, skipped_tensors, window_features
@@ -54,10 +54,10 @@ def trip_candidates(raw: DataFrame, ax: Axis, numeric: list[str], p: Resampling
     nulls = timeseries.null_ratio_guard(
         unique, key, ["lin_ax", "lin_ay", "lin_az", "grav_x", "grav_y", "grav_z"], p.max_null_ratio)
     rejected = gaps.where("rejected").select(key).unionByName(nulls.where("rejected").select(key))
-    valid = unique.join(rejected, key, "left_anti")
+    valid = join_per_key(unique, rejected, [key], [ts], "left_anti")
     fused = native_fusion(valid, ax, numeric, p=p)
     short = timeseries.min_length_guard(fused, key, p.min_rows).where("too_short").select(key)
-    fused = fused.join(short, key, "left_anti")
+    fused = join_per_key(fused, short, [key], [ts], "left_anti")
     fused = materialize(fused.withColumn("gyro_mag", F.sqrt(sum(
         (F.coalesce(c, F.lit(0.0)) ** 2 for c in ("gx", "gy", "gz")), F.lit(0.0)))))
     grid = Axis(ax.keys, (ts,), ax.chunk_len)
@@ -65,7 +65,8 @@ def trip_candidates(raw: DataFrame, ax: Axis, numeric: list[str], p: Resampling
 
 
 def labelled_feature_rows(raw: DataFrame, events: DataFrame, truth: DataFrame, background: DataFrame | None, ax: Axis,
-                          numeric: list[str], p: Resampling = Resampling(), compat_snr: bool = False) -> DataFrame:
+                          numeric: list[str], p: Resampling = Resampling(), compat_snr: bool = False,
+                          window: EventWindow = EventWindow()) -> DataFrame:
     """Labelled events and background rows with features re-extracted from fused segments.
 
     Samples are cut at recording holes; only segments holding a labelled event are fused.
@@ -77,12 +78,13 @@ def labelled_feature_rows(raw: DataFrame, events: DataFrame, truth: DataFrame, b
     cut = timeseries.segments(raw, ax, p.max_gap)
     bounds = timeseries.segment_bounds(cut, key, ts)
     placed = materialize(in_segments(labelled, bounds, key, "at", ax.chunk_len).where(F.col("segment").isNotNull()))
-    wanted = cut.join(placed.select(key, "segment").distinct(), [key, "segment"], "left_semi")
+    wanted = join_per_key(cut, placed.select(key, "segment").distinct(), [key, "segment"], [ts], "left_semi")
     by_segment = Axis((key, "segment"), ax.order, ax.chunk_len)
     fused = native_fusion(wanted, by_segment, numeric, p=p)
     one_key = fused.withColumn("_stream", F.concat_ws("#", key, "segment"))
     rows = placed.withColumn("_stream", F.concat_ws("#", key, "segment")).drop("segment", "segment_rows")
-    return event_features(one_key, rows, Axis(("_stream",), (ts,), ax.chunk_len), compat_snr=compat_snr).drop("_stream")
+    return event_features(one_key, rows, Axis(("_stream",), (ts,), ax.chunk_len), p=window,
+                          compat_snr=compat_snr).drop("_stream")
 
 
 def tensor_set(raw: DataFrame, labelled: DataFrame, ax: Axis, p: Resampling = Resampling(),

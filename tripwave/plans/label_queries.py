@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tripwave.functions import exprs
 from tripwave.operators import labels, reconcile, sampling, windows
-from tripwave.operators.ordered import Axis, previous
+from tripwave.operators.ordered import join_per_key, previous
 from tripwave.operators.timeseries import large_gaps as find_gaps, segment_bounds, segments
 from tripwave.plans.registry import query, r6, rounded
 from tripwave.plans.sample_queries import SEG_SQL
@@ -65,7 +65,7 @@ SELECT event_id, r6(CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (v - lo) / (hi - lo) E
 def minmax_norm(spark, folder):
     s = sig(spark, folder)
     ends = s.groupBy("trip_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return s.join(ends, "trip_id").select("event_id", r6(exprs.min_max(F.col("v"), F.col("lo"), F.col("hi"))).alias("norm"))
+    return join_per_key(s, ends, ["trip_id"], ["event_id"]).select("event_id", r6(exprs.min_max(F.col("v"), F.col("lo"), F.col("hi"))).alias("norm"))
 
 
 @query("severity_level", f"""WITH {SIG_SQL}
@@ -195,7 +195,7 @@ SELECT event_id, r6(rel) AS rel_s, strftime(make_timestamp(ts_us // 1000 * 1000)
 def relative_time(spark, folder):
     s = sig(spark, folder)
     start = s.groupBy("trip_id").agg((F.min("ts_us") + HOUR_US).alias("start"))
-    rows = s.join(start, "trip_id").withColumn("rel_s", (F.col("ts_us") - F.col("start")) / 1e6)
+    rows = join_per_key(s, start, ["trip_id"], ["event_id"]).withColumn("rel_s", (F.col("ts_us") - F.col("start")) / 1e6)
     local = F.date_format(exprs.local_time(F.floor(F.col("ts_us") / 1000)), "yyyy-MM-dd HH:mm:ss")
     return rows.select("event_id", r6("rel_s").alias("rel_s"), local.alias("local_time"), exprs.minute_second_text(F.col("rel_s")).alias("text"))
 
@@ -244,7 +244,7 @@ def skip_reason(spark, folder):
     span = s.groupBy("trip_id").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
     m = marked(spark, folder)
     worst = windows.range_join(steps, m, "trip_id", "ts_us", "at", 2 * DAY_US, 2 * DAY_US).groupBy("ev").agg((F.max("step") / 3).alias("gap"))
-    rows = m.join(worst, "ev").join(span, "trip_id")
+    rows = join_per_key(m.join(worst, "ev"), span, ["trip_id"], ["ev"])
     days = float(DAY_US)
     return rows.select("ev", exprs.skip_reason(F.col("gap"), (F.col("at") - F.col("t0")) / days, (F.col("t1") - F.col("at")) / days).alias("reason"))
 
@@ -421,7 +421,7 @@ def noise_filter(spark, folder):
 @query("semi_trips", """SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
 def semi_trips(spark, folder):
     dev = read_table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return reconcile.keep_trips(read_table(spark, folder, "orders").select("o_orderkey", "o_custkey"), dev, "o_custkey")
+    return reconcile.keep_trips(read_table(spark, folder, "orders").select("o_orderkey", "o_custkey"), dev, "o_custkey", ["o_orderkey"])
 
 
 @query("align_models", f"""WITH {LAB_SQL} SELECT a.doc_id, a.score AS a_score, b.label AS b_label FROM lab a JOIN embeddings b ON a.doc_id = b.vec_id""")

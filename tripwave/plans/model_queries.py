@@ -71,12 +71,23 @@ def ablate_features(spark, folder):
 
 @query("ablate_data")
 def ablate_data(spark, folder):
+    """All eight on/off combinations of undersampling, augmentation and oversampling."""
     rows = _table(spark, folder)
 
     def fewer(d):
         return sampling.undersample(d.withColumn("key", F.xxhash64("event_id")), "label_idx", 0, ["key"], 1 << 56, 0.4).drop("key")
 
-    return rounded(models.ablate_data(rows, _folds(rows, 2), _task(**SMALL), {"undersampled": fewer}), "macro_f1")
+    def noisy_copies(d):
+        copies = d.where("label_idx > 0").withColumn("_x", F.array(*DIMS))
+        made = sampling.augment(copies, "event_id", ["_x"], len(DIMS), warp_prob=0.0, drop_prob=0.0)
+        return d.unionByName(made.withColumns({f: F.col("_x")[i] for i, f in enumerate(DIMS)}).select(*d.columns))
+
+    def balanced(d):
+        out = sampling.smote(d.withColumn("_x", F.array(*DIMS)), "event_id", "label_idx", "_x", len(DIMS))
+        return out.select("event_id", "label_idx", *[F.col("_x")[i].alias(f) for i, f in enumerate(DIMS)])
+
+    steps = {"undersample": fewer, "augment": noisy_copies, "smote": balanced}
+    return rounded(models.ablate_data(rows, _folds(rows, 2), _task(**SMALL), steps), "macro_f1")
 
 
 @query("importance_top")

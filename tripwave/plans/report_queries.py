@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tripwave.functions.exprs import class_name, is_augmented
 from tripwave.operators import aggregates, evaluation, split, stats
 from tripwave.operators.fusion import welch_bands
-from tripwave.operators.ordered import Axis, row_index
+from tripwave.operators.ordered import Axis, join_per_key, row_index
 from tripwave.operators.windows import channel_rms
 from tripwave.params import CLASSES
 from tripwave.plans.registry import query, r6, rounded
@@ -373,7 +373,7 @@ SELECT doc_id FROM lab WHERE doc_id % 20 IN (SELECT trip FROM o WHERE i <= ceil(
 def random_group_holdout(spark, folder):
     rows = lab(spark, folder).withColumn("trip", F.col("doc_id") % 20).withColumn("src", F.when(F.col("doc_id") % 7 == 0, "augmented"))
     held = split.group_holdout(rows, "trip", 0.2, (F.col("trip") * 7919) % 10007, 64)
-    return rows.join(held, "trip", "left_semi").where(~is_augmented(F.col("src"))).select("doc_id")
+    return join_per_key(rows, held, ["trip"], ["doc_id"], "left_semi").where(~is_augmented(F.col("src"))).select("doc_id")
 
 
 @query("balanced_weights", f"""WITH {LAB_SQL}, c AS (SELECT y3, count(*) AS m FROM lab GROUP BY y3), t AS (SELECT sum(m) AS n, count(*) AS k FROM c)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tripwave.operators import features, fusion, peaks, timeseries, windows
 from tripwave.operators.ordered import Axis, previous, row_index
 from tripwave.params import Clustering, EventWindow, Tensor
-from tripwave.plans.candidates import scored_candidates
+from tripwave.plans.candidates import labelled_feature_rows, scored_candidates, tensor_set
 from tripwave.plans.registry import query, r6, rounded
-from tripwave.plans.sample_queries import BIN, GRID_SQL, NUM_SQL, REGION_SQL, SIG_DETECTION, sig_peaks
+from tripwave.plans.sample_queries import BIN, GRID_SQL, NUM_SQL, REGION_SQL, SEG_SQL, SIG_DETECTION, sig_peaks
 from tripwave.plans.views import (DAY_US, HOUR_US, MARKED_SQL, SENSOR_SQL, SIG_SQL, VEC_SQL, marked, sensor, sig,
                                   sig_axis, vec)
 
@@ -404,3 +404,73 @@ def welch_band_power(spark, folder):
     s = sig(spark, folder)
     out = fusion.welch_bands(s, sig_axis(s), "v", {"power_low": (2, 15, True), "power_high": (15, 45, False)}, 100.0, 16)
     return rounded(out, "power_low", "power_high")
+
+
+@query("sensor_fusion", f"""WITH RECURSIVE {SENSOR_SQL},
+bins AS (SELECT trip_id, ts_us // {6 * HOUR_US} AS bin, avg(lin_ax) AS lx, avg(lin_ay) AS ly, avg(lin_az) AS lz, avg(grav_x) AS gx, avg(grav_y) AS gy, avg(grav_z) AS gz FROM sensor GROUP BY ALL),
+nxt AS (SELECT *, lead(bin) OVER w AS nb, {', '.join(f'lead({c}) OVER w AS n{c}' for c in ('lx', 'ly', 'lz', 'gx', 'gy', 'gz'))} FROM bins WINDOW w AS (PARTITION BY trip_id ORDER BY bin)),
+grid AS (SELECT *, unnest(generate_series(0, least(coalesce(nb - bin - 1, 0), 10))) AS k FROM nxt),
+fl AS (SELECT trip_id, bin + k AS bin, {', '.join(f'{c} + coalesce((n{c} - {c}) / (nb - bin), 0) * least(k, 5) AS {c}' for c in ('lx', 'ly', 'lz', 'gx', 'gy', 'gz'))} FROM grid),
+nm AS (SELECT *, CASE WHEN gx*gx + gy*gy + gz*gz = 0 THEN 1 ELSE sqrt(gx*gx + gy*gy + gz*gz) END AS m FROM fl),
+pr AS (SELECT trip_id, bin, (lx*gx + ly*gy + lz*gz) / m AS v, lx*lx + ly*ly + lz*lz AS en FROM nm),
+ph AS (SELECT trip_id, bin, v, sqrt(greatest(0, en - v * v)) AS h, row_number() OVER (PARTITION BY trip_id ORDER BY bin) - 1 AS i FROM pr),
+lg AS (SELECT *, coalesce(lag(v, 2) OVER w, 0) AS v2, coalesce(lag(v, 4) OVER w, 0) AS v4, coalesce(lag(h, 1) OVER w, h) AS h1,
+   coalesce(lag(h, 2) OVER w, lag(h, 1) OVER w, h) AS h2 FROM ph WINDOW w AS (PARTITION BY trip_id ORDER BY i)),
+kk AS (SELECT tan(pi() * 0.2) AS k),
+cf AS (SELECT k * k / (1 + sqrt(2) * k + k * k) AS b0, 2 * (k * k - 1) / (1 + sqrt(2) * k + k * k) AS a1, (1 - sqrt(2) * k + k * k) / (1 + sqrt(2) * k + k * k) AS a2 FROM kk),
+dr AS (SELECT trip_id, bin, i, h, 0.19061660009749753 * v - 0.38123320019499507 * v2 + 0.19061660009749753 * v4 AS f, b0 * h + 2 * b0 * h1 + b0 * h2 AS g, a1, a2 FROM lg JOIN cf ON true),
+y AS (SELECT trip_id, bin, i, f AS y0, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2, 0.0::DOUBLE AS y3, h AS z0, h AS z1 FROM dr WHERE i = 0
+  UNION ALL
+  SELECT d.trip_id, d.bin, d.i, d.f + 2.3350824020765124::DOUBLE * y.y0 - 1.9509646897792021::DOUBLE * y.y1 + 0.8192636853124013::DOUBLE * y.y2
+    - 0.2066719851665643::DOUBLE * y.y3, y.y0, y.y1, y.y2, d.g - d.a1 * y.z0 - d.a2 * y.z1, y.z0
+  FROM y JOIN dr d ON d.trip_id = y.trip_id AND d.i = y.i + 1)
+SELECT trip_id, bin, r6(y0) AS a_vertical, r6(z0) AS a_horizontal, r6(sqrt(y0 * y0 + z0 * z0)) AS a_linear_mag FROM y""")
+def sensor_fusion(spark, folder):
+    """Resampling, gravity projection, both causal filters and the linear magnitude, end to end."""
+    s = sensor(spark, folder).withColumns({f"a{a}": F.col(f"lin_a{a}") + F.col(f"grav_{a}") for a in "xyz"})
+    ax = Axis(("trip_id",), ("ts_us",), sig_axis(s).chunk_len)
+    numeric = ["ax", "ay", "az", "lin_ax", "lin_ay", "lin_az", "grav_x", "grav_y", "grav_z"]
+    out = fusion.native_fusion(s.select("trip_id", "ts_us", *numeric), ax, numeric, p=BIN)
+    return rounded(out.select("trip_id", "bin", "a_vertical", "a_horizontal", "a_linear_mag"), "a_vertical", "a_horizontal", "a_linear_mag")
+
+
+REASON_SQL = f"""pr AS (SELECT trip_id, event_id AS event_id, ts_us + 9 * {HOUR_US} AS at FROM sig WHERE g % 3 = 0),
+bd AS (SELECT trip_id, segment, max(ts_us) AS e FROM seg GROUP BY trip_id, segment),
+bn AS (SELECT DISTINCT trip_id, segment, ts_us // {6 * HOUR_US} AS bin FROM seg),
+bl AS (SELECT *, lead(bin) OVER (PARTITION BY trip_id, segment ORDER BY bin) AS nb FROM bn),
+gr AS (SELECT trip_id, segment, (bin + unnest(generate_series(0, least(coalesce(nb - bin - 1, 0), 10)))) * {6 * HOUR_US} AS t FROM bl),
+sz AS (SELECT trip_id, segment, count(*) AS n FROM gr GROUP BY ALL),
+gp AS (SELECT * FROM (SELECT trip_id, ts_us AS ge, lag(ts_us) OVER (PARTITION BY trip_id ORDER BY ts_us, event_id) AS gs FROM sig) WHERE ge - gs > {DAY_US}),
+pl AS (SELECT p.event_id, p.trip_id, p.at, b.segment, sz.n FROM pr p LEFT JOIN bd b ON b.trip_id = p.trip_id AND p.at BETWEEN b.segment AND b.e
+   LEFT JOIN sz ON sz.trip_id = b.trip_id AND sz.segment = b.segment),
+nr AS (SELECT pl.*, EXISTS (SELECT 1 FROM gp WHERE gp.trip_id = pl.trip_id AND pl.at <= ge + {26 * HOUR_US} AND pl.at >= gs - {26 * HOUR_US}) AS near FROM pl),
+cv AS (SELECT nr.event_id, count(gr.t) AS rows_in FROM nr LEFT JOIN gr ON gr.trip_id = nr.trip_id AND gr.segment = nr.segment
+   AND gr.t >= nr.at - {24 * HOUR_US} AND gr.t < nr.at + {24 * HOUR_US} GROUP BY nr.event_id)"""
+
+
+@query("tensor_reasons", f"""WITH {SIG_SQL}, {SEG_SQL}, {REASON_SQL}
+SELECT event_id, CASE WHEN segment IS NULL THEN 'in_gap' WHEN n < 8 THEN 'short_segment' WHEN near THEN 'gap_buffer'
+  WHEN rows_in / 8 < 0.7 THEN 'extract_failed' ELSE 'tensor' END AS reason FROM nr JOIN cv USING (event_id)""")
+def tensor_reasons(spark, folder):
+    """Tensors cut from resampled segments, and the reason for every event that got none."""
+    s = sensor(spark, folder).withColumns({f"a{a}": F.col(f"lin_a{a}") + F.col(f"grav_{a}") for a in "xyz"})
+    probe = s.where("g % 3 = 0").select("trip_id", F.col("event_id"), (F.col("ts_us") + 9 * HOUR_US).alias("at"))
+    t = Tensor(rows=8, crop=6, half=24 * HOUR_US, gap_guard=2 * HOUR_US)
+    cols = ["trip_id", "ts_us", *t.channels]
+    done, skipped = tensor_set(s.select(*cols), probe, Axis(("trip_id",), ("ts_us",), sig_axis(s).chunk_len), BIN, t)
+    return done.select("event_id", F.lit("tensor").alias("reason")).unionByName(skipped.select("event_id", "reason"))
+
+
+@query("training_features", f"""WITH {SIG_SQL}, {SEG_SQL}, b AS (SELECT trip_id, segment, max(ts_us) AS e FROM seg GROUP BY trip_id, segment),
+p AS (SELECT trip_id, event_id, ts_us + 2 * {HOUR_US} AS at FROM sig WHERE event_id % 4 = 0)
+SELECT p.event_id::VARCHAR AS event_id, p.trip_id FROM p JOIN b ON b.trip_id = p.trip_id AND p.at BETWEEN b.segment AND b.e""")
+def training_features(spark, folder):
+    """Labelled events inside a recording, with features re-extracted from fused segments (ids compared)."""
+    s = sensor(spark, folder).withColumns({f"a{a}": F.col(f"lin_a{a}") + F.col(f"grav_{a}") for a in "xyz"})
+    events = s.where("event_id % 4 = 0").select("event_id", "trip_id", (F.col("ts_us") + 2 * HOUR_US).alias("at"))
+    truth = s.select("event_id", F.col("cls").alias("label"))
+    numeric = ["ax", "ay", "az", "lin_ax", "lin_ay", "lin_az", "grav_x", "grav_y", "grav_z", "gx", "gy", "gz", "speed"]
+    out = labelled_feature_rows(s.select("trip_id", "ts_us", *numeric), events, truth, None,
+                                Axis(("trip_id",), ("ts_us",), sig_axis(s).chunk_len), numeric, BIN, window=SIG_WINDOW)
+    kept = out.where(F.col("vertical_energy") >= 0)
+    return kept.select(F.col("event_id").cast("string").alias("event_id"), "trip_id")

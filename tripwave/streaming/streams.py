@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tripwave.functions.recurrence import filter_rows, lowpass_coefficients, steady_state
+from tripwave.functions.recurrence import CausalFilter, lowpass
 from tripwave.params import BANDPASS_A, BANDPASS_B, EARTH_RADIUS_M, Clustering, Detection
 from tripwave.sources.stage import new_folder
 
@@ -97,19 +97,18 @@ def causal_filters(stream: DataFrame, key: str, order: list[str], value: str, cu
     """Band-passed and low-passed value; a trip's state is four and two filter cells and its last time."""
     cols = [key, *order, value]
     schema = T.StructType([*[stream.schema[c] for c in cols], T.StructField("bandpass", T.DoubleType()), T.StructField("lowpass", T.DoubleType())])
-    low = lowpass_coefficients(cutoff_hz, sample_hz)
-    b, a = np.array(BANDPASS_B), np.array(BANDPASS_A)
+    low, high = lowpass(cutoff_hz, sample_hz), CausalFilter(BANDPASS_B, BANDPASS_A)
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, band, smooth = state.get if state.exists else (None, [0.0] * 4, None)
         rows = _ordered(batches, order, last)
         if len(rows):
             x = rows[value].to_numpy(float)
-            rows["bandpass"], band = filter_rows(b, a, x, np.array(band))
+            rows["bandpass"], band = high.run(x, np.array(band))
             if low is None:
                 rows["lowpass"], smooth = x, np.zeros(2)
             else:
-                rows["lowpass"], smooth = filter_rows(*low, x, steady_state(*low) * x[0] if smooth is None else np.array(smooth))
+                rows["lowpass"], smooth = low.run(x, low.steady() * x[0] if smooth is None else np.array(smooth))
             state.update((int(rows[order[0]].iloc[-1]), band.tolist(), smooth.tolist()))
         yield rows[schema.names]
 
