@@ -117,8 +117,10 @@ def number_events(events: DataFrame, trip_bucket, ax: Axis, start: int = 0, out:
 
     ``trip_bucket`` is a monotone coarsening of the trip key: ids need trip
     totals, bucket totals and in-trip numbers, never one task over all events.
+    The events, few against the samples they come from, are written once.
     """
     key = ax.keys[0]
+    events = materialize(events)
     numbered = row_index(events, ax, "_in_trip")
     trips = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", trip_bucket)
     in_bucket = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

@@ -31,15 +31,14 @@ def scored_candidates(samples: DataFrame, ax: Axis, signal: str = "a_linear_mag"
                       window: EventWindow = EventWindow(), trip_bucket: Column | None = None) -> DataFrame:
     """Fused samples to numbered, suggested and scored candidate events.
 
-    The few detected events are written once; features, ids and scores then read
-    that table instead of repeating the detection.
+    Numbering writes the few detected events once; features and scores read that
+    table instead of repeating the detection.
     """
     key, ts = ax.keys[0], ax.order[0]
     found = peak_rows(samples, ax, signal, gyro, detection)
     events = cluster_events(cluster_peaks(found, ax, p=clustering), ax)
-    events = materialize(events.drop("cluster"))
     bucket = trip_bucket if trip_bucket is not None else F.substring(key, 1, 2)
-    events = number_events(events, bucket, Axis(ax.keys, (ts,), ax.chunk_len), out="candidate_id")
+    events = number_events(events.drop("cluster"), bucket, Axis(ax.keys, (ts,), ax.chunk_len), out="candidate_id")
     events = events.withColumn("at", F.col(ts)).drop(ts)
     rows = event_features(samples, events, ax, "candidate_id", "at", window)
     rows = rows.withColumn("event_duration", F.col("duration_above_threshold")).withColumn("vert_jrk", F.col("max_jerk"))

@@ -64,7 +64,7 @@ def meta_pairing(spark, folder):
     path = stage.new_folder(spark, "meta")
     meta.select(F.concat(F.lit("trip-"), F.col("user_id").cast("string")).alias("tripId"), "startTime", name.alias("trip_file")).write.json(path)
     docs = spark.read.schema(T.StructType([*trips.META_SCHEMA.fields, T.StructField("trip_file", T.StringType())])).json(path)
-    return trips.pair_meta(e.select(name.alias("trip_file")), docs).groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"))
+    return trips.pair_meta(e.select(name.alias("trip_file"), "event_id"), docs, ["event_id"]).groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stage_roundtrip", f"""WITH {SIG_SQL} SELECT event_id, trip_id, v, cls FROM sig""")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tripwave.functions.exprs import clean_nans
+from tripwave.operators.ordered import join_per_key
 
 _AXES = ("ax", "ay", "az", "gx", "gy", "gz", "lin_ax", "lin_ay", "lin_az", "grav_x", "grav_y", "grav_z",
          "lat", "lon", "speed")
@@ -70,10 +71,10 @@ def read_trip_meta(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("*", base_name(F.col("_metadata.file_path")).alias("trip_file"))
 
 
-def pair_meta(samples: DataFrame, meta: DataFrame) -> DataFrame:
+def pair_meta(samples: DataFrame, meta: DataFrame, spread: Sequence[str] = ("ts_ms",)) -> DataFrame:
     """Samples with the trip id of their metadata, else the file's own name."""
     ids = meta.groupBy("trip_file").agg(F.min("tripId").alias("tripId"))
-    joined = samples.join(ids, "trip_file", "left")
+    joined = join_per_key(samples, ids, ["trip_file"], spread, "left")
     return joined.withColumn("trip_id", F.coalesce("tripId", F.concat("trip_file", F.lit(".csv")))).drop("tripId")
 
 
