@@ -63,10 +63,11 @@ def checked_split(split: DataFrame) -> DataFrame:
     return split
 
 
-def group_kfold(df: DataFrame, key: str, label: str, classes: Sequence[object], folds: int = 4, seed: int = 42) -> DataFrame:
+def group_kfold(df: DataFrame, key: str, label: str, classes: Sequence[object], folds: int = 4, seed: int = 42,
+                tie: Column | None = None) -> DataFrame:
     """Trip -> fold, most uneven trips first, each to the fold that keeps class shares most even.
 
-    Ties between trips are ordered by a seeded hash, ties between folds by size.
+    Ties between trips are ordered by ``tie`` (a seeded hash by default), ties between folds by size, then number.
     """
     trips = trip_counts(df, key, label, classes)
     totals = trips.agg(*[F.sum(F.col("counts")[i]) for i in range(len(classes))]).first()
@@ -84,7 +85,7 @@ def group_kfold(df: DataFrame, key: str, label: str, classes: Sequence[object],
                 options = []
                 for f in range(folds):
                     held[f] += gain
-                    options.append(((held / whole).std(axis=0).mean(), held[f].sum(), f))
+                    options.append((round((held / whole).std(axis=0).mean(), 12), held[f].sum(), f))
                     held[f] -= gain
                 best = min(options)[2]
                 held[best] += gain
@@ -92,7 +93,8 @@ def group_kfold(df: DataFrame, key: str, label: str, classes: Sequence[object],
             yield pd.DataFrame({key: batch[key], "fold": chosen})
 
     order = [F.desc("_spread"), F.asc("_tie"), F.asc(key)]
-    trips = trips.withColumn("_spread", F.round(spread, 9)).withColumn("_tie", F.xxhash64(F.col(key), F.lit(seed)))
+    tie = F.xxhash64(F.col(key), F.lit(seed)) if tie is None else tie
+    trips = trips.withColumn("_spread", F.round(spread, 9)).withColumn("_tie", tie)
     return _walk(trips, order, f"{key} {key_type}, fold int", assign)
 
 

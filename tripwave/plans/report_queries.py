@@ -11,6 +11,8 @@ from tripwave.operators.ordered import Axis, join_per_key, row_index
 from tripwave.operators.windows import channel_rms
 from tripwave.params import CLASSES
 from tripwave.plans.registry import query, r6, rounded
+from tripwave.plans.sample_queries import NUM_SQL
+from tripwave.plans.window_queries import welch_sql
 from tripwave.plans.views import (DAY_US, HOUR_US, LAB_SQL, LI_FEATURES, LI_SQL, SENSOR_SQL, SIG_SQL, VEC_SQL, lab, li,
                                   sensor, sig, sig_axis, vec)
 from tripwave.sources.tables import read_table
@@ -363,9 +365,24 @@ def group_split(spark, folder):
     return split.checked_split(split.group_split(li(spark, folder), "trip_id", "cls", FLAGS, ("A", "R"), 0.8))
 
 
-@query("group_kfold")
+FOLD_SQL = """tc AS (SELECT trip_id, [count(*) FILTER (cls = 'A')::DOUBLE, count(*) FILTER (cls = 'N')::DOUBLE, count(*) FILTER (cls = 'R')::DOUBLE] AS c FROM li GROUP BY trip_id),
+od AS (SELECT *, row_number() OVER (ORDER BY round(sqrt((c[1]*c[1] + c[2]*c[2] + c[3]*c[3]) / 3 - pow((c[1] + c[2] + c[3]) / 3, 2)), 9) DESC, trip_id) AS i FROM tc),
+tt AS (SELECT [sum(c[1]), sum(c[2]), sum(c[3])] AS t FROM tc),
+st AS (SELECT 0::BIGINT AS i, [0.0::DOUBLE, 0, 0, 0] AS a, [0.0::DOUBLE, 0, 0, 0] AS b, [0.0::DOUBLE, 0, 0, 0] AS d, NULL::BIGINT AS trip_id, NULL::INTEGER AS fold
+  UNION ALL
+  SELECT z.i, list_transform(a, lambda x, k: x + CASE WHEN k - 1 = f THEN z.c[1] ELSE 0 END), list_transform(b, lambda x, k: x + CASE WHEN k - 1 = f THEN z.c[2] ELSE 0 END),
+    list_transform(d, lambda x, k: x + CASE WHEN k - 1 = f THEN z.c[3] ELSE 0 END), z.trip_id, z.f FROM (
+    SELECT od.i, od.c, od.trip_id, s.a, s.b, s.d, o.f::INTEGER AS f, row_number() OVER (ORDER BY
+        round((list_stddev_pop(list_transform(s.a, lambda x, k: (x + CASE WHEN k - 1 = o.f THEN od.c[1] ELSE 0 END) / tt.t[1]))
+             + list_stddev_pop(list_transform(s.b, lambda x, k: (x + CASE WHEN k - 1 = o.f THEN od.c[2] ELSE 0 END) / tt.t[2]))
+             + list_stddev_pop(list_transform(s.d, lambda x, k: (x + CASE WHEN k - 1 = o.f THEN od.c[3] ELSE 0 END) / tt.t[3]))) / 3, 12),
+        s.a[o.f + 1] + s.b[o.f + 1] + s.d[o.f + 1], o.f) AS rk
+    FROM st s JOIN od ON od.i = s.i + 1 JOIN tt ON true JOIN (SELECT unnest([0, 1, 2, 3]) AS f) o ON true) z WHERE rk = 1)"""
+
+
+@query("group_kfold", f"""WITH RECURSIVE {LI_SQL}, {FOLD_SQL} SELECT trip_id, fold FROM st WHERE trip_id IS NOT NULL""")
 def group_kfold(spark, folder):
-    return split.group_kfold(li(spark, folder), "trip_id", "cls", FLAGS, 4)
+    return split.group_kfold(li(spark, folder), "trip_id", "cls", FLAGS, 4, tie=F.col("trip_id"))
 
 
 @query("random_group_holdout", f"""WITH {LAB_SQL}, t AS (SELECT DISTINCT doc_id % 20 AS trip FROM lab), o AS (SELECT trip, row_number() OVER (ORDER BY (trip * 7919) % 10007, trip) AS i, count(*) OVER () AS n FROM t)
@@ -541,7 +558,14 @@ def permutation_importance(spark, folder):
     return rounded(evaluation.importance_drop(scores), "new_f1", "f1_drop")
 
 
-@query("trip_anomaly", None)
+@query("trip_anomaly", f"""WITH {SENSOR_SQL}, {STATS_SQL}, {NUM_SQL}, {welch_sql("v - 50")},
+q AS (SELECT trip_id, k, avg(d) AS d FROM p GROUP BY trip_id, k),
+bp AS (SELECT trip_id, avg(d) FILTER (k * 6.25 >= 2 AND k * 6.25 <= 15) AS power_low, avg(d) FILTER (k * 6.25 > 15 AND k * 6.25 <= 45) AS power_high FROM q GROUP BY trip_id),
+al AS (SELECT * FROM st JOIN bp USING (trip_id)),
+o AS (SELECT *, row_number() OVER (ORDER BY std, trip_id) - 1 AS i, count(*) OVER () AS n FROM al WHERE trip_id <> 7),
+c AS (SELECT * FROM o WHERE i = n // 2), a AS (SELECT * FROM al WHERE trip_id = 7)
+SELECT a.trip_id AS trip, c.trip_id AS control, {', '.join(f"r6(a.{m} / (c.{m} + 1e-9)) AS {m}_ratio" for m in ('std', 'max_abs', 'mean_speed', 'p95_abs', 'power_low', 'power_high'))},
+  a.power_high / (c.power_high + 1e-9) > 3 AS loose_mount, a.std / (c.std + 1e-9) > 1.5 AS excess_std FROM a, c""")
 def trip_anomaly(spark, folder):
     """Signal statistics and band powers of one trip against the control trip."""
     s = sensor(spark, folder)

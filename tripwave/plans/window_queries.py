@@ -388,15 +388,19 @@ def cooldown_triggers(spark, folder):
     return rounded(out.select("trip_id", "event_id", "ts_us", "prob"), "prob")
 
 
-@query("welch_band_power", f"""WITH {SIG_SQL}, {NUM_SQL},
-len AS (SELECT trip_id, count(*) AS n FROM num GROUP BY trip_id),
+def welch_sql(value: str) -> str:
+    """Density per trip, 16-row Hann segment and frequency bin of ``value`` at 100 Hz."""
+    return f"""len AS (SELECT trip_id, count(*) AS n FROM num GROUP BY trip_id),
 sg AS (SELECT trip_id, unnest(generate_series(0, (n - 16) // 8)) AS s FROM len WHERE n >= 16),
-w AS (SELECT sg.trip_id, s, idx - s * 8 AS j, v, avg(v) OVER (PARTITION BY sg.trip_id, s) AS m,
+w AS (SELECT sg.trip_id, s, idx - s * 8 AS j, {value} AS x, avg({value}) OVER (PARTITION BY sg.trip_id, s) AS m,
        0.5 - 0.5 * cos(2 * pi() * (idx - s * 8) / 16) AS h
   FROM sg JOIN num ON num.trip_id = sg.trip_id AND idx BETWEEN s * 8 AND s * 8 + 15),
 f AS (SELECT unnest(generate_series(0, 8)) AS k),
-p AS (SELECT trip_id, s, k, (pow(sum((v - m) * h * cos(2 * pi() * j * k / 16)), 2) + pow(sum((v - m) * h * sin(2 * pi() * j * k / 16)), 2))
-        / (100 * sum(h * h)) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END AS d FROM w JOIN f ON true GROUP BY trip_id, s, k),
+p AS (SELECT trip_id, s, k, (pow(sum((x - m) * h * cos(2 * pi() * j * k / 16)), 2) + pow(sum((x - m) * h * sin(2 * pi() * j * k / 16)), 2))
+        / (100 * sum(h * h)) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END AS d FROM w JOIN f ON true GROUP BY trip_id, s, k)"""
+
+
+@query("welch_band_power", f"""WITH {SIG_SQL}, {NUM_SQL}, {welch_sql('v')},
 q AS (SELECT trip_id, k, avg(d) AS d FROM p GROUP BY trip_id, k)
 SELECT trip_id, r6(avg(d) FILTER (k * 6.25 >= 2 AND k * 6.25 <= 15)) AS power_low,
        r6(avg(d) FILTER (k * 6.25 > 15 AND k * 6.25 <= 45)) AS power_high FROM q GROUP BY trip_id""")
