@@ -26,6 +26,7 @@ def main() -> None:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")  # no Python call-site lookup per expression
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -125,6 +125,17 @@ def test_threshold_blocks_do_not_change_peaks(spark):
     assert found[0].ts_ms.tolist() == found[1].ts_ms.tolist() and len(found[0]) >= 4
 
 
+def test_fast_average_on_a_long_trip(spark):
+    """Far more rows than one block of an alpha of 0.2 may hold."""
+    x = np.random.default_rng(7).normal(size=20_000)
+    df = spark.createDataFrame(pd.DataFrame({"trip_id": "a", "ts_ms": np.arange(20_000), "x": x}))
+    got = result(peaks.adaptive_energy(df, Axis(chunk_len=4_000), "x", None, Detection(alpha=0.2)))
+    energy = pd.Series(x).rolling(20, min_periods=1).std().fillna(0)
+    base = energy.ewm(alpha=0.2, adjust=False).mean()
+    want = base + 3 * (energy - base).abs().ewm(alpha=0.2, adjust=False).mean()
+    np.testing.assert_allclose(got.threshold, want, atol=1e-9)
+
+
 def pandas_grid(df, cols):
     """Bin means on a full grid, then the bounded fills, straight from pandas."""
     d = df.drop_duplicates("ts_ms").sort_values("ts_ms")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -65,7 +66,10 @@ def native_fusion(df: DataFrame, ax: Axis, numeric: list[str], other: list[str]
     if missing:
         raise ValueError(f"missing native fusion columns: {', '.join(missing)}")
     ts = ax.order[0]
-    filled = materialize(fill_rows(row_index(df, ax), ax, "idx", native).drop("idx"))
+    missing_any = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in native])
+    filled = df
+    if not df.where(missing_any).isEmpty():
+        filled = materialize(fill_rows(row_index(df, ax), ax, "idx", native).drop("idx"))
     grid = materialize(resample(filled, ax.keys, ts, numeric, ["ax", "ay", "az"], ax.chunk_len, other, p))
     lin = tuple(F.col(c) for c in native[:3])
     grav = tuple(F.col(c) for c in native[3:])

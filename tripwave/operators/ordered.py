@@ -13,6 +13,7 @@ what the next chunk needs, and the summaries are joined back. Two kinds of cut:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -75,9 +76,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared checkpoint folder and continue from there.
+
+    Ordered operators read their input twice, once in full and once for the few
+    columns of the chunk summaries: a Parquet table lets the second read be narrow.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fitted_chunk_len(df: DataFrame, ts: str, longest: int, target_rows: int = 100_000) -> int:
@@ -260,6 +267,11 @@ def with_blocks(df: DataFrame, idx: str, rows: int, before: int = 0, after: int
     return out.withColumn("_own", F.floor(i / rows) == F.col("_block"))
 
 
+def block_start(rows: int, before: int) -> Column:
+    """Index of the first row of a block, warm-up included."""
+    return F.greatest(F.lit(0), F.col("_block") * rows - before)
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group, without holding a group in one task.
 

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import haversine, holds, severity_level, to_g
-from tripwave.operators.ordered import Axis, islands, join_per_key, materialize, row_index, with_blocks
-from tripwave.operators.timeseries import ema
+from tripwave.operators.ordered import Axis, block_start, islands, join_per_key, materialize, row_index, with_blocks
+from tripwave.operators.timeseries import MAX_SPAN, ema
 from tripwave.params import Clustering, Detection
 
 
 def adaptive_energy(df: DataFrame, ax: Axis, signal: str, gyro: str | None, p: Detection = Detection(),
-                    block_rows: int = 20_000, numbered: bool = False) -> DataFrame:
+                    block_rows: int = 50_000, numbered: bool = False) -> DataFrame:
     """Trailing energy, EMA thresholds, the active flag and the in-region flag of every row.
 
     One exchange: the stream is cut into equal row blocks with enough warm-up for
-    the chained averages, and all windows share the block's order.
+    the chained averages, and all windows share the block's order. Blocks are kept
+    short enough for the weights of the averages.
     """
     warm = int(45 / p.alpha) + p.window_rows
+    size = max(1, min(block_rows, int(MAX_SPAN / p.alpha) - warm - p.min_dist_rows))
     rows = df if numbered else row_index(df, ax)
-    blocks = with_blocks(rows, "idx", block_rows, before=warm, after=p.min_dist_rows)
-    part = Window.partitionBy(*ax.keys, "_block")
-    w = part.orderBy("idx")
+    blocks = with_blocks(rows, "idx", size, before=warm, after=p.min_dist_rows)
+    w = Window.partitionBy(*ax.keys, "_block").orderBy("idx")
     tail = w.rowsBetween(-(p.window_rows - 1), 0)
-    out = blocks.withColumn("_start", F.min("idx").over(part))
+    out = blocks.withColumn("_start", block_start(size, warm))
     start, idx = F.col("_start"), F.col("idx")
     out = out.withColumn("energy", F.coalesce(F.stddev_samp(signal).over(tail), F.lit(0.0)))
     out = out.withColumn("baseline", ema(F.col("energy"), idx, start, p.alpha, w))
@@ -68,7 +69,7 @@ def region_peaks(region_rows: DataFrame, ax: Axis, signal: str, keep: list[str])
 
 
 def detect_peaks(df: DataFrame, ax: Axis, signal: str, gyro: str | None, keep: list[str],
-                 p: Detection = Detection(), block_rows: int = 20_000) -> DataFrame:
+                 p: Detection = Detection(), block_rows: int = 50_000) -> DataFrame:
     """Region peaks of every trip with at least three rows, with the row energy and threshold."""
     energy = adaptive_energy(df, ax, signal, gyro, p, block_rows)
     rows = regions(energy, ax)

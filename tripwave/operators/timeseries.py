@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tripwave.operators.ordered import Axis, exact_quantiles, fill, islands, previous, row_index, with_blocks
+from tripwave.operators.ordered import Axis, block_start, exact_quantiles, fill, islands, previous, row_index, with_blocks
 from tripwave.params import Resampling
 
 
@@ -142,12 +142,17 @@ def trailing(df: DataFrame, ax: Axis, rows: int, measures: Mapping[str, Column],
     return out.where("_own").drop("_own", "_block")
 
 
+# Rows times alpha that an EMA block may span: its largest weight is then e^600, well inside a double.
+MAX_SPAN = 600
+
+
 def ema(value: Column, idx: Column, start: Column, alpha: float, window) -> Column:
     """Exponential moving average without bias adjustment, as one windowed running sum.
 
     ``window`` orders the rows of a block by ``idx`` and ``start`` is the block's
-    first index. Weights grow by 1/(1-alpha) per row, so a block may hold up to
-    about 700/alpha rows before a double overflows.
+    first index. Weights grow by 1/(1-alpha) per row, so a block may hold about
+    ``MAX_SPAN / alpha`` rows: 12,000 at 0.05, six times the rows an event window
+    of two seconds can have at one row per millisecond.
     """
     keep = 1.0 - alpha
     offset = (idx - start).cast("double")
@@ -156,14 +161,13 @@ def ema(value: Column, idx: Column, start: Column, alpha: float, window) -> Colu
         window.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def ema_stream(df: DataFrame, ax: Axis, value: str, alpha: float, out: str = "ema", block_rows: int | None = None) -> DataFrame:
+def ema_stream(df: DataFrame, ax: Axis, value: str, alpha: float, out: str = "ema", block_rows: int = 50_000) -> DataFrame:
     """EMA of a whole stream in blocks; the warm-up makes the forgotten start weigh less than 1e-17."""
     warm = int(40 / alpha) + 1
-    block = block_rows or max(1, int(600 / alpha) - warm)
+    block = max(1, min(block_rows, int(MAX_SPAN / alpha) - warm))
     blocks = with_blocks(row_index(df, ax), "idx", block, before=warm)
-    part = Window.partitionBy(*ax.keys, "_block")
-    blocks = blocks.withColumn("_start", F.min("idx").over(part))
-    w = part.orderBy("idx")
+    blocks = blocks.withColumn("_start", block_start(block, warm))
+    w = Window.partitionBy(*ax.keys, "_block").orderBy("idx")
     res = blocks.withColumn(out, ema(F.col(value), F.col("idx"), F.col("_start"), alpha, w))
     return res.where("_own").drop("_own", "_block", "_start")
 

@@ -16,7 +16,7 @@ from tripwave.operators.windows import event_tensors, in_segments, skipped_tenso
 from tripwave.params import Clustering, Detection, EventWindow, Resampling, Tensor
 
 
-def peak_rows(samples: DataFrame, ax: Axis, signal: str, gyro: str, p: Detection, block_rows: int = 20_000) -> DataFrame:
+def peak_rows(samples: DataFrame, ax: Axis, signal: str, gyro: str, p: Detection, block_rows: int = 50_000) -> DataFrame:
     """Detected peaks with the columns the clusterer needs."""
     keep = list(dict.fromkeys([*ax.order, "lat", "lon", signal, "a_vertical", "magnitude", gyro, "speed"]))
     found = detect_peaks(samples, ax, signal, gyro, keep, p, block_rows)
@@ -31,11 +31,11 @@ def scored_candidates(samples: DataFrame, ax: Axis, signal: str = "a_linear_mag"
                       window: EventWindow = EventWindow(), trip_bucket: Column | None = None) -> DataFrame:
     """Fused samples to numbered, suggested and scored candidate events.
 
-    Numbering writes the few detected events once; features and scores read that
-    table instead of repeating the detection.
+    The few peaks and events are written once each; clustering, features and scores
+    read those tables instead of repeating the detection.
     """
     key, ts = ax.keys[0], ax.order[0]
-    found = peak_rows(samples, ax, signal, gyro, detection)
+    found = materialize(peak_rows(samples, ax, signal, gyro, detection))
     events = cluster_events(cluster_peaks(found, ax, p=clustering), ax)
     bucket = trip_bucket if trip_bucket is not None else F.substring(key, 1, 2)
     events = number_events(events.drop("cluster"), bucket, Axis(ax.keys, (ts,), ax.chunk_len), out="candidate_id")
@@ -49,6 +49,7 @@ def trip_candidates(raw: DataFrame, ax: Axis, numeric: list[str], p: Resampling
     """Raw trips to (scored candidates, sliding-window features); invalid trips are left out whole."""
     key, ts = ax.keys[0], ax.order[0]
     unique = timeseries.dedupe_samples(raw, key, ts, "file_pos") if "file_pos" in raw.columns else raw
+    unique = materialize(unique)  # text files are parsed once, the guards below read single columns
     gaps = timeseries.gap_quarantine(unique, ax, p.max_gap)
     nulls = timeseries.null_ratio_guard(
         unique, key, ["lin_ax", "lin_ay", "lin_az", "grav_x", "grav_y", "grav_z"], p.max_null_ratio)
@@ -74,7 +75,7 @@ def labelled_feature_rows(raw: DataFrame, events: DataFrame, truth: DataFrame, b
     labelled = events.join(truth.select("event_id", "label"), "event_id")
     if background is not None:
         labelled = union_background(labelled, background)
-    cut = timeseries.segments(raw, ax, p.max_gap)
+    cut = materialize(timeseries.segments(raw, ax, p.max_gap))
     bounds = timeseries.segment_bounds(cut, key, ts)
     placed = materialize(in_segments(labelled, bounds, key, "at", ax.chunk_len).where(F.col("segment").isNotNull()))
     wanted = join_per_key(cut, placed.select(key, "segment").distinct(), [key, "segment"], [ts], "left_semi")
@@ -90,13 +91,13 @@ def tensor_set(raw: DataFrame, labelled: DataFrame, ax: Axis, p: Resampling = Re
                t: Tensor = Tensor()) -> tuple[DataFrame, DataFrame]:
     """(event tensors, skipped events with reasons) from resampled recordings, split at holes."""
     key, ts = ax.keys[0], ax.order[0]
-    cut = timeseries.segments(raw, ax, p.max_gap)
-    grid = timeseries.resample(cut, (key, "segment"), ts, list(t.channels), ["ax", "ay", "az"], ax.chunk_len, p=p)
+    cut = materialize(timeseries.segments(raw, ax, p.max_gap))
+    grid = materialize(timeseries.resample(cut, (key, "segment"), ts, list(t.channels), ["ax", "ay", "az"], ax.chunk_len, p=p))
     bounds = timeseries.segment_bounds(cut, key, ts).drop("segment_rows")
     sizes = grid.groupBy(key, "segment").agg(F.count(F.lit(1)).alias("segment_rows"))
     bounds = bounds.join(sizes, [key, "segment"], "left").na.fill(0, ["segment_rows"])
     placed = materialize(in_segments(labelled, bounds, key, "at", ax.chunk_len))
-    gapped = near_gap(labelled, timeseries.large_gaps(raw, ax, p.max_gap), ax, "at", t.half + t.gap_guard)
+    gapped = near_gap(labelled, timeseries.large_gaps(cut, ax, p.max_gap), ax, "at", t.half + t.gap_guard)
     usable = placed.where(F.col("segment_rows") >= t.rows).join(gapped.select("event_id"), "event_id", "left_anti")
     stream = F.concat_ws("#", key, "segment")
     tensors = event_tensors(grid.withColumn("_stream", stream), usable.withColumn("_stream", stream),
