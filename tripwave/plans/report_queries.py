@@ -147,11 +147,11 @@ def route_bbox(spark, folder):
 
 
 @query("route_polyline", f"""WITH {SIG_SQL} SELECT trip_id, ts_us // {5 * DAY_US} AS piece,
-  list(round(lat, 5) ORDER BY ts_us) AS lats, list(round(lon, 5) ORDER BY ts_us) AS lons FROM sig GROUP BY ALL""")
+  row_number() OVER (PARTITION BY trip_id, ts_us // {5 * DAY_US} ORDER BY ts_us) - 1 AS pos, r6(lat) AS lat, r6(lon) AS lon FROM sig""")
 def route_polyline(spark, folder):
     out = aggregates.route_pieces(sig(spark, folder), "trip_id", "ts_us", 5 * DAY_US)
-    return out.select("trip_id", "piece", F.transform("points", lambda p: F.round(p["lat"], 5)).alias("lats"),
-                      F.transform("points", lambda p: F.round(p["lon"], 5)).alias("lons"))
+    points = out.select("trip_id", "piece", F.posexplode("points").alias("pos", "_p"))
+    return points.select("trip_id", "piece", F.col("pos").cast("bigint").alias("pos"), r6("_p.lat").alias("lat"), r6("_p.lon").alias("lon"))
 
 
 EPOCH_SQL = """ep AS (SELECT (doc_id % 4)::INTEGER AS fold, (n_chars % 10)::INTEGER AS epoch, avg(n_chars % 1000) / 1000 AS train_loss,
@@ -412,17 +412,18 @@ def label_index(spark, folder):
 
 
 @query("zscore_global", f"""WITH {VEC_SQL}, u AS (SELECT unnest(x) AS e FROM vec WHERE trip_id < 15), s AS (SELECT avg(e) AS m, stddev_pop(e) AS d FROM u)
-SELECT vec_id, list_transform(x, lambda e: round((e - s.m) / s.d + 1.234567e-9, 6)) AS x FROM vec JOIN s ON true""")
+SELECT vec_id, pos, r6((e - m) / d) AS x FROM (SELECT vec_id, unnest(generate_series(0, 63)) AS pos, unnest(x) AS e FROM vec) JOIN s ON true""")
 def zscore_global(spark, folder):
     v = vec(spark, folder).select("vec_id", "trip_id", "x")
     out = split.apply_scaler(v, split.scaler(v.where("trip_id < 15"), ["x"]), ["x"])
-    return out.select("vec_id", F.transform("x", lambda e: r6(e)).alias("x"))
+    return rounded(out.select("vec_id", F.posexplode("x").alias("pos", "x")).withColumn("pos", F.col("pos").cast("bigint")), "x")
 
 
 @query("zscore_instance", f"""WITH {VEC_SQL}, s AS (SELECT vec_id, x, list_avg(x) AS m, list_stddev_pop(x) AS d FROM vec)
-SELECT vec_id, list_transform(x, lambda e: round((e - m) / (d + 1e-8) + 1.234567e-9, 6)) AS x FROM s""")
+SELECT vec_id, pos, r6((e - m) / (d + 1e-8)) AS x FROM (SELECT vec_id, m, d, unnest(generate_series(0, 63)) AS pos, unnest(x) AS e FROM s)""")
 def zscore_instance(spark, folder):
-    return vec(spark, folder).select("vec_id", F.transform(split.instance_scale(F.col("x")), lambda e: r6(e)).alias("x"))
+    out = vec(spark, folder).select("vec_id", F.posexplode(split.instance_scale(F.col("x"))).alias("pos", "x"))
+    return rounded(out.withColumn("pos", F.col("pos").cast("bigint")), "x")
 
 
 @query("model_rows", """SELECT event_id, (CASE WHEN event_type <> 'error' THEN value END) AS a, user_id FROM events WHERE event_type <> 'error'""")
@@ -446,11 +447,11 @@ def priority_decision(spark, folder):
     return lab(spark, folder).select("doc_id", evaluation.priority_decision(p).alias("decided"))
 
 
-@query("ensemble", f"""WITH {LAB_SQL} SELECT doc_id, list_transform([0.3 * p[1] + 0.7 * p[3], 0.3 * p[2] + 0.7 * p[2], 0.3 * p[3] + 0.7 * p[1]], lambda x: round(x + 1.234567e-9, 6)) AS p FROM lab""")
+@query("ensemble", f"""WITH {LAB_SQL} SELECT doc_id, r6(0.3 * p[1] + 0.7 * p[3]) AS p0, r6(0.3 * p[2] + 0.7 * p[2]) AS p1, r6(0.3 * p[3] + 0.7 * p[1]) AS p2 FROM lab""")
 def ensemble(spark, folder):
     p = F.col("p")
     out = evaluation.soft_vote(p, F.array(p[2], p[1], p[0]), 0.3)
-    return lab(spark, folder).select("doc_id", F.transform(out, lambda x: r6(x)).alias("p"))
+    return lab(spark, folder).select("doc_id", *[r6(out[i]).alias(f"p{i}") for i in range(3)])
 
 
 PR_SQL = """cc AS (SELECT quality AS grp, score AS threshold, count(*) FILTER (toxic = 1) AS pos, count(*) AS n FROM lab GROUP BY ALL),

@@ -279,25 +279,23 @@ c AS (SELECT ev, trip_id, n, CASE WHEN n > 8 THEN list_slice(s, (n - 8) // 2 + 1
   CASE WHEN n > 8 THEN list_slice(vv, (n - 8) // 2 + 1, (n - 8) // 2 + 8) ELSE vv END AS vv,
   CASE WHEN n > 8 THEN list_slice(gg, (n - 8) // 2 + 1, (n - 8) // 2 + 8) ELSE gg END AS gg FROM k),
 z AS (SELECT *, (8 - len(s)) // 2 AS l, 8 - len(s) - (8 - len(s)) // 2 AS e FROM c)
-SELECT ev, trip_id,
-  list_transform(generate_series(1, 8), lambda j: CASE WHEN j <= l OR j > 8 - e THEN 0.0 ELSE round(s[j - l]::DOUBLE, 3) END::DOUBLE) AS speed,
-  list_transform(generate_series(1, 8), lambda j: CASE WHEN j <= l OR j > 8 - e THEN 0.0 ELSE round(vv[j - l]::DOUBLE + 1e-5, 3) END::DOUBLE) AS v,
-  list_transform(generate_series(1, 8), lambda j: CASE WHEN j <= l OR j > 8 - e THEN 0.0 ELSE round(gg[j - l]::DOUBLE, 3) END::DOUBLE) AS gx
-FROM z""")
+SELECT ev, trip_id, j - 1 AS pos, CASE WHEN j <= l OR j > 8 - e THEN 0.0 ELSE round(s[j - l]::DOUBLE, 3) END::DOUBLE AS speed,
+  CASE WHEN j <= l OR j > 8 - e THEN 0.0 ELSE round(vv[j - l]::DOUBLE + 1e-5, 3) END::DOUBLE AS v,
+  CASE WHEN j <= l OR j > 8 - e THEN 0.0 ELSE round(gg[j - l]::DOUBLE, 3) END::DOUBLE AS gx
+FROM (SELECT *, unnest(generate_series(1, 8)) AS j FROM z)""")
 def event_tensor(spark, folder):
     s = sensor(spark, folder).withColumn("v", F.when(F.col("event_type") != "error", F.col("v")))
     out = windows.event_tensors(s, marked(spark, folder), "trip_id", "ts_us", "ev", "at", SIG_TENSOR)
-    def places(c, offset):
-        return F.transform(c, lambda x: F.round(x.cast("double") + offset, 3)).alias(c)
-
-    return out.select("ev", "trip_id", places("speed", 0.0), places("v", 1e-5), places("gx", 0.0))
+    cells = out.select("ev", "trip_id", F.posexplode(F.arrays_zip("speed", "v", "gx")).alias("pos", "_c"))
+    return cells.select("ev", "trip_id", F.col("pos").cast("bigint").alias("pos"), *[
+        F.round(F.col(f"_c.{c}").cast("double") + d, 3).alias(c) for c, d in (("speed", 0.0), ("v", 1e-5), ("gx", 0.0))])
 
 
 @query("center_crop", f"""WITH {VEC_SQL}
-SELECT vec_id, list_transform(list_slice(x, 8, 57), lambda e: round(e, 6)) AS crop FROM vec""")
+SELECT vec_id, unnest(generate_series(0, 49)) AS pos, r6(unnest(list_slice(x, 8, 57))) AS crop FROM vec""")
 def center_crop(spark, folder):
-    v = vec(spark, folder)
-    return v.select("vec_id", F.transform(windows.center_crop(F.col("x"), 50), lambda e: F.round(e, 6)).alias("crop"))
+    cut = vec(spark, folder).select("vec_id", F.posexplode(windows.center_crop(F.col("x"), 50)).alias("pos", "crop"))
+    return rounded(cut.withColumn("pos", F.col("pos").cast("bigint")), "crop")
 
 
 @query("channel_rms", f"""WITH {VEC_SQL}
