@@ -87,23 +87,26 @@ def cooldown_triggers(df: DataFrame, ax: Axis, prob: str, threshold: float = 0.3
     """First point at or above the threshold, then nothing until more than ``cooldown`` has passed.
 
     A quiet spell longer than the cooldown always re-arms the trigger, so points
-    split into independent islands there and each island is walked on its own.
+    split into independent islands there. Islands that start in the same chunk are
+    walked together: the walk itself re-arms between them.
     """
     ts = ax.order[0]
     hot = df.where(F.col(prob) >= threshold).select(*ax.keys, *ax.order, prob)
     runs = islands(hot, ax, [ts], lambda now, before: now[ts] - before[ts] > cooldown, "_run")
-    schema = T.StructType([f for f in runs.schema.fields if f.name != "_run"])
+    start = F.col(f"_run.{ts}")
+    cells = runs.withColumn("_cell", F.floor(start / ax.chunk_len) if ax.chunk_len else start).drop("_run")
+    schema = T.StructType([f for f in cells.schema.fields if f.name != "_cell"])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(ax.order))
-        at = pdf[ts].to_numpy()
+    def walk(points: pa.Table) -> pa.Table:
+        points = points.sort_by([(c, "ascending") for c in ax.order])
+        at = points.column(ts).to_numpy()
         picked, i = [], 0
         while i < len(at):
             picked.append(i)
             i = int(np.searchsorted(at, at[i] + cooldown, side="right"))
-        return pdf.iloc[picked][schema.names]
+        return points.take(pa.array(picked, pa.int64())).select(schema.names)
 
-    return runs.withColumn("_run", F.col(f"_run.{ts}")).groupBy(*ax.keys, "_run").applyInPandas(walk, schema)
+    return cells.groupBy(*ax.keys, "_cell").applyInArrow(walk, schema)
 
 
 def welch_bands(df: DataFrame, ax: Axis, value: str, bands: dict[str, tuple[float, float, bool]],

@@ -87,7 +87,7 @@ def ablate_data(spark, folder):
         return out.select("event_id", "label_idx", *[F.col("_x")[i].alias(f) for i, f in enumerate(DIMS)])
 
     steps = {"undersample": fewer, "augment": noisy_copies, "smote": balanced}
-    return rounded(models.ablate_data(rows, _folds(rows, 2), _task(**SMALL), steps), "macro_f1")
+    return rounded(models.ablate_data(rows, _folds(rows, 2), _task(numTrees=4, maxDepth=3), steps), "macro_f1")
 
 
 @query("importance_top")
