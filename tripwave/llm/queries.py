@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripwave.llm import bpe, language, mixing, quality, secrets, sharding
+from tripwave.llm import bpe, language, mixing, neighbours, quality, secrets, sharding, urls
 from tripwave.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,53 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+URL_RULES = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"),
+             urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"))
+
+URL_SQL = r"""
+with recursive page as (
+  select page_id, url, html, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+addressed as (
+  select *, case when host <> '' then host || path || regexp_extract(url, '(?s)^[^?#]*([?][^#]*)', 1) end as address from page),
+raw as (
+  select address, host, path, replace(unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical[^>]*>'), '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>'), '(?is)url\s*=\s*["'']?([^"''\s>;]+)', 1)]),
+    '&amp;', '&') as link
+  from addressed where url is not null and html is not null),
+absolute as (
+  select address, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
+    when starts_with(link, '//') then 'x:' || link when starts_with(link, '/') then 'x://' || host || link
+    when starts_with(link, '#') then null when starts_with(link, '?') then 'x://' || host || path || link
+    else 'x://' || host || case when path like '%/%' then regexp_extract(path, '(?s)^(.*/)', 1) else '/' end || link end as url
+  from raw where link <> ''),
+edge as (
+  select address, lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) || regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)
+    || regexp_extract(url, '(?s)^[^?#]*([?][^#]*)', 1) as target
+  from absolute where regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) <> ''),
+way as (select address as a, target as b from edge where address <> target
+  union select target, address from edge where address <> target),
+reach as (select a, a as b from way union select reach.a, way.b from reach join way on reach.b = way.a),
+rules(verdict, host, path) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+  ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+bad as (
+  select distinct a from (select a, split_part(split_part(b, '?', 1), '/', 1) as host,
+    substr(split_part(b, '?', 1), length(split_part(split_part(b, '?', 1), '/', 1)) + 1) as path from reach) n
+  where (select max_by(r.verdict, length(r.host || r.path)) from rules r
+    where ends_with('.' || n.host, '.' || r.host) and starts_with(n.path, r.path)) = 'block'),
+hit as (
+  select *, (select max_by(r.host || r.path, length(r.host || r.path)) from rules r
+    where ends_with('.' || p.host, '.' || r.host) and starts_with(p.path, r.path)) as rule from addressed p)
+select page_id, hit.host, hit.path, rule, coalesce(rules.verdict, case when bad.a is not null then 'block' end, 'allow') as verdict
+from hit left join rules on rule = rules.host || rules.path left join bad on bad.a = address"""
+
+
+@query("op2_url_filters", URL_SQL)
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(read_table(spark, folder, "pages"), URL_RULES)
+
+
 SHARD_DRAW = "-ln(((('0x' || substr(md5(md5(coalesce(doc_id::varchar, '')) || '/{child}'), 1, 13))::bigint)::double + 0.5) / 4503599627370496.0) / {weight}"
 
 
@@ -132,6 +179,12 @@ def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_words(read_table(spark, folder, "documents"))
 
 
+@query("op9_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 @query("op10_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
