@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripwave.llm import bpe, language, mixing, neighbours, quality, secrets, sharding, urls
+from tripwave.llm import bpe, jaccard, language, mixing, neighbours, quality, secrets, sharding, urls
 from tripwave.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,6 +179,29 @@ def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_words(read_table(spark, folder, "documents"))
 
 
+JACCARD_SQL = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+shingled as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from worded),
+token as (select doc_id, unnest(s) as t from shingled),
+pair as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from token a join token b on a.t = b.t and a.doc_id <> b.doc_id
+  group by all),
+link as (
+  select a, b from pair join shingled x on x.doc_id = a join shingled y on y.doc_id = b
+  where 100 * common >= 85 * (len(x.s) + len(y.s) - common)),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, link.b from reach join link on reach.b = link.a)
+select doc_id, len(s) as n_shingles, (select min(b) from reach where a = doc_id) as component_id from shingled"""
+
+
+@query("op8_jaccard_join", JACCARD_SQL)
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_groups(read_table(spark, folder, "documents"))
+
+
 @query("op9_nearest_neighbours")
 def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read_table(spark, folder, "embeddings")
