@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripwave.llm import bpe, jaccard, language, mixing, neighbours, quality, secrets, sharding, urls
+from tripwave.llm import bpe, jaccard, language, mixing, neighbours, pii, quality, secrets, sharding, urls
 from tripwave.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,17 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(read_table(spark, folder, "pages"), URL_RULES)
 
 
+def _count_base(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+
+@query("op3_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(read_table(spark, folder, "documents"))
+    return found.select("doc_id", *[_count_base(k) for k in pii.KINDS], F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"),
+                        pii.digest(F.concat("base", "added")).alias("spans"))
+
+
 SHARD_DRAW = "-ln(((('0x' || substr(md5(md5(coalesce(doc_id::varchar, '')) || '/{child}'), 1, 13))::bigint)::double + 0.5) / 4503599627370496.0) / {weight}"
 
 
