@@ -2,7 +2,7 @@
 
 Two first-order Markov chains over a 67-symbol alphabet are trained from labelled
 samples. Random: the values that the base patterns find, and generated strings of the
-usual alphabets. Ordinary: all other text of all documents. A long token is a secret
+usual alphabets. Ordinary: all other text of all documents but the tokens in question. A long token is a secret
 if the log-likelihood ratio per character says random.
 """
 
@@ -21,7 +21,7 @@ from tripwave.llm.text import ROWS_AT_ONCE, by_batch
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]+"
+TOKEN = "[A-Za-z0-9+/_=-]"
 #: In any case, every assignment holds one of these.
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
@@ -34,7 +34,10 @@ ORDINARY = "ordinary"
 
 @dataclass(frozen=True)
 class SecretRules:
-    """``samples`` generated strings train each random class; tokens from ``min_length`` characters are scored."""
+    """``samples`` generated strings train each random class; tokens from ``min_length`` characters are scored.
+
+    Counts of symbol pairs are smoothed with ``backoff`` pairs that follow the single symbols.
+    """
 
     samples: int = 2000
     sample_length: int = 40
@@ -42,6 +45,7 @@ class SecretRules:
     min_length: int = 20
     min_score: float = 0.6
     smoothing: float = 0.5
+    backoff: float = 10.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
@@ -58,6 +62,10 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(out)
 
 
+def token_pattern(rules: SecretRules) -> str:
+    return f"{TOKEN}{{{rules.min_length},}}"
+
+
 def classes() -> np.ndarray:
     """Symbol number of each byte, K for bytes outside the alphabet."""
     table = np.full(256, K, np.int64)
@@ -88,11 +96,12 @@ def generated(rules: SecretRules) -> dict[str, np.ndarray]:
     return out
 
 
-def labelled_counts(texts: DataFrame) -> DataFrame:
+def labelled_counts(texts: DataFrame, rules: SecretRules) -> DataFrame:
     """Transition counts by class over all texts: ``class``, ``pair``, ``n``; summed in tasks, then by Spark."""
+    token = token_pattern(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = classes()
+        table, unlabelled = classes(), re.compile(token)
         counts = {name: np.zeros((K, K), np.int64) for name in (*MODELS, ORDINARY)}
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -104,6 +113,7 @@ def labelled_counts(texts: DataFrame) -> DataFrame:
                         plain.append(text[end:start])
                         end = max(end, stop)
                     plain.append((text or "")[end:])
+                plain = [unlabelled.sub(lambda m: " " if looks_mixed(m[0]) else m[0], text) for text in plain]
                 counts[ORDINARY] += transitions(" ".join(plain).encode("utf-8", "replace"), table)
         for name, table_of in counts.items():
             pairs = np.flatnonzero(table_of)
@@ -117,11 +127,12 @@ def labelled_counts(texts: DataFrame) -> DataFrame:
 def train(texts: DataFrame, rules: SecretRules = SecretRules()) -> np.ndarray:
     """Log-likelihood ratios of symbol pairs, one K x K matrix per random class (at most 4 K^2 counts reach the driver)."""
     counts = {**{name: np.zeros((K, K)) for name in (*MODELS, ORDINARY)}, **generated(rules)}
-    for name, pair, n in labelled_counts(texts).collect():
+    for name, pair, n in labelled_counts(texts, rules).collect():
         counts[name].flat[pair] += n
     chance = {}
     for name, c in counts.items():
-        c = c + rules.smoothing
+        single = c.sum(axis=0) + rules.smoothing
+        c = c + rules.backoff * single / single.sum()
         chance[name] = np.log(c / c.sum(axis=1, keepdims=True))
     return np.stack([chance[name] - chance[ORDINARY] for name in MODELS])
 
@@ -158,7 +169,7 @@ def scan(docs: DataFrame, rules: SecretRules = SecretRules(), ratios: np.ndarray
     """
     ratios = train(docs, rules) if ratios is None else ratios
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:long,end:long,kind:string>>"
-    token = f"{TOKEN[:-1]}{{{rules.min_length},}}"
+    token = token_pattern(rules)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         table, pattern = classes(), re.compile(token)
@@ -175,7 +186,7 @@ def redacted(docs: DataFrame, rules: SecretRules = SecretRules(), mask: str = "[
     ratios = train(docs, rules)
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    token = f"{TOKEN[:-1]}{{{rules.min_length},}}"
+    token = token_pattern(rules)
 
     def masked(text: str, table: np.ndarray, pattern: re.Pattern) -> str:
         out, end = [], 0
