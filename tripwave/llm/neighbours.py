@@ -25,7 +25,8 @@ class IndexParams:
     """``sample`` distinct vectors at most fit the centroids, ``max_lists`` bounds their number.
 
     A vector is stored in up to ``replicas`` lists within ``closure`` times its distance to
-    the nearest centroid; a query reads up to ``probes`` lists within ``reach`` times it.
+    the nearest centroid; a query reads up to ``probes`` lists within ``reach`` times it, and
+    the nearest ``least`` in any case.
     ``part`` rows of a list, and as many queries, are scored at once.
     """
 
@@ -37,6 +38,7 @@ class IndexParams:
     closure: float = 1.2
     probes: int = 64
     reach: float = 1.2
+    least: int = 8
     part: int = 8192
     seed: int = 11
 
@@ -130,8 +132,8 @@ def fit(vectors: DataFrame, n: int, params: IndexParams) -> np.ndarray:
     return unit(np.array(leaves)).astype(np.float32)
 
 
-def _to_lists(rows: DataFrame, centroids: np.ndarray, most: int, ratio: float, params: IndexParams) -> DataFrame:
-    """``rows`` once for every list within ``ratio`` of their nearest centroid, with its number as ``list``."""
+def _to_lists(rows: DataFrame, centroids: np.ndarray, most: int, ratio: float, least: int, params: IndexParams) -> DataFrame:
+    """``rows`` once for each of the ``least`` nearest lists, and those within ``ratio`` of the nearest, numbered as ``list``."""
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +142,7 @@ def _to_lists(rows: DataFrame, centroids: np.ndarray, most: int, ratio: float, p
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 lists, far = graph.search(unit(_matrix(part)).astype(np.float32), most)
-                row, place = np.nonzero(far <= ratio * far[:, :1] + 1e-6)
+                row, place = np.nonzero((far <= ratio * far[:, :1] + 1e-6) | (np.arange(far.shape[1]) < least))
                 chosen = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(lists[row, place], pa.int32())],
                                                  names=[*part.schema.names, "list"])
@@ -179,9 +181,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: IndexPara
     distinct = materialize(first.select(_key(F.col("embedding")).alias("key"), "embedding", "ids"))
     asked = materialize(wanted.select("vec_id", _key(F.col("embedding")).alias("key"), "embedding"))
     centroids = fit(distinct, distinct.count(), params)
-    postings = materialize(_to_lists(distinct, centroids, params.replicas, params.closure, params))
+    postings = materialize(_to_lists(distinct, centroids, params.replicas, params.closure, 1, params))
     probes = asked.dropDuplicates(["key"]).select(F.col("key").alias("query"), "embedding")
-    probes = materialize(_to_lists(probes, centroids, params.probes, params.reach, params))
+    probes = materialize(_to_lists(probes, centroids, params.probes, params.reach, params.least, params))
     return _ranked(_scored(postings, probes, k, params), asked, k)
 
 
