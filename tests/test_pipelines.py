@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripwave.operators import features, fusion, reconcile, sampling, split, stats, windows
+from tripwave.operators.aggregates import target_correlation
 from tripwave.operators.ordered import Axis
+from tripwave.operators.timeseries import ema_window
 from tripwave.params import CLASSES, EventWindow, Tensor
 from tripwave.plans import candidates
 from tripwave.sources import logs, trips
@@ -140,24 +142,28 @@ def test_nearest_in_space_is_exact(spark):
     assert got == want and len(want) > 10
 
 
-def test_smote_neighbours_exact_when_reach_covers(spark):
+@pytest.mark.parametrize("pivots,part", [(64, 4096), (7, 20), (2, 5)])
+def test_neighbours_are_exact(spark, pivots, part):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(30, 4))
+    x = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(60, 3)) * 0.1 + 5, np.ones((40, 3))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")
-    got = sampling.neighbours(df, "id", "x", 4, 3, projections=2, reach=30, chunk_rows=7).toPandas()
-    for i in range(30):
-        d = np.linalg.norm(x - x[i], axis=1)
-        assert got[got.id == i].sort_values("rank").other.tolist() == np.argsort(d)[1:4].tolist()
+    got = sampling.neighbours(df, "id", "x", 3, pivots, part).toPandas()
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        want = np.lexsort((np.arange(len(x)), d))[:3]
+        assert got[got.id == i].sort_values("rank").other.tolist() == want.tolist()
+    assert sampling.neighbours(df.limit(1), "id", "x", 3).count() == 0
 
 
 def test_smote_fills_classes(spark):
     df = spark.createDataFrame([(i, int(i >= 20), [float(i), 1.0]) for i in range(27)], "id int, cls int, x array<double>")
-    out = sampling.smote(df, "id", "cls", "x", 2).toPandas()
+    out = sampling.smote(df, "id", "cls", "x").toPandas()
     assert out.cls.value_counts().to_dict() == {0: 20, 1: 20}
     made = out[out.synthetic]
     assert all(20 <= v[0] <= 26 and v[1] == 1.0 for v in made.x)
     alone = spark.createDataFrame([(0, 0, [1.0]), (1, 1, [2.0]), (2, 1, [3.0])], "id int, cls int, x array<double>")
-    assert sampling.smote(alone, "id", "cls", "x", 1).count() == 3
+    assert sampling.smote(alone, "id", "cls", "x").count() == 3
 
 
 def test_augment_repeats(spark):
@@ -265,3 +271,39 @@ def test_trials(spark, tmp_path, encoding):
     (tmp_path / "t.log").write_bytes(text.encode(encoding))
     r = logs.read_trials(spark, str(tmp_path)).collect()
     assert [(x.trial, x.value, x.params) for x in r] == [(3, .56, {"n": "242", "lr": "0.01"})]
+
+
+def test_trials_with_python_literals(spark, tmp_path):
+    (tmp_path / "t.log").write_text("[I] Trial 7 finished with value: 6.1e-05 and parameters: {'fast': True, 'depth': None, 'mode': \"a, b\", 'lr': 1e-3}. Best\n"
+                                    "[I] Trial 8 finished with value: nan and parameters: {}.\n[I] Trial 9 finished with value: -inf and parameters: {'x': 1}.\n")
+    r = sorted(logs.read_trials(spark, str(tmp_path)).collect())
+    assert (r[0].trial, r[0].value) == (7, 6.1e-05)
+    assert r[0].params == {"fast": "True", "depth": None, "mode": "a, b", "lr": "1e-3"}
+    assert np.isnan(r[1].value) and r[1].params == {} and r[2].value == -np.inf
+
+
+def test_statistics_skip_unknown_pairs(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=60)
+    y = 2 * x + rng.normal(size=60) * 0.1
+    rows = [(float(a) if i % 4 else None, float(b) if i % 5 else None, i % 2) for i, (a, b) in enumerate(zip(x, y))]
+    known = np.array([(a, b) for a, b, _ in rows if a is not None and b is not None])
+    df = spark.createDataFrame(rows, "a double, b double, t int")
+    got = stats.agreement(df, "a", "b").first()
+    assert got.n == len(known) and abs(got.pearson - np.corrcoef(known.T)[0, 1]) < 1e-12
+    assert abs(got.mae - np.abs(known[:, 0] - known[:, 1]).mean()) < 1e-12
+    part = np.array([(a, t) for a, _, t in rows if a is not None])
+    want = abs(np.corrcoef(part.T)[0, 1])
+    assert abs(target_correlation(df, ["a"], F.col("t")).first().abs_r - want) < 1e-12
+
+
+def test_ema_of_a_long_window(spark):
+    n, alpha = 30_000, 0.05
+    x = np.random.default_rng(2).normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "i": range(n), "x": x}))
+    got = ema_window(df, ["k"], "i", "x", alpha, "e").orderBy("i").toPandas().e.to_numpy()
+    want, e = np.empty(n), x[0]
+    for i, v in enumerate(x):
+        e = v if i == 0 else alpha * v + (1 - alpha) * e
+        want[i] = e
+    assert np.abs(got - want).max() < 1e-9

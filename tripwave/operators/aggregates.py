@@ -12,8 +12,9 @@ from tripwave.params import CLASSES
 
 
 def attach_one(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Columns of a one-row table on every row."""
-    return df.withColumn("_one", F.lit(0)).join(F.broadcast(row.withColumn("_one", F.lit(0))), "_one").drop("_one")
+    """Columns of a table of one row at most on every row, as a scalar subquery; NULL if it is empty."""
+    one = row.select(F.struct(*[F.col(c) for c in row.columns])).scalar()
+    return df.withColumn("_one", one).select(*df.columns, *[F.col("_one")[c].alias(c) for c in row.columns])
 
 
 def long_form(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -149,7 +150,7 @@ def control_trip(stats: DataFrame, key: str, anomaly: object) -> DataFrame:
     measures = [c for c in stats.columns if c != key]
     pair = attach_one(suspect.select(F.col(key).alias("trip"), *[F.col(c).alias(f"a_{c}") for c in measures]),
                       middle.select(F.col(key).alias("control"), *[F.col(c).alias(f"c_{c}") for c in measures]))
-    out = pair.select("trip", "control", *[
+    out = pair.where(F.col("control").isNotNull()).select("trip", "control", *[
         (F.col(f"a_{c}") / (F.col(f"c_{c}") + 1e-9)).alias(f"{c}_ratio") for c in measures])
     # Diagnosis thresholds.
     if "power_high" in measures:
@@ -219,12 +220,15 @@ def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def target_correlation(df: DataFrame, features: Sequence[str], target: Column) -> DataFrame:
-    """Absolute correlation of each feature with a 0/1 target, and whether it passes either threshold."""
-    y = target.cast("double")
-    rows = df.select(y.alias("_y"), *features)
-    cells = [F.struct(F.lit(f).alias("feature"), F.abs(ratio(
-        F.covar_pop(F.col(f).cast("double"), F.col("_y")), F.stddev_pop(f) * F.stddev_pop("_y"))).alias("abs_r"))
-        for f in features]
+    """Absolute correlation of each feature with a 0/1 target where both are known, and whether it passes either threshold."""
+    rows = df.select(target.cast("double").alias("_y"), *features)
+
+    def strength(f: str) -> Column:
+        both = F.col(f).isNotNull() & F.col("_y").isNotNull()
+        x, y = F.when(both, F.col(f).cast("double")), F.when(both, F.col("_y"))
+        return F.abs(ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+    cells = [F.struct(F.lit(f).alias("feature"), strength(f).alias("abs_r")) for f in features]
     out = rows.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
     # Selection thresholds.
     return out.withColumn("selected_r05", F.col("abs_r") >= 0.5).withColumn("selected_r035", F.col("abs_r") >= 0.35)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import clip, ratio
 from tripwave.operators.ordered import Axis, previous
-from tripwave.operators.timeseries import ema
+from tripwave.operators.timeseries import ema_window
 from tripwave.operators.windows import range_join
 from tripwave.params import EventWindow
 
@@ -69,11 +69,10 @@ def event_rows(samples: DataFrame, events: DataFrame, ax: Axis, event: str, at:
     rows = rows.withColumn("_tp", F.max_by(ts, strongest).over(each))
     rows = rows.withColumn("_fs", F.coalesce(1.0 / F.col("_dt"), F.lit(100.0)))
     rows = rows.withColumn("_smooth", F.avg(F.abs(v)).over(row.rowsBetween(-(p.smooth_rows - 1), 0)))
-    zero = F.lit(0)
-    rows = rows.withColumn("_base", ema(F.col("_smooth"), F.col("_i"), zero, p.ema_alpha, row))
+    rows = ema_window(rows, [key, event], "_i", "_smooth", p.ema_alpha, "_base")
     rows = rows.withColumn("_off", F.abs(F.col("_smooth") - F.col("_base")))
-    limit = F.col("_base") + p.ema_multiplier * ema(F.col("_off"), F.col("_i"), zero, p.ema_alpha, row)
-    rows = rows.withColumn("_above", F.col("_smooth") > limit)
+    rows = ema_window(rows, [key, event], "_i", "_off", p.ema_alpha, "_limit")
+    rows = rows.withColumn("_above", F.col("_smooth") > F.col("_base") + p.ema_multiplier * F.col("_limit")).drop("_limit")
     nth = F.row_number().over(Window.partitionBy(key, event, "_above").orderBy(*ax.order))
     rows = rows.withColumn("_run", F.col("_i") - nth)
     run = Window.partitionBy(key, event, "_above", "_run")

@@ -107,12 +107,15 @@ def _carried(rows: DataFrame, ax: Axis, aggs: Mapping[str, Column], carry: Mappi
 
 
 def join_per_key(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner",
-                 salts: int = 32) -> DataFrame:
+                 salts: int | None = None) -> DataFrame:
     """Join rows with a per-key table, the rows of one key spread over ``salts`` tasks by the ``spread`` columns.
 
+    By default over as many as a shuffle has, a number that is set to fit the data.
+
     A plain join on the trip would bring a whole trip to one task, and, because its
     partitioning also satisfies finer groupings, leave it there for later steps.
     """
+    salts = salts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     table = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(table, [*keys, "_salt"], how).drop("_salt")

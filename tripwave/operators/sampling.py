@@ -8,18 +8,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tripwave.operators.ordered import Axis, range_chunks, row_index
+from tripwave.operators.ordered import Axis, materialize, range_chunks, row_index
 from tripwave.operators.reconcile import away_from_events, moving
 
 
 def seeded_unit(seed: int, *cols: Column) -> Column:
-    """Deterministic pseudo-random number in [0, 1) from the given columns."""
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    """Pseudo-random number in [0, 1) that depends on the columns and the seed only; SQL engines agree on it."""
+    return F.conv(F.substring(seeded_key(seed, *cols), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def first_by(df: DataFrame, order: Sequence[str], k: int | Column, chunk_len: int) -> DataFrame:
-    """The first ``k`` rows by ``order``: chunk totals decide which chunks count, nothing is gathered."""
-    numbered = row_index(df, Axis((), tuple(order), chunk_len), "_i")
+def seeded_key(seed: int, *cols: Column) -> Column:
+    """Hex hash of the columns and the seed, a repeatable random order."""
+    return F.md5(F.concat_ws(":", *[c.cast("string") for c in cols], F.lit(str(seed))))
+
+
+def first_by(df: DataFrame, order: Sequence[str], k: int | Column) -> DataFrame:
+    """The first ``k`` rows by ``order``: totals of range partitions decide which of them count, nothing is gathered."""
+    numbered = row_index(range_chunks(df, list(order)), Axis((), tuple(order), None), "_i")
     return numbered.where(F.col("_i") < k).drop("_i")
 
 
@@ -47,16 +52,17 @@ def background_sample(samples: DataFrame, events: DataFrame, labelled: DataFrame
     clear = away_from_events(tries, events, key, "at", event_at, away, chunk_len)
     kept = moving(clear, samples, key, ts, "at", "attempt", half, min_speed)
     kept = kept.withColumn("_bucket", trip_bucket)
-    numbered = row_index(kept, Axis((), ("_bucket", key, "attempt"), 1), "_i").where(F.col("_i") < needed)
+    order = ["_bucket", key, "attempt"]
+    numbered = row_index(range_chunks(kept, order), Axis((), tuple(order), None), "_i").where(F.col("_i") < needed)
     return numbered.select(F.concat(F.lit("bg_"), F.col("_i")).alias("event_id"), "at", key, F.lit(negative).alias(label),
                            F.lit("auto_background").alias("source"), "speed_mean")
 
 
-def undersample(df: DataFrame, label: str, negative: str, order: Sequence[str], chunk_len: int, per_anomaly: float = 1.5) -> DataFrame:
+def undersample(df: DataFrame, label: str, negative: str, order: Sequence[str], per_anomaly: float = 1.5) -> DataFrame:
     """All anomalies and at most ``per_anomaly`` times as many negatives, in hash order."""
     anomalies = df.where(F.col(label) != negative)
     limit = int(anomalies.count() * per_anomaly)
-    return anomalies.unionByName(first_by(df.where(F.col(label) == negative), order, limit, chunk_len))
+    return anomalies.unionByName(first_by(df.where(F.col(label) == negative), order, limit))
 
 
 def drop_noisy_negatives(df: DataFrame, label: str, peak: str = "peak_mag", crest: str = "crest_factor",
@@ -66,53 +72,77 @@ def drop_noisy_negatives(df: DataFrame, label: str, peak: str = "peak_mag", cres
     return df.where(~((F.col(label) == "Non-Event") & F.coalesce(noisy, F.lit(False))))
 
 
-def neighbours(df: DataFrame, ident: str, vector: str, dim: int, k: int, projections: int = 8, reach: int = 16,
-               seed: int = 42, chunk_rows: int = 10_000) -> DataFrame:
-    """About the ``k`` nearest other rows of each row: (ident, other, distance).
+def neighbours(df: DataFrame, ident: str, vector: str, k: int, pivots: int = 64, part: int = 4096,
+               seed: int = 42) -> DataFrame:
+    """The ``k`` nearest other rows of each row, exactly: (ident, rank, other, distance), equal distances by ``other``.
 
-    Rows are sorted along several random directions; the ``reach`` rows on either
-    side are compared in full and the k closest are kept. Fan-out per row is fixed,
-    so dense regions cost no more than sparse ones; with ``reach`` >= row count it is exact.
+    Rows belong to the nearest of up to ``pivots`` rows. The sizes and radii of these cells
+    bound how far a row's k-th neighbour can be, and by the triangle inequality the row is
+    compared only with cells that reach into that distance. Cells are read in parts of
+    about ``part`` rows, so a dense one is many tasks. ``ident`` must be unique.
     """
-    rng = np.random.default_rng(seed)
-    lines = rng.normal(size=(projections, dim))
-    lines /= np.linalg.norm(lines, axis=1, keepdims=True)
-    dots = F.array(*[F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in line]), lambda a, b: a * b),
-                                 F.lit(0.0), lambda acc, x: acc + x) for line in lines])
-    placed = df.select(ident, vector, F.posexplode(dots).alias("_line", "_at"))
-    ranged = range_chunks(placed, ["_line", "_at", ident])
-    numbered = row_index(ranged, Axis(("_line",), ("_at", ident), None), "_i")
-    blocks = numbered.withColumn("_block", F.explode(F.sequence(
-        F.greatest(F.lit(0), F.floor((F.col("_i") - reach) / chunk_rows)), F.floor((F.col("_i") + reach) / chunk_rows))))
-    blocks = blocks.withColumn("_own", F.floor(F.col("_i") / chunk_rows) == F.col("_block"))
-    ident_type = df.schema[ident].dataType
-    schema = T.StructType([T.StructField(ident, ident_type), T.StructField("other", ident_type), T.StructField("distance", T.DoubleType())])
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        x = np.stack(pdf[vector].to_numpy())
-        ids, own = pdf[ident].to_numpy(), pdf["_own"].to_numpy()
-        a, b, d = [], [], []
-        for shift in range(1, min(reach, len(pdf) - 1) + 1):
-            dist = np.sqrt(((x[shift:] - x[:-shift]) ** 2).sum(axis=1))
-            for left, right in ((slice(None, -shift), slice(shift, None)), (slice(shift, None), slice(None, -shift))):
-                keep = own[left]
-                a.append(ids[left][keep])
-                b.append(ids[right][keep])
-                d.append(dist[keep])
-        if not a:
-            return pd.DataFrame({ident: ids[:0], "other": ids[:0], "distance": np.zeros(0)})
-        return pd.DataFrame({ident: np.concatenate(a), "other": np.concatenate(b), "distance": np.concatenate(d)})
-
-    pairs = blocks.groupBy("_line", "_block").applyInPandas(compare, schema).distinct()
-    near = Window.partitionBy(ident).orderBy("distance", "other")
-    return pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
-
-
-def smote(df: DataFrame, ident: str, label: str, vector: str, dim: int, seed: int = 42, max_k: int = 5) -> DataFrame:
-    """Synthetic minority rows between a row and one of its neighbours, up to the largest class.
-
-    Without at least two rows in every class the input comes back unchanged.
+    rows = df.select(ident, vector)
+    chosen = rows.orderBy(seeded_key(seed, F.col(ident)), ident).limit(pivots).select(vector).collect()
+    ident_type = rows.schema[ident].dataType
+    near = T.StructType([T.StructField(ident, ident_type), T.StructField("other", ident_type), T.StructField("distance", T.DoubleType())])
+    if len(chosen) < 2:
+        return rows.sparkSession.createDataFrame([], T.StructType([*near.fields, T.StructField("rank", T.IntegerType())]))
+    centres = np.array([r[0] for r in chosen], float)
+    kind = f"{ident} {ident_type.simpleString()}, {vector} array<double>, cell int, away array<double>"
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch[vector].to_numpy()).astype(float)
+                away = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres], axis=1)
+                yield batch.assign(cell=away.argmin(axis=1).astype("int32"), away=list(away))
+
+    placed = materialize(rows.select(ident, F.col(vector).cast("array<double>").alias(vector)).mapInPandas(place, kind))
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.get("away", F.col("cell"))).alias("radius"))
+    cells = sorted(tuple(r) for r in cells.collect())  # one row per pivot
+    ids, size, radius = (np.array(c) for c in zip(*cells))
+
+    def within(away: Column) -> Column:
+        """Cells that can hold one of the k nearest."""
+        reach = F.array(*[F.struct((F.get(away, F.lit(int(c))) + float(r)).alias("far"), F.lit(int(n)).alias("n")) for c, n, r in cells])
+        bound = F.aggregate(F.array_sort(reach), F.struct(F.lit(0).alias("n"), F.lit(float("inf")).alias("far")), lambda acc, e: F.struct(
+            (acc["n"] + e["n"]).alias("n"), F.when(acc["n"] > k, acc["far"]).otherwise(e["far"]).alias("far")))["far"]
+        fits = [F.when(F.get(away, F.lit(int(c))) - float(r) <= bound * (1 + 1e-9), F.lit(int(c))) for c, _, r in cells]
+        return F.array_compact(F.array(*fits))
+
+    asked = placed.select(ident, vector, F.explode(within(F.col("away"))).alias("cell"))
+    parts = F.element_at(F.create_map(*[F.lit(int(x)) for c, n in zip(ids, -(-size // part)) for x in (c, n)]), F.col("cell"))
+    blocks = int(-(-size.sum() // part))
+    hashed = F.xxhash64(ident)
+    left = placed.select(ident, vector, "cell", F.pmod(hashed, parts).cast("int").alias("part"), F.explode(F.sequence(
+        F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = asked.select(ident, vector, "cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+                         F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"))
+
+    def compare(held: pd.DataFrame, seekers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(held) and len(seekers):
+            x, ids = np.stack(held[vector].to_numpy()), held[ident].to_numpy()
+            for one, v in zip(seekers[ident].to_numpy(), seekers[vector].to_numpy()):
+                d = np.sqrt(((x - v) ** 2).sum(axis=1))
+                d[ids == one] = np.inf
+                at = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                at = at[np.lexsort((ids[at], d[at]))][:k]
+                at = at[np.isfinite(d[at])]
+                out.append(pd.DataFrame({ident: [one] * len(at), "other": ids[at], "distance": d[at]}))
+        return pd.concat(out) if out else pd.DataFrame({ident: held[ident][:0], "other": held[ident][:0], "distance": np.zeros(0)})
+
+    keys = ["cell", "part", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, near)
+    best = Window.partitionBy(ident).orderBy("distance", "other")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def smote(df: DataFrame, ident: str, label: str, vector: str, seed: int = 42, max_k: int = 5) -> DataFrame:
+    """Synthetic minority rows between a row and one of its exact neighbours, up to the largest class.
+
+    Every row gets equally many, the first in hash order one more. Without at least two
+    rows in every class the input comes back unchanged.
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}  # one row per class
     base = df.select(F.col(ident).cast("string").alias(ident), label, vector, F.lit(False).alias("synthetic"))
@@ -125,13 +155,13 @@ def smote(df: DataFrame, ident: str, label: str, vector: str, dim: int, seed: in
             continue
         rows = df.where(F.col(label) == F.lit(value)).select(ident, vector)
         per_row, extra = divmod(top - n, n)
-        numbered = row_index(rows.withColumn("_h", F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1 << 30))),
-                             Axis((), ("_h", ident), 1 << 18), "_i")
-        copies = F.lit(per_row) + (F.col("_i") < extra).cast("int")
-        wanted = numbered.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+        hashed = rows.withColumn("_h", seeded_key(seed, F.col(ident)))
+        more = first_by(hashed.select(ident, "_h"), ["_h", ident], extra).select(ident, F.lit(1).alias("_more"))
+        copies = F.lit(per_row) + F.coalesce("_more", F.lit(0))
+        wanted = rows.join(more, ident, "left").where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
         wanted = wanted.withColumn("rank", (F.floor(seeded_unit(seed + 1, F.col(ident), F.col("_copy")) * k) + 1).cast("int"))
-        wanted = wanted.withColumn("_u", seeded_unit(seed + 2, F.col(ident), F.col("_copy")))
-        near = neighbours(rows, ident, vector, dim, k, seed=seed).select(ident, "rank", "other")
+        wanted = wanted.withColumn("_u", seeded_unit(seed + 2, F.col(ident), F.col("_copy"))).drop("_more")
+        near = neighbours(rows, ident, vector, k, seed=seed).select(ident, "rank", "other")
         others = rows.select(F.col(ident).alias("other"), F.col(vector).alias("_v"))
         made = wanted.join(near, [ident, "rank"]).join(others, "other")
 

@@ -111,7 +111,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy()  # over one row per class
     weights = sizes.select(label, (F.sum("_n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)
+    return df.join(weights, label)
 
 
 def inject_missing(train: DataFrame, pool: DataFrame, label: str, order: str) -> DataFrame:

@@ -14,11 +14,12 @@ from tripwave.operators.ordered import Axis, range_chunks, running
 
 
 def agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """Pearson r, RMSE and MAE of two aligned columns."""
-    d = F.col(a) - F.col(b)
+    """Pearson r, RMSE and MAE over the rows where both columns are known, and their number."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y, d = F.when(both, F.col(a)), F.when(both, F.col(b)), F.col(a) - F.col(b)
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("pearson"),
+        F.count(d).alias("n"),
+        ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("pearson"),
         F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"))
 
 

@@ -151,8 +151,7 @@ def ema(value: Column, idx: Column, start: Column, alpha: float, window) -> Colu
 
     ``window`` orders the rows of a block by ``idx`` and ``start`` is the block's
     first index. Weights grow by 1/(1-alpha) per row, so a block may hold about
-    ``MAX_SPAN / alpha`` rows: 12,000 at 0.05, six times the rows an event window
-    of two seconds can have at one row per millisecond.
+    ``MAX_SPAN / alpha`` rows; ``ema_window`` and ``ema_stream`` cut longer ones.
     """
     keep = 1.0 - alpha
     offset = (idx - start).cast("double")
@@ -161,6 +160,24 @@ def ema(value: Column, idx: Column, start: Column, alpha: float, window) -> Colu
         window.rowsBetween(Window.unboundedPreceding, 0))
 
 
+def ema_window(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float, out: str) -> DataFrame:
+    """EMA per key over rows numbered from 0 by ``idx``, for any number of rows.
+
+    Weights start again in every block of ``MAX_SPAN / alpha`` rows; there the value that the
+    block before ended with is carried in, and what lies before that has no weight left.
+    """
+    block, keep = max(1, int(MAX_SPAN / alpha)), 1.0 - alpha
+    rows = df.withColumn("_b", F.floor(F.col(idx) / block))
+    start = F.col("_b") * block
+    own = Window.partitionBy(*keys, "_b").orderBy(idx)
+    rows = rows.withColumn("_own", ema(F.col(value), F.col(idx), start, alpha, own))
+    rows = rows.withColumn("_first", F.first(value).over(own))
+    earlier = Window.partitionBy(*keys).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.last(F.when(F.col(idx) % block == block - 1, F.col("_own")), ignorenulls=True).over(earlier)
+    carried = F.pow(F.lit(keep), F.col(idx) - start + 1) * (ended - F.col("_first"))
+    return rows.withColumn(out, F.col("_own") + F.when(F.col("_b") > 0, carried).otherwise(0.0)).drop("_b", "_own", "_first")
+
+
 def ema_stream(df: DataFrame, ax: Axis, value: str, alpha: float, out: str = "ema", block_rows: int = 50_000) -> DataFrame:
     """EMA of a whole stream in blocks; the warm-up makes the forgotten start weigh less than 1e-17."""
     warm = int(40 / alpha) + 1

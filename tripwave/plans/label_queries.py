@@ -408,7 +408,7 @@ n AS (SELECT event_id, cls, row_number() OVER (ORDER BY (event_id * 7919) % 1000
 SELECT event_id, cls FROM sig WHERE cls <> 'Non-Event' UNION ALL SELECT event_id, cls FROM n JOIN a ON rk <= k""")
 def undersample(spark, folder):
     s = sig(spark, folder).select("event_id", "cls").withColumn("key", (F.col("event_id") * 7919) % 10007)
-    return sampling.undersample(s, "cls", "Non-Event", ["key", "event_id"], 16, 0.6).drop("key")
+    return sampling.undersample(s, "cls", "Non-Event", ["key", "event_id"], 0.6).drop("key")
 
 
 @query("noise_filter", f"""WITH {SIG_SQL} SELECT event_id, cls FROM sig WHERE NOT (cls = 'Non-Event' AND (v > 30 OR g / 20.0 > 4 OR event_id % 25 > 20))""")

@@ -75,7 +75,7 @@ def ablate_data(spark, folder):
     rows = _table(spark, folder)
 
     def fewer(d):
-        return sampling.undersample(d.withColumn("key", F.xxhash64("event_id")), "label_idx", 0, ["key"], 1 << 56, 0.4).drop("key")
+        return sampling.undersample(d.withColumn("key", F.xxhash64("event_id")), "label_idx", 0, ["key"], 0.4).drop("key")
 
     def noisy_copies(d):
         copies = d.where("label_idx > 0").withColumn("_x", F.array(*DIMS))
@@ -83,7 +83,7 @@ def ablate_data(spark, folder):
         return d.unionByName(made.withColumns({f: F.col("_x")[i] for i, f in enumerate(DIMS)}).select(*d.columns))
 
     def balanced(d):
-        out = sampling.smote(d.withColumn("_x", F.array(*DIMS)), "event_id", "label_idx", "_x", len(DIMS))
+        out = sampling.smote(d.withColumn("_x", F.array(*DIMS)), "event_id", "label_idx", "_x")
         return out.select("event_id", "label_idx", *[F.col("_x")[i].alias(f) for i, f in enumerate(DIMS)])
 
     steps = {"undersample": fewer, "augment": noisy_copies, "smote": balanced}
@@ -113,13 +113,49 @@ def prune_features(spark, folder):
     return rounded(models.prune_features(rows, feats, [r[0] for r in ranked], 0.75, 4), "correlation")
 
 
-@query("smote")
+NEAR_SQL = f"""{VEC_SQL}, near AS (
+  SELECT a.vec_id, a.cls, b.vec_id AS other, b.x AS y, list_distance(a.x, b.x) AS distance,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS rank
+  FROM vec a JOIN vec b ON a.cls = b.cls AND a.vec_id <> b.vec_id)"""
+
+
+@query("neighbours", f"WITH {NEAR_SQL} SELECT cls, vec_id, rank, other, r6(distance) AS distance FROM near WHERE rank <= 5")
+def neighbours(spark, folder):
+    """The five nearest rows of every row among those of its class, over whole vectors."""
+    v = vec(spark, folder)
+    out = None
+    for cls in (0, 1, 2):
+        one = sampling.neighbours(v.where(F.col("cls") == cls), "vec_id", "x", 5).select(
+            F.lit(cls).cast("int").alias("cls"), "vec_id", "rank", "other", r6("distance").alias("distance"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _unit_sql(seed: int) -> str:
+    key = f"md5(vec_id::VARCHAR || ':' || copy::VARCHAR || ':{seed}')"
+    return f"('0x' || substr({key}, 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
+
+
+SMOTE_SQL = f"""{NEAR_SQL}, sizes AS (SELECT cls, count(*) AS n FROM vec GROUP BY cls),
+goal AS (SELECT cls, n, (SELECT max(n) FROM sizes) - n AS missing, (SELECT least(5, min(n) - 1) FROM sizes) AS k FROM sizes),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5(vec_id::VARCHAR || ':42'), vec_id) - 1 AS i FROM vec),
+wanted AS (SELECT vec_id, cls, x, k, unnest(range(1, (missing // n + CASE WHEN i < missing % n THEN 1 ELSE 0 END + 1)::BIGINT)) AS copy
+  FROM placed JOIN goal USING (cls)),
+drawn AS (SELECT *, floor({_unit_sql(43)} * k) + 1 AS rank, {_unit_sql(44)} AS u FROM wanted),
+made AS (SELECT 'syn_' || d.vec_id::VARCHAR || '_' || copy::VARCHAR AS vec_id, d.cls, true AS synthetic, x, y, u
+  FROM drawn d JOIN near n ON n.vec_id = d.vec_id AND n.rank = d.rank),
+flat AS (
+  SELECT vec_id::VARCHAR AS vec_id, cls, false AS synthetic, unnest(range(64)) AS i, unnest(x) AS v FROM vec
+  UNION ALL
+  SELECT vec_id, cls, synthetic, unnest(range(64)), unnest(list_transform(range(1, 65), lambda j: x[j] + u * (y[j] - x[j]))) FROM made)"""
+
+
+@query("smote", f"WITH {SMOTE_SQL} SELECT vec_id, cls, synthetic, i, r6(v) AS v FROM flat")
 def smote(spark, folder):
-    """Smaller classes brought to the size of the largest by interpolation between near neighbours."""
-    v = vec(spark, folder).select("vec_id", "cls", F.slice("x", 1, 8).alias("x"))
-    small = v.where("cls = 0 OR vec_id % 3 > 0 OR cls = 2 AND vec_id % 5 > 0")
-    out = sampling.smote(small, "vec_id", "cls", "x", 8)
-    return out.select("vec_id", "cls", "synthetic", F.transform("x", lambda e: r6(e)).alias("x"))
+    """Smaller classes brought to the size of the largest by interpolation between exact neighbours."""
+    out = sampling.smote(vec(spark, folder).select("vec_id", "cls", "x"), "vec_id", "cls", "x")
+    return out.select("vec_id", "cls", "synthetic", F.posexplode("x").alias("i", "v")).select(
+        "vec_id", "cls", "synthetic", F.col("i").cast("bigint").alias("i"), r6("v").alias("v"))
 
 
 @query("augment_windows")
@@ -130,10 +166,8 @@ def augment_windows(spark, folder):
     return out.select("vec_id", *[F.transform(c, lambda e: r6(e)).alias(c) for c in ("a", "b")])
 
 
-@query("smote_counts", f"""WITH {VEC_SQL}, s AS (SELECT cls, count(*) AS n FROM vec WHERE cls = 0 OR vec_id % 3 > 0 OR cls = 2 AND vec_id % 5 > 0 GROUP BY cls)
+@query("smote_counts", f"""WITH {VEC_SQL}, s AS (SELECT cls, count(*) AS n FROM vec GROUP BY cls)
 SELECT cls, n AS original, (SELECT max(n) FROM s) AS total FROM s""")
 def smote_counts(spark, folder):
-    v = vec(spark, folder).select("vec_id", "cls", F.slice("x", 1, 8).alias("x"))
-    small = v.where("cls = 0 OR vec_id % 3 > 0 OR cls = 2 AND vec_id % 5 > 0")
-    out = sampling.smote(small, "vec_id", "cls", "x", 8)
+    out = sampling.smote(vec(spark, folder).select("vec_id", "cls", "x"), "vec_id", "cls", "x")
     return out.groupBy("cls").agg(F.count_if(~F.col("synthetic")).alias("original"), F.count(F.lit(1)).alias("total"))

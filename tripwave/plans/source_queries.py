@@ -86,10 +86,10 @@ def tensor_sink(spark, folder):
 
 
 @query("worklist_sink", f"""WITH {SIG_SQL} SELECT event_id, lat, lon, v AS score, '' AS label, '' AS notes,
-  'https://www.google.com/maps?q=' || g::VARCHAR || ',' || (event_id % 10)::VARCHAR AS maps_link FROM sig WHERE v > 100""")
+  'https://www.google.com/maps?q=' || g::VARCHAR || ',' || (event_id % 10)::VARCHAR AS maps_link FROM sig""")
 def worklist_sink(spark, folder):
     """Work list in the fixed column order, best score first, with map links."""
-    s = sig(spark, folder).where("v > 100")
+    s = sig(spark, folder)
     rows = stage.worklist_rows(s.select("event_id", F.col("v").alias("score"), F.col("g").alias("lat"), (F.col("event_id") % 10).alias("lon")))
     path = stage.write_stage(rows, stage.new_folder(spark, "worklist"))
     back = stage.read_stage(spark, path)

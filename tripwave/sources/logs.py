@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripwave.operators.ordered import Axis, fill
 
-# Log line patterns.
-FOLD_LINE = r"===\s+Fold\s+(\d+)\s+==="
-EPOCH_LINE = (r"\[Epoch\s+(\d+)/\d+\]\s+Train Loss:\s+([\d.]+)\s+\|\s+Val Loss:\s+([\d.]+)"
-              r"(?:\s+\|\s+Val Macro F1:\s+([\d.]+))?")
-TRIAL_TEXT = r"Trial (\d+) finished with value: ([\d.]+) and parameters: (\{.*?\})\."
+# What the log formats call their parts.
+FOLD, EPOCH = "fold", "epoch"
+MEASURES = {"train_loss": "train loss", "val_loss": "val loss", "val_f1": "val macro f1"}
+TRIAL, VALUE, PARAMETERS = "trial", "finished with value", "and parameters"
+
+#: A number as programs print it: fractions, exponents, infinities, not-a-number.
+NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[-+]?[0-9]+)?|[-+]?inf(?:inity)?|nan"
+#: One ``'name': value`` of a printed dictionary; a value ends at a comma or brace, unless it is quoted.
+ENTRY = r"""['"]([^'"]+)['"]\s*:\s*('[^']*'|"[^"]*"|[^,{}]+)"""
+
+
+def words(text: str) -> str:
+    """Pattern of a phrase, any case, any blanks between its words."""
+    return r"\s+".join(text.split())
+
+
+def measure(name: str) -> Column:
+    """The number after ``name:`` in a line whose measures are divided by bars; NULL if it is not there."""
+    return number(F.regexp_extract("value", rf"(?i)(?:[|\]]|^)\s*{words(name)}\s*:\s*({NUMBER})(?=[\s|]|$)", 1))
+
+
+def number(text: Column) -> Column:
+    return F.when(text != "", text).try_cast("double")
+
+
+def literal(text: Column) -> Column:
+    """A printed value as text: without quotes, None as NULL."""
+    text = F.trim(text)
+    plain = F.when(text.rlike(r"""^(['"]).*\1$"""), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    return F.when(text != "None", plain)
 
 
 def read_epochs(spark: SparkSession, path: str) -> DataFrame:
@@ -19,28 +44,32 @@ def read_epochs(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"))
 
-    def part(pattern: str, group: int):
-        return F.nullif(F.regexp_extract("value", pattern, group), F.lit(""))
+    def counted(pattern: str) -> Column:
+        return number(F.regexp_extract("value", rf"(?i){pattern}", 1)).cast("int")
 
-    header = part(FOLD_LINE, 1).cast("int")
-    known = fill(lines, Axis(("file",), ("block", "line"), 1), back={"fold": header})
-    rows = known.select("file", "fold", part(EPOCH_LINE, 1).cast("int").alias("epoch"),
-                        *[part(EPOCH_LINE, g).cast("double").alias(c)
-                          for g, c in ((2, "train_loss"), (3, "val_loss"), (4, "val_f1"))])
-    return rows.where(F.col("fold").isNotNull() & F.col("epoch").isNotNull())
+    known = fill(lines, Axis(("file",), ("block", "line"), 1), back={"fold": counted(rf"=\s*{FOLD}\s+([0-9]+)\s*=")})
+    rows = known.select("file", "fold", counted(rf"\[\s*{EPOCH}\s+([0-9]+)\s*/").alias("epoch"),
+                        *[measure(name).alias(column) for column, name in MEASURES.items()])
+    return rows.where("fold is not null and epoch is not null and train_loss is not null and val_loss is not null")
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """(file, trial, value, params) of finished trials; parameters may wrap over lines, files may be UTF-16."""
+    """(file, trial, value, params) of finished trials; parameters may wrap over lines, files may be UTF-16.
+
+    A file is one cell while it is read, so it may have 2 GB at most.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     wide = F.expr("hex(substring(content, 2, 1)) = '00' OR hex(substring(content, 1, 2)) = 'FFFE'")
     text = F.when(wide, F.decode("content", "UTF-16LE")).otherwise(F.decode("content", "UTF-8"))
-    flat = files.select(F.col("path").alias("file"), F.regexp_replace(text, r"\r?\n", " ").alias("text"))
-    found = flat.select("file", F.explode(F.regexp_extract_all("text", F.lit(TRIAL_TEXT), F.lit(0))).alias("hit"))
+    sentence = (rf"(?i)\b{TRIAL}\s+([0-9]+)\s+{words(VALUE)}\s*:\s*({NUMBER})\s+{words(PARAMETERS)}\s*:\s*"
+                r"\{([^{}]*)\}")
+    found = files.select(F.col("path").alias("file"), F.explode(F.regexp_extract_all(text, F.lit(sentence), F.lit(0))).alias("hit"))
+    entries = F.regexp_extract("hit", sentence, 3)
+    names, values = (F.regexp_extract_all(entries, F.lit(ENTRY), F.lit(g)) for g in (1, 2))
     return found.select(
-        "file", F.regexp_extract("hit", TRIAL_TEXT, 1).cast("int").alias("trial"),
-        F.regexp_extract("hit", TRIAL_TEXT, 2).cast("double").alias("value"),
-        F.from_json(F.regexp_extract("hit", TRIAL_TEXT, 3), "map<string,string>").alias("params"))
+        "file", F.regexp_extract("hit", sentence, 1).cast("int").alias("trial"),
+        number(F.regexp_extract("hit", sentence, 2)).alias("value"),
+        F.map_from_arrays(names, F.transform(values, literal)).alias("params"))
 
 
 def read_sweep(spark: SparkSession, path: str, param: str) -> DataFrame:
