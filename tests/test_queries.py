@@ -7,6 +7,7 @@ from tripwave.plans.catalog import QUERIES, SQL
 
 FOLDER = f"{DATA}/sf0.001"
 SLOW = {"train_oof", "search", "ablate_features", "ablate_data", "isotonic", "forest_vote"}
+SLOW_FACTS = {"train_oof_facts", "search_facts", "ablate_features_facts", "isotonic_facts"}  # the driver compares them
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def con():
     return views(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW_FACTS))
 def test_same_rows_as_sql(spark, con, name):
     assert compare(QUERIES[name](spark, FOLDER), con, SQL[name]) == ""
 

@@ -7,6 +7,7 @@ from tripwave.plans import report_queries  # noqa: F401
 from tripwave.plans import source_queries  # noqa: F401
 from tripwave.plans import model_queries  # noqa: F401
 from tripwave.plans import stream_queries  # noqa: F401
+from tripwave.plans import fact_queries  # noqa: F401
 from tripwave.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
