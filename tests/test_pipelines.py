@@ -307,3 +307,11 @@ def test_ema_of_a_long_window(spark):
         e = v if i == 0 else alpha * v + (1 - alpha) * e
         want[i] = e
     assert np.abs(got - want).max() < 1e-9
+
+
+def test_windows_without_gyroscope(spark):
+    rows = [("t", i * 10, float(i % 7), float(i % 5), 1.0, 2.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "trip_id string, ts_ms long, magnitude double, a_vertical double, lat double, lon double")
+    got = windows.window_features(df, AX, 1000, 500).collect()
+    assert len(got) >= 4 and all(r.gyro_mag_max == 0 and r.gyro_x_std == 0 and r.speed_mean == 0 for r in got)
+    assert features.with_missing(df, ["gx", "lat"]).first().gx == 0.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import clip, ratio
@@ -39,6 +41,11 @@ def _sq(c: Column) -> Column:
     return c * c
 
 
+def with_missing(samples: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sensor columns that a recording does not have, as zeros."""
+    return samples.withColumns({c: F.lit(0.0) for c in columns if c not in samples.columns})
+
+
 def event_rows(samples: DataFrame, events: DataFrame, ax: Axis, event: str, at: str, p: EventWindow) -> DataFrame:
     """Window rows of each event with in-window differences, peak position, thresholds and background energy.
 
@@ -47,6 +54,7 @@ def event_rows(samples: DataFrame, events: DataFrame, ax: Axis, event: str, at:
     window length, so the per-event windows below stay small.
     """
     key, ts = ax.keys[0], ax.order[0]
+    samples = with_missing(samples, SAMPLE_COLUMNS)
     linked = previous(samples.select(key, *ax.order, *SAMPLE_COLUMNS), ax,
                       {"_pts": ts, "_pv": "a_vertical", "_px": "lin_ax", "_py": "lin_ay", "_pz": "lin_az"}, steps=2)
     pairs = range_join(linked, events.select(key, event, at), key, ts, at, max(p.half, p.context_from), p.half)

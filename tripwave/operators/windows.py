@@ -42,6 +42,7 @@ def sliding_windows(df: DataFrame, ax: Axis, size: int, hop: int) -> DataFrame:
 def window_features(df: DataFrame, ax: Axis, size: int, hop: int, min_rows: int = 3) -> DataFrame:
     """Sliding-window features. Differences use the previous sample only if it lies in the same window."""
     ts = ax.order[0]
+    df = df.withColumns({c: F.lit(0.0) for c in ("gx", "gy", "gz", "speed") if c not in df.columns})
     base = df.withColumn("_g", F.sqrt(sum((F.coalesce(c, F.lit(0.0)) ** 2 for c in ("gx", "gy", "gz")), F.lit(0.0))))
     linked = previous(base, ax, {"_pts": ts, "_pm": "magnitude", "_pg": "_g"})
     rows = sliding_windows(linked, ax, size, hop)

@@ -99,20 +99,6 @@ class Tensor:
     channels: tuple[str, ...] = ("speed", "ax", "ay", "az", "gx", "gy", "gz")
 
 
-# The ten model features used by the separability and ablation reports.
-BEST_FEATURES = (
-    "brake_to_bump_ratio",
-    "down_up_asymmetry",
-    "horizontal_to_vertical_ratio",
-    "grav_y_std",
-    "first_peak_polarity",
-    "linear_jerk_3d_max",
-    "crest_factor",
-    "rise_time_ratio",
-    "waveform_complexity",
-    "hjorth_activity",
-)
-
 # Causal 1-20 Hz band-pass at 100 Hz, difference-equation coefficients.
 BANDPASS_B = (0.19061660009749753, 0.0, -0.38123320019499507, 0.0, 0.19061660009749753)
 BANDPASS_A = (1.0, -2.3350824020765124, 1.9509646897792021, -0.8192636853124013, 0.2066719851665643)

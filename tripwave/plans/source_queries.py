@@ -28,6 +28,24 @@ def scan_with_key(spark, folder):
                                               F.max("ts_ms").alias("last_ms")), "lin_az", "gx")
 
 
+@query("scan_mixed_layouts", f"""WITH {SENSOR_SQL} SELECT trip_id % 2 AS layout, count(*) AS n, r6(sum(lin_az + grav_z)) AS az, r6(sum(gx)) AS gx,
+  CASE WHEN trip_id % 2 = 1 THEN count(*) END AS n_notes, max(ts_us // 1000) AS last_ms FROM sensor GROUP BY 1""")
+def scan_mixed_layouts(spark, folder):
+    """CSVs of two layouts in one folder: another column order, no ax, ay, az, and a text column in half of them."""
+    s = sensor(spark, folder).withColumn("timestamp", F.floor(F.col("ts_us") / 1000).cast("double"))
+    path = stage.new_folder(spark, "layouts")
+    names = [c for c in trips.SAMPLE_SCHEMA.fieldNames() if c not in ("ax", "ay", "az")]
+    for layout, columns in ((0, names), (1, [*reversed(names), "event_type"])):
+        part = s.where(F.col("trip_id") % 2 == layout).select(*columns).withColumnsRenamed({"event_type": "note"})
+        part.write.csv(f"{path}/layout={layout}", header=True)
+    schema = T.StructType([*trips.SAMPLE_SCHEMA.fields, T.StructField("note", T.StringType())])
+    rows = trips.read_trip_csv(spark, f"{path}/layout=*", schema)
+    rows = rows.withColumn("layout", F.regexp_extract("trip_folder", r"layout=(\d+)", 1).cast("bigint"))
+    return rounded(rows.groupBy("layout").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("az").alias("az"), F.sum("gx").alias("gx"),
+        F.when(F.count("note") > 0, F.count("note")).alias("n_notes"), F.max("ts_ms").alias("last_ms")), "az", "gx")
+
+
 @query("scan_checked", f"""WITH {SENSOR_SQL} SELECT count(*) AS n, r6(sum(speed)) AS speed, r6(sum(v / 1000)) AS prob FROM sensor WHERE event_type <> 'error'""")
 def scan_checked(spark, folder):
     """Field-test CSV with both probabilities; rows without a position are dropped on read."""

@@ -52,28 +52,53 @@ def base_name(path: Column) -> Column:
 
 
 def read_trip_csv(spark: SparkSession, folder: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
-    """All trip CSVs of a folder in one scan; ``trip_file`` is the base name,
-    ``trip_folder`` the folder it lies in, ``file_pos`` the order in the file.
+    """All trip CSVs of a folder; ``trip_file`` is the base name, ``trip_folder`` the folder it
+    lies in, ``file_pos`` the order in the file.
 
-    NaN becomes NULL and the timestamp an integer millisecond.
+    Columns go by the names in each file's own header, in any order. A column of ``schema``
+    that a file lacks is NULL there, and others are left out; ``schema`` may name text columns.
+    Where ax, ay and az are not known they are the sum of linear acceleration and gravity, else
+    ``accel_*``. NaN becomes NULL, the timestamp an integer millisecond. Cells hold no commas.
     """
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(folder, pathGlobFilter="*.csv")
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     path = F.col("_metadata.file_path")
-    keyed = raw.select("*", base_name(path).alias("trip_file"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("trip_folder"),
-                       at.alias("file_pos"))
-    return clean_nans(keyed).withColumn("ts_ms", F.floor("timestamp").cast("bigint"))
+    lines = spark.read.text(folder, pathGlobFilter="*.csv").select(
+        "value", path.alias("_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    heads = lines.where("block = 0").groupBy("_path").agg(F.min_by("value", "line").alias("_head"), F.min("line").alias("_first"))
+    names = F.transform(F.split("_head", ","), _plain)
+    rows = join_per_key(lines, heads.select("_path", "_first", names.alias("_names")), ["_path"], ["line"])
+    rows = rows.where("line <> _first and value <> ''").withColumn("_cells", F.split("value", ","))
+
+    def cell(name: str, kind: T.DataType) -> Column:
+        text = F.get("_cells", F.array_position("_names", F.lit(name)).cast("int") - 1)
+        text = F.nullif(_plain(F.when(F.array_contains("_names", F.lit(name)), text)), F.lit(""))
+        return text if isinstance(kind, T.StringType) else text.try_cast(kind)
+
+    more = [f"accel_{a}" for a in "xyz" if f"accel_{a}" not in schema.fieldNames()]
+    keyed = rows.select(*[cell(f.name, f.dataType).alias(f.name) for f in schema.fields], *[cell(c, T.DoubleType()).alias(c) for c in more],
+                        base_name(F.col("_path")).alias("trip_file"), F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1).alias("trip_folder"),
+                        F.struct("block", "line").alias("file_pos"))
+    clean = clean_nans(keyed)
+    if set(_AXES) <= set(clean.columns):
+        clean = clean.withColumns({f"a{a}": F.coalesce(f"a{a}", F.col(f"lin_a{a}") + F.col(f"grav_{a}"), f"accel_{a}") for a in "xyz"})
+    return clean.drop(*more).withColumn("ts_ms", F.floor("timestamp").cast("bigint"))
+
+
+def _plain(cell: Column) -> Column:
+    """A CSV cell without blanks, quotes and byte order mark around it."""
+    return F.trim(F.regexp_replace(cell, '["\ufeff\r]', ""))
 
 
 def read_trip_meta(spark: SparkSession, folder: str) -> DataFrame:
     """Trip metadata documents, one per file, pretty-printed or on one line."""
     docs = spark.read.schema(META_SCHEMA).json(folder, multiLine=True, pathGlobFilter="*.json")
-    return docs.select("*", base_name(F.col("_metadata.file_path")).alias("trip_file"))
+    path = F.col("_metadata.file_path")
+    return docs.select("*", base_name(path).alias("trip_file"), path.alias("meta_path"))
 
 
 def pair_meta(samples: DataFrame, meta: DataFrame, spread: Sequence[str] = ("ts_ms",)) -> DataFrame:
-    """Samples with the trip id of their metadata, else the file's own name."""
-    ids = meta.groupBy("trip_file").agg(F.min("tripId").alias("tripId"))
+    """Samples with the trip id of their metadata, the first by path if files share a name, else the file's own name."""
+    first = F.struct("meta_path", "tripId") if "meta_path" in meta.columns else F.col("tripId")
+    ids = meta.where("tripId is not null").groupBy("trip_file").agg(F.min_by("tripId", first).alias("tripId"))
     joined = join_per_key(samples, ids, ["trip_file"], spread, "left")
     return joined.withColumn("trip_id", F.coalesce("tripId", F.concat("trip_file", F.lit(".csv")))).drop("tripId")
 
