@@ -25,6 +25,13 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+@pytest.mark.parametrize("name", ["zscore_global", "params_broadcast", "ks_two_sample", "label_index", "histogram",
+                                  "random_group_holdout", "control_trip", "balanced_weights"])
+def test_no_cross_join(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

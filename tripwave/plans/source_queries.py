@@ -94,13 +94,18 @@ def stage_roundtrip(spark, folder):
     return stage.read_stage(spark, path, back.schema, "csv")
 
 
-@query("tensor_sink", f"""WITH {VEC_SQL} SELECT vec_id, len(embedding) AS n, r6(embedding[1]::DOUBLE) AS first, r6(embedding[64]::DOUBLE) AS last FROM vec""")
+@query("tensor_sink", f"""WITH {VEC_SQL} SELECT vec_id, cls AS y, trip_id AS group_id, unnest(range(64)) % 32 AS i, unnest(range(64)) // 32 AS channel,
+  r6(unnest(embedding)::DOUBLE) AS v FROM vec""")
 def tensor_sink(spark, folder):
-    """Float arrays per row, written and read back as Parquet."""
-    v = vec(spark, folder).select("vec_id", F.col("x").cast("array<float>").alias("x"))
+    """Two float channels per row with label, group and id, written and read back as Parquet; every element compared."""
+    x = F.col("x").cast("array<float>")
+    v = vec(spark, folder).select("vec_id", F.col("cls").alias("y"), F.col("trip_id").alias("group_id"),
+                                  F.slice(x, 1, 32).alias("x0"), F.slice(x, 33, 32).alias("x1"))
     back = stage.read_stage(spark, stage.write_stage(v, stage.new_folder(spark, "tensors"), "vec_id", 4))
-    x = F.col("x").cast("array<double>")
-    return back.select("vec_id", F.size("x").cast("bigint").alias("n"), r6(x[0]).alias("first"), r6(x[63]).alias("last"))
+    flat = back.select("vec_id", "y", "group_id", F.posexplode(F.array("x0", "x1")).alias("channel", "_x"))
+    flat = flat.select("vec_id", "y", "group_id", "channel", F.posexplode("_x").alias("i", "v"))
+    return flat.select("vec_id", "y", "group_id", F.col("i").cast("bigint").alias("i"), F.col("channel").cast("bigint").alias("channel"),
+                       r6(F.col("v").cast("double")).alias("v"))
 
 
 @query("worklist_sink", f"""WITH {SIG_SQL} SELECT event_id, lat, lon, v AS score, '' AS label, '' AS notes,
