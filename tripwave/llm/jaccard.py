@@ -212,6 +212,15 @@ def blocks(entries: DataFrame, params: JoinParams) -> DataFrame:
     return ranged.select("token", "key", "n", "front").mapInArrow(run, "token long, chunk long, key long, n int")
 
 
+def one_of_equal(kept: DataFrame) -> DataFrame:
+    """Of whole blocks with the same members only one: the many shingles that close copies share say the same."""
+    whole = kept.where("chunk < 0")
+    members = whole.groupBy("token").agg(F.bit_xor(F.xxhash64("key")).alias("_all"), F.count(F.lit(1)).alias("_n"),
+                                         F.min("key").alias("_least"), F.max("key").alias("_most"))
+    first = members.groupBy("_all", "_n", "_least", "_most").agg(F.min("token").alias("token"))
+    return whole.join(first.select("token"), "token", "left_semi").unionByName(kept.where("chunk >= 0"))
+
+
 def units(kept: DataFrame, all_pairs: bool, percent: int) -> DataFrame:
     """Entries by unit of work: ``token``, ``left``, ``right``, ``side``, and the entry.
 
@@ -445,8 +454,9 @@ def similar_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     sketched = materialize(sketch(docs, params))
     named = sketched.where("n is not null").select("doc_id", "n", "key")
     entries = materialize(prefixes(docs, order_hints(sketched, params), params))
-    bits = entries.where("bits is not null").select("key", "bits").dropDuplicates(["key"])
-    kept = materialize(blocks(entries.where("token is not null"), params))
+    kept = materialize(one_of_equal(materialize(blocks(entries.where("token is not null"), params))))
+    bits = entries.where("bits is not null").select("key", "bits")
+    bits = materialize(bits.join(kept.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
 
     links, labels = None, None
     for all_pairs in (False, True):
