@@ -92,7 +92,7 @@ def mix_words(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
     """
     sized = materialize(docs.select("doc_id", _name(F.col("source")).alias("name"), _key(F.col("doc_id")).alias("key"),
                                     n_words(F.col("text")).alias("size")))
-    plan = cuts(sized.select("name", "key", "size"), weights, share, most)
+    plan = materialize(cuts(sized.select("name", "key", "size"), weights, share, most))
     return sized.join(plan, "name").select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
 
@@ -105,7 +105,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
     docs = docs.select(*DOCUMENT_COLUMNS)
     sized = docs.select("*", _name(F.col("source")).alias("name"), _key(F.col("doc_id")).alias("key"),
                         n_words(F.col("text")).alias("size"))
-    plan = cuts(materialize(sized.select("name", "key", "size")), weights, share, most)
+    plan = materialize(cuts(materialize(sized.select("name", "key", "size")), weights, share, most))
     rows = sized.join(plan, "name").withColumn("_taken", _taken()).where("_taken > 0")
     rows = rows.withColumn("_left", F.explode(F.transform(
         F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("size")).cast("int") - 1),
