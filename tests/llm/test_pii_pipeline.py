@@ -48,6 +48,19 @@ def test_base_spans_equal_plain_patterns(spark):
             assert all(b[2] <= a["start"] or b[1] >= a["end"] for b in spans) and a["end"] <= len(text)
 
 
+def test_addresses_with_zero_parts(spark):
+    rng = random.Random(9)
+    parts = ["0", "00", "000", "1", "01", "10", "255", "0255", "256", "0256", "99", "099", "100", "0" * 3000]
+    texts = ["10.0.0.1", "127.0.0.1", "192.168.0.1", "0.0.0.0", "00.000.0.00", "0.0.0.256", "0.0.0.", "0.0.0.0.0.0.0.0",
+             *[" ".join(".".join(rng.choices(parts, k=4)) for _ in range(3)) for _ in range(300)]]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in dicts(pii.find(documents(spark, list(enumerate(texts)))))}
+    for i, text in enumerate(texts):
+        assert got[i] == base(text), i
+    assert all(got[i] == [(1, 0, len(texts[i]))] for i in range(5))
+    strict = [r[0] for r in spark.createDataFrame([(t,) for t in texts[:6]], "t string").selectExpr(f"t rlike r'{pii.STRICT['ip']}'").collect()]
+    assert strict == [True] * 5 + [False]
+
+
 def test_added_spans(spark):
     filler = [(i, f"write to joe{i}@mail.example.com or call +1 (269) 555-{3000 + i} from 10.0.0.{i} please") for i in range(60)]
     number = [(100 + i, f"order 90{i:02d}3905 9237 1137 of the day") for i in range(40)]

@@ -29,7 +29,7 @@ BASE = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[ -]?+[0-9]){12,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 CANDIDATE = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+(?:@| ?[\[(][aA][tT][\])] ?)[A-Za-z0-9-]++"
