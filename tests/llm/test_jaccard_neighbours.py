@@ -144,3 +144,34 @@ def test_a_third_equal_vectors(spark):
     for q in want:
         if q % 3 == 0:
             assert [i for i, _ in got[q]] == [i for i in range(0, 600, 3) if i != q][:5]
+
+
+def test_near_and_scaled_copies(spark):
+    rng = np.random.RandomState(4)
+    center = rng.randn(32).astype(np.float32)
+    near = [(center * (1 + 1e-4 * rng.randn(32))).astype(np.float32) for _ in range(2500)]
+    small = rng.randint(1, 9, 32)
+    vectors_ = [*near, *[small * c for c in range(1, 401)], *[rng.randn(32) for _ in range(600)]]
+    order = rng.permutation(len(vectors_))
+    rows = [(i, [float(x) for x in vectors_[order[i]]]) for i in range(len(vectors_))]
+    df = vectors(spark, rows)
+    got, want = result(neighbours.search(df, df.where("vec_id % 50 = 0"))), brute(rows)
+    assert got.keys() == want.keys()
+    scaled = sorted(i for i in range(len(rows)) if 2500 <= order[i] < 2900)
+    hits = total = 0
+    for q, answer in want.items():
+        if order[q] < 2500:
+            hits, total = hits + len({i for i, _ in got[q]} & {i for i, _ in answer}), total + 5
+        elif order[q] < 2900:
+            assert [i for i, _ in got[q]] == [i for i in scaled if i != q][:5]
+    assert hits >= 0.95 * total > 0
+
+
+def test_parts_keep_every_near_copy(spark):
+    rng = np.random.RandomState(5)
+    center = rng.randn(64).astype(np.float32)
+    rows = [(i, [float(x) for x in (center * (1 + 1e-4 * rng.randn(64))).astype(np.float32)]) for i in range(3000)]
+    df = vectors(spark, rows)
+    one_list = neighbours.IndexParams(list_size=10_000, part=1000)
+    got, want = result(neighbours.search(df, df.where("vec_id % 50 = 0"), params=one_list)), brute(rows)
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)

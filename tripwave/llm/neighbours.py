@@ -4,8 +4,9 @@ Centroids are leaves of a balanced tree fitted on a bounded sample. Every vector
 the posting list of its nearest centroid, and boundary vectors also to further lists
 whose centroid is nearly as near. Centroids are searched by a best-first walk over an
 in-memory neighbour graph; a query reads the lists whose distance ratio to its nearest
-one is small. Equal vectors are one entry, so a vector that a third of all rows share
-costs no more than any other, and long lists are read in parts.
+one is small. Vectors of one direction are one entry, so a vector that a third of all rows
+share costs no more than any other, and long lists are read in parts. Distances and scores
+are computed in double precision throughout: single precision cannot rank near copies.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwave.operators.ordered import materialize
@@ -83,8 +85,8 @@ class Graph:
         found = min(lists, k + 16)
         width = min(width, lists)
         rows = np.arange(n)[:, None]
-        sims = np.full((n, lists), -2.0, np.float32)
-        open_ = np.full((n, lists), -2.0, np.float32)  # similarity of those seen and not yet expanded
+        sims = np.full((n, lists), -2.0)
+        open_ = np.full((n, lists), -2.0)  # similarity of those seen and not yet expanded
         first = np.broadcast_to(self.entries, (n, len(self.entries)))
         sims[rows, first] = open_[rows, first] = vectors @ self.centroids[self.entries].T
         while True:
@@ -110,6 +112,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def direction(vector: Column) -> Column:
+    """The vector over its largest component: the same bits for v, 2v or 3v, and the same cosines."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    return F.transform(F.transform(vector, lambda x: x / largest), lambda x: x + F.lit(0.0))  # no -0.0
+
+
 def _key(vector: Column) -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(vector)), F.hex(F.xxhash64(F.reverse(vector))))
 
@@ -129,7 +137,7 @@ def fit(vectors: DataFrame, n: int, params: IndexParams) -> np.ndarray:
     points = unit(_matrix(drawn))
     lists = max(1, min(params.max_lists, n // params.list_size, len(points) // 8))
     leaves = balanced_leaves(points, lists, np.random.RandomState(params.seed))
-    return unit(np.array(leaves)).astype(np.float32)
+    return unit(np.array(leaves))
 
 
 def _to_lists(rows: DataFrame, centroids: np.ndarray, most: int, ratio: float, least: int, params: IndexParams) -> DataFrame:
@@ -141,7 +149,7 @@ def _to_lists(rows: DataFrame, centroids: np.ndarray, most: int, ratio: float, l
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                lists, far = graph.search(unit(_matrix(part)).astype(np.float32), most)
+                lists, far = graph.search(unit(_matrix(part)), most)
                 row, place = np.nonzero((far <= ratio * far[:, :1] + 1e-6) | (np.arange(far.shape[1]) < least))
                 chosen = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(lists[row, place], pa.int32())],
@@ -174,7 +182,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: IndexPara
         return vectors.sparkSession.createDataFrame([], schema)
     rows, wanted = rows.where(F.size("embedding") == usual["d"]), wanted.where(F.size("embedding") == usual["d"])
 
-    # Of equal vectors only the k + 1 smallest ids can be among k neighbours.
+    rows, wanted = (df.withColumn("embedding", direction(F.col("embedding"))) for df in (rows, wanted))
+
+    # Of vectors with one direction only the k + 1 smallest ids can be among k neighbours.
     same = Window.partitionBy("embedding").orderBy("vec_id")
     first = rows.withColumn("_at", F.dense_rank().over(same)).where(F.col("_at") <= k + 1)
     first = first.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
@@ -200,18 +210,22 @@ def _scored(postings: DataFrame, probes: DataFrame, k: int, params: IndexParams)
             return pa.table({"query": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int64())),
                              "score": pa.array([], pa.float64())})
         v, q = unit(_matrix(entries)), unit(_matrix(asked))
-        wide, own = v.astype(np.float32), []
-        most = min(len(v), 4 * (k + 1))
+        least = pc.list_element(entries["ids"], 0).to_numpy()
+        most, own = min(len(v), k + 1), []
+        # A product of matrices may sum in any order; what it cannot tell apart is summed in one order below.
+        unsure = 4 * (v.shape[1] + 8) * np.finfo(np.float64).eps
         for at in range(0, len(q), 256):
-            sims = q[at:at + 256].astype(np.float32) @ wide.T
-            near = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-            exact = np.einsum("nd,nkd->nk", q[at:at + 256], v[near])
-            best = np.argsort(-exact, axis=1, kind="stable")[:, :k + 1]
-            rows = np.arange(len(near))[:, None]
-            own.append((near[rows, best], exact[rows, best]))
-        near, exact = np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own])
-        return pa.table({"query": asked["query"].take(pa.array(np.repeat(np.arange(len(q)), near.shape[1]))),
-                         "ids": entries["ids"].take(pa.array(near.ravel())), "score": pa.array(exact.ravel())})
+            sims = q[at:at + 256] @ v.T
+            edge = -np.partition(-sims, most - 1, axis=1)[:, most - 1:most]
+            row, near = np.nonzero(sims >= edge - unsure)
+            step = max(1, (1 << 22) // v.shape[1])
+            exact = np.concatenate([np.einsum("nd,nd->n", q[at + row[i:i + step]], v[near[i:i + step]]) for i in range(0, len(row), step)])
+            order = np.lexsort((least[near], -exact, row))
+            place = np.arange(len(row)) - np.searchsorted(row, row)  # rows ascend, before and after sorting
+            best = order[place < most]
+            own.append((at + row[best], near[best], exact[best]))
+        row, near, exact = (np.concatenate(o) for o in zip(*own))
+        return pa.table({"query": asked["query"].take(pa.array(row)), "ids": entries["ids"].take(pa.array(near)), "score": pa.array(exact)})
 
     keys = ["list", "part", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
