@@ -52,6 +52,20 @@ def test_aliases_and_precedence(spark):
     assert same(got, sql(URL_SQL, pages=pages))
 
 
+def test_refresh_targets_and_all_tags(spark):
+    refresh = lambda content: f"<meta http-equiv=refresh content={content}>"
+    rows = [
+        (1, "http://mid.com/x?p=1&q=2", link("c", "http://bad.net/a")), (2, "http://mid.com/y;s=1?k=2;l=3", link("c", "http://bad.net/a")),
+        (3, "http://amp.com/", refresh('"0; url=http://mid.com/x?p=1&amp;q=2"')), (4, "http://semicolon.com/", link("r", "http://mid.com/y;s=1?k=2;l=3")),
+        (5, "http://inner.com/", refresh("\"0;URL='http://mid.com/x?p=1&amp;q=2' \"")), (6, "http://bare.com/", refresh("0;url=//mid.com/x?p=1&amp;q=2")),
+        (7, "http://first.com/", "<meta content='5; url = http://mid.com/x?p=1&amp;q=2 ' http-equiv='refresh'>"),
+        (8, "http://canonicals.com/", link("c", "http://fine.com/") + link("t", "http://mid.com/x?p=1&amp;q=2")),
+        (9, "http://refreshes.com/", link("r", "http://fine2.com/") + refresh('"9"') + link("r", "http://mid.com/x?p=1&q=2")),
+        (10, "http://mid.com/x?p=1", refresh("30")), (11, "http://mid.com/y", ""), (12, "http://mid.com/x?p=1&amp", "")]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, PAGES), URL_RULES).collect()}
+    assert got == {i: "block" if i < 10 else "allow" for i in range(1, 13)}
+
+
 def test_crawled_redirects_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x", None)], PAGES)
     redirects = spark.createDataFrame([("http://a.com/x", "http://b.net/y"), (None, "http://b.net/y"), ("http://c.com", None)], "url string, target string")

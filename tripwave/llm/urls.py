@@ -20,7 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL = r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical[^>]*>"""
 REFRESH = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh[^>]*>"""
 HREF = r"""(?is)\shref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)url\s*=\s*["']?([^"'\s>;]+)"""
+CONTENT = r"""(?is)["'\s/]content\s*=\s*(?:"([^">]*)|'([^'>]*)|([^"'\s>][^\s>]*))"""
+TARGET = r"""(?is)url\s*=\s*(?:"([^"]*)|'([^']*)|([^"'\s].*))"""
 
 
 @dataclass(frozen=True)
@@ -62,11 +63,21 @@ def resolved(link: Column, url: Column) -> Column:
             .when(link.startswith("?"), F.concat(at, path_of(url), link)).otherwise(F.concat(at, folder, link)))
 
 
+def _quoted(text: Column, pattern: str) -> Column:
+    """What ``pattern`` finds in double quotes, single quotes or none; its groups in this order."""
+    return F.concat(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)])
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Redirect and canonical links of the pages: ``address`` and ``target``, both addresses."""
+    """Redirect and canonical links of the pages, from every such tag: ``address`` and ``target``, both addresses.
+
+    The target of a refresh is what follows ``url=`` in its content, up to the closing quote.
+    """
     html = F.col("html")
-    found = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-                    F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
+    canonical = F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), lambda tag: F.regexp_extract(tag, HREF, 1))
+    refresh = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)),
+                          lambda tag: F.btrim(_quoted(_quoted(tag, CONTENT), TARGET), F.lit(" \t\n\f\r")))
+    found = F.concat(canonical, refresh)
     rows = pages.where(html.isNotNull() & F.col("url").isNotNull()).select("url", F.explode(found).alias("link"))
     rows = rows.where("link != ''").select(address(F.col("url")).alias("address"),
                                            address(resolved(F.col("link"), F.col("url"))).alias("target"))
