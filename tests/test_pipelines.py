@@ -142,6 +142,16 @@ def test_nearest_in_space_is_exact(spark):
     assert got == want and len(want) > 10
 
 
+def test_nearest_in_space_across_the_meridian(spark):
+    a = [(1, 0.0, 179.99999), (2, 60.0, -179.99999), (3, -7.0, 180.0), (4, 0.0, 179.9), (5, 89.5, -180.0)]
+    b = [(1, 0.0, -179.99999), (2, 60.0, 179.99999), (3, -7.0, -180.0), (4, 0.0, -179.9), (5, 89.5, 179.9999)]
+    got = reconcile.nearest_in_space(spark.createDataFrame(a, "a long, lat double, lon double"),
+                                     spark.createDataFrame(b, "b long, lat double, lon double"), "a", "b", 10.0)
+    found = {r["a"]: (r["b"], r["distance_m"]) for r in got.collect()}
+    assert {k: v[0] for k, v in found.items()} == {1: 1, 2: 2, 3: 3, 5: 5}
+    assert abs(found[1][1] - 2.2239) < 0.01 and abs(found[2][1] - 1.112) < 0.01 and found[3][1] < 1e-6
+
+
 @pytest.mark.parametrize("pivots,part", [(64, 4096), (7, 20), (2, 5)])
 def test_neighbours_are_exact(spark, pivots, part):
     rng = np.random.default_rng(3)

@@ -76,7 +76,8 @@ def nearest_in_space(left: DataFrame, right: DataFrame, left_id: str, right_id:
 
     Points are searched on a geographic grid, finest cells first: a point matched
     within a cell's width is settled there, so crowded places never pair up whole
-    coarse cells. Points at equal coordinates count once on either side.
+    coarse cells. Points at equal coordinates count once on either side. Right points
+    within a cell of longitude 180 are searched from both sides of it.
     """
     at_right = right.groupBy(*by, F.col("lat").alias("rlat"), F.col("lon").alias("rlon")).agg(
         F.min(right_id).alias(right_id))
@@ -89,11 +90,18 @@ def nearest_in_space(left: DataFrame, right: DataFrame, left_id: str, right_id:
         def row_cell(lat: Column) -> Column:
             return F.floor(lat / step)
 
-        def col_cell(lon: Column, row: Column) -> Column:
+        def cells_per_degree(row: Column) -> Column:
             widest = F.greatest(F.abs(row), F.abs(row + 1)) * step
-            return F.floor(lon * F.greatest(F.cos(F.radians(F.least(widest, F.lit(89.9)))), F.lit(1e-3)) / step)
+            return F.greatest(F.cos(F.radians(F.least(widest, F.lit(89.9)))), F.lit(1e-3)) / step
+
+        def col_cell(lon: Column, row: Column) -> Column:
+            return F.floor(lon * cells_per_degree(row))
 
-        placed = at_right.withColumn("_r", row_cell(F.col("rlat"))).withColumn("_c", col_cell(F.col("rlon"), F.col("_r")))
+        placed = at_right.withColumn("_r", row_cell(F.col("rlat")))
+        edge = (180 - F.abs("rlon")) * cells_per_degree(F.col("_r")) <= 2
+        turned = F.col("rlon") - 360 * F.signum("rlon")
+        placed = placed.withColumn("rlon", F.explode(F.when(edge, F.array("rlon", turned)).otherwise(F.array("rlon"))))
+        placed = placed.withColumn("_c", col_cell(F.col("rlon"), F.col("_r")))
         seek = todo.withColumn("_r", F.explode(F.array(*[row_cell(F.col("lat")) + d for d in (-1, 0, 1)])))
         seek = seek.withColumn("_c", F.explode(F.array(*[col_cell(F.col("lon"), F.col("_r")) + d for d in (-1, 0, 1)])))
         dist = haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
