@@ -57,6 +57,29 @@ def test_long_texts_and_no_id(spark):
     assert got == {1: 1, 2: 1, 3: 3, None: 9, 9: 9}
 
 
+def test_rows_without_an_id_and_repeated_rows(spark):
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcde"]
+    near = text[1] + " tail"
+    rows = [(None, text[0]), (1, text[1]), (1, text[1]), (1, text[1]), (7, near), (7, text[2]), (8, near), (None, text[3]), (None, text[3]),
+            (None, text[4]), (9, text[4] + " end"), (None, ""), (2, None)]
+    df = documents(spark, rows).repartition(3)
+    stay = jaccard.one_of_each(df, jaccard.JoinParams(words=5, percent=80))
+    assert stay.columns == df.columns
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in stay.collect()))
+    assert got == sorted([(0, text[0]), (1, text[1]), (7, text[2]), (0, text[3]), (9, text[4] + " end"), (0, ""), (2, "")])
+
+
+def test_links_through_a_row_without_an_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    at = lambda i: " ".join(words[i:i + 100])
+    # 1 and 2 link only through the row between them.
+    rows = [(1, at(0)), (None, at(6)), (2, at(12)), (3, "x y z u v")]
+    params = jaccard.JoinParams(words=4, percent=85)
+    assert similar([t for _, t in rows], 4, 85)[0] == [0, 0, 0, 3] and similar([at(0), at(12)], 4, 85)[0] == [0, 1]
+    got = {r["doc_id"]: r["component_id"] for r in dicts(jaccard.similar_groups(documents(spark, rows), params))}
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}
+
+
 def test_shingles_equal_word_tuples():
     hasher = WordHasher()
     for text in ("a", "a b c", "a  b\tc\nd e", "A b C d a B c D", "é ü " * 50, "w " * 700000, " lead and trail ", " a b c d "):

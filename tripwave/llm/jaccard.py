@@ -413,8 +413,8 @@ def candidates(kept: DataFrame, bits: DataFrame, all_pairs: bool, params: JoinPa
 
 def exact_sets(docs: DataFrame, named: DataFrame, keys: DataFrame, params: JoinParams) -> DataFrame:
     """``key`` and its exact ``shingles`` for the keys given, from one document of each."""
-    one = named.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(one.select("doc_id").distinct(), "doc_id", "left_semi")
+    one = named.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id"))
+    texts = docs.select("doc_id", "text").join(one.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -447,8 +447,8 @@ def similar_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     Documents link if their shingle sets overlap by ``percent`` of the union; a component is
     what links reach, named by its smallest ``doc_id``. NULL and empty texts have no
     shingles and link with nothing; a text of fewer words than a shingle is one shingle;
-    equal texts always link. Rows that repeat an id are documents of the same name; an
-    empty table gives no rows. Shingles and sets are told apart by 64-bit hashes.
+    equal texts always link. Rows that repeat an id are documents of the same name; those
+    without an id link like any other but name no component; an empty table gives no rows. Shingles and sets are told apart by 64-bit hashes.
     """
     docs = docs.select("doc_id", "text")
     sketched = materialize(sketch(docs, params))
@@ -476,7 +476,16 @@ def similar_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
 
 
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """The documents that name their group: one of each, and all without a word."""
-    groups = similar_groups(docs, params)
-    stay = groups.where("doc_id = component_id or n_shingles = 0").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    """One document of each group of similar ones, and every row without a word.
+
+    Each row has a key of its own, a number that is written once; of a group the row with the
+    smallest ``doc_id`` stays, NULL last, and of rows with that id the one with the smallest
+    number. So a row without an id is judged by its text like any other, and of rows that
+    repeat an id those with one text, or similar ones, leave one.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = similar_groups(rows.select(F.col("_row").alias("doc_id"), "text"), params)
+    groups = groups.withColumnsRenamed({"doc_id": "_row", "component_id": "_group"}).join(rows.select("_row", "doc_id"), "_row")
+    first = groups.where("n_shingles > 0").groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"))
+    stay = first.select("_first._row").unionByName(groups.where("n_shingles = 0").select("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
