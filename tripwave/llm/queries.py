@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripwave.llm import bpe, jaccard, language, mixing, neighbours, pii, quality, secrets, sharding, urls
+from tripwave.llm import bpe, jaccard, language, mixing, neighbours, phrases, pii, quality, secrets, sharding, urls
 from tripwave.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,38 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.encode(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                          public_tokenizers.PATTERN)
     return bpe.digests(encoded)
+
+
+PHRASE_SQL = r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')),
+    '[^\x20\x09]+') as w from documents),
+total as (select lang, sum(len(w))::hugeint as n from piece group by lang),
+gram as (
+  select lang, unnest(flatten(list_transform(range(1, 6), lambda k:
+    list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) as g from piece),
+freq as (select lang, g, count(*) as f from gram group by all having f >= 100),
+inner_part as (
+  select lang, f, unnest(flatten(list_transform(range(2, len(g)), lambda m:
+    list_transform(range(1, len(g) - m + 2), lambda i: g[i:i + m - 1])))) as g from freq),
+cover as (select lang, g, max(f) as f from inner_part group by all),
+alone as (
+  select freq.lang, freq.g, freq.f from freq left join cover using (lang, g)
+  where len(freq.g) >= 2 and (cover.f is null or 100 * cover.f < 100 * freq.f)),
+cut as (select lang, g, f, unnest(range(1, len(g))) as c from alone),
+scored as (
+  select cut.lang, array_to_string(cut.g, ' ') as phrase, cut.f as a, x.f as l, y.f as r, n, c,
+    (1000::hugeint * cut.f * n) // (x.f::hugeint * y.f) as score
+  from cut join freq x on x.lang = cut.lang and x.g = cut.g[1:c] join freq y on y.lang = cut.lang and y.g = cut.g[c + 1:]
+    join total on total.lang = cut.lang),
+worst as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r,
+  n::bigint as n, score::bigint as score
+from worst qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000"""
+
+
+@query("op11_phrase_mining", PHRASE_SQL)
+def phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, folder, "documents"))
