@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripwave.llm import bpe, jaccard, language, mixing, neighbours, phrases, pii, quality, secrets, sharding, urls
+from tripwave.llm import alignment, bpe, jaccard, language, mixing, neighbours, phrases, pii, quality, secrets, sharding, urls
 from tripwave.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +261,11 @@ from worst qualify row_number() over (partition by lang order by score desc, a d
 @query("op11_phrase_mining", PHRASE_SQL)
 def phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(read_table(spark, folder, "documents"))
+
+
+@query("op12_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_documents(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
