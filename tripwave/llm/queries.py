@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripwave.llm import alignment, bpe, jaccard, language, mixing, neighbours, phrases, pii, quality, secrets, sharding, urls
+from tripwave.llm import alignment, bpe, jaccard, language, mixing, neighbours, packing, phrases, pii, quality, secrets, sharding, urls
 from tripwave.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,3 +269,12 @@ def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
     return alignment.align_documents(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                      public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+@query("op13_packing")
+def packing_query(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack_documents(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                    public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
