@@ -71,6 +71,15 @@ def test_equal_to_brute_force_and_sql(spark):
     assert phrases.collocations(frame(spark, rows).limit(0), p).count() == 0
 
 
+def test_false_hits_lose_nothing(spark):
+    rows = corpus(120)
+    f, _ = counts(rows, 5)
+    whole = {(lang, " ".join(g)): c for (lang, g), c in f.items() if c >= 10}
+    for bits in (128, 256, 512, 1024):
+        found, _ = phrases.frequent_phrases(frame(spark, rows), MiningParams(least=10, one_in=1000, bits=bits, block=60))
+        assert sorted((r.lang, bytes(r.phrase).decode(), r.f) for r in found.collect() if r.k) == sorted((*k, c) for k, c in whole.items())
+
+
 def test_failures_of_the_border_are_repaired(spark):
     rows = corpus(200)
     f, _ = counts(rows, 4)
@@ -94,17 +103,22 @@ def test_a_full_table_only_counts_more(spark):
 def test_hashes_agree_between_builder_and_blocks():
     block = phrases.Block()
     block.add("en", b"new york city")
-    langs, words = block.words()
-    h = np.fromiter(map(phrases._word_hash, langs, words), np.uint64, 3)
+    _, _, h = block.words()
     assert phrases._longer(phrases._longer(h[:1], h[1:2]), h[2:])[0] == phrases._phrase_hashes(["en"], [b"new york city"])[0]
 
 
 def test_segments_end_between_words():
-    text = b"aa bb,cc  ddd\teee" * 50
+    text = (b"aa bb,cc  ddd\teee" * 50).translate(phrases.PLAIN)
     parts = [w for s in phrases._segments(text, 7) for w in s.split(b" ") if w]
     assert parts == [w for s in phrases._segments(text) for w in s.split(b" ") if w]
 
 
+def test_sample_draws_pieces():
+    text = b"\n".join(b"p%d" % i for i in range(4000))
+    drawn = [phrases._drawn(text, seed, 4).split(b"\n") for seed in (1, 2)]
+    assert all(900 < len(d) < 1100 for d in drawn) and drawn[0] != drawn[1]
+
+
 def test_scores_beyond_64_bits(spark):
     rows = spark.createDataFrame([("en", b"", 0, 9 * 10**17), ("en", b"a", 1, 10**17), ("en", b"b", 1, 3 * 10**17),
                                   ("en", b"a b", 2, 10**16)], phrases.COUNTED)

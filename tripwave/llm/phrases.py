@@ -1,7 +1,7 @@
 """Phrase collocation mining by Toivonen's method.
 
-A sample of the documents is mined level by level at a lowered count and proposes the
-phrases that may be frequent. One pass over all documents counts these and their negative
+A sample of the pieces between punctuation marks is mined level by level at a lowered count
+and proposes the phrases that may be frequent. One pass over all documents counts these and their negative
 border exactly: a phrase is counted if its first part and its last part, one word shorter,
 are both proposed, and every single word is. A border phrase that turns out frequent is
 a failure: it joins the proposals, and another pass counts what its border adds, until no
@@ -40,7 +40,7 @@ COUNTED = "lang string, phrase binary, k int, f long"
 class MiningParams:
     """What counts as frequent, how long a phrase may be, and the first so many of each language.
 
-    ``one_in`` documents form the sample; ``bits`` is the size of the proposal table (a power
+    One in ``one_in`` pieces is in the sample; ``bits`` is the size of the proposal table (a power
     of two, an eighth of that in bytes); a task counts in blocks of about ``block`` words.
     """
 
@@ -49,17 +49,17 @@ class MiningParams:
     top: int = 2000
     one_in: int = 4
     bits: int = 1 << 26
-    block: int = 2_000_000
+    block: int = 500_000
 
     @property
     def lowered(self) -> int:
-        """Two standard deviations below what a phrase at the limit has in the sample."""
+        """Four standard deviations below what a phrase at the limit has in the sample, so that few are missed."""
         mean = self.least / self.one_in
-        return max(1, math.floor(mean - 2 * math.sqrt(mean)))
+        return max(1, math.floor(mean - 4 * math.sqrt(mean * (1 - 1 / self.one_in))))
 
 
-def _word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, xxhash.xxh32_intdigest(lang.encode()))
+def _lang_hash(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang.encode())
 
 
 def _longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -89,10 +89,11 @@ class Proposals:
 
 def _phrase_hashes(langs: list[str], phrases: list[bytes]) -> np.ndarray:
     hashes = np.empty(len(phrases), np.uint64)
+    seeds = {lang: _lang_hash(lang) for lang in set(langs)}
     for i, (lang, phrase) in enumerate(zip(langs, phrases)):
-        h = None
+        h, seed = None, seeds[lang]
         for word in phrase.split(b" "):
-            w = _word_hash(lang, word)
+            w = xxhash.xxh3_64_intdigest(word, seed)
             h = w if h is None else (h * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
         hashes[i] = h
     return hashes
@@ -139,19 +140,20 @@ class Block:
         self.parts.append(numbers)
         self.size += len(numbers)
 
-    def words(self) -> tuple[list[str], list[bytes]]:
+    def words(self) -> tuple[list[str], list[bytes], np.ndarray]:
+        """Language, bytes and hash of each number."""
         n = sum(len(known) - 2 for known in self.ids.values())
-        langs, words = [""] * n, [b""] * n
+        langs, words, hashes = [""] * n, [b""] * n, np.empty(n, np.uint64)
         for lang, known in self.ids.items():
+            seed = _lang_hash(lang)
             for word, i in known.items():
                 if i >= 0:
-                    langs[i], words[i] = lang, word
-        return langs, words
+                    langs[i], words[i], hashes[i] = lang, word, xxhash.xxh3_64_intdigest(word, seed)
+        return langs, words, hashes
 
 
 def _segments(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
-    """A text as plain words, in parts of about ``size`` bytes that end between words."""
-    text = text.lower().translate(PLAIN)
+    """A plain text in parts of about ``size`` bytes that end between words, piece ends set apart by spaces."""
     at = 0
     while at < len(text):
         stop = at + size
@@ -163,6 +165,12 @@ def _segments(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
     yield b" \n "
 
 
+def _drawn(text: bytes, seed: int, one_in: int) -> bytes:
+    """One in so many pieces of a plain text, by the piece's number and the text's seed."""
+    return b"\n".join([piece for i, piece in enumerate(text.split(b"\n"))
+                       if ((i * 2654435761 ^ seed) * 2246822519 & 0xFFFFFFFF) * one_in >> 32 == 0])
+
+
 def _count(block: Block, own: int, lengths: range, now: Proposals | None, before: Proposals | None,
            totals: bool) -> Iterator[pa.RecordBatch]:
     """Counts of one block's phrases that start in its first ``own`` words.
@@ -170,31 +178,29 @@ def _count(block: Block, own: int, lengths: range, now: Proposals | None, before
     Counted are phrases of ``lengths`` whose parts are in ``now``, but for those that ``before`` already gave.
     """
     numbers = np.concatenate(block.parts)
-    langs, words = block.words()
+    langs, words, word_hash = block.words()
     if not words:
         return
-    lang_of, text = pa.array(langs), pa.array(words, pa.binary())
-    hashes = np.fromiter(map(_word_hash, langs, words), np.uint64, len(words))
-    word_hash = hashes
+    lang_of, text, hashes = pa.array(langs), pa.array(words, pa.binary()), word_hash
+    word_text = text
 
     def rows(lang: pa.Array, phrase: pa.Array, k: int, f: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(f), k, np.int32)), pa.array(f)],
                                           names=["lang", "phrase", "k", "f"])
 
     at = np.flatnonzero(numbers >= 0)
-    code = numbers[at]
+    code, known = numbers[at], np.full(len(words), before is not None)  # counted in an earlier pass
     counts = np.bincount(code[at < own], minlength=len(words))
     if totals:
-        for lang, known in block.ids.items():
-            mine = np.fromiter((i for i in known.values() if i >= 0), np.int64)
+        for lang, ids in block.ids.items():
+            mine = np.fromiter((i for i in ids.values() if i >= 0), np.int64)
             yield rows(pa.array([lang]), pa.array([b""], pa.binary()), 0, counts[mine].sum(keepdims=True))
     if 1 in lengths:
         seen = np.flatnonzero(counts)
         yield rows(lang_of.take(pa.array(seen)), text.take(pa.array(seen)), 1, counts[seen])
     for k in range(2, lengths.stop):
-        # of each position with a phrase of k - 1 words: its number, whether proposed now and before
-        good = now.has(hashes)
-        old = before.has(hashes) if before is not None else np.zeros(len(hashes), bool)
+        # of each position with a phrase of k - 1 words: its number, whether it counts longer ones now and did before
+        good, old = now.has(hashes), known & before.has(hashes) if before is not None else known
         at, code = at[good[code]], code[good[code]]
         if not len(at):
             return
@@ -205,21 +211,24 @@ def _count(block: Block, own: int, lengths: range, now: Proposals | None, before
         last_word = numbers[at[first] + k - 1]
         at, pair = at[first], code[first] * len(words) + last_word
         code, unique = pd.factorize(pair)
+        known = np.zeros(len(unique), bool)
+        known[code] = counted
         prefix, word = unique // len(words), unique % len(words)
         hashes = _longer(hashes[prefix], word_hash[word])
         lang_of = lang_of.take(pa.array(prefix))
-        text = pc.binary_join_element_wise(text.take(pa.array(prefix)), pa.array(words, pa.binary()).take(pa.array(word)), b" ")
+        text = pc.binary_join_element_wise(text.take(pa.array(prefix)), word_text.take(pa.array(word)), b" ")
         if k in lengths:
-            counts = np.bincount(code[(at < own) & ~counted], minlength=len(unique))
+            counts = np.bincount(code[(at < own) & ~known[code]], minlength=len(unique))
             seen = pa.array(np.flatnonzero(counts))
             yield rows(lang_of.take(seen), text.take(seen), k, counts[counts > 0])
 
 
 def count_phrases(docs: DataFrame, lengths: range, params: MiningParams, now: np.ndarray | None = None,
-                  before: np.ndarray | None = None, totals: bool = False) -> DataFrame:
+                  before: np.ndarray | None = None, totals: bool = False, one_in: int = 1) -> DataFrame:
     """Exact counts ``f`` of phrases of ``lengths`` words by ``lang`` whose parts are proposed.
 
-    ``docs`` has ``lang`` (never NULL) and ``text`` (binary). With ``before``, only phrases that a
+    ``docs`` has ``lang`` (never NULL), ``text`` (binary) and ``seed``, which draws the sample if it is
+    one in several pieces. With ``before``, only phrases that a
     pass with that table did not count. ``totals`` adds a row of no words with the words of each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast((now, before))
@@ -230,20 +239,23 @@ def count_phrases(docs: DataFrame, lengths: range, params: MiningParams, now: np
         for batch in batches:
             for i in range(batch.num_rows):
                 lang = batch.column(0)[i].as_py()
-                for segment in _segments(batch.column(1)[i].as_py() or b""):
+                text = (batch.column(1)[i].as_py() or b"").lower().translate(PLAIN)
+                if one_in > 1:
+                    text = _drawn(text, batch.column(2)[i].as_py() & 0xFFFFFFFF, one_in)
+                for segment in _segments(text):
                     block.add(lang, segment)
                     if block.size >= params.block:
                         # the last words of an open piece start phrases that the next block completes
                         tail = np.concatenate(block.parts)[1 - params.longest:]
                         tail = tail[np.flatnonzero(np.append(END, tail) == END)[-1]:]
                         yield from _count(block, block.size - len(tail), lengths, *tables, totals)
-                        _, words = block.words()
+                        _, words, _ = block.words()
                         block = Block()
                         block.add(lang, b" ".join(words[t] for t in tail.tolist()))
         if block.size:
             yield from _count(block, block.size, lengths, *tables, totals)
 
-    rows = docs.select("lang", "text").mapInArrow(run, COUNTED)
+    rows = docs.select("lang", "text", "seed").mapInArrow(run, COUNTED)
     return rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
@@ -266,13 +278,11 @@ def frequent_phrases(docs: DataFrame, params: MiningParams = MiningParams()) ->
     Columns ``lang``, ``phrase`` (binary, words joined by spaces), ``k`` (words), ``f``; a phrase of no
     words holds the language's number of words.
     """
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(params.one_in)) == 0
-    sample = docs.where(drawn).select(F.coalesce("lang", F.lit("und")).alias("lang"),
-                                      F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"),
+                        F.xxhash64("doc_id", "text").alias("seed"))
     table = np.zeros(params.bits // 64, np.uint64)
     for k in range(1, params.longest):  # proposals of full length have no border, so they need none
-        level = materialize(count_phrases(sample, range(k, k + 1), params, table).where(f"f >= {params.lowered}"))
+        level = materialize(count_phrases(texts, range(k, k + 1), params, table, one_in=params.one_in).where(f"f >= {params.lowered}"))
         grown = propose(level, params.bits, table)
         if np.array_equal(grown, table):
             break
