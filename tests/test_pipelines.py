@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tripwave.operators import features, fusion, reconcile, sampling, split, stats, windows
 from tripwave.operators.aggregates import target_correlation
@@ -258,6 +258,33 @@ def test_trip_files(spark, tmp_path):
     assert got == {("id-1", 1, "Pothole", 2.5), ("id-1", 2, "Non-Event", None), ("id-2", 7, "Speed Bump", None)}
 
 
+def test_csv_by_header_classes(spark, tmp_path):
+    files = {
+        "plain.csv": "timestamp,ax,ay,az,lin_ax,note\n1000,1,2,3,4,x\n1010,5,6,7,8,\n",
+        "quoted.csv": 'note,timestamp,"ax",ay,az,lin_ax\n"a, ""b"", c",2000,1,2,3,4\n"plain",2010,"5", 6 ,NaN,\n',
+        "crlf.csv": "\ufefftimestamp,gx,accel_x,accel_y,accel_z\r\n3000,9,1,2,3\r\n3010,oops,4,5,6\r\n",
+        "odd [1] name.csv": "\ntimestamp,ax,ay,az,lin_ax,note\n4000,1,2,3,4,last\n4010,1\n",
+        "twice.csv": "timestamp,ax,ax\n5000,1,99\n", "empty.csv": "", "blank.csv": "\n\n", "head.csv": "timestamp,ax\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, newline="")
+    schema = T.StructType([*trips.SAMPLE_SCHEMA.fields, T.StructField("note", T.StringType())])
+    rows = {r.ts_ms: r for r in trips.read_trip_csv(spark, str(tmp_path), schema).collect()}
+    cells = lambda t, *names: [rows[t][n] for n in names]
+    assert sorted(rows) == [1000, 1010, 2000, 2010, 3000, 3010, 4000, 4010, 5000]
+    assert cells(1000, "ax", "ay", "az", "lin_ax", "note") == [1, 2, 3, 4, "x"] and rows[1010].note is None
+    assert cells(2000, "ax", "ay", "az", "lin_ax", "note") == [1, 2, 3, 4, 'a, "b", c']
+    assert cells(2010, "ax", "ay", "az", "lin_ax", "note") == [5, 6, None, None, "plain"]
+    assert cells(3000, "ax", "ay", "az", "gx") == [1, 2, 3, 9] and cells(3010, "ax", "gx") == [4, None]
+    assert cells(4000, "ax", "note") == [1, "last"] and cells(4010, "ax", "ay", "note") == [1, None, None]
+    assert rows[5000].ax == 1 and rows[4000].trip_file.startswith("odd")
+    assert len(trips.header_classes(spark, str(tmp_path))) == 5
+    (tmp_path / "none").mkdir()
+    assert trips.read_trip_csv(spark, str(tmp_path / "none"), schema).count() == 0
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.csv").write_text('note,timestamp\n"two\nlines, one cell",7000\n')
+    assert trips.read_trip_csv(spark, str(tmp_path / "lines"), schema, multi_line=True).first().note == "two\nlines, one cell"
+
+
 def test_columns_are_required(spark):
     df = spark.createDataFrame([(1.0,)], "lin_ax double")
     with pytest.raises(ValueError):

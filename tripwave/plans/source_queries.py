@@ -28,22 +28,29 @@ def scan_with_key(spark, folder):
                                               F.max("ts_ms").alias("last_ms")), "lin_az", "gx")
 
 
-@query("scan_mixed_layouts", f"""WITH {SENSOR_SQL} SELECT trip_id % 2 AS layout, count(*) AS n, r6(sum(lin_az + grav_z)) AS az, r6(sum(gx)) AS gx,
-  CASE WHEN trip_id % 2 = 1 THEN count(*) END AS n_notes, max(ts_us // 1000) AS last_ms FROM sensor GROUP BY 1""")
+@query("scan_mixed_layouts", f"""WITH {SENSOR_SQL}, n AS (SELECT *, event_type || ', "' || g::VARCHAR || '", end' AS note FROM sensor)
+SELECT trip_id % 3 AS layout, count(*) AS n, r6(sum(CASE WHEN trip_id % 3 = 2 THEN lin_az * 2 ELSE lin_az + grav_z END)) AS az, r6(sum(gx)) AS gx,
+  CASE WHEN trip_id % 3 = 1 THEN count(*) END AS n_notes, CASE WHEN trip_id % 3 = 1 THEN sum(length(note))::BIGINT END AS note_chars,
+  CASE WHEN trip_id % 3 = 1 THEN max(note) END AS last_note, max(ts_us // 1000) AS last_ms FROM n GROUP BY 1""")
 def scan_mixed_layouts(spark, folder):
-    """CSVs of two layouts in one folder: another column order, no ax, ay, az, and a text column in half of them."""
+    """CSVs of three layouts in one folder: other column orders, no ax, ay, az, a text column in front whose cells
+    hold commas and quotes, and accelerations under other names."""
     s = sensor(spark, folder).withColumn("timestamp", F.floor(F.col("ts_us") / 1000).cast("double"))
+    s = s.withColumn("note", F.concat("event_type", F.lit(', "'), F.col("g").cast("string"), F.lit('", end')))
     path = stage.new_folder(spark, "layouts")
     names = [c for c in trips.SAMPLE_SCHEMA.fieldNames() if c not in ("ax", "ay", "az")]
-    for layout, columns in ((0, names), (1, [*reversed(names), "event_type"])):
-        part = s.where(F.col("trip_id") % 2 == layout).select(*columns).withColumnsRenamed({"event_type": "note"})
-        part.write.csv(f"{path}/layout={layout}", header=True)
+    other = [c for c in names if not c.startswith(("lin_", "grav_"))]
+    doubled = [(F.col(f"lin_a{a}") * 2).alias(f"accel_{a}") for a in "xyz"]
+    for layout, columns in ((0, names), (1, ["note", *reversed(names)]), (2, [*doubled, *other])):
+        part = s.where(F.col("trip_id") % 3 == layout).select(*columns)
+        part.write.csv(f"{path}/layout={layout}", header=True, escape='"')
     schema = T.StructType([*trips.SAMPLE_SCHEMA.fields, T.StructField("note", T.StringType())])
     rows = trips.read_trip_csv(spark, f"{path}/layout=*", schema)
     rows = rows.withColumn("layout", F.regexp_extract("trip_folder", r"layout=(\d+)", 1).cast("bigint"))
     return rounded(rows.groupBy("layout").agg(
         F.count(F.lit(1)).alias("n"), F.sum("az").alias("az"), F.sum("gx").alias("gx"),
-        F.when(F.count("note") > 0, F.count("note")).alias("n_notes"), F.max("ts_ms").alias("last_ms")), "az", "gx")
+        F.when(F.count("note") > 0, F.count("note")).alias("n_notes"), F.sum(F.length("note")).alias("note_chars"),
+        F.max("note").alias("last_note"), F.max("ts_ms").alias("last_ms")), "az", "gx")
 
 
 @query("scan_checked", f"""WITH {SENSOR_SQL} SELECT count(*) AS n, r6(sum(speed)) AS speed, r6(sum(v / 1000)) AS prob FROM sensor WHERE event_type <> 'error'""")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tripwave.functions.exprs import clean_nans
@@ -51,41 +55,87 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
 
 
-def read_trip_csv(spark: SparkSession, folder: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
+def header_classes(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files of a folder by the column names of their first line that is not blank.
+
+    Every split of a file is a task of its own, and a task ends after its first lines, so headers cost no
+    scan. The file names reach the driver, as they do for any read; a file without a line is in no class.
+    """
+    probe = spark.newSession()
+    probe.conf.set("spark.sql.files.openCostInBytes", str(1 << 40))  # one split per task
+    probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    lines = probe.read.text(folder, pathGlobFilter="*.csv").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, block, value in zip(*[c.to_pylist() for c in batch.columns]):
+                if block:
+                    return
+                if value.strip("\ufeff \t\r"):
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([value])], names=["path", "head"])
+                    return
+
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.mapInArrow(first, "path string, head string").collect():
+        names = tuple(name.strip() for name in next(csv.reader([row["head"].strip("\ufeff\r")])))
+        out.setdefault(names, []).append(re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(row["path"])))
+    return out
+
+
+def read_by_header(spark: SparkSession, folder: str, multi_line: bool = False) -> list[DataFrame]:
+    """One table of text columns per distinct header among the CSV files of a folder, each with its file's columns.
+
+    Cells may hold commas and doubled quotes inside quotes, with ``multi_line`` also line ends; blanks around a
+    cell are dropped, an empty cell is NULL, as is a cell that a short row lacks. ``_path``, ``_block`` and ``_line`` tell where a row stands.
+    """
+    out = []
+    for names, paths in sorted(header_classes(spark, folder).items()):
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        raw = spark.read.schema(schema).csv(sorted(paths), header=True, quote='"', escape='"', multiLine=multi_line,
+                                            ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        cells = {name: f"_c{i}" for i, name in reversed(list(enumerate(names))) if name}  # of equal names the first
+        out.append(raw.select(*[F.nullif(F.trim(cell), F.lit("")).alias(name) for name, cell in cells.items()],
+                              F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                              F.monotonically_increasing_id().alias("_line")))
+    return out
+
+
+def _typed(df: DataFrame, fields: Sequence[T.StructField]) -> list[Column]:
+    def cell(f: T.StructField) -> Column:
+        if f.name not in df.columns:
+            return F.lit(None).cast(f.dataType)
+        return F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`").try_cast(f.dataType)
+
+    return [cell(f).alias(f.name) for f in fields]
+
+
+def read_trip_csv(spark: SparkSession, folder: str, schema: T.StructType = SAMPLE_SCHEMA, multi_line: bool = False) -> DataFrame:
     """All trip CSVs of a folder; ``trip_file`` is the base name, ``trip_folder`` the folder it
     lies in, ``file_pos`` the order in the file.
 
     Columns go by the names in each file's own header, in any order. A column of ``schema``
     that a file lacks is NULL there, and others are left out; ``schema`` may name text columns.
     Where ax, ay and az are not known they are the sum of linear acceleration and gravity, else
-    ``accel_*``. NaN becomes NULL, the timestamp an integer millisecond. Cells hold no commas.
+    ``accel_*``. NaN becomes NULL, the timestamp an integer millisecond; a cell that is no number is NULL.
     """
-    path = F.col("_metadata.file_path")
-    lines = spark.read.text(folder, pathGlobFilter="*.csv").select(
-        "value", path.alias("_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    heads = lines.where("block = 0").groupBy("_path").agg(F.min_by("value", "line").alias("_head"), F.min("line").alias("_first"))
-    names = F.transform(F.split("_head", ","), _plain)
-    rows = join_per_key(lines, heads.select("_path", "_first", names.alias("_names")), ["_path"], ["line"])
-    rows = rows.where("line <> _first and value <> ''").withColumn("_cells", F.split("value", ","))
-
-    def cell(name: str, kind: T.DataType) -> Column:
-        text = F.get("_cells", F.array_position("_names", F.lit(name)).cast("int") - 1)
-        text = F.nullif(_plain(F.when(F.array_contains("_names", F.lit(name)), text)), F.lit(""))
-        return text if isinstance(kind, T.StringType) else text.try_cast(kind)
-
-    more = [f"accel_{a}" for a in "xyz" if f"accel_{a}" not in schema.fieldNames()]
-    keyed = rows.select(*[cell(f.name, f.dataType).alias(f.name) for f in schema.fields], *[cell(c, T.DoubleType()).alias(c) for c in more],
-                        base_name(F.col("_path")).alias("trip_file"), F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1).alias("trip_folder"),
-                        F.struct("block", "line").alias("file_pos"))
+    more = [T.StructField(f"accel_{a}", T.DoubleType()) for a in "xyz" if f"accel_{a}" not in schema.fieldNames()]
+    fields = [*schema.fields, *more]
+    path = F.col("_path")
+    place = [base_name(path).alias("trip_file"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("trip_folder"),
+             F.struct(F.col("_block").alias("block"), F.col("_line").alias("line")).alias("file_pos")]
+    keyed = None
+    for part in read_by_header(spark, folder, multi_line):
+        rows = part.select(*_typed(part, fields), *place)
+        keyed = rows if keyed is None else keyed.unionByName(rows)
+    if keyed is None:
+        shape = T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in ("trip_file", "trip_folder")], T.StructField(
+            "file_pos", T.StructType([T.StructField("block", T.LongType()), T.StructField("line", T.LongType())]))])
+        keyed = spark.createDataFrame([], shape)
     clean = clean_nans(keyed)
     if set(_AXES) <= set(clean.columns):
         clean = clean.withColumns({f"a{a}": F.coalesce(f"a{a}", F.col(f"lin_a{a}") + F.col(f"grav_{a}"), f"accel_{a}") for a in "xyz"})
-    return clean.drop(*more).withColumn("ts_ms", F.floor("timestamp").cast("bigint"))
-
-
-def _plain(cell: Column) -> Column:
-    """A CSV cell without blanks, quotes and byte order mark around it."""
-    return F.trim(F.regexp_replace(cell, '["\ufeff\r]', ""))
+    return clean.drop(*[f.name for f in more]).withColumn("ts_ms", F.floor("timestamp").cast("bigint"))
 
 
 def read_trip_meta(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,8 +167,12 @@ def read_labels(spark: SparkSession, folder: str, multi_line: bool = True) -> Da
 def read_field_test(spark: SparkSession, folder: str) -> DataFrame:
     """Field-test CSVs with both probabilities; rows without a position are dropped."""
     schema = T.StructType(SAMPLE_SCHEMA.fields + [T.StructField(c, T.DoubleType()) for c in ("prob_pothole", "prob_speedbump")])
-    raw = spark.read.option("header", True).csv(folder, pathGlobFilter="*.csv")
-    require_columns(raw, ("timestamp", "lat", "lon", "prob_pothole", "prob_speedbump"), "field test")
-    typed = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name in raw.columns],
-                       base_name(F.col("_metadata.file_path")).alias("trip_file"))
-    return clean_nans(typed).na.drop(subset=["lat", "lon"])
+    out = None
+    for raw in read_by_header(spark, folder):
+        require_columns(raw, ("timestamp", "lat", "lon", "prob_pothole", "prob_speedbump"), "field test")
+        known = [f for f in schema.fields if f.name in raw.columns]
+        typed = raw.select(*_typed(raw, known), base_name(F.col("_path")).alias("trip_file"))
+        out = typed if out is None else out.unionByName(typed, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("field test: no files")
+    return clean_nans(out).na.drop(subset=["lat", "lon"])
