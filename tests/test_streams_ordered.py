@@ -251,6 +251,23 @@ class TestClustering:
         assert (r.ts_ms, r.peak_vertical, r.speed_mean) == (200, -9.0, 5.0)
 
 
+def test_cooldown_of_an_endless_hot_run(spark):
+    rng = np.random.default_rng(4)
+    rows = [("long", int(t), float(p)) for t, p in zip(np.cumsum(rng.integers(1, 30, 6000)), rng.uniform(0.35, 1, 6000))]
+    rows += [("calm", int(t), 0.9) for t in np.cumsum(rng.choice([5, 40, 2500], 300))] + [("calm", 5, 0.8), ("one", 7, 0.5)]
+    df = spark.createDataFrame(rows, "trip_id string, ts_ms long, prob double").repartition(7)
+    want = []
+    for trip_id in ("long", "calm", "one"):
+        at = np.array(sorted({t for k, t, _ in rows if k == trip_id}))
+        want += [(trip_id, int(at[i])) for i in fusion.cooldown_walk(at, 0, 2_000)]
+    for chunk_len in (900, 7_000, 600_000):
+        got = fusion.cooldown_triggers(df, Axis(chunk_len=chunk_len), "prob")
+        assert sorted((r.trip_id, r.ts_ms) for r in got.collect()) == sorted(want)
+    # the endless run is many groups: no chunk of it holds a twentieth of its rows
+    assert 20 * max(r["count"] for r in df.where("trip_id = 'long'").groupBy(F.floor(F.col("ts_ms") / 4_000)).count().collect()) < 6000 * 2
+    assert fusion.cooldown_triggers(df.limit(0), Axis(), "prob").count() == 0
+
+
 def test_cooldown(spark):
     df = spark.createDataFrame([("a", t, p) for t, p in [(0, .4), (500, .9), (2000, .5), (2001, .35), (9000, .1), (9001, .36)]], "trip_id string, ts_ms bigint, prob double")
     assert sorted(r.ts_ms for r in fusion.cooldown_triggers(df, Axis(chunk_len=700), "prob").collect()) == [0, 2001, 9001]

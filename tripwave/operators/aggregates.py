@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import ratio, speed_bucket
-from tripwave.operators.ordered import Axis, exact_quantiles, join_per_key, range_chunks, running
+from tripwave.operators.ordered import Axis, exact_quantiles, join_per_key, materialize, range_chunks, running
 from tripwave.params import CLASSES
 
 
@@ -207,16 +209,76 @@ def best_epochs(epochs: DataFrame) -> DataFrame:
         F.max_by("epoch", best).alias("epoch"), F.max("val_f1").alias("val_f1"))
 
 
-def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Lower-triangle Pearson correlations from moments gathered in one pass; constants give 0."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[:i]]
-    both = {(a, b): F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs}
-    cells = []
-    for (a, b), ok in both.items():
-        x, y = F.when(ok, F.col(a).cast("double")), F.when(ok, F.col(b).cast("double"))
-        r = ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        cells.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), r.alias("r")))
-    return df.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
+MOMENTS = "a int, b int, n long, mx double, my double, cxx double, cyy double, cxy double"
+
+
+class Comoments:
+    """Counts, means and central products of every pair of columns over the rows where both are known."""
+
+    def __init__(self, k: int) -> None:
+        self.n = np.zeros((k, k))
+        self.mean, self.square, self.product = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
+
+    def add(self, x: np.ndarray) -> None:
+        """Rows of a block; entry (i, j) of ``mean`` and ``square`` is of column i on the rows shared with j."""
+        known = ~np.isnan(x)
+        middle = np.array([c[m].mean() if m.any() else 0.0 for c, m in zip(x.T, known.T)])
+        v, m = np.where(known, x - middle, 0.0), known.astype(float)
+        n, s = _product(m, m), _product(v, m)
+        mean = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+        square, product = _product(v * v, m) - n * mean * mean, _product(v, v) - n * mean * mean.T
+        mean = np.where(n > 0, mean + middle[:, None], 0.0)
+        total = self.n + n
+        share = np.divide(n, total, out=np.zeros_like(n), where=total > 0)
+        step = mean - self.mean
+        self.square += np.maximum(square, 0.0) + step * step * self.n * share
+        self.product += product + step * step.T * self.n * share
+        self.mean += step * share
+        self.n = total
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a' b without the threads of a linear algebra library, which would compete with Spark's."""
+    return np.einsum("ri,rj->ij", a, b)
+
+
+def correlation_pairs(df: DataFrame, features: Sequence[str], block_rows: int = 4_096) -> DataFrame:
+    """Lower-triangle Pearson correlations from one pass: tasks keep the co-moments of all pairs as matrices,
+    Spark adds them up. A pair goes by the rows where both are known; NaN is unknown; constants give 0."""
+    k, names = len(features), list(features)
+    values = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Comoments(k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, block_rows):
+                part = batch.slice(at, block_rows)
+                kept.add(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns]))
+        a, b = np.tril_indices(k, -1)
+        both = kept.n[a, b] > 0
+        a, b = a[both], b[both]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(kept.n[a, b].astype(np.int64)),
+             *[pa.array(x) for x in (kept.mean[a, b], kept.mean[b, a], kept.square[a, b], kept.square[b, a], kept.product[a, b])]],
+            names=["a", "b", "n", "mx", "my", "cxx", "cyy", "cxy"])
+
+    parts = materialize(values.mapInArrow(run, MOMENTS))  # a row per pair and task
+    n = F.col("n")
+    means = parts.groupBy("a", "b").agg(*[(F.sum(n * F.col(c)) / F.sum("n")).alias(f"_{c}") for c in ("mx", "my")])
+    dx, dy = F.col("mx") - F.col("_mx"), F.col("my") - F.col("_my")
+    sums = parts.join(means, ["a", "b"]).groupBy("a", "b").agg(
+        F.sum(F.col("cxy") + n * dx * dy).alias("xy"), F.sum(F.col("cxx") + n * dx * dx).alias("xx"),
+        F.sum(F.col("cyy") + n * dy * dy).alias("yy"), F.sum("n").alias("n"),
+        F.max(F.abs(F.col("mx"))).alias("_ax"), F.max(F.abs(F.col("my"))).alias("_ay"))
+
+    def moves(square: str, size: str) -> Column:  # more than what rounding leaves of a constant
+        return F.col(square) > F.col("n") * F.pow(F.col(size) * 1e-13, F.lit(2.0))
+
+    r = F.when(moves("xx", "_ax") & moves("yy", "_ay"), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(F.lit(0.0))
+    grid = [(i, j, a, b) for i, a in enumerate(names) for j, b in enumerate(names[:i])]
+    pairs = df.sparkSession.createDataFrame(grid, "a int, b int, feature_a string, feature_b string")
+    return pairs.join(sums.select("a", "b", r.alias("r")), ["a", "b"], "left").select(
+        "feature_a", "feature_b", F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 def target_correlation(df: DataFrame, features: Sequence[str], target: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripwave.functions.exprs import best_class, ratio
 from tripwave.operators.aggregates import attach_one
-from tripwave.operators.ordered import CHUNK, Axis, join_per_key, previous, range_chunks, row_index, running
+from tripwave.operators.ordered import CHUNK, Axis, join_per_key, materialize, previous, range_chunks, row_index, running
 
 
 def threshold_decision(proba: Column, pothole: float, bump: float) -> Column:
@@ -178,16 +178,18 @@ def minority_f1(y: str, pred: str) -> Column:
 
 
 def permutation_importance(df: DataFrame, ident: str, y: str, channels: Sequence[str],
-                           predict: Callable[[DataFrame], DataFrame], shuffle: Column, chunk_len: int) -> DataFrame:
+                           predict: Callable[[DataFrame], DataFrame], shuffle: Column) -> DataFrame:
     """Drop of the mean minority F1 when one channel comes from another row.
 
     Rows are numbered by id and by ``shuffle``; equal numbers are paired, so the
-    permutation is a join. ``predict`` adds a ``pred`` column.
+    permutation is a join. Both orders are cut into ranges, one per shuffle partition, whose sizes give
+    the numbers their offsets. ``predict`` adds a ``pred`` column.
     """
-    base = row_index(df.select(ident, y, *channels), Axis((), (ident,), chunk_len), "_i")
-    mixed = df.select(ident, shuffle.alias("_s"), *[F.col(c).alias(f"_x_{c}") for c in channels])
-    mixed = row_index(mixed, Axis((), ("_s", ident), chunk_len), "_i").drop(ident, "_s")
-    pairs = base.join(mixed, "_i")
+    base = range_chunks(df.select(ident, y, *channels), [ident])
+    base = row_index(base, Axis((), (ident,), None), "_i")
+    mixed = range_chunks(df.select(ident, shuffle.alias("_s"), *[F.col(c).alias(f"_x_{c}") for c in channels]), ["_s", ident])
+    mixed = row_index(mixed, Axis((), ("_s", ident), None), "_i").drop(ident, "_s")
+    pairs = materialize(base.join(mixed, "_i"))
     runs = {"baseline": pairs} | {c: pairs.withColumn(c, F.col(f"_x_{c}")) for c in channels}
     out = None
     for name, rows in runs.items():

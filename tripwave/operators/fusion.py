@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripwave.functions.exprs import gravity_projection, magnitude
 from tripwave.functions.recurrence import CausalFilter, lowpass as lowpass_filter
-from tripwave.operators.ordered import Axis, islands, join_per_key, materialize, row_index, with_blocks
+from tripwave.operators.ordered import CHUNK, Axis, asof, join_per_key, materialize, previous, row_index, with_blocks
 from tripwave.operators.timeseries import fill_rows, resample
 from tripwave.params import BANDPASS_A, BANDPASS_B, Resampling
 
@@ -83,30 +83,84 @@ def native_fusion(df: DataFrame, ax: Axis, numeric: list[str], other: list[str]
     return fused.drop("_vertical", "_horizontal")
 
 
+def next_triggers(at: np.ndarray, cooldown: int) -> np.ndarray:
+    """For each of the sorted times the place of the first one more than ``cooldown`` later; past the end if none is."""
+    return np.searchsorted(at, at + cooldown, side="right")
+
+
+def cooldown_walk(at: np.ndarray, first: int, cooldown: int) -> list[int]:
+    """Places of the triggers among sorted times, from the place ``first`` on."""
+    picked, i = [], first
+    while i < len(at):
+        picked.append(i)
+        i = int(np.searchsorted(at, at[i] + cooldown, side="right"))
+    return picked
+
+
 def cooldown_triggers(df: DataFrame, ax: Axis, prob: str, threshold: float = 0.35, cooldown: int = 2_000) -> DataFrame:
     """First point at or above the threshold, then nothing until more than ``cooldown`` has passed.
 
-    A quiet spell longer than the cooldown always re-arms the trigger, so points
-    split into independent islands there. Islands that start in the same chunk are
-    walked together: the walk itself re-arms between them.
+    A point after a quiet spell longer than the cooldown always triggers. Between such heads a hot run may be
+    endless, so no task walks it: every chunk tells for each point at which the chain of triggers may
+    enter it at which one the chain leaves it, the exits find their next entry by an as-of lookup, and pointer
+    doubling from the heads over these entries (a few per chunk) marks those that the chain passes. Then every chunk
+    is walked from its first marked point. Times are integers; of points at one time only the first can trigger.
     """
     ts = ax.order[0]
-    hot = df.where(F.col(prob) >= threshold).select(*ax.keys, *ax.order, prob)
-    runs = islands(hot, ax, [ts], lambda now, before: now[ts] - before[ts] > cooldown, "_run")
-    start = F.col(f"_run.{ts}")
-    cells = runs.withColumn("_cell", F.floor(start / ax.chunk_len) if ax.chunk_len else start).drop("_run")
-    schema = T.StructType([f for f in cells.schema.fields if f.name != "_cell"])
+    rest = [*ax.order[1:], prob]
+    hot = ax.cut(df.where(F.col(prob) >= threshold).select(*ax.keys, *ax.order, prob, *([] if ax.chunk_len else [CHUNK])))
+    points = hot.groupBy(F.struct(*ax.keys).alias("_k"), ts).agg(F.min(F.struct(CHUNK, *rest)).alias("_p"))
+    points = points.select("_k", ts, "_p.*").withColumn("_cell", F.col(CHUNK))
+    marked = previous(points, Axis(("_k",), (ts,), None), {"_before": ts})
+    head = F.col("_before").isNull() | (F.col(ts) - F.col("_before") > cooldown)
+    marked = materialize(marked.withColumn("_head", head).drop("_before"))
+
+    key = marked.schema["_k"].dataType.simpleString()
+    time = marked.schema[ts].dataType.simpleString()
+
+    def entries(points: pa.Table) -> pa.Table:
+        points = points.sort_by(ts)
+        at, heads = points.column(ts).to_numpy(), points.column("_head").to_numpy()
+        leap = next_triggers(at, cooldown)
+        last = np.where(leap < len(at), leap, np.arange(len(at)))
+        while True:  # the last trigger of the chain from each point, by doubling
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        may = heads | (np.arange(len(at)) <= leap[0])
+        out = points.filter(pa.array(may)).select(["_k", ts, "_head"])
+        return out.append_column("exit", pa.array(at[last[may]]))
+
+    nodes = materialize(marked.groupBy("_k", "_cell").applyInArrow(entries, f"_k {key}, {ts} {time}, _head boolean, exit {time}"))
+    reach = Axis(("_k",), ("_at",), ax.chunk_len or max(1, 1_000 * cooldown))
+    jumps = asof(nodes.where(F.col("exit").isNotNull()), nodes.withColumns({"_next": F.col(ts), "_into_head": F.col("_head")}), reach,
+                 -(F.col("exit") + cooldown) - 1, -F.col(ts), ["_next", "_into_head"], "_hit")
+    # a head is marked anyway
+    jumps = materialize(jumps.where("_hit is not null and not _hit._into_head").select("_k", F.col(ts).alias("_from"), F.col("_hit._next").alias("_to")))
+    passed = nodes.where("_head").select("_k", F.col(ts).alias("_from"))
+    while True:
+        new = passed.join(jumps, ["_k", "_from"]).select("_k", F.col("_to").alias("_from")).distinct()
+        new = materialize(new.join(passed, ["_k", "_from"], "left_anti"))
+        if new.isEmpty():
+            break
+        passed = materialize(passed.unionByName(new))
+        onward = jumps.select("_k", F.col("_from").alias("_to"), F.col("_to").alias("_then"))
+        jumps = materialize(jumps.join(onward, ["_k", "_to"]).select("_k", "_from", F.col("_then").alias("_to")))
+
+    flags = passed.select("_k", F.col("_from").alias(ts), F.lit(True).alias("_passed"))
+    rows = marked.join(flags, ["_k", ts], "left")
+    kept = ["_k", ts, *rest]
+    schema = T.StructType([rows.schema[c] for c in kept])
 
     def walk(points: pa.Table) -> pa.Table:
-        points = points.sort_by([(c, "ascending") for c in ax.order])
-        at = points.column(ts).to_numpy()
-        picked, i = [], 0
-        while i < len(at):
-            picked.append(i)
-            i = int(np.searchsorted(at, at[i] + cooldown, side="right"))
-        return points.take(pa.array(picked, pa.int64())).select(schema.names)
-
-    return cells.groupBy(*ax.keys, "_cell").applyInArrow(walk, schema)
+        points = points.sort_by(ts)
+        first = np.flatnonzero(points.column("_passed").is_valid().to_numpy())
+        picked = cooldown_walk(points.column(ts).to_numpy(), int(first[0]), cooldown) if len(first) else []
+        return points.take(pa.array(picked, pa.int64())).select(kept)
+
+    out = rows.groupBy("_k", "_cell").applyInArrow(walk, schema)
+    return out.select(*[F.col(f"_k.{k}").alias(k) for k in ax.keys], *ax.order, prob)
 
 
 def welch_bands(df: DataFrame, ax: Axis, value: str, bands: dict[str, tuple[float, float, bool]],

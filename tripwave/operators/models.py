@@ -155,6 +155,13 @@ def prune_features(df: DataFrame, features: Sequence[str], ranking: Sequence[str
     return df.sparkSession.createDataFrame(sorted(rows), "position int, feature string, selected boolean, redundant_with string, correlation double")
 
 
+def select_features(df: DataFrame, task: Task, limit: float = 0.75, top: int = 25) -> DataFrame:
+    """``prune_features`` ranked by the importances of a forest over all features of the task, with ``importance``."""
+    ranked = importances(df, task)
+    weights = df.sparkSession.createDataFrame(ranked, "feature string, importance double")
+    return prune_features(df, task.features, [name for name, _ in ranked], limit, top).join(weights, "feature")
+
+
 def fold_scores(oof: DataFrame, task: Task, positive: int = 1) -> DataFrame:
     """PR-AUC of the positive class per fold; folds without positives are left out."""
     rows = oof.withColumn("_s", F.col("proba")[positive])

@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import haversine, holds, severity_level, to_g
 from tripwave.operators.ordered import Axis, block_start, islands, join_per_key, materialize, row_index, with_blocks
-from tripwave.operators.timeseries import MAX_SPAN, ema
+from tripwave.operators.timeseries import MAX_SPAN, ema, sample_rate
 from tripwave.params import Clustering, Detection
 
 
 def adaptive_energy(df: DataFrame, ax: Axis, signal: str, gyro: str | None, p: Detection = Detection(),
-                    block_rows: int = 50_000, numbered: bool = False) -> DataFrame:
+                    block_rows: int = 50_000, numbered: bool = False, min_dist: DataFrame | None = None) -> DataFrame:
     """Trailing energy, EMA thresholds, the active flag and the in-region flag of every row.
 
     One exchange: the stream is cut into equal row blocks with enough warm-up for
     the chained averages, and all windows share the block's order. Blocks are kept
-    short enough for the weights of the averages.
+    short enough for the weights of the averages. ``min_dist`` gives trips a peak distance
+    in rows of their own (keys and ``min_dist``); the others go by ``p.min_dist_rows``.
     """
-    warm = int(45 / p.alpha) + p.window_rows
-    size = max(1, min(block_rows, int(MAX_SPAN / p.alpha) - warm - p.min_dist_rows))
     rows = df if numbered else row_index(df, ax)
-    blocks = with_blocks(rows, "idx", size, before=warm, after=p.min_dist_rows)
+    longest, apart = p.min_dist_rows, F.lit(p.min_dist_rows)
+    if min_dist is not None:
+        longest = max(longest, min_dist.agg(F.max("min_dist")).first()[0] or 0)
+        rows = join_per_key(rows, min_dist.select(*ax.keys, F.col("min_dist").alias("_apart")), ax.keys, ["idx"], "left")
+        apart = F.coalesce("_apart", apart)
+    warm = int(45 / p.alpha) + p.window_rows
+    size = max(1, min(block_rows, int(MAX_SPAN / p.alpha) - warm - longest))
+    blocks = with_blocks(rows, "idx", size, before=warm, after=longest)
     w = Window.partitionBy(*ax.keys, "_block").orderBy("idx")
     tail = w.rowsBetween(-(p.window_rows - 1), 0)
     out = blocks.withColumn("_start", block_start(size, warm))
@@ -41,10 +47,10 @@ def adaptive_energy(df: DataFrame, ax: Axis, signal: str, gyro: str | None, p: D
                   | (F.col("gyro_energy_now") > p.gyro_trigger))
     out = out.withColumn("active", holds(active))
     mark = F.when(F.col("active"), idx)
-    out = out.withColumn("_last", F.max(mark).over(w.rowsBetween(-p.min_dist_rows, 0)))
-    out = out.withColumn("_next", F.min(mark).over(w.rowsBetween(0, p.min_dist_rows)))
-    out = out.withColumn("in_region", holds(F.col("_next") - F.col("_last") <= p.min_dist_rows))
-    return out.where("_own").drop("_own", "_block", "_start", "_dev", "_gbase", "_gdev", "_last", "_next")
+    out = out.withColumn("_last", F.max(mark).over(w.rowsBetween(-longest, 0)))
+    out = out.withColumn("_next", F.min(mark).over(w.rowsBetween(0, longest)))
+    out = out.withColumn("in_region", holds(F.col("_next") - F.col("_last") <= apart))
+    return out.where("_own").drop("_own", "_block", "_start", "_dev", "_gbase", "_gdev", "_last", "_next", "_apart")
 
 
 def regions(energy: DataFrame, ax: Axis) -> DataFrame:
@@ -69,15 +75,36 @@ def region_peaks(region_rows: DataFrame, ax: Axis, signal: str, keep: list[str])
 
 
 def detect_peaks(df: DataFrame, ax: Axis, signal: str, gyro: str | None, keep: list[str],
-                 p: Detection = Detection(), block_rows: int = 50_000) -> DataFrame:
-    """Region peaks of every trip with at least three rows, with the row energy and threshold."""
-    energy = adaptive_energy(df, ax, signal, gyro, p, block_rows)
+                 p: Detection = Detection(), block_rows: int = 50_000, min_dist: DataFrame | None = None) -> DataFrame:
+    """Region peaks of every trip with at least three rows, with the row energy and threshold.
+
+    ``min_dist`` as in ``adaptive_energy``.
+    """
+    energy = adaptive_energy(df, ax, signal, gyro, p, block_rows, min_dist=min_dist)
+    return _peaks(energy, df, ax, signal, keep)
+
+
+def _peaks(energy: DataFrame, df: DataFrame, ax: Axis, signal: str, keep: list[str]) -> DataFrame:
     rows = regions(energy, ax)
     found = region_peaks(rows, ax, signal, [*keep, "energy", "threshold"])
     lengths = df.groupBy(*ax.keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3")
     return join_per_key(found, lengths.select(*ax.keys), ax.keys, ["region"], "left_semi")
 
 
+def detect_peaks_by_rate(df: DataFrame, ax: Axis, signal: str, gyro: str | None, keep: list[str], per_second: float,
+                         p: Detection = Detection(), block_rows: int = 50_000) -> DataFrame:
+    """``detect_peaks`` with each trip's peak distance from its own sample rate, its ``hz`` and ``min_dist``, and the trip's
+    mean thresholds on every peak.
+
+    ``per_second`` is the number of time units in a second. Trips of several rates may share a table.
+    """
+    rates = materialize(sample_rate(df, ax, per_second, p.min_dist_s, p.fallback_hz).select(*ax.keys, "hz", "min_dist"))
+    energy = materialize(adaptive_energy(df, ax, signal, gyro, p, block_rows, min_dist=rates))
+    found = _peaks(energy, df, ax, signal, keep)
+    per_trip = rates.join(thresholds_per_trip(energy, ax), [*ax.keys], "left")
+    return join_per_key(found, per_trip, ax.keys, ["region"])
+
+
 def thresholds_per_trip(energy: DataFrame, ax: Axis) -> DataFrame:
     cols = [c for c in ("threshold", "gyro_threshold") if c in energy.columns]
     return energy.groupBy(*ax.keys).agg(*[F.avg(c).alias(f"mean_{c}") for c in cols])

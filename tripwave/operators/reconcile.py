@@ -48,6 +48,17 @@ def nearest_in_time(labels: DataFrame, events: DataFrame, key: str, label: str,
     return best.select(key, label, "_b.*")
 
 
+def mutual_nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_at: str, right_id: str, right_at: str,
+                   tolerance: int) -> DataFrame:
+    """Rows of two streams that are each other's closest in time within the tolerance, with ``dt``: one partner each way.
+
+    Of equally close ones the smaller id is meant on both sides.
+    """
+    there = nearest_in_time(left, right, key, left_id, left_at, right_id, right_at, tolerance)
+    back = nearest_in_time(right, left, key, right_id, right_at, left_id, left_at, tolerance)
+    return there.join(back.drop("dt"), [key, left_id, right_id])
+
+
 def resolve_collisions(matched: DataFrame, key: str, event: str, label_no: str, label: str, dt: str,
                        chunk_len: int = 1_000) -> DataFrame:
     """One label per event (class priority, then smaller gap, then first), and how often a later one took over."""

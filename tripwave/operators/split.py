@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwave.functions.exprs import array_sum, bind
 from tripwave.operators.aggregates import attach_one
-from tripwave.operators.ordered import Axis, row_index
+from tripwave.operators.ordered import Axis, range_chunks, row_index
 
 
 def trip_counts(df: DataFrame, key: str, label: str, classes: Sequence[object]) -> DataFrame:
@@ -98,10 +98,10 @@ def group_kfold(df: DataFrame, key: str, label: str, classes: Sequence[object],
     return _walk(trips, order, f"{key} {key_type}, fold int", assign)
 
 
-def group_holdout(df: DataFrame, key: str, share: float, order: Column, chunk_len: int) -> DataFrame:
+def group_holdout(df: DataFrame, key: str, share: float, order: Column) -> DataFrame:
     """The first ``ceil(share * n)`` trips in hash order."""
-    trips = df.select(key).distinct().withColumn("_o", order)
-    numbered = row_index(trips, Axis((), ("_o", key), chunk_len), "_i")
+    trips = range_chunks(df.select(key).distinct().withColumn("_o", order), ["_o", key])
+    numbered = row_index(trips, Axis((), ("_o", key), None), "_i")
     n = trips.agg(F.ceil(F.count(F.lit(1)) * share).alias("_k"))
     return attach_one(numbered, n).where(F.col("_i") < F.col("_k")).select(key)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tripwave.functions.exprs import ratio
 from tripwave.operators.aggregates import attach_one, long_form
 from tripwave.operators.ordered import Axis, range_chunks, running
+from tripwave.operators.reconcile import mutual_nearest
 
 
 def agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -23,6 +24,28 @@ def agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFram
         F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"))
 
 
+def align_pipelines(left: DataFrame, right: DataFrame, key: str, ident: str, at: str, value: str, tolerance: int) -> DataFrame:
+    """Two processings of one recording, row by row: ``ident``, ``other``, ``dt``, ``x``, ``y``.
+
+    Rows pair with the closest in time of the same trip, each with one partner (``mutual_nearest``), so streams of other
+    rates, with jitter or holes, can be held against each other.
+    """
+    a = left.select(key, F.col(ident).alias("ident"), F.col(at).alias("_at"), F.col(value).alias("x"))
+    b = right.select(key, F.col(ident).alias("other"), F.col(at).alias("_other_at"), F.col(value).alias("y"))
+    pairs = mutual_nearest(a.drop("x"), b.drop("y"), key, "ident", "_at", "other", "_other_at", tolerance)
+    return pairs.join(a.drop("_at"), [key, "ident"]).join(b.drop("_other_at"), [key, "other"])
+
+
+def pipeline_agreement(pairs: DataFrame) -> DataFrame:
+    """One row: number of pairs, mean distance in time, Pearson r, RMSE, MAE, and the Kolmogorov-Smirnov distance with its p."""
+    both = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    sides = both.select(F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
+                                          F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("_s")).select("_s.*")
+    ks = ks_two_sample(sides, "side", "x", "y", "v").select("d", "p")
+    dt = pairs.agg(F.avg("dt").alias("mean_dt"))
+    return attach_one(attach_one(agreement(both, "x", "y"), dt), ks)
+
+
 def ks_two_sample(df: DataFrame, group: str, a: object, b: object, value: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of two groups and its asymptotic p-value."""
     counts = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, Window, functions as F
 
 from tripwave.functions.exprs import best_class
 from tripwave.operators import models
+from tripwave.operators.aggregates import correlation_pairs
 from tripwave.plans import model_queries, report_queries, stream_queries
 from tripwave.plans.registry import query
 from tripwave.plans.views import LI_SQL, VEC_SQL
@@ -120,3 +121,30 @@ def pca2_facts(spark, folder):
         F.count(F.lit(1)).alias("n"), (_about(F.avg("pc1"), 0.0, 1e-4) & _about(F.avg("pc2"), 0.0, 1e-4)).alias("centred"),
         _about(F.corr("pc1", "pc2"), 0.0, 1e-4).alias("uncorrelated"), (F.var_samp("pc1") >= F.var_samp("pc2")).alias("ordered"),
         _about(F.var_samp("pc1"), top, 1e-3).alias("eigenvalue"))
+
+
+@query("prune_features_facts", f"""WITH f(feature) AS (VALUES {', '.join(f"('{x}')" for x in model_queries.PRUNED)}),
+w AS (SELECT *, l_quantity * l_quantity AS qty2, l_extendedprice * (1 - l_discount) AS net, l_tax * l_tax AS tax2, l_extendedprice / l_quantity AS unit FROM lineitem),
+c AS (SELECT {', '.join(f'abs(corr({a}, {b})) AS "{a}|{b}"' for a in model_queries.PRUNED for b in model_queries.PRUNED if a < b)} FROM w),
+strong AS (SELECT split_part(name, '|', 1) AS a, split_part(name, '|', 2) AS b FROM (UNPIVOT c ON COLUMNS(*) INTO NAME name VALUE r) WHERE r > 0.75)
+SELECT feature, list_sort(coalesce((SELECT list(CASE WHEN a = feature THEN b ELSE a END) FROM strong WHERE feature IN (a, b)), [])) AS partners,
+  true AS dropped_for_a_partner, true AS partner_is_stronger, true AS kept_ones_are_apart FROM f""")
+def prune_features_facts(spark, folder):
+    """A feature is dropped only for a kept partner of at least its importance that correlates with it beyond the limit,
+    and no two kept features correlate so; the partners of each feature are SQL's."""
+    rows = model_queries.prune_features(spark, folder)
+    pairs = correlation_pairs(model_queries.pruning_rows(spark, folder), model_queries.PRUNED).where(F.abs("r") > 0.75)
+    both = pairs.select(F.col("feature_a").alias("feature"), F.col("feature_b").alias("_other")).unionByName(
+        pairs.select(F.col("feature_b").alias("feature"), F.col("feature_a").alias("_other")))
+    kept = rows.where("redundant_with is null").select(F.col("feature").alias("_other"), F.col("importance").alias("_weight"))
+    near = both.join(kept, "_other", "left").groupBy("feature").agg(
+        F.array_sort(F.collect_list("_other")).alias("partners"), F.collect_list(F.when(F.col("_weight").isNotNull(), F.col("_other"))).alias("_kept"))
+    strength = kept.withColumnsRenamed({"_other": "redundant_with"})
+    out = rows.join(near, "feature", "left").join(strength, "redundant_with", "left")
+    none = F.array().cast("array<string>")
+    dropped = F.col("redundant_with").isNotNull()
+    return out.select(
+        "feature", F.coalesce("partners", none).alias("partners"),
+        F.coalesce(~dropped | F.array_contains("_kept", F.col("redundant_with")), F.lit(False)).alias("dropped_for_a_partner"),
+        F.coalesce(~dropped | (F.col("_weight") >= F.col("importance")), F.lit(False)).alias("partner_is_stronger"),
+        (dropped | (F.size(F.coalesce("_kept", none)) == 0)).alias("kept_ones_are_apart"))

@@ -250,12 +250,12 @@ def skip_reason(spark, folder):
 
 
 @query("softmax_argmax", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-e AS (SELECT vec_id, list_transform([x[1] * 10, x[2] * 10, x[3] * 10], lambda z: exp(z)) AS e FROM v),
+e AS (SELECT vec_id, list_transform(x, lambda z: exp(z * 10)) AS e FROM v),
 p AS (SELECT vec_id, list_transform(e, lambda z: z / list_sum(e)) AS p FROM e)
 SELECT vec_id, r6(list_max(p)) AS confidence, (list_position(p, list_max(p)) - 1)::INTEGER AS pred FROM p""")
 def softmax_argmax(spark, folder):
     x = F.col("embedding").cast("array<double>")
-    p = read_table(spark, folder, "embeddings").select("vec_id", exprs.softmax(F.array(x[0] * 10, x[1] * 10, x[2] * 10)).alias("p"))
+    p = read_table(spark, folder, "embeddings").select("vec_id", exprs.softmax(F.transform(x, lambda z: z * 10)).alias("p"))
     return p.select("vec_id", r6(F.array_max("p")).alias("confidence"), exprs.best_class(F.col("p")).alias("pred"))
 
 
@@ -274,8 +274,8 @@ def meta_first_match(spark, folder):
 
 TOL = 6 * HOUR_US
 NEAR_SQL = f"""lb AS (SELECT trip_id, event_id AS label_no, ts_us + (event_id % 11 - 5) * {HOUR_US} AS label_at,
-    ['Pothole','Speed Bump','Non-Event','Unsure',''][event_id % 5 + 1] AS label FROM sig WHERE g < 60),
-ne AS (SELECT trip_id, event_id AS ev, ts_us AS ev_at FROM sig WHERE event_id % 2 = 0),
+    ['Pothole','Speed Bump','Non-Event','Unsure',''][event_id % 5 + 1] AS label FROM sig),
+ne AS (SELECT trip_id, event_id AS ev, ts_us AS ev_at FROM sig),
 pr AS (SELECT l.*, e.ev, abs(e.ev_at - l.label_at) AS dt, row_number() OVER (PARTITION BY l.label_no ORDER BY abs(e.ev_at - l.label_at), e.ev) AS rk
   FROM lb l JOIN ne e ON e.trip_id = l.trip_id AND abs(e.ev_at - l.label_at) <= {TOL}),
 mt AS (SELECT trip_id, label_no, label, ev, dt FROM pr WHERE rk = 1)"""
@@ -284,10 +284,10 @@ mt AS (SELECT trip_id, label_no, label, ev, dt FROM pr WHERE rk = 1)"""
 def _matched(spark, folder):
     s = sig(spark, folder)
     names = F.array(*[F.lit(x) for x in ("Pothole", "Speed Bump", "Non-Event", "Unsure", "")])
-    lb = s.where("g < 60").select("trip_id", F.col("event_id").alias("label_no"),
-                                  (F.col("ts_us") + (F.col("event_id") % 11 - 5) * HOUR_US).alias("label_at"),
-                                  F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("label"))
-    ev = s.where("event_id % 2 = 0").select("trip_id", F.col("event_id").alias("ev"), F.col("ts_us").alias("ev_at"))
+    lb = s.select("trip_id", F.col("event_id").alias("label_no"),
+                  (F.col("ts_us") + (F.col("event_id") % 11 - 5) * HOUR_US).alias("label_at"),
+                  F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("label"))
+    ev = s.select("trip_id", F.col("event_id").alias("ev"), F.col("ts_us").alias("ev_at"))
     return lb, reconcile.nearest_in_time(lb, ev, "trip_id", "label_no", "label_at", "ev", "ev_at", TOL)
 
 
@@ -458,9 +458,9 @@ def label_upsert(spark, folder):
 
 @query("union_background", f"""WITH {SIG_SQL}, {MARKED_SQL}
 SELECT ev::VARCHAR AS event_id, trip_id, m.at, label, NULL::VARCHAR AS source FROM marked m
-UNION ALL SELECT 'bg_' || event_id::VARCHAR, trip_id, ts_us, 'Non-Event', 'auto_background' FROM sig WHERE cls = 'Non-Event' AND g > 90""")
+UNION ALL SELECT 'bg_' || event_id::VARCHAR, trip_id, ts_us, 'Non-Event', 'auto_background' FROM sig WHERE cls = 'Non-Event'""")
 def union_background(spark, folder):
-    bg = sig(spark, folder).where("cls = 'Non-Event' AND g > 90").select(
+    bg = sig(spark, folder).where("cls = 'Non-Event'").select(
         F.concat(F.lit("bg_"), F.col("event_id").cast("string")).alias("event_id"), "trip_id", F.col("ts_us").alias("at"),
         F.lit("Non-Event").alias("label"), F.lit("auto_background").alias("source"))
     return reconcile.union_background(marked(spark, folder).withColumnRenamed("ev", "event_id"), bg)

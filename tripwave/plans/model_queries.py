@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tripwave.functions.exprs import best_class
 from tripwave.operators import models, sampling, split
-from tripwave.operators.aggregates import target_correlation
 from tripwave.plans.registry import query, r6, rounded
 from tripwave.plans.views import LI_FEATURES, VEC_SQL, li, vec
 from tripwave.sources import stage
@@ -104,13 +103,21 @@ def batch_score(spark, folder):
     return out.select("event_id", best_class(F.col("proba")).alias("pred"), r6(F.array_max("proba")).alias("confidence"))
 
 
+PRUNED = [*LI_FEATURES, "qty2", "net", "tax2", "unit"]
+
+
+def pruning_rows(spark, folder):
+    """Line items with four derived, correlated features; the label is the return flag's index."""
+    q, p, d, t = (F.col(c) for c in LI_FEATURES)
+    return li(spark, folder).withColumns({"qty2": q * q, "net": p * (1 - d), "tax2": t * t, "unit": p / q}).withColumn(
+        "label_idx", F.array_position(F.array(*[F.lit(x) for x in "ANR"]), F.col("cls")).cast("int") - 1)
+
+
 @query("prune_features")
 def prune_features(spark, folder):
-    """Greedy pruning over line-item features and two derived, correlated ones, ranked by target correlation."""
-    rows = li(spark, folder).withColumn("qty2", F.col("l_quantity") * F.col("l_quantity")).withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    feats = [*LI_FEATURES, "qty2", "net"]
-    ranked = target_correlation(rows, feats, F.col("cls") != "N").orderBy(F.desc("abs_r"), "feature").select("feature").collect()
-    return rounded(models.prune_features(rows, feats, [r[0] for r in ranked], 0.75, 4), "correlation")
+    """Greedy pruning ranked by forest importance."""
+    task = models.Task(features=tuple(PRUNED), params=SMALL)
+    return rounded(models.select_features(pruning_rows(spark, folder), task, 0.75, 4), "correlation", "importance")
 
 
 NEAR_SQL = f"""{VEC_SQL}, near AS (

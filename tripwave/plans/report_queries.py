@@ -94,16 +94,17 @@ def fp_per_trip(spark, folder):
 
 
 @query("tp_fp_ratio", f"""WITH {LAB_SQL}, o AS (SELECT CASE WHEN y3 = 1 AND pred = 1 THEN 'TP' WHEN y3 = 0 AND pred = 1 THEN 'FP' END AS o,
-   n_chars::DOUBLE AS n_chars, score, (doc_id % 13)::DOUBLE AS mod13, pow(score, 6) AS s6 FROM lab),
-f AS (UNPIVOT o ON n_chars, score, mod13, s6 INTO NAME feature VALUE value),
+   n_chars::DOUBLE AS n_chars, score, (doc_id % 13)::DOUBLE AS mod13, pow(score, 6) AS s6, y3 * n_chars + 1.0::DOUBLE AS found_chars, 1.0::DOUBLE - 0.9 * y3 AS missed FROM lab),
+f AS (UNPIVOT o ON n_chars, score, mod13, s6, found_chars, missed INTO NAME feature VALUE value),
 m AS (SELECT feature, avg(value) FILTER (o = 'TP') AS tp, avg(value) FILTER (o = 'FP') AS fp FROM f GROUP BY feature),
 r AS (SELECT *, fp / (tp + 1e-9) AS ratio FROM m)
 SELECT feature, r6(tp) AS tp_mean, r6(fp) AS fp_mean, r6(ratio) AS ratio, CASE WHEN ratio < 0.5 OR ratio > 2 THEN 'HIGH' ELSE 'MED' END AS signal
 FROM r WHERE ratio < 0.7 OR ratio > 1.5""")
 def tp_fp_ratio(spark, folder):
     rows = lab(spark, folder).select(evaluation.outcome(F.col("y3"), F.col("pred")).alias("o"), F.col("n_chars").cast("double").alias("n_chars"), "score",
-                                     (F.col("doc_id") % 13).cast("double").alias("mod13"), F.pow("score", F.lit(6.0)).alias("s6"))
-    return rounded(aggregates.outcome_ratio(rows, "o", ["n_chars", "score", "mod13", "s6"]), "tp_mean", "fp_mean", "ratio")
+                                     (F.col("doc_id") % 13).cast("double").alias("mod13"), F.pow("score", F.lit(6.0)).alias("s6"),
+                                     (F.col("y3") * F.col("n_chars") + 1.0).alias("found_chars"), (1 - F.col("y3") * 0.9).alias("missed"))
+    return rounded(aggregates.outcome_ratio(rows, "o", ["n_chars", "score", "mod13", "s6", "found_chars", "missed"]), "tp_mean", "fp_mean", "ratio")
 
 
 @query("histogram", f"""WITH {SIG_SQL}, e AS (SELECT min(v) AS lo, max(v) AS hi FROM sig),
@@ -237,10 +238,35 @@ def _corr_sql(a: str, b: str) -> str:
     return f"covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))"
 
 
-@query("corr_matrix", f"WITH {LI_SQL} " + " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, r6({_corr_sql(a, b)}) AS r FROM li" for i, a in enumerate(LI_FEATURES) for b in LI_FEATURES[:i]))
+def _wide_features() -> dict[str, str]:
+    """47 features of line items as SQL that both engines read; the last ones have unknown and constant values."""
+    base = list(LI_FEATURES)
+    out = {f: f for f in base}
+    out |= {f"{a}_x_{b}": f"{a} * {b}" for i, a in enumerate(base) for b in base[:i + 1]}
+    out |= {f"{a}_over_{b}": f"{a} / ({b} + 1)" for a in base for b in base if a != b}
+    out |= {f"key_{m}": f"cast(l_orderkey % {m} as double)" for m in (3, 5, 7, 11, 13, 17, 19, 23, 29, 31)}
+    out |= {f"known_{m}": f"case when l_orderkey % {m} > 0 then l_quantity + l_orderkey % 10 end" for m in (2, 3, 5, 7, 9)}
+    out |= {f"big_{m}": f"cast(1000000000 + l_linenumber * {m} as double)" for m in (1, 2, 3)}
+    return out | {"constant": "cast(0.1 as double)", "unknown": "cast(null as double)", "rare": "case when l_orderkey % 97 = 0 then l_tax end"}
+
+
+WIDE = _wide_features()
+assert len(WIDE) == 47
+WIDE_SQL = f"w AS (SELECT {', '.join(f'({e})::DOUBLE AS {n}' for n, e in WIDE.items())} FROM li)"
+
+
+def _pair_sql(a: str, b: str) -> str:
+    """Correlation on shared rows; 0 where one is constant or nothing is shared."""
+    return "0.0" if {a, b} & {"constant", "unknown"} else f"coalesce(corr({a}, {b}), 0.0)"
+
+
+@query("corr_matrix", f"""WITH {LI_SQL}, {WIDE_SQL}, c AS (SELECT {', '.join(
+    f'{_pair_sql(a, b)} AS "{a}|{b}"' for i, a in enumerate(WIDE) for b in list(WIDE)[:i])} FROM w)
+SELECT split_part(name, '|', 1) AS feature_a, split_part(name, '|', 2) AS feature_b, r6(r) AS r FROM (UNPIVOT c ON COLUMNS(*) INTO NAME name VALUE r)""")
 def corr_matrix(spark, folder):
-    return rounded(aggregates.correlation_pairs(li(spark, folder), LI_FEATURES), "r")
+    """All pairs of 47 features, some unknown in places, one never known, one constant."""
+    rows = li(spark, folder).select(*[F.expr(e).cast("double").alias(n) for n, e in WIDE.items()])
+    return rounded(aggregates.correlation_pairs(rows, list(WIDE)), "r")
 
 
 @query("target_corr", f"WITH {LI_SQL}, t AS (SELECT *, (cls <> 'N')::INT::DOUBLE AS y FROM li) " + " UNION ALL ".join(
@@ -252,11 +278,11 @@ def target_corr(spark, folder):
 
 @query("channel_rms_corr", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
 r AS (SELECT sqrt(list_sum(list_transform(x[1:20], lambda e: e * e)) / 20) AS a, sqrt(list_sum(list_transform(x[21:40], lambda e: e * e)) / 20) AS b,
-   sqrt(list_sum(list_transform(x[41:60], lambda e: e * e)) / 20) AS c FROM v)
+   sqrt(list_sum(list_transform(x[41:64], lambda e: e * e)) / 24) AS c FROM v)
 SELECT 'b' AS feature_a, 'a' AS feature_b, r6(corr(b, a)) AS r FROM r UNION ALL SELECT 'c', 'a', r6(corr(c, a)) FROM r UNION ALL SELECT 'c', 'b', r6(corr(c, b)) FROM r""")
 def channel_rms_corr(spark, folder):
     v = vec(spark, folder)
-    parts = v.select(*[channel_rms(F.slice("x", 1 + 20 * i, 20)).alias(c) for i, c in enumerate("abc")])
+    parts = v.select(*[channel_rms(F.slice("x", at, n)).alias(c) for c, at, n in (("a", 1, 20), ("b", 21, 20), ("c", 41, 24))])
     return rounded(aggregates.correlation_pairs(parts, ["a", "b", "c"]), "r")
 
 
@@ -304,6 +330,36 @@ def aligned_series(spark, folder):
     return rounded(stats.agreement(a.join(b, "h"), "x", "y"), "pearson", "rmse", "mae")
 
 
+PIPES_SQL = f"""a AS (SELECT trip_id, event_id AS id, ts_us AS at, v AS x FROM sig),
+b AS (SELECT trip_id, event_id + 1000000 AS id, ts_us + (event_id % 7 - 3) * {HOUR_US} AS at, v + (event_id % 5) / 10.0 AS y FROM sig WHERE event_id % 9 > 0),
+near AS (SELECT a.trip_id, a.id AS l, b.id AS r, abs(a.at - b.at) AS dt, x, y, row_number() OVER (PARTITION BY a.trip_id, a.id ORDER BY abs(a.at - b.at), b.id) AS i,
+  row_number() OVER (PARTITION BY b.trip_id, b.id ORDER BY abs(a.at - b.at), a.id) AS j FROM a JOIN b ON a.trip_id = b.trip_id AND abs(a.at - b.at) <= {6 * HOUR_US}),
+pair AS (SELECT * FROM near WHERE i = 1 AND j = 1)"""
+
+
+def _pipelines(spark, folder):
+    """The samples, and a second stream of them with jitter, holes and another offset."""
+    s = sig(spark, folder)
+    e = F.col("event_id")
+    other = s.where(e % 9 > 0).select("trip_id", (e + 1_000_000).alias("event_id"), (F.col("ts_us") + (e % 7 - 3) * HOUR_US).alias("ts_us"),
+                                      (F.col("v") + (e % 5) / 10.0).alias("v"))
+    return stats.align_pipelines(s, other, "trip_id", "event_id", "ts_us", "v", 6 * HOUR_US)
+
+
+@query("aligned_pipelines", f"""WITH {SIG_SQL}, {PIPES_SQL} SELECT trip_id, l AS ident, r AS other, dt, r6(x) AS x, r6(y) AS y FROM pair""")
+def aligned_pipelines(spark, folder):
+    return rounded(_pipelines(spark, folder).select("trip_id", "ident", "other", "dt", "x", "y"), "x", "y")
+
+
+@query("pipeline_agreement", f"""WITH {SIG_SQL}, {PIPES_SQL}, c AS (SELECT v, sum(a) AS a, sum(b) AS b FROM (SELECT x AS v, 1 AS a, 0 AS b FROM pair UNION ALL SELECT y, 0, 1 FROM pair) GROUP BY v),
+s AS (SELECT sum(a) OVER o AS ca, sum(b) OVER o AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c WINDOW o AS (ORDER BY v))
+SELECT count(*) AS n, r6({_corr_sql('x', 'y')}) AS pearson, r6(sqrt(avg(pow(x - y, 2)))) AS rmse, r6(avg(abs(x - y))) AS mae, r6(avg(dt) / {HOUR_US}) AS mean_hours,
+  r6((SELECT max(abs(ca / na - cb / nb)) FROM s)) AS d FROM pair""")
+def pipeline_agreement(spark, folder):
+    out = stats.pipeline_agreement(_pipelines(spark, folder)).withColumn("mean_hours", F.col("mean_dt") / HOUR_US)
+    return rounded(out.select("n", "pearson", "rmse", "mae", "mean_hours", "d"), "pearson", "rmse", "mae", "mean_hours", "d")
+
+
 @query("ks_two_sample", f"""WITH {LI_SQL}, c AS (SELECT l_extendedprice AS x, count(*) FILTER (cls = 'A') AS a, count(*) FILTER (cls = 'R') AS b FROM li WHERE cls IN ('A', 'R') GROUP BY 1),
 s AS (SELECT sum(a) OVER o AS ca, sum(b) OVER o AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c WINDOW o AS (ORDER BY x)),
 d AS (SELECT na, nb, max(abs(ca / na - cb / nb)) AS d FROM s GROUP BY na, nb)
@@ -389,7 +445,7 @@ def group_kfold(spark, folder):
 SELECT doc_id FROM lab WHERE doc_id % 20 IN (SELECT trip FROM o WHERE i <= ceil(0.2 * n)) AND NOT coalesce(CASE WHEN doc_id % 7 = 0 THEN 'augmented' END, 'original') LIKE 'augmented%'""")
 def random_group_holdout(spark, folder):
     rows = lab(spark, folder).withColumn("trip", F.col("doc_id") % 20).withColumn("src", F.when(F.col("doc_id") % 7 == 0, "augmented"))
-    held = split.group_holdout(rows, "trip", 0.2, (F.col("trip") * 7919) % 10007, 64)
+    held = split.group_holdout(rows, "trip", 0.2, (F.col("trip") * 7919) % 10007)
     return join_per_key(rows, held, ["trip"], ["doc_id"], "left_semi").where(~is_augmented(F.col("src"))).select("doc_id")
 
 
@@ -555,7 +611,7 @@ def permutation_importance(spark, folder):
         first = (F.col("c0") >= F.col("c1")) & (F.col("c0") >= F.col("c2"))
         return df.withColumn("pred", F.when(first, 0).when(F.col("c1") >= F.col("c2"), 1).otherwise(2))
 
-    scores = evaluation.permutation_importance(rows, "vec_id", "y", ["c0", "c1", "c2"], predict, (F.col("vec_id") * 7919) % 10007, 128)
+    scores = evaluation.permutation_importance(rows, "vec_id", "y", ["c0", "c1", "c2"], predict, (F.col("vec_id") * 7919) % 10007)
     return rounded(evaluation.importance_drop(scores), "new_f1", "f1_drop")
 
 

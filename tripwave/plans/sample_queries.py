@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tripwave.operators import fusion, peaks, timeseries as ts_ops
@@ -308,6 +310,23 @@ def detect_peaks(spark, folder):
     return rounded(sig_peaks(spark, folder)[0], "energy", "threshold")
 
 
+RATED_SQL = REGION_SQL.replace("on_rows AS (", f"""rate AS (SELECT trip_id, greatest(1, floor({2.5 * DAY_US / 1e6} * coalesce(1e6 / nullif(quantile_cont(step, 0.5), 0), 50)))::BIGINT AS apart
+  FROM (SELECT trip_id, ts_us - lag(ts_us) OVER (PARTITION BY trip_id ORDER BY ts_us, event_id) AS step FROM sig) GROUP BY trip_id),
+on_rows AS (""").replace("step > 2 THEN", "step > apart THEN").replace("k FROM on_rows)", "k FROM on_rows JOIN rate USING (trip_id))")
+
+
+@query("detect_peaks_by_rate", f"""WITH RECURSIVE {SIG_SQL}, {RATED_SQL}, mean AS (SELECT trip_id, avg(threshold) AS mt, avg(gyro_threshold) AS mgt FROM act GROUP BY trip_id)
+SELECT pk.trip_id, ts_us, event_id AS peak_id, v, region, region_end, apart AS min_dist, r6(mt) AS mean_threshold, r6(mgt) AS mean_gyro_threshold
+FROM pk JOIN rate USING (trip_id) JOIN mean USING (trip_id)""")
+def detect_peaks_by_rate(spark, folder):
+    """Peaks two and a half days apart, in rows of each trip's own rate, with the trip's mean thresholds."""
+    s = sig(spark, folder)
+    p = replace(SIG_DETECTION, min_dist_s=2.5 * DAY_US / 1e6)
+    found = peaks.detect_peaks_by_rate(s, sig_axis(s), "v", "g", ["ts_us", "event_id", "v"], 1e6, p)
+    return rounded(found.select("trip_id", "ts_us", F.col("event_id").alias("peak_id"), "v", "region", "region_end", "min_dist",
+                                "mean_threshold", "mean_gyro_threshold"), "mean_threshold", "mean_gyro_threshold")
+
+
 @query("threshold_summary", f"""WITH RECURSIVE {SIG_SQL}, {ENERGY_SQL}
 SELECT trip_id, r6(avg(threshold)) AS mean_threshold, r6(avg(gyro_threshold)) AS mean_gyro_threshold
 FROM act GROUP BY trip_id""")

@@ -436,7 +436,7 @@ def sensor_fusion(spark, folder):
     return rounded(out.select("trip_id", "bin", "a_vertical", "a_horizontal", "a_linear_mag"), "a_vertical", "a_horizontal", "a_linear_mag")
 
 
-REASON_SQL = f"""pr AS (SELECT trip_id, event_id AS event_id, ts_us + 9 * {HOUR_US} AS at FROM sig WHERE g % 3 = 0),
+REASON_SQL = f"""pr AS (SELECT trip_id, event_id AS event_id, ts_us + 9 * {HOUR_US} AS at FROM sig),
 bd AS (SELECT trip_id, segment, max(ts_us) AS e FROM seg GROUP BY trip_id, segment),
 bn AS (SELECT DISTINCT trip_id, segment, ts_us // {6 * HOUR_US} AS bin FROM seg),
 bl AS (SELECT *, lead(bin) OVER (PARTITION BY trip_id, segment ORDER BY bin) AS nb FROM bn),
@@ -456,7 +456,7 @@ SELECT event_id, CASE WHEN segment IS NULL THEN 'in_gap' WHEN n < 8 THEN 'short_
 def tensor_reasons(spark, folder):
     """Tensors cut from resampled segments, and the reason for every event that got none."""
     s = sensor(spark, folder).withColumns({f"a{a}": F.col(f"lin_a{a}") + F.col(f"grav_{a}") for a in "xyz"})
-    probe = s.where("g % 3 = 0").select("trip_id", F.col("event_id"), (F.col("ts_us") + 9 * HOUR_US).alias("at"))
+    probe = s.select("trip_id", F.col("event_id"), (F.col("ts_us") + 9 * HOUR_US).alias("at"))
     t = Tensor(rows=8, crop=6, half=24 * HOUR_US, gap_guard=2 * HOUR_US)
     cols = ["trip_id", "ts_us", *t.channels]
     done, skipped = tensor_set(s.select(*cols), probe, Axis(("trip_id",), ("ts_us",), sig_axis(s).chunk_len), BIN, t)
@@ -464,12 +464,12 @@ def tensor_reasons(spark, folder):
 
 
 @query("training_features", f"""WITH {SIG_SQL}, {SEG_SQL}, b AS (SELECT trip_id, segment, max(ts_us) AS e FROM seg GROUP BY trip_id, segment),
-p AS (SELECT trip_id, event_id, ts_us + 2 * {HOUR_US} AS at FROM sig WHERE event_id % 4 = 0)
+p AS (SELECT trip_id, event_id, ts_us + 2 * {HOUR_US} AS at FROM sig)
 SELECT p.event_id::VARCHAR AS event_id, p.trip_id FROM p JOIN b ON b.trip_id = p.trip_id AND p.at BETWEEN b.segment AND b.e""")
 def training_features(spark, folder):
     """Labelled events inside a recording, with features re-extracted from fused segments (ids compared)."""
     s = sensor(spark, folder).withColumns({f"a{a}": F.col(f"lin_a{a}") + F.col(f"grav_{a}") for a in "xyz"})
-    events = s.where("event_id % 4 = 0").select("event_id", "trip_id", (F.col("ts_us") + 2 * HOUR_US).alias("at"))
+    events = s.select("event_id", "trip_id", (F.col("ts_us") + 2 * HOUR_US).alias("at"))
     truth = s.select("event_id", F.col("cls").alias("label"))
     numeric = ["ax", "ay", "az", "lin_ax", "lin_ay", "lin_az", "grav_x", "grav_y", "grav_z", "gx", "gy", "gz", "speed"]
     out = labelled_feature_rows(s.select("trip_id", "ts_us", *numeric), events, truth, None,
