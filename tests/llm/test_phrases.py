@@ -60,7 +60,7 @@ def frame(spark, rows):
 
 def test_equal_to_brute_force_and_sql(spark):
     rows = corpus()
-    p = MiningParams(least=20, one_in=3, bits=1 << 12, block=50)
+    p = MiningParams(least=20, one_in=3, bits=1 << 12, block=250)
     got = dicts(phrases.collocations(frame(spark, rows), p))
     want = expected(rows, p)
     assert len(want) > 20 and same(got, want)
@@ -76,7 +76,7 @@ def test_false_hits_lose_nothing(spark):
     f, _ = counts(rows, 5)
     whole = {(lang, " ".join(g)): c for (lang, g), c in f.items() if c >= 10}
     for bits in (128, 256, 512, 1024):
-        found, _ = phrases.frequent_phrases(frame(spark, rows), MiningParams(least=10, one_in=1000, bits=bits, block=60))
+        found, _ = phrases.frequent_phrases(frame(spark, rows), MiningParams(least=10, one_in=1000, bits=bits, block=300))
         assert sorted((r.lang, bytes(r.phrase).decode(), r.f) for r in found.collect() if r.k) == sorted((*k, c) for k, c in whole.items())
 
 
@@ -85,7 +85,7 @@ def test_failures_of_the_border_are_repaired(spark):
     f, _ = counts(rows, 4)
     whole = {(lang, " ".join(g)): c for (lang, g), c in f.items() if c >= 8}
     # a sample of about no documents proposes nothing, so all is found by expansion
-    p = MiningParams(least=8, longest=4, one_in=1_000_000_000, bits=1 << 14, block=70)
+    p = MiningParams(least=8, longest=4, one_in=1_000_000_000, bits=1 << 14, block=350)
     found, passes = phrases.frequent_phrases(frame(spark, rows), p)
     assert passes == 4
     got = [(r.lang, bytes(r.phrase).decode(), r.f) for r in found.collect() if r.k]
@@ -102,8 +102,11 @@ def test_a_full_table_only_counts_more(spark):
 
 def test_hashes_agree_between_builder_and_blocks():
     block = phrases.Block()
-    block.add("en", b"new york city")
-    _, _, h = block.words()
+    block.add("en", b"new  york \n city")
+    block.add("fr", b"new")
+    words = block.numbered("en")
+    assert words.numbers.tolist() == [0, 1, 2, -1, 3] and words.langs == ["fr", "en"] and words.lang_of.tolist() == [0, 1, 1, 1]
+    h = words.hashes[1:]
     assert phrases._longer(phrases._longer(h[:1], h[1:2]), h[2:])[0] == phrases._phrase_hashes(["en"], [b"new york city"])[0]
 
 

@@ -15,7 +15,6 @@ row for every phrase of a block; counts are added up in Spark by the phrase itse
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,7 +40,7 @@ class MiningParams:
     """What counts as frequent, how long a phrase may be, and the first so many of each language.
 
     One in ``one_in`` pieces is in the sample; ``bits`` is the size of the proposal table (a power
-    of two, an eighth of that in bytes); a task counts in blocks of about ``block`` words.
+    of two, an eighth of that in bytes); a task counts in blocks of about ``block`` bytes.
     """
 
     least: int = 100
@@ -49,7 +48,7 @@ class MiningParams:
     top: int = 2000
     one_in: int = 4
     bits: int = 1 << 26
-    block: int = 500_000
+    block: int = 3_000_000
 
     @property
     def lowered(self) -> int:
@@ -58,8 +57,12 @@ class MiningParams:
         return max(1, math.floor(mean - 4 * math.sqrt(mean * (1 - 1 / self.one_in))))
 
 
-def _lang_hash(lang: str) -> int:
-    return xxhash.xxh32_intdigest(lang.encode())
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return pd.util.hash_array(np.array([*words, None], object)[:-1], categorize=False)
+
+
+def _lang_seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
 
 
 def _longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -88,14 +91,18 @@ class Proposals:
 
 
 def _phrase_hashes(langs: list[str], phrases: list[bytes]) -> np.ndarray:
-    hashes = np.empty(len(phrases), np.uint64)
-    seeds = {lang: _lang_hash(lang) for lang in set(langs)}
-    for i, (lang, phrase) in enumerate(zip(langs, phrases)):
-        h, seed = None, seeds[lang]
-        for word in phrase.split(b" "):
-            w = xxhash.xxh3_64_intdigest(word, seed)
-            h = w if h is None else (h * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
-        hashes[i] = h
+    if not phrases:
+        return np.zeros(0, np.uint64)
+    split = [p.split(b" ") for p in phrases]
+    sizes = np.fromiter(map(len, split), np.int64)
+    words = _word_hashes([w for part in split for w in part])
+    seeds = {lang: _lang_seed(lang) for lang in set(langs)}
+    words ^= np.repeat(np.array([seeds[lang] for lang in langs], np.uint64), sizes)
+    first = np.cumsum(sizes) - sizes
+    hashes = words[first]
+    for k in range(1, sizes.max()):
+        more = sizes > k
+        hashes[more] = _longer(hashes[more], words[first[more] + k])
     return hashes
 
 
@@ -120,36 +127,47 @@ def propose(phrases: DataFrame, bits: int, table: np.ndarray | None = None) -> n
     return out
 
 
+@dataclass
+class Numbered:
+    """Words of a block as numbers in order, with ``END`` between pieces, and language, bytes and hash of each number."""
+
+    numbers: np.ndarray
+    langs: list[str]
+    lang_of: np.ndarray
+    words: pa.Array
+    hashes: np.ndarray
+
+
 class Block:
-    """Numbered words of some texts, in order, with ``END`` between pieces."""
+    """Plain texts by language; a number stands for a word of one language."""
 
     def __init__(self) -> None:
-        self.next = itertools.count().__next__
-        self.ids: dict[str, dict[bytes, int]] = {}
-        self.parts: list[np.ndarray] = []
+        self.texts: dict[str, list[bytes]] = defaultdict(list)
         self.size = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        known = self.ids.get(lang)
-        if known is None:
-            known = self.ids[lang] = defaultdict(self.next)
-            known[b""], known[b"\n"] = NOTHING, END
-        parts = text.split(b" ")
-        numbers = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        numbers = numbers[numbers != NOTHING]
-        self.parts.append(numbers)
-        self.size += len(numbers)
-
-    def words(self) -> tuple[list[str], list[bytes], np.ndarray]:
-        """Language, bytes and hash of each number."""
-        n = sum(len(known) - 2 for known in self.ids.values())
-        langs, words, hashes = [""] * n, [b""] * n, np.empty(n, np.uint64)
-        for lang, known in self.ids.items():
-            seed = _lang_hash(lang)
-            for word, i in known.items():
-                if i >= 0:
-                    langs[i], words[i], hashes[i] = lang, word, xxhash.xxh3_64_intdigest(word, seed)
-        return langs, words, hashes
+        self.texts[lang].append(text)
+        self.size += len(text)
+
+    def numbered(self, last: str | None = None) -> Numbered:
+        """The block's words, those of the language ``last`` at the end."""
+        langs = sorted(self.texts, key=lambda lang: (lang == last, lang))
+        numbers, words, hashes, sizes, n = [], [], [], [], 0
+        for lang in langs:
+            text = pa.array([b" ".join(self.texts[lang])], pa.large_binary())
+            coded = pc.split_pattern(text, " ").flatten().dictionary_encode()
+            known = coded.dictionary
+            blank = np.isin(np.arange(len(known)), [pc.index(known, x).as_py() for x in (b"", b"\n")])
+            number = np.cumsum(~blank) - 1 + n
+            number[blank] = [END if w == b"\n" else NOTHING for w in known.filter(pa.array(blank)).to_pylist()]
+            code = number[coded.indices.to_numpy()]
+            numbers.append(code[code != NOTHING])
+            own = known.filter(pa.array(~blank))
+            words.append(own.cast(pa.binary()))
+            hashes.append(_word_hashes(own.to_pylist()) ^ _lang_seed(lang))
+            sizes.append(len(own))
+            n += len(own)
+        return Numbered(np.concatenate(numbers), langs, np.repeat(np.arange(len(langs)), sizes), pa.concat_arrays(words), np.concatenate(hashes))
 
 
 def _segments(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
@@ -171,33 +189,32 @@ def _drawn(text: bytes, seed: int, one_in: int) -> bytes:
                        if ((i * 2654435761 ^ seed) * 2246822519 & 0xFFFFFFFF) * one_in >> 32 == 0])
 
 
-def _count(block: Block, own: int, lengths: range, now: Proposals | None, before: Proposals | None,
+def _rows(lang: pa.Array, phrase: pa.Array, k: int, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(f), k, np.int32)), pa.array(f)],
+                                       names=["lang", "phrase", "k", "f"])
+    for at in range(0, len(f), 20_000):
+        yield batch.slice(at, 20_000)
+
+
+def _count(block: Numbered, own: int, lengths: range, now: Proposals | None, before: Proposals | None,
            totals: bool) -> Iterator[pa.RecordBatch]:
     """Counts of one block's phrases that start in its first ``own`` words.
 
     Counted are phrases of ``lengths`` whose parts are in ``now``, but for those that ``before`` already gave.
     """
-    numbers = np.concatenate(block.parts)
-    langs, words, word_hash = block.words()
-    if not words:
+    words, hashes, langs = block.words, block.hashes, pa.array(block.langs)
+    if not len(words):
         return
-    lang_of, text, hashes = pa.array(langs), pa.array(words, pa.binary()), word_hash
-    word_text = text
-
-    def rows(lang: pa.Array, phrase: pa.Array, k: int, f: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(f), k, np.int32)), pa.array(f)],
-                                          names=["lang", "phrase", "k", "f"])
-
-    at = np.flatnonzero(numbers >= 0)
-    code, known = numbers[at], np.full(len(words), before is not None)  # counted in an earlier pass
+    text, lang_of = words, block.lang_of
+    at = np.flatnonzero(block.numbers >= 0)
+    code, known = block.numbers[at], np.full(len(words), before is not None)  # counted in an earlier pass
     counts = np.bincount(code[at < own], minlength=len(words))
     if totals:
-        for lang, ids in block.ids.items():
-            mine = np.fromiter((i for i in ids.values() if i >= 0), np.int64)
-            yield rows(pa.array([lang]), pa.array([b""], pa.binary()), 0, counts[mine].sum(keepdims=True))
+        whole = np.bincount(lang_of, counts, len(block.langs)).astype(np.int64)
+        yield from _rows(langs, pa.array([b""] * len(whole), pa.binary()), 0, whole)
     if 1 in lengths:
         seen = np.flatnonzero(counts)
-        yield rows(lang_of.take(pa.array(seen)), text.take(pa.array(seen)), 1, counts[seen])
+        yield from _rows(langs.take(pa.array(lang_of[seen])), text.take(pa.array(seen)), 1, counts[seen])
     for k in range(2, lengths.stop):
         # of each position with a phrase of k - 1 words: its number, whether it counts longer ones now and did before
         good, old = now.has(hashes), known & before.has(hashes) if before is not None else known
@@ -208,27 +225,26 @@ def _count(block: Block, own: int, lengths: range, now: Proposals | None, before
         follows[:-1] = at[1:] == at[:-1] + 1
         first = np.flatnonzero(follows)
         counted = old[code[first]] & old[code[first + 1]]
-        last_word = numbers[at[first] + k - 1]
+        last_word = block.numbers[at[first] + k - 1]
         at, pair = at[first], code[first] * len(words) + last_word
         code, unique = pd.factorize(pair)
         known = np.zeros(len(unique), bool)
         known[code] = counted
         prefix, word = unique // len(words), unique % len(words)
-        hashes = _longer(hashes[prefix], word_hash[word])
-        lang_of = lang_of.take(pa.array(prefix))
-        text = pc.binary_join_element_wise(text.take(pa.array(prefix)), word_text.take(pa.array(word)), b" ")
+        hashes = _longer(hashes[prefix], block.hashes[word])
+        lang_of = lang_of[prefix]
+        text = pc.binary_join_element_wise(text.take(pa.array(prefix)), words.take(pa.array(word)), b" ")
         if k in lengths:
             counts = np.bincount(code[(at < own) & ~known[code]], minlength=len(unique))
-            seen = pa.array(np.flatnonzero(counts))
-            yield rows(lang_of.take(seen), text.take(seen), k, counts[counts > 0])
+            seen = np.flatnonzero(counts)
+            yield from _rows(langs.take(pa.array(lang_of[seen])), text.take(pa.array(seen)), k, counts[seen])
 
 
 def count_phrases(docs: DataFrame, lengths: range, params: MiningParams, now: np.ndarray | None = None,
-                  before: np.ndarray | None = None, totals: bool = False, one_in: int = 1) -> DataFrame:
+                  before: np.ndarray | None = None, totals: bool = False) -> DataFrame:
     """Exact counts ``f`` of phrases of ``lengths`` words by ``lang`` whose parts are proposed.
 
-    ``docs`` has ``lang`` (never NULL), ``text`` (binary) and ``seed``, which draws the sample if it is
-    one in several pieces. With ``before``, only phrases that a
+    ``docs`` has ``lang`` (never NULL) and ``text`` (binary). With ``before``, only phrases that a
     pass with that table did not count. ``totals`` adds a row of no words with the words of each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast((now, before))
@@ -239,26 +255,36 @@ def count_phrases(docs: DataFrame, lengths: range, params: MiningParams, now: np
         for batch in batches:
             for i in range(batch.num_rows):
                 lang = batch.column(0)[i].as_py()
-                text = (batch.column(1)[i].as_py() or b"").lower().translate(PLAIN)
-                if one_in > 1:
-                    text = _drawn(text, batch.column(2)[i].as_py() & 0xFFFFFFFF, one_in)
-                for segment in _segments(text):
+                for segment in _segments((batch.column(1)[i].as_py() or b"").lower().translate(PLAIN)):
                     block.add(lang, segment)
                     if block.size >= params.block:
+                        words = block.numbered(lang)
                         # the last words of an open piece start phrases that the next block completes
-                        tail = np.concatenate(block.parts)[1 - params.longest:]
+                        tail = words.numbers[1 - params.longest:]
                         tail = tail[np.flatnonzero(np.append(END, tail) == END)[-1]:]
-                        yield from _count(block, block.size - len(tail), lengths, *tables, totals)
-                        _, words, _ = block.words()
+                        yield from _count(words, len(words.numbers) - len(tail), lengths, *tables, totals)
                         block = Block()
-                        block.add(lang, b" ".join(words[t] for t in tail.tolist()))
+                        block.add(lang, b" ".join(words.words.take(pa.array(tail)).to_pylist()))
         if block.size:
-            yield from _count(block, block.size, lengths, *tables, totals)
+            words = block.numbered()
+            yield from _count(words, len(words.numbers), lengths, *tables, totals)
 
-    rows = docs.select("lang", "text", "seed").mapInArrow(run, COUNTED)
+    rows = docs.select("lang", "text").mapInArrow(run, COUNTED)
     return rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
+def sample_pieces(docs: DataFrame, one_in: int) -> DataFrame:
+    """One in so many pieces of each text, drawn by a hash of row and place: ``lang`` and plain ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [_drawn((t or b"").lower().translate(PLAIN), seed & 0xFFFFFFFF, one_in)
+                     for t, seed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], names=["lang", "text"])
+
+    return docs.select("lang", "text", "seed").mapInArrow(run, "lang string, text binary")
+
+
 def _missing(found: DataFrame, table: np.ndarray) -> DataFrame:
     """Phrases that the table does not propose."""
     shared = found.sparkSession.sparkContext.broadcast(table)
@@ -281,8 +307,9 @@ def frequent_phrases(docs: DataFrame, params: MiningParams = MiningParams()) ->
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"),
                         F.xxhash64("doc_id", "text").alias("seed"))
     table = np.zeros(params.bits // 64, np.uint64)
+    sample = materialize(sample_pieces(texts, params.one_in))
     for k in range(1, params.longest):  # proposals of full length have no border, so they need none
-        level = materialize(count_phrases(texts, range(k, k + 1), params, table, one_in=params.one_in).where(f"f >= {params.lowered}"))
+        level = materialize(count_phrases(sample, range(k, k + 1), params, table).where(f"f >= {params.lowered}"))
         grown = propose(level, params.bits, table)
         if np.array_equal(grown, table):
             break
