@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tripwave.functions.exprs import gravity_projection
 from tripwave.operators import fusion, peaks, windows
 from tripwave.operators.ordered import Axis
 from tripwave.params import Clustering, Detection
@@ -43,6 +44,43 @@ def test_filters(spark, samples):
         assert np.abs(both[c] - both[f"{c}_w"]).max() < 1e-9
 
 
+def test_fused_thresholds_over_batches_and_a_restart(spark, samples, tmp_path):
+    sdf, folder = samples
+    p = Detection(alpha=0.05, window_rows=20)
+    ax = Axis(chunk_len=3_000)
+    raw = sdf.withColumn("_v", gravity_projection(*[tuple(F.col(f"{c}{a}") for a in "xyz") for c in ("lin_a", "grav_")])[0]).withColumn(
+        "_h", gravity_projection(*[tuple(F.col(f"{c}{a}") for a in "xyz") for c in ("lin_a", "grav_")])[1]).withColumn("turn", F.abs("gx") * 3)
+    smooth = fusion.causal_filters(raw, ax, {"a_vertical_f": "_v"}, {"a_horizontal_f": "_h"}, block_rows=900).drop("idx")
+    want = peaks.adaptive_energy(smooth, ax, "a_vertical_f", "turn", p).toPandas()
+
+    # the files come in two parts: a second run goes on from the checkpoint of the first
+    parts, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    lasts = [T0 - 100 + i * 8_000 for i in range(1, PARTS)]
+    with streams.rocks_db(spark):
+        for run in ((0, 1, 2), (3, 4)):
+            for i in run:
+                lo = lasts[i - 1] if i else 0
+                hi = lasts[i] if i < len(lasts) else 10 ** 15
+                raw.where((F.col("ts_ms") >= lo) & (F.col("ts_ms") < hi)).drop("_v", "_h").coalesce(1).write.mode("append").parquet(parts)
+            live_ = streams.ingest(spark, parts, raw.drop("_v", "_h").schema, 1)
+            streams.write_available(streams.fused_thresholds(live_, "trip_id", ["ts_ms"], "turn", p), out, state)
+    got = spark.read.parquet(out).toPandas()
+    both = got.merge(want, on=["trip_id", "ts_ms"], suffixes=("", "_w"))
+    assert len(got) == len(want) == len(both)
+    for a, b in (("a_vertical", "a_vertical_f"), ("a_horizontal", "a_horizontal_f"), ("energy", "energy_w"), ("threshold", "threshold_w"),
+                 ("gyro_threshold", "gyro_threshold_w")):
+        assert np.abs(both[a] - both[b]).max() < 1e-8, a
+    assert (both.active == both.active_w).mean() > 0.999 and both.active.any()
+
+
+def test_cooldown_frees_its_state(spark, samples):
+    hot = live(spark, samples).withColumn("prob", F.abs("lin_ay") / 10)
+    got = streams.drain(streams.cooldown(hot, "trip_id", ["ts_ms"], "prob", 0.04, 700, "at", "1 second"), "ct")
+    want = fusion.cooldown_triggers(samples[0].withColumn("prob", F.abs("lin_ay") / 10), Axis(chunk_len=3_000), "prob", 0.04, 700)
+    key = lambda d: sorted((r.trip_id, r.ts_ms) for r in d.collect())
+    assert key(got) == key(want)
+
+
 def test_cooldown(spark, samples):
     hot = lambda df: df.withColumn("prob", F.abs("lin_ay") / 10)
     got = streams.drain(streams.cooldown(hot(live(spark, samples)), "trip_id", ["ts_ms"], "prob", 0.04, 700), "c")

@@ -16,9 +16,12 @@ from tripwave.sources.tables import read_table
 from tripwave.streaming import streams
 
 
+FILES_AT_ONCE = 256
+
+
 def replay(spark, folder):
-    """Event files as a stream of samples with an event-time column ``at``."""
-    raw = streams.ingest(spark, f"{folder}/events*.parquet", read_table(spark, folder, "events").schema)
+    """Event files as a stream of samples with an event-time column ``at``, a few files in each micro-batch."""
+    raw = streams.ingest(spark, f"{folder}/events*.parquet", read_table(spark, folder, "events").schema, FILES_AT_ONCE)
     return sensor_columns(sig_columns(raw)).withColumn("at", F.timestamp_micros("ts_us"))
 
 
@@ -57,7 +60,7 @@ def stream_sessions(spark, folder):
 @query("stream_cooldown", SQL["cooldown_triggers"])
 def stream_cooldown(spark, folder):
     s = replay(spark, folder).withColumn("prob", F.col("v") / 100)
-    out = streams.drain(streams.cooldown(s, "trip_id", ["ts_us", "event_id"], "prob", 0.35, DAY_US), "cooldown")
+    out = streams.drain(streams.cooldown(s, "trip_id", ["ts_us", "event_id"], "prob", 0.35, DAY_US, "at", "1 hour", 1_000), "cooldown")
     return rounded(out.select("trip_id", "event_id", "ts_us", "prob"), "prob")
 
 
@@ -67,6 +70,39 @@ def stream_bandpass(spark, folder):
     return out.select("trip_id", "event_id", r6("bandpass").alias("y"))
 
 
+FUSED_SQL = f"""{SENSOR_SQL},
+flat AS (SELECT *, sqrt(grav_x * grav_x + grav_y * grav_y + grav_z * grav_z) AS gn FROM sensor),
+raw AS (SELECT *, CASE WHEN gn = 0 THEN 0 ELSE (lin_ax * grav_x + lin_ay * grav_y + lin_az * grav_z) / gn END AS vert,
+  row_number() OVER (PARTITION BY trip_id ORDER BY ts_us, event_id) - 1 AS idx FROM flat),
+lagged AS (SELECT *, coalesce(lag(vert, 2) OVER w, 0) AS x2, coalesce(lag(vert, 4) OVER w, 0) AS x4 FROM raw WINDOW w AS (PARTITION BY trip_id ORDER BY idx)),
+drive AS (SELECT trip_id, event_id, idx, g, 0.19061660009749753 * vert - 0.38123320019499507 * x2 + 0.19061660009749753 * x4 AS f FROM lagged),
+y AS (SELECT trip_id, event_id, idx, g, f AS y0, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2, 0.0::DOUBLE AS y3 FROM drive WHERE idx = 0
+  UNION ALL
+  SELECT d.trip_id, d.event_id, d.idx, d.g, d.f + 2.3350824020765124::DOUBLE * y.y0 - 1.9509646897792021::DOUBLE * y.y1
+    + 0.8192636853124013::DOUBLE * y.y2 - 0.2066719851665643::DOUBLE * y.y3, y.y0, y.y1, y.y2
+  FROM y JOIN drive d ON d.trip_id = y.trip_id AND d.idx = y.idx + 1),
+en AS (SELECT *, coalesce(stddev_samp(y0) OVER w, 0) AS energy, avg(g) OVER w AS genergy FROM y
+  WINDOW w AS (PARTITION BY trip_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+thr AS (
+  SELECT trip_id, idx, energy AS b, 0.0::DOUBLE AS d, genergy AS gb, 0.0::DOUBLE AS gd FROM en WHERE idx = 0
+  UNION ALL
+  SELECT en.trip_id, en.idx, 0.05::DOUBLE * en.energy + 0.95::DOUBLE * thr.b, 0.05 * abs(en.energy - (0.05 * en.energy + 0.95 * thr.b)) + 0.95 * thr.d,
+    0.05::DOUBLE * en.genergy + 0.95::DOUBLE * thr.gb, 0.05 * abs(en.genergy - (0.05 * en.genergy + 0.95 * thr.gb)) + 0.95 * thr.gd
+  FROM thr JOIN en ON en.trip_id = thr.trip_id AND en.idx = thr.idx + 1)"""
+
+
+@query("stream_fusion", f"""WITH RECURSIVE {FUSED_SQL}
+SELECT en.trip_id, en.event_id, r6(y0) AS a_vertical, r6(energy) AS energy, r6(b + 3 * d) AS threshold, r6(gb + 3 * gd) AS gyro_threshold
+FROM en JOIN thr ON en.trip_id = thr.trip_id AND en.idx = thr.idx""")
+def stream_fusion(spark, folder):
+    """Raw samples to filtered vertical acceleration, energy and thresholds in one stateful stage."""
+    out = streams.fused_thresholds(replay(spark, folder), "trip_id", ["ts_us", "event_id"], "g", SIG_DETECTION)
+    with streams.rocks_db(spark):
+        done = streams.drain(out, "fusion")
+    return rounded(done.select("trip_id", "event_id", "a_vertical", "energy", "threshold", "gyro_threshold"),
+                   "a_vertical", "energy", "threshold", "gyro_threshold")
+
+
 IDLE = f"+ {2 * DAY_US // 1000} < (SELECT max(ts_us) // 1000 - 3600000 FROM sig)"
 CLOSED = f"""region_end + 2 < (SELECT max(n.idx) FROM num n WHERE n.trip_id = pk.trip_id)
   OR (SELECT max(n.ts_us) // 1000 FROM num n WHERE n.trip_id = pk.trip_id) {IDLE}"""
@@ -91,7 +127,7 @@ def stream_scoring(spark, folder):
     """Saved pipeline applied to vectors arriving as a stream, decided with thresholds, written per batch."""
     rows = _table(spark, folder)
     path = models.save_pipeline(rows, _task(**SMALL), stage.new_folder(spark, "model"))
-    raw = streams.ingest(spark, f"{folder}/embeddings*.parquet", read_table(spark, folder, "embeddings").schema)
+    raw = streams.ingest(spark, f"{folder}/embeddings*.parquet", read_table(spark, folder, "embeddings").schema, FILES_AT_ONCE)
     live = raw.select(F.col("vec_id").alias("event_id"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(DIMS)])
 
     def score(batch):

@@ -8,13 +8,17 @@ beyond the watermark. On ordered input the results equal the batch operators.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tripwave.functions.exprs import gravity_projection
 from tripwave.functions.recurrence import CausalFilter, lowpass
+from tripwave.operators.fusion import cooldown_walk
 from tripwave.params import BANDPASS_A, BANDPASS_B, EARTH_RADIUS_M, Clustering, Detection
 from tripwave.sources.stage import new_folder
 
@@ -71,25 +75,35 @@ def _ordered(batches: Iterator[pd.DataFrame], order: list[str], after: float | N
     return rows if after is None else rows[rows[order[0]] > after]
 
 
-def cooldown(stream: DataFrame, key: str, order: list[str], prob: str, threshold: float, quiet: int) -> DataFrame:
-    """First-trigger cooldown; the state of a trip is the time of its last trigger."""
+def cooldown(stream: DataFrame, key: str, order: list[str], prob: str, threshold: float, quiet: int, at: str | None = None,
+             delay: str | None = None, units_per_ms: int = 1) -> DataFrame:
+    """First-trigger cooldown; the state of a trip is the time of its last trigger.
+
+    With an event-time column ``at`` and a watermark ``delay`` the state is freed once the watermark is past the cooldown,
+    when it can hold back no row any more. ``units_per_ms`` are the units of ``quiet`` and ``order[0]``.
+    """
     cols = [key, *order, prob]
     schema = T.StructType([stream.schema[c] for c in cols])
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(order)
-        last = state.get[0] if state.exists else None
-        picked = []
-        for i, now in enumerate(rows[order[0]].to_numpy()):
-            if last is None or now > last + quiet:
-                picked.append(i)
-                last = int(now)
-        if last is not None:
-            state.update((last,))
+        times = rows[order[0]].to_numpy()
+        first = int(np.searchsorted(times, state.get[0] + quiet, side="right")) if state.exists else 0
+        picked = cooldown_walk(times, first, quiet)
+        if picked:
+            state.update((int(times[picked[-1]]),))
+        if at is not None:
+            newest = rows[at].max().value // 1_000_000
+            state.setTimeoutTimestamp(max(int(newest), state.getCurrentWatermarkMs()) + quiet // units_per_ms + 1)
         yield rows.iloc[picked][cols]
 
-    hot = stream.where(F.col(prob) >= threshold).select(*cols)
-    return hot.groupBy(key).applyInPandasWithState(step, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    hot = stream.where(F.col(prob) >= threshold)
+    hot = hot.select(*cols) if at is None else hot.withWatermark(at, delay).select(*cols, at)
+    timeout = GroupStateTimeout.NoTimeout if at is None else GroupStateTimeout.EventTimeTimeout
+    return hot.groupBy(key).applyInPandasWithState(step, schema, "last bigint", "append", timeout)
 
 
 def causal_filters(stream: DataFrame, key: str, order: list[str], value: str, cutoff_hz: float = 20.0,
@@ -116,6 +130,92 @@ def causal_filters(stream: DataFrame, key: str, order: list[str], value: str, cu
         step, schema, "last bigint, band array<double>, smooth array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+class Fusion(StatefulProcessor):
+    """The online detector up to its thresholds, for one trip at a time.
+
+    State: the last ``window_rows`` signal and gyroscope values as a list, and one value with the last time, the cells
+    of the two filters and of the four averages. A trip that gets no rows for ``ttl_ms`` is forgotten.
+    """
+
+    RING = "signal double, gyro double"
+    CELLS = "last bigint, band array<double>, smooth array<double>, averages array<double>"
+
+    def __init__(self, key: str, order: list[str], gyro: str, p: Detection, low: CausalFilter | None, ttl_ms: int | None) -> None:
+        self.key, self.order, self.gyro, self.p, self.ttl = key, order, gyro, p, ttl_ms
+        self.low, self.high = low, CausalFilter(BANDPASS_B, BANDPASS_A)
+        self.average = CausalFilter([p.alpha, 0.0], [1.0, p.alpha - 1.0])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", self.RING, self.ttl)
+        self.cells = handle.getValueState("cells", self.CELLS, self.ttl)
+
+    def _smoothed(self, x: np.ndarray, cell: float | None, first: float) -> tuple[np.ndarray, float]:
+        """Moving average from its cell; a new one starts so that the first value is ``first``."""
+        start = (1 - self.p.alpha) * x[0] + first - x[0] if cell is None else cell
+        y, end = self.average.run(x, np.array([start]))
+        return y, float(end[0])
+
+    def _trailing(self, past: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The last ``window_rows`` values at each row; unknown before the first row."""
+        n = self.p.window_rows
+        padded = np.concatenate([np.full(n - 1 - len(past), np.nan), past, x])
+        return np.lib.stride_tricks.sliding_window_view(padded, n)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        p = self.p
+        last, band, smooth, averages = self.cells.get() if self.cells.exists() else (None, [0.0] * 4, None, [None] * 4)
+        rows = _ordered(rows, self.order, last)
+        if not len(rows):
+            return
+        vertical, band = self.high.run(rows["raw_vertical"].to_numpy(float), np.array(band))
+        flat = rows["raw_horizontal"].to_numpy(float)
+        if self.low is None:
+            horizontal, smooth = flat, np.zeros(2)
+        else:
+            horizontal, smooth = self.low.run(flat, self.low.steady() * flat[0] if smooth is None else np.array(smooth))
+        past = np.array([tuple(r) for r in self.ring.get()] if self.ring.exists() else [], float).reshape(-1, 2)
+        turn = np.nan_to_num(rows[self.gyro].to_numpy(float))
+        near = self._trailing(past[:, 0], vertical)
+        known = np.isfinite(near)
+        n = known.sum(axis=1)
+        off = np.where(known, near - (np.where(known, near, 0.0).sum(axis=1) / np.maximum(n, 1))[:, None], 0.0)
+        energy = np.where(n > 1, np.sqrt((off * off).sum(axis=1) / np.maximum(n - 1, 1)), 0.0)
+        gyro = np.nanmean(self._trailing(past[:, 1], turn), axis=1)
+        base, averages_0 = self._smoothed(energy, averages[0], energy[0])
+        dev, averages_1 = self._smoothed(np.abs(energy - base), averages[1], 0.0)
+        gyro_base, averages_2 = self._smoothed(gyro, averages[2], gyro[0])
+        gyro_dev, averages_3 = self._smoothed(np.abs(gyro - gyro_base), averages[3], 0.0)
+        threshold, gyro_threshold = base + p.multiplier * dev, gyro_base + p.multiplier * gyro_dev
+        self.cells.update((int(rows[self.order[0]].iloc[-1]), band.tolist(), smooth.tolist(), [averages_0, averages_1, averages_2, averages_3]))
+        kept = np.concatenate([past, np.column_stack([vertical, turn])])[1 - p.window_rows:]
+        self.ring.put([tuple(r) for r in kept.tolist()])
+        yield rows[[self.key, *self.order]].assign(
+            a_vertical=vertical, a_horizontal=horizontal, a_linear_mag=np.sqrt(vertical ** 2 + horizontal ** 2), energy=energy, threshold=threshold,
+            gyro_energy_now=gyro, gyro_threshold=gyro_threshold,
+            active=(energy > threshold) | (gyro > gyro_threshold) | (gyro > p.gyro_trigger))
+
+    def close(self) -> None:
+        pass
+
+
+def fused_thresholds(stream: DataFrame, key: str, order: list[str], gyro: str, p: Detection = Detection(), cutoff_hz: float = 20.0,
+                     sample_hz: float = 100.0, ttl_ms: int | None = 6 * 3_600_000) -> DataFrame:
+    """Raw samples in; filtered vertical and horizontal acceleration, energy, thresholds and the active flag out.
+
+    One stage of the online detector with its state per trip, freed ``ttl_ms`` after the trip's last rows (None: never). Equal to
+    ``fusion.causal_filters`` and ``peaks.adaptive_energy`` over ordered input, whatever the micro-batches. Needs the RocksDB
+    state store (see ``drain``).
+    """
+    lin, grav = (tuple(F.col(f"{c}{a}") for a in "xyz") for c in ("lin_a", "grav_"))
+    vertical, horizontal = gravity_projection(lin, grav)
+    rows = stream.select(key, *order, F.col(gyro).cast("double").alias(gyro), vertical.alias("raw_vertical"), horizontal.alias("raw_horizontal"))
+    out = T.StructType([*[rows.schema[c] for c in (key, *order)], *[T.StructField(c, T.DoubleType()) for c in (
+        "a_vertical", "a_horizontal", "a_linear_mag", "energy", "threshold", "gyro_energy_now", "gyro_threshold")],
+        T.StructField("active", T.BooleanType())])
+    step = Fusion(key, order, gyro, p, lowpass(cutoff_hz, sample_hz), ttl_ms)
+    return rows.groupBy(key).transformWithStateInPandas(step, out, "Append", "None" if ttl_ms is None else "ProcessingTime")
+
+
 def _distance_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     p1, p2 = np.radians(lat1), np.radians(lat2)
     h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
@@ -199,13 +299,37 @@ def candidates(stream: DataFrame, key: str, at: str, order: list[str], signal: s
         step, out, layout, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
-    """Run a stream over everything available into a file sink in the shared folder, and read the result."""
-    spark = stream.sparkSession
-    path, state = new_folder(spark, name), new_folder(spark, f"{name}-state")
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_db(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, as list and value states need, and run no batches without data,
+    which a time to live would ask for without end."""
+    wanted = {STATE_STORE: ROCKS_DB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def write_available(stream: DataFrame, path: str, state: str) -> None:
+    """Run a stream over everything available into a file sink, going on from the checkpoint ``state`` if there is one."""
     query = (stream.writeStream.format("parquet").option("checkpointLocation", state).option("path", path)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def drain(stream: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """Run a stream over everything available into a file sink in the shared folder, and read the result."""
+    spark = stream.sparkSession
+    path = new_folder(spark, name)
+    write_available(stream, path, new_folder(spark, f"{name}-state"))
     return spark.read.schema(schema or stream.schema).parquet(path)
 
 
