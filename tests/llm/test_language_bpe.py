@@ -65,7 +65,7 @@ def test_stitched_chunks_equal_the_whole(text, size, overlap):
 @given(st.one_of(PARTS, st.text(max_size=30)))
 def test_merge_equals_the_library(text):
     encoder = bpe.Encoder(RANKS)
-    packed = encoder.encode(FIND(text))
+    [packed] = encoder.encode([FIND(text)])
     assert np.frombuffer(packed, "<u4").tolist() == ENCODING.encode_ordinary(text)
     assert encoder.decode(packed) == text.encode()
 
@@ -88,3 +88,16 @@ def test_documents_round_trip(spark):
 
 def test_vocabulary_file():
     assert RANKS[base64.b64decode("IQ==")] == 0 and len(RANKS) == 50256
+
+
+def test_merges_at_once_equal_one_by_one():
+    rng = random.Random(6)
+    pieces = ["".join(rng.choices("abcdeéth日\n ", k=rng.randint(1, 30))).encode() for _ in range(3000)] + [b"\xff\xfe", b"a" * 64]
+    merges = bpe.Merges(RANKS)
+    assert [np.frombuffer(p, "<u4").tolist() for p in merges.merge(pieces)] == [bpe.merge(p, {k: v for k, v in RANKS.items()}) if p not in RANKS else
+                                                                             [int(x) for x in np.frombuffer(merges.merge([p])[0], "<u4")] for p in pieces]
+    encoder = bpe.Encoder(RANKS)
+    encoder.MOST = 50  # forgets again and again
+    texts = [[" the", "re" * rng.randint(1, 40), " x%d" % rng.randint(0, 999)] for _ in range(200)]
+    assert encoder.encode(texts[:100]) + encoder.encode(texts[100:]) == [b"".join(np.array(bpe.merge(p.encode(), RANKS), "<u4").tobytes() for p in t) for t in texts]
+    assert encoder.decode(b"") == b""

@@ -67,6 +67,79 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merges:
+    """Merges of many short pieces at once, and decoding, with arrays over the vocabulary."""
+
+    NONE = np.int64(1) << 40
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None:
+                    pairs[left << 32 | right] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[p] for p in self.pairs.tolist()], np.int64)
+        size = max(ranks.values()) + 1
+        self.length = np.zeros(size, np.int64)
+        self.length[list(ranks.values())] = list(map(len, ranks))
+        self.start = np.cumsum(self.length) - self.length
+        by_id = sorted(ranks, key=ranks.get)
+        self.text = np.frombuffer(b"".join(by_id), np.uint8)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        code = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == code, self.merged[at], self.NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece; every round merges the lowest-ranked pair of each piece, the leftmost of equals."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        rank = np.full(len(ids), self.NONE)
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inside] = self._rank(ids[inside], ids[inside + 1])
+        done_ids, done_owner = [], []
+        while len(ids):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            lowest = np.minimum.reduceat(rank, first)
+            sizes = np.diff(first, append=len(ids))
+            open_ = np.repeat(lowest < self.NONE, sizes)
+            if not open_.all():
+                done_ids.append(ids[~open_])
+                done_owner.append(owner[~open_])
+                ids, owner, rank = ids[open_], owner[open_], rank[open_]
+                lowest, sizes = lowest[lowest < self.NONE], sizes[lowest < self.NONE]
+                if not len(ids):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(lowest, sizes))
+            at = hits[np.flatnonzero(np.diff(owner[hits], prepend=-1))]
+            ids[at] = rank[at]
+            rank[at] = self.NONE
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            at -= np.arange(len(at))
+            for k in (at, at - 1):  # the pairs on both sides of what was merged
+                k = k[(k >= 0) & (k + 1 < len(ids))]
+                k = k[owner[k] == owner[k + 1]]
+                rank[k] = self._rank(ids[k], ids[k + 1])
+        ids, owner = np.concatenate([*done_ids, ids]), np.concatenate([*done_owner, owner])
+        order = np.argsort(owner, kind="stable")
+        packed = ids[order].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def decode(self, packed: bytes) -> bytes:
+        """The bytes of the ids one after the other, gathered from one table."""
+        ids = np.frombuffer(packed, "<u4")
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        return self.text[np.repeat(self.start[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+
 class Encoder(dict):
     """Piece to its packed ids (little-endian 32 bit), remembered up to a bound."""
 
@@ -74,22 +147,31 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self.ranks = ranks
-        self.bytes_of = dict(zip(ranks.values(), ranks))
+        self.ranks, self.merges = ranks, Merges(ranks)
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(merge(piece.encode("utf-8", "replace"), self.ranks), "<u4").tobytes()
-        if len(piece) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-    def encode(self, pieces: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, pieces))
+        """A piece too long to be remembered."""
+        return np.array(merge(piece.encode("utf-8", "replace"), self.ranks), "<u4").tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Merge the pieces that are new, all at once."""
+        if len(self) + len(pieces) > self.MOST:
+            self.clear()
+        new = [p for p in pieces if p not in self and len(p) <= self.LONGEST]
+        raw = [p.encode("utf-8", "replace") for p in new]
+        whole = [self.ranks.get(r) for r in raw]
+        self.update((p, int(r).to_bytes(4, "little")) for p, r in zip(new, whole) if r is not None)
+        rest = [(p, r) for p, r, w in zip(new, raw, whole) if w is None]
+        if rest:
+            self.update(zip([p for p, _ in rest], self.merges.merge([r for _, r in rest])))
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """Packed ids of texts that are given as pieces."""
+        self.learn(set().union(*texts))
+        return [b"".join(map(self.__getitem__, pieces)) for pieces in texts]
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return self.merges.decode(packed)
 
 
 def sure_pieces(pieces: list[str], size: int, last: bool, ahead: int) -> int:
@@ -156,7 +238,7 @@ def _short(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                packed = [encoder.encode(find(t)) for t in part.column(1).to_pylist()]
+                packed = encoder.encode([find(t) for t in part.column(1).to_pylist()])
                 yield _encoded(part.column(0), packed, encoder)
 
     return rows.mapInArrow(run, _schema(rows))
@@ -201,7 +283,7 @@ def _long(rows: DataFrame, ranks_path: str, pattern: str, cut: Chunking) -> Data
 
         def finished(doc_id, parts) -> pa.RecordBatch:
             pieces = stitch(parts, find, cut.ahead)
-            return _encoded(pa.array([doc_id], doc_type), [encoder.encode(pieces)], encoder)
+            return _encoded(pa.array([doc_id], doc_type), encoder.encode([pieces]), encoder)
 
         now, parts = None, []
         for batch in batches:
@@ -225,7 +307,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, cut: Chunking = Chunk
     """``doc_id``, ``ids`` (packed little-endian 32 bit) and ``decoded`` (raw bytes) of each text.
 
     ``ranks_path`` is a vocabulary file that every executor can read. NULL counts as empty;
-    empty texts have no ids; repeated rows are encoded one by one; an empty table gives no rows.
+    empty texts have no ids; repeated rows are encoded one by one; an empty table gives no rows; a text of any
+    length is encoded whole, beyond one chunk in overlapping chunks.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     long = F.length("text") > cut.size
