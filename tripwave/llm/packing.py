@@ -73,6 +73,7 @@ class Columns:
         self.cost = np.ones(len(sizes))
         self.inverse = np.diag(1.0 / fits)
         self.used = self.counts / fits
+        self.duals = self.inverse.sum(axis=0)
         self.upto = np.searchsorted(sizes, np.arange(room + 1), "right")
 
     def best(self, values: np.ndarray) -> tuple[float, np.ndarray]:
@@ -96,7 +97,7 @@ class Columns:
 
     def _priced(self, gap: float) -> tuple[np.ndarray, float] | None:
         """A column that lowers the number of sequences, and its cost; none if no more than ``gap`` can be gained."""
-        duals = self.inverse[self.cost > 0].sum(axis=0)
+        duals = self.duals
         falls = np.diff(duals, prepend=0.0)
         k = falls.argmin()
         if falls[k] < -1e-9:  # the rest of kind k is dearer than a smaller one, or costs less than nothing
@@ -113,23 +114,26 @@ class Columns:
         step = 0
         while (found := self._priced(gap)) is not None and step < 40 * len(self.sizes):
             entering, cost = found
-            column = self._times(entering)
+            held = np.flatnonzero(entering)
+            column = (self.inverse[:, held] * entering[held]).sum(axis=1)
             rows = np.flatnonzero(column > 1e-9)
             out = rows[np.argmin(self.used[rows] / column[rows])]
             self.basis[:, out], self.cost[out] = entering, cost
             step += 1
-            if step % 512 == 0:
+            if step % 512 == 0:  # what rounding has gathered goes
                 self.inverse = _inverse(self.basis)
-            else:
-                row = self.inverse[out] / column[out]
-                self.inverse -= np.outer(column, row)
-                self.inverse[out] = row
-            self.used = np.maximum(self._times(self.counts), 0)
+                self.duals = self.inverse[self.cost > 0].sum(axis=0)
+                self.used = np.maximum((self.inverse * self.counts).sum(axis=1), 0)
+                continue
+            row, share = self.inverse[out] / column[out], self.used[out] / column[out]
+            self.duals = self.duals + (cost - (self.duals[held] * entering[held]).sum()) * row
+            self.used = np.maximum(self.used - share * column, 0)
+            self.used[out] = share
+            moved = np.flatnonzero(np.abs(column) > 1e-13)
+            self.inverse[moved] -= np.outer(column[moved], row)
+            self.inverse[out] = row
         return step
 
-    def _times(self, column: np.ndarray) -> np.ndarray:
-        return (self.inverse * column).sum(axis=1)
-
     def rounded(self) -> tuple[np.ndarray, np.ndarray]:
         """Patterns (a column each) and whole repeats: rounded down, then one more where the rests fill it, largest fractions first."""
         own = np.flatnonzero(self.cost > 0)
@@ -361,7 +365,8 @@ def assign(encoded: DataFrame, p: PackParams = PackParams()) -> DataFrame:
         "doc_tokens", (F.col("sequence") + turn % F.col("repeats")).alias("sequence_id"),
         (F.col("slot") + F.floor(turn / F.col("repeats"))).alias("slot"), (F.col("tokens") < F.col("rest")).alias("_cut"))
     placed = materialize(placed)
-    parts = _slices(placed.where("_cut").join(encoded.select("_row", "ids"), "_row"))
+    # as many as the plan cuts, which rounding bounds: a few rests for each pattern
+    parts = _slices(encoded.select("_row", "ids").join(F.broadcast(placed.where("_cut")), "_row"))
     rests = placed.where("_cut is null or not _cut").select(*PIECE).unionByName(parts)
     before_it = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     rests = rests.withColumn("offset", F.coalesce(F.sum("length").over(before_it), F.lit(0)))
