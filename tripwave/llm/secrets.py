@@ -2,8 +2,9 @@
 
 Two first-order Markov chains over a 67-symbol alphabet are trained from labelled
 samples. Random: the values that the base patterns find, and generated strings of the
-usual alphabets. Ordinary: all other text of all documents but the tokens in question. A long token is a secret
-if the log-likelihood ratio per character says random.
+usual alphabets. Ordinary: all other text of all documents, without long tokens of letters and digits, which may be
+either. A token from ``min_length`` characters is a secret if the sum of its log-likelihood ratios beats the odds against one,
+so the ratio that each character must show falls with the length.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 K = len(ALPHABET)
 #: Random classes; strings over few symbols would blur a chain over many.
-MODELS = {"hex": "0123456789abcdef", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "mixed": ALPHABET[:64]}
+MODELS = {"hex": "0123456789abcdef", "lower": ALPHABET[26:52], "capital": ALPHABET[:26], "upper": ALPHABET[:26] + "0123456789",
+          "letters": ALPHABET[:52], "mixed": ALPHABET[:64]}
 ORDINARY = "ordinary"
 
 
@@ -36,14 +38,16 @@ ORDINARY = "ordinary"
 class SecretRules:
     """``samples`` generated strings train each random class; tokens from ``min_length`` characters are scored.
 
-    Counts of symbol pairs are smoothed with ``backoff`` pairs that follow the single symbols.
+    A token is a secret if its log-likelihood ratios add up to ``odds`` (natural logarithm of a million to one) and to ``min_score``
+    for each pair of neighbours. Counts of symbol pairs are smoothed with ``backoff`` pairs that follow the single symbols.
     """
 
     samples: int = 2000
     sample_length: int = 40
     seed: int = 7
-    min_length: int = 20
-    min_score: float = 0.6
+    min_length: int = 16
+    odds: float = 14.0
+    min_score: float = 0.3
     smoothing: float = 0.5
     backoff: float = 10.0
 
@@ -137,26 +141,37 @@ def train(texts: DataFrame, rules: SecretRules = SecretRules()) -> np.ndarray:
     return np.stack([chance[name] - chance[ORDINARY] for name in MODELS])
 
 
-def score(token: str, ratios: np.ndarray, table: np.ndarray) -> float:
-    """Largest log-likelihood ratio per character pair over the random classes."""
-    s = table[np.frombuffer(token.encode(), np.uint8)]
-    return float(ratios[:, s[:-1], s[1:]].mean(axis=1).max())
+def scores(tokens: list[str], ratios: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Largest sum of log-likelihood ratios of each token over the random classes."""
+    symbols = table[np.frombuffer("".join(tokens).encode(), np.uint8)]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(symbols), bool)
+    inside[ends - 1] = False  # the last symbol of a token starts no pair
+    pairs = np.flatnonzero(inside)
+    first = np.cumsum(sizes - 1) - (sizes - 1)
+    return np.add.reduceat(ratios[:, symbols[pairs], symbols[pairs + 1]], first, axis=1).max(axis=0)
 
 
 def looks_mixed(token: str) -> bool:
-    """Digits, and letters: numbers and plain words are no secrets."""
+    """Digits, and letters: may be random or an identifier, so it teaches neither model."""
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
 def find_spans(text: str, ratios: np.ndarray, rules: SecretRules, table: np.ndarray, token: re.Pattern) -> list[tuple]:
+    """Base spans, and tokens apart from them that the models call random."""
     base = base_spans(text)
-    added, at = [], 0
+    free, at = [], 0
     for m in token.finditer(text):
         while at < len(base) and base[at][2] <= m.start():
             at += 1
-        overlaps = any(b[0] < m.end() and b[2] > m.start() for b in base[at:at + 4])
-        if not overlaps and looks_mixed(m[0]) and score(m[0], ratios, table) >= rules.min_score:
-            added.append((m.start(), 3, m.end()))
+        if not any(b[0] < m.end() and b[2] > m.start() for b in base[at:at + 4]):
+            free.append(m)
+    added = []
+    if free:
+        for m, total in zip(free, scores([m[0] for m in free], ratios, table).tolist()):
+            if total >= max(rules.odds, rules.min_score * (len(m[0]) - 1)):
+                added.append((m.start(), 3, m.end()))
     return sorted([b[:3] for b in base] + added)
 
 
@@ -164,7 +179,8 @@ def scan(docs: DataFrame, rules: SecretRules = SecretRules(), ratios: np.ndarray
     """Secrets of each document: ``doc_id`` and ``spans``, an array of (start, end, kind) in code points.
 
     Base spans always stay; ``random`` spans are added where no base span is. NULL and empty
-    texts have none, repeated rows are scanned one by one, an empty table gives no rows.
+    texts have none, texts of any length are scanned whole, repeated rows one by one; a sum equal to the odds is
+    a secret; an empty table gives no rows.
     Without ``ratios`` the models are trained on ``docs``.
     """
     ratios = train(docs, rules) if ratios is None else ratios
