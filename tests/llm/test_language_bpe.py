@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -39,14 +41,63 @@ def test_language_edges(spark):
     assert unlabelled[0]["lang_pred"] == "und"
 
 
+def plain_grams(text, model):
+    """Buckets of the n-grams of a text, one at a time."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower())
+    words = re.sub(" +", " ", words).rstrip(" ")
+    if not words.strip():
+        return []
+    words = " " + words + " "
+    return [int(language.buckets_of(np.array([ord(c) for c in words[i:i + k]], np.uint64), k, model)[0])
+            for k in model.orders for i in range(len(words) - k + 1)]
+
+
 def test_ngram_counts_equal_a_plain_count():
-    model, letters = language.NgramModel(), language.Letters()
-    points = letters("  Ab, c9d ")
-    assert "".join(map(chr, points)) == " ab c d"
-    found = np.concatenate(list(language.grams("aba", letters, model)))
-    assert len(found) == 5 + 4 + 3 and len(set(found.tolist())) <= 10
-    whole = np.sort(np.concatenate(list(language.grams("ab cd ef " * 50, letters, model))))
-    assert len(whole) == sum(len(" " + "ab cd ef " * 49 + "ab cd ef ") - k + 1 for k in (1, 2, 3))
+    letters = language.Letters()
+    assert "".join(map(chr, letters("  ab, c9d "))) == " ab c d"
+    texts = ["aba", "ab cd ef " * 50, "  Ab, c9d ", "İSTANBUL ΟΔΟΣ é9  9é", "a", "\U0001F600 x\U00020000", "one  --  two"]
+    for text in texts:
+        for size in (1, 2, 3, 7, 1_000_000):  # a cut is not seen
+            model = language.NgramModel(chars_at_once=size, bits=12)
+            want = np.bincount(plain_grams(text, model), minlength=model.buckets)
+            assert (language.gram_counts(text, letters, model) == want).all(), (text, size)
+    assert language.gram_counts(" 12 !", letters, language.NgramModel()) is None
+    long = language.gram_counts("x" * 1_200_000, letters, language.NgramModel())
+    assert long.sum() == 1_200_002 + 1_200_001 + 1_200_000
+
+
+def test_predictions_equal_plain_naive_bayes(spark):
+    rng = random.Random(8)
+    model = language.NgramModel(bits=9, chars_at_once=40, cells_at_once=600)  # many slices, blocks of rows and of languages
+    make = lambda k: " ".join("".join(rng.choices("abcdefgh" if k % 2 else "defghijk", k=4)) for _ in range(rng.randint(0, 12)))
+    rows = [(i, make(i), f"l{i % 5}", None, None) for i in range(120)] + [(200, None, "l1", None, None), (201, "abc", None, None, None)]
+    df = documents(spark, rows).repartition(3)
+    got = {r["doc_id"]: r for r in dicts(language.identify_documents(df, model))}
+    held = {i: got[i]["held_out"] for i, *_ in rows}
+    learned = [(t, lang) for i, t, lang, *_ in rows if t is not None and lang is not None and not held[i]]
+    names = sorted({lang for _, lang in learned})
+    counts = {n: np.full(model.buckets, model.smoothing) for n in names}
+    texts = {n: 1 for n in names}
+    for t, lang in learned:
+        texts[lang] += 1
+        for b in plain_grams(t, model):
+            counts[lang][b] += 1
+    for i, text, *_ in rows:
+        grams = plain_grams(text or "", model)
+        if not grams:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        logs = [math.log(texts[n] / sum(texts.values())) + sum(math.log(counts[n][b] / counts[n].sum()) for b in grams) for n in names]
+        best = max(logs)
+        assert got[i]["lang_pred"] == names[logs.index(best)]
+        assert abs(got[i]["score"] - 1 / sum(math.exp(x - best) for x in logs)) < 1e-4
+
+
+def test_more_than_256_languages(spark):
+    rows = [(i, f"{chr(0x4E00 + i) * 30}", f"x{i:03d}", None, None) for i in range(300)]
+    trained = language.train(documents(spark, rows).select("text", "lang"), language.NgramModel(bits=10, languages_held=7))
+    got = dicts(language.identify(documents(spark, rows), trained, language.NgramModel(bits=10)))
+    assert len(trained.languages) == 300 and sum(r["lang_pred"] == f"x{r['doc_id']:03d}" for r in got) > 250
 
 
 PARTS = st.lists(st.sampled_from(["a", "B", "é", "1", "22", " ", "  ", "\n", "'", "'re", "'ll", "!", "…", " ", "　", "日本", "x" * 9, "\t\t", "_"]),

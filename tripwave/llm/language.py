@@ -22,16 +22,18 @@ SPACE = 32
 
 @dataclass(frozen=True)
 class NgramModel:
-    """N-grams of ``orders`` characters in ``2**bits`` buckets; at most ``max_languages`` are learned.
+    """N-grams of ``orders`` characters in ``2**bits`` buckets.
 
-    The matrix that is broadcast holds ``2**bits * max_languages`` floats at most.
+    The matrix that is broadcast holds ``2**bits`` floats (128 KiB) for each language. ``languages_held`` bounds the count tables
+    of a task, ``chars_at_once`` and ``cells_at_once`` its arrays; none of them changes a result.
     """
 
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
     smoothing: float = 0.5
-    max_languages: int = 256
+    languages_held: int = 256
     chars_at_once: int = 1_000_000
+    cells_at_once: int = 4_000_000
 
     @property
     def buckets(self) -> int:
@@ -39,7 +41,7 @@ class NgramModel:
 
 
 class Letters:
-    """Text to lower-case letters with single spaces between words, as code points."""
+    """Letters of a lower-case text, with single spaces between words, as code points."""
 
     def __init__(self) -> None:
         self.is_letter = np.zeros(0x110000, bool)
@@ -48,7 +50,7 @@ class Letters:
                                                  for c in range(lo, hi)), bool, hi - lo)
 
     def __call__(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
         letter = self.is_letter[points]
         points = np.where(letter, points, SPACE).astype(np.uint64)
         keep = letter.copy()
@@ -68,20 +70,32 @@ def buckets_of(points: np.ndarray, order: int, model: NgramModel) -> np.ndarray:
     return (h >> np.uint64(64 - model.bits)).astype(np.int64)
 
 
-def pieces(text: str, model: NgramModel) -> Iterator[str]:
-    """A text in slices of bounded size."""
-    for at in range(0, len(text), model.chars_at_once):
-        yield text[at:at + model.chars_at_once]
-
+def gram_counts(text: str, letters: Letters, model: NgramModel) -> np.ndarray | None:
+    """How often each bucket's n-grams occur in the words of a text with a space at both ends; None without a letter.
 
-def grams(text: str, letters: Letters, model: NgramModel) -> Iterator[np.ndarray]:
-    """Buckets of all n-grams of a text, a space before and after each slice."""
-    for piece in pieces(text, model):
-        points = letters(piece)
-        if not (points != SPACE).any():
-            continue
-        points = np.concatenate([[SPACE], points, [SPACE]]).astype(np.uint64)
-        yield np.concatenate([buckets_of(points, order, model) for order in model.orders])
+    A long text goes through in slices; the last characters of one are carried into the next, so that a cut is not seen.
+    """
+    text = text.lower()
+    counts, tail, carried = None, np.zeros(0, np.uint64), max(model.orders) - 1
+
+    def add(new: np.ndarray) -> np.ndarray:
+        nonlocal counts
+        stream = np.concatenate([tail, new])
+        counts = np.zeros(model.buckets, np.int64) if counts is None else counts
+        for order in model.orders:
+            counts += np.bincount(buckets_of(stream[max(0, len(tail) - order + 1):], order, model), minlength=model.buckets)
+        return stream[max(0, len(stream) - carried):]
+
+    space = np.array([SPACE], np.uint64)
+    for at in range(0, len(text), model.chars_at_once):
+        # a space before the slice counts only if the slice begins with a letter
+        first = at - 1 if at and not letters.is_letter[ord(text[at - 1])] else at
+        points = letters(text[first:at + model.chars_at_once])
+        if len(points):
+            tail = add(points if counts is not None else np.concatenate([space, points]))
+    if counts is not None:
+        add(space)
+    return counts
 
 
 def count_grams(labelled: DataFrame, model: NgramModel) -> DataFrame:
@@ -103,12 +117,12 @@ def count_grams(labelled: DataFrame, model: NgramModel) -> DataFrame:
                 part = batch.slice(at, ROWS_AT_ONCE)
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if lang not in counts:
-                        if len(counts) >= model.max_languages:
+                        if len(counts) >= model.languages_held:
                             yield from flush()
                         counts[lang] = np.zeros(model.buckets + 1, np.int64)
                     counts[lang][0] += 1
-                    for found in grams(text, letters, model):
-                        counts[lang] += np.bincount(found + 1, minlength=model.buckets + 1)
+                    if (found := gram_counts(text, letters, model)) is not None:
+                        counts[lang][1:] += found
         yield from flush()
 
     counted = labelled.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
@@ -125,11 +139,9 @@ class Trained:
 
 
 def train(labelled: DataFrame, model: NgramModel = NgramModel()) -> Trained:
-    """Fits on every row with a text and a language."""
+    """Fits on every row with a text and a language; a row per language reaches the driver, and its counts."""
     rows = labelled.where("text is not null and lang is not null")
-    languages = tuple(sorted(r[0] for r in rows.select("lang").distinct().limit(model.max_languages + 1).collect()))
-    if len(languages) > model.max_languages:
-        raise ValueError(f"more than {model.max_languages} languages; raise max_languages")
+    languages = tuple(sorted(r[0] for r in rows.select("lang").distinct().collect()))
     counts = np.zeros((model.buckets + 1, len(languages)))
     table = count_grams(rows, model).toArrow()
     at = {name: i for i, name in enumerate(languages)}
@@ -146,29 +158,46 @@ def identify(docs: DataFrame, trained: Trained, model: NgramModel = NgramModel()
 
     ``score`` is the posterior of the prediction. NULL texts and texts without a letter are
     ``und`` with score 0, as is every text if nothing was learned. Equal likelihoods go to
-    the first language by code point. Repeated rows are scored one by one; an empty table
-    gives no rows.
+    the first language by code point. Texts of any length are read whole. Repeated rows are scored one by one; an empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((trained.languages, trained.prior, trained.matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, (languages, prior, matrix) = Letters(), shared.value
 
-        def predict(text: str | None) -> tuple[str, float]:
-            total = None
-            for found in grams(text or "", letters, model):
-                part = matrix[found].sum(axis=0, dtype=np.float64)
-                total = part if total is None else total + part
-            if total is None or not languages:
-                return UNKNOWN, 0.0
-            total = total + prior
-            best = int(total.argmax())
-            return languages[best], float(1 / np.exp(total - total[best]).sum())
+        def scored(texts: list[str | None]) -> list[tuple[str, float]]:
+            """The counts of all texts as one sparse matrix, times the log probabilities, some rows and languages at a time."""
+            out = [(UNKNOWN, 0.0)] * len(texts)
+            rows = [(i, c) for i, t in enumerate(texts) if languages and (c := gram_counts(t or "", letters, model)) is not None]
+            if not rows:
+                return out
+            places = [np.flatnonzero(c) for _, c in rows]
+            totals = np.tile(prior, (len(rows), 1))
+            width = max(1, model.cells_at_once // model.buckets)
+            for low in range(0, len(languages), width):
+                part = slice(low, low + width)
+                start = 0
+                while start < len(rows):
+                    stop, cells = start, 0
+                    while stop < len(rows) and (stop == start or cells + len(places[stop]) * width <= model.cells_at_once):
+                        cells += len(places[stop]) * min(width, len(languages))
+                        stop += 1
+                    at = np.concatenate(places[start:stop])
+                    n = np.concatenate([c[p] for (_, c), p in zip(rows[start:stop], places[start:stop])])
+                    sizes = np.fromiter(map(len, places[start:stop]), np.int64)
+                    totals[start:stop, part] += np.add.reduceat(matrix[at, part].astype(np.float64) * n[:, None], np.cumsum(sizes) - sizes)
+                    start = stop
+            best = totals.argmax(axis=1)
+            sure = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+            for (i, _), k, p in zip(rows, best.tolist(), sure.tolist()):
+                out[i] = languages[k], p
+            return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                found = [predict(t) for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = scored(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                     names=["doc_id", "lang_pred", "score"])
