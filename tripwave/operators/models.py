@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -53,17 +54,18 @@ def weighted(df: DataFrame, task: Task) -> DataFrame:
     return assemble(balanced_weights(df, task.label), task.features)
 
 
-def train_forest(df: DataFrame, task: Task) -> Scorer:
-    """Random forest with balanced row weights; the scorer adds a ``proba`` array."""
+def fit_forest(rows: DataFrame, task: Task) -> Scorer:
+    """Random forest on assembled, weighted rows; the scorer adds a ``proba`` array to assembled rows."""
     model = RandomForestClassifier(featuresCol="_features", labelCol=task.label, weightCol="weight", probabilityCol="_p",
                                    rawPredictionCol="_raw", predictionCol="_pred", seed=task.seed,
-                                   **{"numTrees": 50, "maxDepth": 5, **task.params}).fit(weighted(df, task))
+                                   **{"numTrees": 50, "maxDepth": 5, **task.params}).fit(rows)
+    return lambda new: model.transform(new).withColumn("proba", vector_to_array("_p")).drop("_p", "_raw", "_pred")
 
-    def score(rows: DataFrame) -> DataFrame:
-        out = model.transform(assemble(rows, task.features)).withColumn("proba", vector_to_array("_p"))
-        return out.drop("_features", "_p", "_raw", "_pred")
 
-    return score
+def train_forest(df: DataFrame, task: Task) -> Scorer:
+    """Random forest with balanced row weights; the scorer adds a ``proba`` array."""
+    fitted = fit_forest(weighted(df, task), task)
+    return lambda rows: fitted(assemble(rows, task.features)).drop("_features")
 
 
 def normalised(parts: Column) -> Column:
@@ -72,9 +74,8 @@ def normalised(parts: Column) -> Column:
         F.lit(1.0) / F.size(parts))))
 
 
-def train_boosted(df: DataFrame, task: Task) -> Scorer:
-    """One boosted binary model per class on balanced weights; probabilities are renormalised."""
-    rows = materialize(weighted(df, task))
+def fit_boosted(rows: DataFrame, task: Task) -> Scorer:
+    """One boosted binary model per class on assembled, weighted rows; probabilities are renormalised."""
     params = {**BOOSTED_DEFAULTS, **task.params}
     fitted = []
     for c in range(task.classes):
@@ -82,17 +83,23 @@ def train_boosted(df: DataFrame, task: Task) -> Scorer:
         fitted.append(GBTClassifier(featuresCol="_features", labelCol="_y", weightCol="weight", seed=task.seed, **params).fit(binary))
 
     def score(new: DataFrame) -> DataFrame:
-        out = assemble(new, task.features)
+        out = new
         for c, model in enumerate(fitted):
             out = model.setProbabilityCol(f"_p{c}").setRawPredictionCol(f"_r{c}").setPredictionCol(f"_d{c}").transform(out)
         parts = F.array(*[vector_to_array(f"_p{c}")[1] for c in range(task.classes)])
-        drop = [f"_{x}{c}" for x in "prd" for c in range(task.classes)]
-        return out.withColumn("proba", normalised(parts)).drop("_features", *drop)
+        return out.withColumn("proba", normalised(parts)).drop(*[f"_{x}{c}" for x in "prd" for c in range(task.classes)])
 
     return score
 
 
+def train_boosted(df: DataFrame, task: Task) -> Scorer:
+    """``fit_boosted`` on balanced weights of a table that is written once for all classes."""
+    fitted = fit_boosted(materialize(weighted(df, task)), task)
+    return lambda rows: fitted(assemble(rows, task.features)).drop("_features")
+
+
 TRAINERS = {"forest": train_forest, "boosted": train_boosted}
+FITTERS = {"forest": fit_forest, "boosted": fit_boosted}
 
 
 def out_of_fold(df: DataFrame, folds: DataFrame, task: Task, train: Callable[[DataFrame, Task], Scorer]) -> DataFrame:
@@ -177,18 +184,36 @@ def draw(space: Mapping[str, tuple], rng: random.Random) -> dict[str, object]:
 
 
 def search(df: DataFrame, folds: DataFrame, task: Task, trials: int, space: Mapping[str, tuple] = SEARCH_SPACE,
-           trainer: str = "boosted") -> DataFrame:
-    """Seeded random search; one row per trial with its mean pothole PR-AUC, best first."""
+           trainer: str = "boosted", at_once: int = 4) -> DataFrame:
+    """Seeded random search with successive halving: ``trial``, ``value`` (mean PR-AUC of the positive class over its folds),
+    ``folds`` and ``params``; trials that went furthest first, best first.
+
+    The table is assembled and weighted once for each fold and written; trials read it and write nothing.
+    ``at_once`` trials run side by side. After every fold the weaker half of the trials is stopped.
+    """
     rng = random.Random(task.seed)
-    out = None
-    for n in range(trials):
-        params = draw(space, rng)
-        trial = Task(**{**task.__dict__, "params": {**task.params, **params}})
-        score = fold_scores(out_of_fold(df, folds, trial, TRAINERS[trainer]), task).agg(F.coalesce(F.avg("pr_auc"), F.lit(0.0)).alias("value"))
-        row = score.select(F.lit(n).alias("trial"), "value", F.create_map(*[
-            F.lit(x if isinstance(x, str) else str(x)) for p in params.items() for x in p]).alias("params"))
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.desc("value"), "trial")
+    params = [draw(space, rng) for _ in range(trials)]
+    rows = materialize(join_per_key(df, folds, [task.trip], [task.ident]))
+    columns = [task.ident, task.label, "weight", "_features"]
+    scores: dict[int, list[float]] = {n: [] for n in range(trials)}
+    alive = list(range(trials))
+    for f in sorted(r[0] for r in folds.select("fold").distinct().collect()):  # at most k fold numbers
+        part = inject_missing(rows.where(F.col("fold") != f), rows, task.label, task.ident)
+        known = materialize(weighted(part, task).select(*columns))
+        held = materialize(assemble(rows.where(F.col("fold") == f), task.features).select("fold", task.ident, task.label, "_features"))
+
+        def run(n: int) -> float:
+            trial = Task(**{**task.__dict__, "params": {**task.params, **params[n]}})
+            found = fold_scores(FITTERS[trainer](known, trial)(held), task).agg(F.coalesce(F.avg("pr_auc"), F.lit(0.0))).first()
+            return float(found[0])
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for n, value in zip(alive, pool.map(run, alive)):
+                scores[n].append(value)
+        alive = sorted(alive, key=lambda n: (-sum(scores[n]) / len(scores[n]), n))[:(len(alive) + 1) // 2]
+    done = sorted(((n, sum(v) / len(v), len(v), {k: str(x) for k, x in params[n].items()}) for n, v in scores.items() if v),
+                  key=lambda r: (-r[2], -r[1], r[0]))
+    return df.sparkSession.createDataFrame(done, "trial int, value double, folds int, params map<string,string>").coalesce(1)
 
 
 def ablate_features(df: DataFrame, folds: DataFrame, task: Task, ranking: Sequence[str], sizes: Sequence[int | None],

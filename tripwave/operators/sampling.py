@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -174,37 +175,52 @@ def smote(df: DataFrame, ident: str, label: str, vector: str, seed: int = 42, ma
     return out
 
 
+def _draws(ident: str, seed: int, name: str, *counters: Column, at: int = 1) -> Column:
+    """A number in [0, 1) for a row, a purpose and counters: 13 hex digits of one hash from the place ``at`` on."""
+    key = F.md5(F.concat_ws(":", F.col(ident).cast("string"), F.lit(name), *[c.cast("string") for c in counters], F.lit(str(seed))))
+    return F.conv(F.substring(key, at, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def augment(df: DataFrame, ident: str, channels: Sequence[str], length: int, seed: int = 42, noise: float = 0.02,
             scale: tuple[float, float] = (0.85, 1.15), warp_prob: float = 0.8, warp: float = 0.1,
             drop_prob: float = 0.1, knots: int = 4) -> DataFrame:
-    """Random crop, time warp, noise, per-channel scale, channel drop; one seed per row, so reruns agree."""
-    schema = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in channels])
+    """Random crop, time warp, noise, per-channel scale, channel drop of windows (arrays).
 
-    @F.pandas_udf(schema)
-    def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = {c: [] for c in channels}
-            for row in batch.itertuples(index=False):
-                rng = np.random.default_rng(np.uint64(row[0] & 0x7FFFFFFFFFFFFFFF))
-                x = np.stack([np.asarray(v, float) for v in row[1:]])
-                if x.shape[1] < length:
-                    raise ValueError(f"window of {x.shape[1]} rows is shorter than {length}")
-                at = rng.integers(0, x.shape[1] - length + 1)
-                x = x[:, at:at + length]
-                if rng.random() < warp_prob:
-                    pos = np.linspace(0, length - 1, knots + 2)
-                    off = rng.uniform(-warp * length, warp * length, knots + 2)
-                    off[[0, -1]] = 0
-                    src = np.clip(np.interp(np.arange(length), pos, pos + off), 0, length - 1)
-                    x = np.stack([np.interp(src, np.arange(length), c) for c in x])
-                x = x + rng.normal(0, noise, x.shape)
-                x = x * rng.uniform(*scale, (len(x), 1))
-                if rng.random() < drop_prob:
-                    x[rng.integers(0, len(x))] = 0.0
-                for c, v in zip(channels, x):
-                    out[c].append(v.tolist())
-            yield pd.DataFrame(out)
-
-    done = df.withColumn("_a", change(F.struct(F.xxhash64(F.col(ident), F.lit(seed)).alias("seed"), *channels)))
-    keep = [c for c in df.columns if c not in channels]
-    return done.select(*keep, *[F.col(f"_a.{c}").alias(c) for c in channels])
+    Every draw is a hash of the row's id, its purpose and a counter (knot, channel, sample), so reruns and other engines
+    make the same ones, and all steps are column expressions. Windows shorter than ``length`` are an error.
+    """
+    size = F.size(channels[0])
+    short = F.raise_error(F.concat(F.lit("window of "), size.cast("string"), F.lit(f" rows is shorter than {length}")))
+    start = F.when(size < length, short.cast("int")).otherwise(
+        F.floor(_draws(ident, seed, "crop") * (size - length + 1)).cast("int"))
+    offsets = F.array(F.lit(0.0), *[(_draws(ident, seed, "knot", F.lit(k)) * 2 - 1) * (warp * length) for k in range(1, knots + 1)], F.lit(0.0))
+    cut = df.withColumns({"_start": start, "_off": offsets, "_warped": _draws(ident, seed, "warp") < warp_prob,
+                          "_dropped": F.when(_draws(ident, seed, "drop") < drop_prob, F.floor(_draws(ident, seed, "dropped") * len(channels)))})
+
+    def source(j: Column) -> Column:
+        """Where a sample comes from: the knots' offsets, interpolated."""
+        place = j * (knots + 1) / float(max(1, length - 1))
+        left = F.least(F.lit(knots), F.floor(place)).cast("int")
+        low, high = F.get("_off", left), F.get("_off", left + 1)
+        moved = F.greatest(F.lit(0.0), F.least(F.lit(float(length - 1)), j + low + (place - left) * (high - low)))
+        return F.when(F.col("_warped"), moved).otherwise(j.cast("double"))
+
+    def sampled(c: int, name: str) -> Column:
+        x = F.slice(F.col(name).cast("array<double>"), F.col("_start") + 1, length)
+        gain = F.lit(scale[0]) + _draws(ident, seed, "scale", F.lit(c)) * (scale[1] - scale[0])
+
+        def value(j: Column) -> Column:
+            src = F.get("_src", j)
+            low = F.floor(src).cast("int")
+            a, b = F.get(f"_x{c}", low), F.get(f"_x{c}", F.least(low + 1, F.lit(length - 1)))
+            u, v = (_draws(ident, seed, "noise", F.lit(c), j, at=at) for at in (1, 17))
+            normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.lit(math.pi) * v)
+            return F.when(F.col("_dropped") == c, F.lit(0.0)).otherwise((a + (src - low) * (b - a) + noise * normal) * F.col(f"_gain{c}"))
+
+        steps[f"_x{c}"], steps[f"_gain{c}"] = x, gain
+        return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), value)
+
+    steps = {"_src": F.transform(F.sequence(F.lit(0), F.lit(length - 1)), source)}
+    made = {name: sampled(c, name) for c, name in enumerate(channels)}
+    done = cut.withColumns(steps).withColumns({f"_made_{name}": value for name, value in made.items()})
+    return done.select(*[F.col(f"_made_{c}").alias(c) if c in channels else F.col(c) for c in df.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -151,3 +151,23 @@ def representative(df: DataFrame, by: Sequence[str], score: Column, tie: str, k:
     order = Window.partitionBy(*by).orderBy(F.desc("_score"), tie)
     ranked = df.withColumn("_score", score).withColumn("_r", F.row_number().over(order))
     return ranked.where(F.col("_r") <= k).where(F.col("_r") == k).drop("_r", "_score")
+
+
+def interval_diagnostics(samples: DataFrame, events: DataFrame, ax: Axis, event: str, at: str, half: int, grid: int, longest: int,
+                         per_second: float) -> DataFrame:
+    """Steps between samples around each event: number, largest, mean in seconds, those above the grid's and above what is filled."""
+    key, ts = ax.keys[0], ax.order[0]
+    steps = previous(samples.select(*ax.keys, *ax.order), ax, {"_before": ts}).select(key, ts, (F.col(ts) - F.col("_before")).alias("step"))
+    return range_join(steps, events, key, ts, at, half, half).groupBy(event).agg(
+        F.count(F.lit(1)).alias("n"), F.max("step").alias("max_step"), (F.avg("step") / per_second).alias("mean_step_s"),
+        F.count_if(F.col("step") > grid).alias("over_grid"), F.count_if(F.col("step") > longest).alias("over_fill"))
+
+
+def compare_windows(sides: Mapping[str, DataFrame], events: DataFrame, key: str, ts: str, event: str, at: str, value: str, half: int) -> DataFrame:
+    """Number, mean and maximum of a value around each event in several versions of the samples, side by side."""
+    out = None
+    for name, rows in sides.items():
+        pairs = range_join(rows.select(key, ts, value), events, key, ts, at, half, half, closed=False)
+        side = pairs.groupBy(event).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.avg(value).alias(f"{name}_mean"), F.max(value).alias(f"{name}_max"))
+        out = side if out is None else out.join(side, event)
+    return out

@@ -50,19 +50,36 @@ def isotonic_facts(spark, folder):
         F.forall(c, lambda x: x.between(0.0, 1.0)).alias("in_range"))
 
 
-@query("search_facts", "SELECT unnest(range(3))::INTEGER AS trial, true AS in_range, true AS best_first, true AS drawn_inside")
-def search_facts(spark, folder):
-    """Every trial once, best value first, parameters inside their space."""
-    found = model_queries.search(spark, folder).withColumn("_at", F.monotonically_increasing_id())
-    before = F.lag("value").over(Window.partitionBy(F.lit(0)).orderBy("_at"))  # one row per trial
-    inside = F.col("params")["numTrees"].cast("int").between(4, 10) & F.col("params")["maxDepth"].cast("int").between(2, 5) & (
-        F.col("params")["subsamplingRate"].cast("double").between(0.5, 1.0))
-    return found.select("trial", F.col("value").between(0.0, 1.0).alias("in_range"),
+def _search_facts(found, space):
+    """Every trial once, the best of those that went furthest first, parameters inside their space."""
+    found = found.withColumn("_at", F.monotonically_increasing_id())
+    before = F.lag("value").over(Window.partitionBy("folds").orderBy("_at"))  # one row per trial
+    inside = F.lit(True)
+    for name, (low, high, _) in space.items():
+        inside = inside & F.col("params")[name].cast("double").between(low, high)
+    return found.select("trial", F.col("value").between(0.0, 1.0).alias("in_range"), (F.col("folds") >= 1).alias("scored"),
                         F.coalesce(before >= F.col("value"), F.lit(True)).alias("best_first"), inside.alias("drawn_inside"))
 
 
+@query("search_facts", "SELECT unnest(range(6))::INTEGER AS trial, true AS in_range, true AS scored, true AS best_first, true AS drawn_inside")
+def search_facts(spark, folder):
+    return _search_facts(model_queries.search(spark, folder), model_queries.FOREST_SPACE)
+
+
+@query("search_boosted_facts", "SELECT unnest(range(4))::INTEGER AS trial, true AS in_range, true AS scored, true AS best_first, true AS drawn_inside")
+def search_boosted_facts(spark, folder):
+    return _search_facts(model_queries.search_boosted(spark, folder), model_queries.BOOSTED_SPACE)
+
+
+@query("ablate_data_facts", """SELECT a AS undersample, b AS augment, c AS smote, true AS in_range
+FROM (VALUES (true), (false)) x(a), (VALUES (true), (false)) y(b), (VALUES (true), (false)) z(c)""")
+def ablate_data_facts(spark, folder):
+    """Every on/off combination once, with a score."""
+    return model_queries.ablate_data(spark, folder).select("undersample", "augment", "smote", F.col("macro_f1").between(0.0, 1.0).alias("in_range"))
+
+
 @query("ablate_features_facts", f"""WITH {VEC_SQL} SELECT n AS n_features, cls::VARCHAR AS label, true AS in_range
-FROM (SELECT DISTINCT cls FROM vec) c, (VALUES (3), (5), (8)) t(n)""")
+FROM (SELECT DISTINCT cls FROM vec) c, (VALUES (4), (16), (64)) t(n)""")
 def ablate_features_facts(spark, folder):
     """A score of every class for every number of features."""
     return model_queries.ablate_features(spark, folder).where("label in ('0', '1', '2')").select(
@@ -97,16 +114,6 @@ def stream_scoring_facts(spark, folder):
     return live.join(batch, "event_id").select("event_id", "times", (F.col("pred") == F.col("_pred")).alias("same_pred"))
 
 
-@query("augment_windows_facts", f"WITH {VEC_SQL} SELECT vec_id, 24 AS n_a, 24 AS n_b, true AS repeats, true AS finite FROM vec")
-def augment_windows_facts(spark, folder):
-    """Windows of the length asked for, the same on every run."""
-    one, two = model_queries.augment_windows(spark, folder), model_queries.augment_windows(spark, folder)
-    both = one.join(two.select("vec_id", F.col("a").alias("_a"), F.col("b").alias("_b")), "vec_id")
-    finite = F.forall(F.concat("a", "b"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e6))
-    return both.select("vec_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"),
-                       ((F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).alias("repeats"), finite.alias("finite"))
-
-
 @query("pca2_facts", f"""WITH {LI_SQL} SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, true AS eigenvalue FROM li""")
 def pca2_facts(spark, folder):
     """Components that are centred, uncorrelated and ordered; the first one's variance is an eigenvalue of the correlations."""

@@ -10,9 +10,13 @@ from tripwave.plans.registry import query, r6, rounded
 from tripwave.plans.views import LI_FEATURES, VEC_SQL, li, vec
 from tripwave.sources import stage
 
-DIMS = tuple(f"f{i}" for i in range(8))
-SMALL = {"numTrees": 8, "maxDepth": 4}
-BOOST = {"maxIter": 3, "maxDepth": 3}
+DIMS = tuple(f"f{i}" for i in range(64))
+SMALL = {"numTrees": 20, "maxDepth": 5}
+BOOST = {"maxIter": 10, "maxDepth": 3}
+
+
+FOREST_SPACE = {"numTrees": (10, 30, "int"), "maxDepth": (2, 6, "int"), "subsamplingRate": (0.5, 1.0, "float")}
+BOOSTED_SPACE = {**models.SEARCH_SPACE, "maxIter": (4, 10, "int"), "maxDepth": (2, 4, "int")}
 
 
 def _table(spark, folder):
@@ -57,15 +61,21 @@ def isotonic(spark, folder):
 @query("search")
 def search(spark, folder):
     rows = _table(spark, folder)
-    space = {"numTrees": (4, 10, "int"), "maxDepth": (2, 5, "int"), "subsamplingRate": (0.5, 1.0, "float")}
-    return models.search(rows, _folds(rows, 2), _task(), 3, space, "forest").withColumn("value", r6("value"))
+    return models.search(rows, _folds(rows, 2), _task(), 6, FOREST_SPACE, "forest").withColumn("value", r6("value"))
+
+
+@query("search_boosted")
+def search_boosted(spark, folder):
+    """Boosted trials, the weaker half of which is stopped after the first fold."""
+    rows = _table(spark, folder)
+    return models.search(rows, _folds(rows, 2), _task(), 4, BOOSTED_SPACE).withColumn("value", r6("value"))
 
 
 @query("ablate_features")
 def ablate_features(spark, folder):
     rows = _table(spark, folder)
     ranking = [f for f, _ in models.importances(rows, _task(**SMALL))]
-    return rounded(models.ablate_features(rows, _folds(rows, 2), _task(**SMALL), ranking, [None, 5, 3]), "f1")
+    return rounded(models.ablate_features(rows, _folds(rows, 2), _task(**SMALL), ranking, [None, 16, 4]), "f1")
 
 
 @query("ablate_data")
@@ -165,12 +175,37 @@ def smote(spark, folder):
         "vec_id", "cls", "synthetic", F.col("i").cast("bigint").alias("i"), r6("v").alias("v"))
 
 
-@query("augment_windows")
+def _draw_sql(name: str, more: str = "", at: int = 1) -> str:
+    key = f"md5(vec_id::VARCHAR || ':{name}'{more} || ':42')"
+    return f"(('0x' || substr({key}, {at}, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
+
+
+def _augmented_sql(c: int, part: str) -> str:
+    """Values of channel ``c`` at the 24 samples, from the crop in ``part``."""
+    more = f" || ':{c}:' || (j - 1)::VARCHAR"
+    normal = f"sqrt(-2 * ln(1 - {_draw_sql('noise', more)})) * cos(2 * pi() * {_draw_sql('noise', more, 17)})"
+    moved = f"({part}[lo(src[j]) + 1] + (src[j] - lo(src[j])) * ({part}[least(lo(src[j]) + 2, 24)] - {part}[lo(src[j]) + 1]))"
+    gain = f"(0.85 + {_draw_sql('scale', f" || ':{c}'")} * 0.3)"
+    return f"""list_transform(range(1, 25), lambda j: CASE WHEN {_draw_sql('drop')} < 0.1 AND floor({_draw_sql('dropped')} * 2) = {c} THEN 0.0
+      ELSE ({moved} + 0.02 * {normal}) * {gain} END)""".replace("lo(src[j])", "floor(src[j])::INT")
+
+
+AUGMENT_SQL = f"""{VEC_SQL},
+k AS (SELECT *, floor({_draw_sql('crop')} * 9)::INT AS cut_at, {_draw_sql('warp')} < 0.8 AS warped,
+  list_transform(range(0, 6), lambda n: CASE WHEN n IN (0, 5) THEN 0.0 ELSE ({_draw_sql('knot', " || ':' || n::VARCHAR")} * 2 - 1) * 2.4 END) AS off FROM vec),
+w AS (SELECT *, x[cut_at + 1:cut_at + 24] AS a, x[cut_at + 33:cut_at + 56] AS b, list_transform(range(0, 24), lambda j: CASE WHEN warped THEN greatest(0.0, least(23.0,
+  j + off[least(4, floor(j * 5 / 23.0))::INT + 1] + (j * 5 / 23.0 - least(4, floor(j * 5 / 23.0))) * (off[least(4, floor(j * 5 / 23.0))::INT + 2] - off[least(4, floor(j * 5 / 23.0))::INT + 1])))
+  ELSE j::DOUBLE END) AS src FROM k),
+made AS (SELECT vec_id, {_augmented_sql(0, 'a')} AS a, {_augmented_sql(1, 'b')} AS b FROM w)"""
+
+
+@query("augment_windows", f"WITH {AUGMENT_SQL} SELECT vec_id, unnest(range(24)) AS i, r6(unnest(a)) AS a, r6(unnest(b)) AS b FROM made")
 def augment_windows(spark, folder):
-    """Seeded crop, warp, noise, scale and channel drop of two-channel windows."""
+    """Seeded crop, warp, noise, scale and channel drop of two-channel windows; every value compared."""
     v = vec(spark, folder).select("vec_id", F.slice("x", 1, 32).alias("a"), F.slice("x", 33, 32).alias("b"))
     out = sampling.augment(v, "vec_id", ["a", "b"], 24)
-    return out.select("vec_id", *[F.transform(c, lambda e: r6(e)).alias(c) for c in ("a", "b")])
+    flat = out.select("vec_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "_v"))
+    return flat.select("vec_id", F.col("i").cast("bigint").alias("i"), r6("_v.a").alias("a"), r6("_v.b").alias("b"))
 
 
 @query("smote_counts", f"""WITH {VEC_SQL}, s AS (SELECT cls, count(*) AS n FROM vec GROUP BY cls)

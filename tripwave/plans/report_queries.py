@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripwave.functions.exprs import class_name, is_augmented
-from tripwave.operators import aggregates, evaluation, split, stats
+from tripwave.operators import aggregates, evaluation, split, stats, windows
 from tripwave.operators.fusion import welch_bands
 from tripwave.operators.ordered import Axis, join_per_key, row_index
 from tripwave.operators.windows import channel_rms
@@ -309,7 +309,7 @@ SELECT o, arg_max(doc_id, struct_pack(a := score, b := -doc_id)) AS doc_id, max(
 def best_representatives(spark, folder):
     o = F.when((F.col("y3") == 1) & (F.col("pred") == 1), "TP").when((F.col("y3") == 1) & (F.col("pred") == 0), "FN")
     rows = lab(spark, folder).select("doc_id", "score", o.alias("o")).where("o IS NOT NULL")
-    return rows.groupBy("o").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"), F.max("score").alias("score"))
+    return windows.representative(rows, ["o"], F.col("score"), "doc_id", 1).select("o", "doc_id", "score")
 
 
 # Statistics
@@ -595,23 +595,28 @@ def focal_loss(spark, folder):
     return rounded(evaluation.focal_loss(rows, "y3", "p", 2.0, [0.5, 2.0, 4.0]), "log_loss", "focal_loss")
 
 
-PERM_SQL = """pv AS (SELECT vec_id, x[1] AS c0, x[2] AS c1, x[3] AS c2, cls AS y, row_number() OVER (ORDER BY vec_id) AS i, row_number() OVER (ORDER BY (vec_id * 7919) % 10007, vec_id) AS j FROM vec),
-px AS (SELECT a.y, a.c0, a.c1, a.c2, b.c0 AS d0, b.c1 AS d1, b.c2 AS d2 FROM pv a JOIN pv b ON a.i = b.j),
-sc AS (SELECT 'baseline' AS channel, y, c0, c1, c2 FROM px UNION ALL SELECT 'c0', y, d0, c1, c2 FROM px UNION ALL SELECT 'c1', y, c0, d1, c2 FROM px UNION ALL SELECT 'c2', y, c0, c1, d2 FROM px),
-pd AS (SELECT channel, y, CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS pred FROM sc),
-ff AS (SELECT channel, (2.0 * count(*) FILTER (y = 1 AND pred = 1) / (count(*) FILTER (y = 1) + count(*) FILTER (pred = 1))
-   + 2.0 * count(*) FILTER (y = 2 AND pred = 2) / (count(*) FILTER (y = 2) + count(*) FILTER (pred = 2))) / 2 AS f1 FROM pd GROUP BY channel)"""
+PERM_SQL = """pv AS (SELECT vec_id, x, cls AS y, row_number() OVER (ORDER BY vec_id) AS i, row_number() OVER (ORDER BY (vec_id * 7919) % 10007, vec_id) AS j FROM vec),
+px AS (SELECT a.y, a.x AS c, b.x AS d, unnest(range(65)) AS k FROM pv a JOIN pv b ON a.i = b.j),
+sc AS (SELECT k, y, list_transform(range(1, 65), lambda m: CASE WHEN m = k THEN d[m] ELSE c[m] END) AS c FROM px),
+sm AS (SELECT k, y, list_sum(c[1:21]) AS s0, list_sum(c[22:42]) AS s1, list_sum(c[43:64]) AS s2 FROM sc),
+pd AS (SELECT k, y, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS pred FROM sm),
+ff AS (SELECT k, (2.0 * count(*) FILTER (y = 1 AND pred = 1) / (count(*) FILTER (y = 1) + count(*) FILTER (pred = 1))
+   + 2.0 * count(*) FILTER (y = 2 AND pred = 2) / (count(*) FILTER (y = 2) + count(*) FILTER (pred = 2))) / 2 AS f1 FROM pd GROUP BY k)"""
 
 
-@query("permutation_importance", f"""WITH {VEC_SQL}, {PERM_SQL} SELECT channel, r6(f1) AS new_f1, r6((SELECT f1 FROM ff WHERE channel = 'baseline') - f1) AS f1_drop FROM ff WHERE channel <> 'baseline'""")
+@query("permutation_importance", f"""WITH {VEC_SQL}, {PERM_SQL} SELECT 'c' || (k - 1)::VARCHAR AS channel, r6(f1) AS new_f1, r6((SELECT f1 FROM ff WHERE k = 0) - f1) AS f1_drop FROM ff WHERE k > 0""")
 def permutation_importance(spark, folder):
-    rows = vec(spark, folder).select("vec_id", F.col("cls").alias("y"), *[F.col("x")[i].alias(f"c{i}") for i in range(3)])
+    """All 64 channels, one after the other, taken from another row."""
+    names = [f"c{i}" for i in range(64)]
+    rows = vec(spark, folder).select("vec_id", F.col("cls").alias("y"), *[F.col("x")[i].alias(c) for i, c in enumerate(names)])
 
     def predict(df):
-        first = (F.col("c0") >= F.col("c1")) & (F.col("c0") >= F.col("c2"))
-        return df.withColumn("pred", F.when(first, 0).when(F.col("c1") >= F.col("c2"), 1).otherwise(2))
+        s = [sum((F.col(c) for c in names[a + 1:b]), F.col(names[a])) for a, b in ((0, 21), (21, 42), (42, 64))]
+        df = df.withColumns({f"_s{i}": total for i, total in enumerate(s)})
+        first = (F.col("_s0") >= F.col("_s1")) & (F.col("_s0") >= F.col("_s2"))
+        return df.withColumn("pred", F.when(first, 0).when(F.col("_s1") >= F.col("_s2"), 1).otherwise(2))
 
-    scores = evaluation.permutation_importance(rows, "vec_id", "y", ["c0", "c1", "c2"], predict, (F.col("vec_id") * 7919) % 10007)
+    scores = evaluation.permutation_importance(rows, "vec_id", "y", names, predict, (F.col("vec_id") * 7919) % 10007)
     return rounded(evaluation.importance_drop(scores), "new_f1", "f1_drop")
 
 

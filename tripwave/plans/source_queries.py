@@ -138,14 +138,14 @@ def empty_schema_sink(spark, folder):
 
 
 @query("params_broadcast", f"""WITH {VEC_SQL}, u AS (SELECT unnest(x) AS e FROM vec), s AS (SELECT avg(e) AS m, stddev_pop(e) AS d FROM u)
-SELECT vec_id, r6((x[1] - m) / d) AS z FROM vec JOIN s ON true""")
+SELECT vec_id, unnest(range(64)) AS i, r6(unnest(list_transform(x, lambda e: (e - m) / d))) AS z FROM vec JOIN s ON true""")
 def params_broadcast(spark, folder):
     """Scaler parameters saved as JSON, loaded and applied."""
     v = vec(spark, folder).select("vec_id", "x")
     fitted = split.scaler(v, ["x"])
     path = stage.save_params(fitted, stage.new_folder(spark, "params"))
     out = split.apply_scaler(v, stage.load_params(spark, path, fitted.schema), ["x"])
-    return out.select("vec_id", r6(F.col("x")[0]).alias("z"))
+    return out.select("vec_id", F.posexplode("x").alias("i", "z")).select("vec_id", F.col("i").cast("bigint").alias("i"), r6("z").alias("z"))
 
 
 LOG_SQL = """lg AS (SELECT doc_id, (doc_id % 8)::INTEGER AS run, (doc_id % 24 // 8 + 1)::INTEGER AS fold, (doc_id // 24 + 1)::INTEGER AS epoch,

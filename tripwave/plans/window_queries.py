@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripwave.operators import features, fusion, peaks, timeseries, windows
-from tripwave.operators.ordered import Axis, previous, row_index
+from tripwave.operators.ordered import Axis, row_index
 from tripwave.params import Clustering, EventWindow, Tensor
 from tripwave.plans.candidates import labelled_feature_rows, scored_candidates, tensor_set
 from tripwave.plans.registry import query, r6, rounded
@@ -346,12 +346,8 @@ SELECT m.ev, count(*) AS n, max(step) AS max_step, r6(avg(step) / 1e6) AS mean_s
 FROM marked m JOIN st ON st.trip_id = m.trip_id AND st.ts_us BETWEEN m.at - {HALF} AND m.at + {HALF} GROUP BY m.ev""")
 def interval_diagnostics(spark, folder):
     s = sig(spark, folder)
-    steps = previous(s.select("trip_id", "ts_us", "event_id"), sig_axis(s), {"_before": "ts_us"})
-    steps = steps.select("trip_id", "ts_us", (F.col("ts_us") - F.col("_before")).alias("step"))
-    pairs = windows.range_join(steps, marked(spark, folder), "trip_id", "ts_us", "at", HALF, HALF)
-    return pairs.groupBy("ev").agg(
-        F.count(F.lit(1)).alias("n"), F.max("step").alias("max_step"), r6(F.avg("step") / 1e6).alias("mean_step_s"),
-        F.count_if(F.col("step") > 6 * HOUR_US).alias("over_grid"), F.count_if(F.col("step") > 30 * HOUR_US).alias("over_fill"))
+    out = windows.interval_diagnostics(s, marked(spark, folder), sig_axis(s), "ev", "at", HALF, 6 * HOUR_US, 30 * HOUR_US, 1e6)
+    return rounded(out, "mean_step_s")
 
 
 @query("resample_compare", f"""WITH {SIG_SQL}, {MARKED_SQL}, {GRID_SQL},
@@ -364,14 +360,8 @@ FROM a JOIN b USING (ev)""")
 def resample_compare(spark, folder):
     s = sig(spark, folder)
     grid = timeseries.resample(s, ["trip_id"], "ts_us", ["v"], ["v"], sig_axis(s).chunk_len, p=BIN)
-    m = marked(spark, folder)
-
-    def side(rows, name):
-        pairs = windows.range_join(rows.select("trip_id", "ts_us", "v"), m, "trip_id", "ts_us", "at", HALF, HALF, closed=False)
-        return pairs.groupBy("ev").agg(F.count(F.lit(1)).alias(f"{name}_n"), r6(F.avg("v")).alias(f"{name}_mean"),
-                                       r6(F.max("v")).alias(f"{name}_max"))
-
-    return side(s, "raw").join(side(grid, "grid"), "ev")
+    out = windows.compare_windows({"raw": s, "grid": grid}, marked(spark, folder), "trip_id", "ts_us", "ev", "at", "v", HALF)
+    return rounded(out, "raw_mean", "raw_max", "grid_mean", "grid_max")
 
 
 @query("cooldown_triggers", f"""WITH RECURSIVE {SIG_SQL},
