@@ -62,7 +62,10 @@ def test_refresh_targets_and_all_tags(spark):
         (8, "http://canonicals.com/", link("c", "http://fine.com/") + link("t", "http://mid.com/x?p=1&amp;q=2")),
         (9, "http://refreshes.com/", link("r", "http://fine2.com/") + refresh('"9"') + link("r", "http://mid.com/x?p=1&q=2")),
         (10, "http://mid.com/x?p=1", refresh("30")), (11, "http://mid.com/y", ""), (12, "http://mid.com/x?p=1&amp", "")]
-    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, PAGES), URL_RULES).collect()}
+    pages = spark.createDataFrame(rows, PAGES)
+    judged = dicts(judge(pages, URL_RULES))
+    assert same(judged, sql(URL_SQL, pages=pages))
+    got = {r["page_id"]: r["verdict"] for r in judged}
     assert got == {i: "block" if i < 10 else "allow" for i in range(1, 13)}
 
 

@@ -269,7 +269,8 @@ def count_phrases(docs: DataFrame, lengths: range, params: MiningParams, now: np
             words = block.numbered()
             yield from _count(words, len(words.numbers), lengths, *tables, totals)
 
-    rows = docs.select("lang", "text").mapInArrow(run, COUNTED)
+    # blocks are sums already: adding them up before the shuffle as well would hold a second table of phrases in every task
+    rows = docs.select("lang", "text").mapInArrow(run, COUNTED).repartition("lang", "phrase")
     return rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 

@@ -49,11 +49,15 @@ with recursive page as (
 addressed as (
   select *, case when host <> '' then host || path || regexp_extract(url, '(?s)^[^?#]*([?][^#]*)', 1) end as address from page),
 raw as (
-  select address, host, path, replace(unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical[^>]*>'), '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>'), '(?is)url\s*=\s*["'']?([^"''\s>;]+)', 1)]),
-    '&amp;', '&') as link
-  from addressed where url is not null and html is not null),
+  select address, host, path, replace(link, '&amp;', '&') as link from (
+    select address, host, path, unnest(list_concat(
+      list_transform(regexp_extract_all(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical[^>]*>'),
+        lambda t: regexp_extract(t, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1)),
+      list_transform(list_transform(regexp_extract_all(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>'),
+        lambda t: regexp_extract(t, {content}, 1) || regexp_extract(t, {content}, 2) || regexp_extract(t, {content}, 3)),
+        lambda c: trim(regexp_extract(c, {target}, 1) || regexp_extract(c, {target}, 2) || regexp_extract(c, {target}, 3),
+          ' ' || chr(9) || chr(10) || chr(12) || chr(13))))) as link
+    from addressed where url is not null and html is not null) where link <> ''),
 absolute as (
   select address, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
     when starts_with(link, '//') then 'x:' || link when starts_with(link, '/') then 'x://' || host || link
@@ -79,6 +83,8 @@ hit as (
     where ends_with('.' || p.host, '.' || r.host) and starts_with(p.path, r.path)) as rule from addressed p)
 select page_id, hit.host, hit.path, rule, coalesce(rules.verdict, case when bad.a is not null then 'block' end, 'allow') as verdict
 from hit left join rules on rule = rules.host || rules.path left join bad on bad.a = address"""
+URL_SQL = URL_SQL.replace("{content}", r"""'(?is)["''\s/]content\s*=\s*(?:"([^">]*)|''([^''>]*)|([^"''\s>][^\s>]*))'""").replace(
+    "{target}", r"""'(?is)url\s*=\s*(?:"([^"]*)|''([^'']*)|([^"''\s].*))'""")
 
 
 @query("op2_url_filters", URL_SQL)
