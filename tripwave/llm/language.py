@@ -213,6 +213,6 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def identify_documents(docs: DataFrame, model: NgramModel = NgramModel()) -> DataFrame:
-    """Trains on the rows that are not held out, and predicts all."""
+    """Trains on the rows that are not held out, and predicts all; a NULL id counts as empty text, other cases as in ``identify``."""
     trained = train(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"), model)
     return identify(docs, trained, model).withColumn("held_out", held_out(F.col("doc_id")))

@@ -100,7 +100,9 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
                   most: float = 2.0) -> DataFrame:
     """The mix as documents: one row per pass, the cut document shortened to its share of words.
 
-    The plan is made on keys and word counts; texts are read once and never shuffled.
+    The plan is made on keys and word counts; texts are read once and never shuffled. Cases as in ``mix_words``: a document
+    without words, NULL and empty texts too, gives no row; a text of any length is cut at a word; ties at the cut share it;
+    an empty table gives no rows.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
     sized = docs.select("*", _name(F.col("source")).alias("name"), _key(F.col("doc_id")).alias("key"),

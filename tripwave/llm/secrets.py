@@ -198,7 +198,11 @@ def scan(docs: DataFrame, rules: SecretRules = SecretRules(), ratios: np.ndarray
 
 
 def redacted(docs: DataFrame, rules: SecretRules = SecretRules(), mask: str = "[secret]") -> DataFrame:
-    """Documents with every secret replaced by ``mask``; ``n_chars``, if there, follows the text."""
+    """Documents with every secret replaced by ``mask``; ``n_chars``, if there, follows the text.
+
+    Cases as in ``scan``: NULL and empty texts stay as they are, long ones are masked whole, repeated rows each, an
+    empty table gives no rows; other columns, NULLs included, are untouched.
+    """
     ratios = train(docs, rules)
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
