@@ -4,9 +4,9 @@ A sample of the pieces between punctuation marks is mined level by level at a lo
 and proposes the phrases that may be frequent. One pass over all documents counts these and their negative
 border exactly: a phrase is counted if its first part and its last part, one word shorter,
 are both proposed, and every single word is. A border phrase that turns out frequent is
-a failure: it joins the proposals, and another pass counts what its border adds, until no
-pass finds one. Then nothing frequent can be missing, as all parts of a frequent phrase
-are frequent.
+a failure: it joins the proposals, and an expansion pass counts what its border adds, and what
+that adds in turn, up to the longest phrases. Then the count is closed: nothing frequent can be
+missing, as all parts of a frequent phrase are frequent.
 
 Proposals travel as a bit table of fixed size. A false hit there only counts a phrase
 too many. Tasks number their words and phrases in blocks of bounded size and send one
@@ -216,8 +216,11 @@ def _count(block: Numbered, own: int, lengths: range, now: Proposals | None, bef
         seen = np.flatnonzero(counts)
         yield from _rows(langs.take(pa.array(lang_of[seen])), text.take(pa.array(seen)), 1, counts[seen])
     for k in range(2, lengths.stop):
-        # of each position with a phrase of k - 1 words: its number, whether it counts longer ones now and did before
-        good, old = now.has(hashes), known & before.has(hashes) if before is not None else known
+        # of each position with a phrase of k - 1 words: its number, whether it counts longer ones now and did before;
+        # what this pass is the first to count does so at once, so one pass closes all that failures reach
+        good, old = now.has(hashes), known
+        if before is not None:
+            good, old = good | ~known, known & before.has(hashes)
         at, code = at[good[code]], code[good[code]]
         if not len(at):
             return
@@ -245,7 +248,7 @@ def count_phrases(docs: DataFrame, lengths: range, params: MiningParams, now: np
     """Exact counts ``f`` of phrases of ``lengths`` words by ``lang`` whose parts are proposed.
 
     ``docs`` has ``lang`` (never NULL) and ``text`` (binary). With ``before``, only phrases that a
-    pass with that table did not count. ``totals`` adds a row of no words with the words of each language.
+    pass with that table did not count, those whose parts this pass counts among them. ``totals`` adds a row of no words with the words of each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast((now, before))
 
@@ -317,14 +320,12 @@ def frequent_phrases(docs: DataFrame, params: MiningParams = MiningParams()) ->
         table = grown
     frequent = F.col("f") >= params.least
     found = materialize(count_phrases(texts, range(1, params.longest + 1), params, table, totals=True).where(frequent | (F.col("k") == 0)))
-    fresh, passes = found, 1
-    while True:
-        failures = materialize(_missing(fresh.where(F.col("k").between(1, params.longest - 1)), table))
-        if failures.isEmpty():
-            return found, passes
-        grown = propose(failures, params.bits, table)
-        fresh = materialize(count_phrases(texts, range(2, params.longest + 1), params, grown, table).where(frequent))
-        found, table, passes = found.unionByName(fresh), grown, passes + 1
+    failures = materialize(_missing(found.where(F.col("k").between(1, params.longest - 1)), table))
+    if failures.isEmpty():
+        return found, 1
+    grown = propose(failures, params.bits, table)
+    fresh = materialize(count_phrases(texts, range(2, params.longest + 1), params, grown, table).where(frequent))
+    return found.unionByName(fresh), 2
 
 
 def _part(words, start, size):
