@@ -70,7 +70,8 @@ def scan_checked(spark, folder):
 def json_map_explode(spark, folder):
     """Label documents with event maps (every fourth trip in the older form without times), exploded."""
     m = marked(spark, folder).withColumn("no", (F.col("ev") % 100000).cast("string"))
-    docs = m.groupBy("trip_id", F.floor(F.col("at") / (24 * HOUR_US)).alias("day")).agg(
+    # a document holds a number once
+    docs = m.groupBy("trip_id", F.floor(F.col("at") / (24 * HOUR_US)).alias("day"), F.floor(F.col("ev") / 100000).alias("round")).agg(
         F.map_from_entries(F.collect_list(F.struct("no", "label"))).alias("labels"),
         F.map_from_entries(F.collect_list(F.struct("no", F.col("at") / 1e6))).alias("times"))
     docs = docs.select(F.lit(0).alias("trip_index"), F.col("trip_id").cast("string").alias("trip_id"), F.lit("").alias("labeled_at"),
@@ -122,7 +123,8 @@ def worklist_sink(spark, folder):
     s = sig(spark, folder)
     rows = stage.worklist_rows(s.select("event_id", F.col("v").alias("score"), F.col("g").alias("lat"), (F.col("event_id") % 10).alias("lon")))
     path = stage.write_stage(rows, stage.new_folder(spark, "worklist"))
-    back = stage.read_stage(spark, path)
+    # merged: the file's size says little of a list that is mostly empty columns
+    back = stage.read_stage(spark, path).hint("merge")
     return back.join(s.select("event_id", F.col("lat").alias("y"), F.col("lon").alias("x")), "event_id").select(
         "event_id", F.col("y").alias("lat"), F.col("x").alias("lon"), "score", "label", "notes", "maps_link")
 
