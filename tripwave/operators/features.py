@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.window import WindowSpec
 
-from tripwave.functions.exprs import clip, ratio
+from tripwave.functions.exprs import bind, clip, ratio
 from tripwave.operators.ordered import Axis, previous
 from tripwave.operators.timeseries import ema_window
 from tripwave.operators.windows import range_join
@@ -46,6 +47,29 @@ def with_missing(samples: DataFrame, columns: Sequence[str]) -> DataFrame:
     return samples.withColumns({c: F.lit(0.0) for c in columns if c not in samples.columns})
 
 
+def level_prefix(value: Column, row: WindowSpec) -> Column:
+    """``value`` while all rows so far have the first one's, but for rounding; else NULL."""
+    first = F.first(value).over(row)
+    gap = F.greatest(F.abs(F.max(value).over(row) - first), F.abs(F.min(value).over(row) - first))
+    return F.when(gap <= F.abs(first) * 1e-12, value)
+
+
+def above_step_by_step(level: Column, p: EventWindow) -> Column:
+    """Whether the last of the level values from a window's start exceeds its threshold, averaged one step after the other.
+
+    There value and threshold differ by what each step rounds, which the running sums of ``ema_window`` do not repeat.
+    """
+    a, keep = F.lit(p.ema_alpha), F.lit(1.0 - p.ema_alpha)
+    start = F.struct(level[0].alias("base"), F.lit(0.0).alias("dev"))
+
+    def step(acc: Column, x: Column) -> Column:
+        base = a * x + keep * acc["base"]
+        return F.struct(base.alias("base"), (a * F.abs(x - base) + keep * acc["dev"]).alias("dev"))
+
+    end = F.aggregate(F.slice(level, 2, F.size(level)), start, step)
+    return bind(end, lambda e: F.element_at(level, -1) > e["base"] + p.ema_multiplier * e["dev"])
+
+
 def event_rows(samples: DataFrame, events: DataFrame, ax: Axis, event: str, at: str, p: EventWindow) -> DataFrame:
     """Window rows of each event with in-window differences, peak position, thresholds and background energy.
 
@@ -80,7 +104,10 @@ def event_rows(samples: DataFrame, events: DataFrame, ax: Axis, event: str, at:
     rows = ema_window(rows, [key, event], "_i", "_smooth", p.ema_alpha, "_base")
     rows = rows.withColumn("_off", F.abs(F.col("_smooth") - F.col("_base")))
     rows = ema_window(rows, [key, event], "_i", "_off", p.ema_alpha, "_limit")
-    rows = rows.withColumn("_above", F.col("_smooth") > F.col("_base") + p.ema_multiplier * F.col("_limit")).drop("_limit")
+    rows = rows.withColumn("_level", level_prefix(F.col("_smooth"), row))
+    rows = rows.withColumn("_level", F.collect_list("_level").over(row))
+    rows = rows.withColumn("_above", F.when(F.size("_level") > F.col("_i"), above_step_by_step(F.col("_level"), p)).otherwise(
+        F.col("_smooth") > F.col("_base") + p.ema_multiplier * F.col("_limit"))).drop("_limit", "_level")
     nth = F.row_number().over(Window.partitionBy(key, event, "_above").orderBy(*ax.order))
     rows = rows.withColumn("_run", F.col("_i") - nth)
     run = Window.partitionBy(key, event, "_above", "_run")
