@@ -105,10 +105,10 @@ def importance_top(spark, folder):
 
 
 @query("batch_score")
-def batch_score(spark, folder):
-    """Pipeline saved, loaded again, applied to all rows."""
+def batch_score(spark, folder, path=None):
+    """Pipeline saved, loaded again, applied to all rows; ``path`` names one that is saved already."""
     rows = _table(spark, folder)
-    path = models.save_pipeline(rows, _task(**SMALL), stage.new_folder(spark, "model"))
+    path = path or models.save_pipeline(rows, _task(**SMALL), stage.new_folder(spark, "model"))
     out = models.batch_score(rows, path)
     return out.select("event_id", best_class(F.col("proba")).alias("pred"), r6(F.array_max("proba")).alias("confidence"))
 

@@ -123,10 +123,9 @@ def stream_candidates(spark, folder):
 
 
 @query("stream_scoring")
-def stream_scoring(spark, folder):
-    """Saved pipeline applied to vectors arriving as a stream, decided with thresholds, written per batch."""
-    rows = _table(spark, folder)
-    path = models.save_pipeline(rows, _task(**SMALL), stage.new_folder(spark, "model"))
+def stream_scoring(spark, folder, path=None):
+    """Saved pipeline (or the one at ``path``) applied to vectors arriving as a stream, decided with thresholds, written per batch."""
+    path = path or models.save_pipeline(_table(spark, folder), _task(**SMALL), stage.new_folder(spark, "model"))
     raw = streams.ingest(spark, f"{folder}/embeddings*.parquet", read_table(spark, folder, "embeddings").schema, FILES_AT_ONCE)
     live = raw.select(F.col("vec_id").alias("event_id"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(DIMS)])
 
