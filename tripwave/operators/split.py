@@ -107,11 +107,14 @@ def group_holdout(df: DataFrame, key: str, share: float, order: Column) -> DataF
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """Adds ``weight`` = n / (classes * class size); class sizes are aggregated first and joined back."""
+    """Adds ``weight`` = n / (classes * class size); class sizes are aggregated first and joined back.
+
+    They are one row per class and broadcast: a shuffled join would send each class to one task.
+    """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy()  # over one row per class
     weights = sizes.select(label, (F.sum("_n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_n"))).alias("weight"))
-    return df.join(weights, label)
+    return df.join(F.broadcast(weights), label)
 
 
 def inject_missing(train: DataFrame, pool: DataFrame, label: str, order: str) -> DataFrame:
