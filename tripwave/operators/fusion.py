@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripwave.functions.exprs import gravity_projection, magnitude
 from tripwave.functions.recurrence import CausalFilter, lowpass as lowpass_filter
-from tripwave.operators.ordered import CHUNK, Axis, asof, join_per_key, materialize, previous, row_index, with_blocks
+from tripwave.operators.ordered import (CHUNK, Axis, asof, bundle_groups, bundled, join_per_key, materialize, previous,
+                                        row_index, with_blocks)
 from tripwave.operators.timeseries import fill_rows, resample
 from tripwave.params import BANDPASS_A, BANDPASS_B, Resampling
 
@@ -36,19 +37,21 @@ def causal_filters(df: DataFrame, ax: Axis, bandpass: dict[str, str], lowpass: d
                           + [T.StructField(c, T.DoubleType()) for c in added])
     low, band = lowpass_filter(cutoff_hz, sample_hz), CausalFilter(BANDPASS_B, BANDPASS_A)
 
-    def run(block: pa.Table) -> pa.Table:
-        block = block.sort_by("idx")
-        own = block.column("_own")
-        for out, src in bandpass.items():
-            x = block.column(src).to_numpy().astype(float)
-            block = block.append_column(out, pa.array(band.run(x, band.rest())[0]))
-        for out, src in lowpass.items():
-            x = block.column(src).to_numpy().astype(float)
-            y = x if low is None else low.run(x, low.steady() * x[0])[0]
-            block = block.append_column(out, pa.array(y))
-        return block.filter(own)
-
-    done = blocks.groupBy(*ax.keys, "_block").applyInArrow(run, schema)
+    def run(blocks: pa.Table) -> pa.Table:
+        blocks, groups = bundle_groups(blocks, group, "idx")
+        for out, src in (*bandpass.items(), *lowpass.items()):
+            y = blocks.column(src).to_numpy().astype(float)
+            for at in groups:
+                x = y[at]
+                if out in bandpass:
+                    y[at] = band.run(x, band.rest())[0]
+                elif low is not None:
+                    y[at] = low.run(x, low.steady() * x[0])[0]
+            blocks = blocks.append_column(out, pa.array(y))
+        return blocks.filter(blocks.column("_own")).drop_columns("_bundle")
+
+    group = [*ax.keys, "_block"]
+    done = bundled(blocks, group, df.count()).groupBy("_bundle").applyInArrow(run, schema)
     return done.drop("_own", "_block")
 
 
@@ -119,20 +122,25 @@ def cooldown_triggers(df: DataFrame, ax: Axis, prob: str, threshold: float = 0.3
     time = marked.schema[ts].dataType.simpleString()
 
     def entries(points: pa.Table) -> pa.Table:
-        points = points.sort_by(ts)
-        at, heads = points.column(ts).to_numpy(), points.column("_head").to_numpy()
-        leap = next_triggers(at, cooldown)
-        last = np.where(leap < len(at), leap, np.arange(len(at)))
-        while True:  # the last trigger of the chain from each point, by doubling
-            further = last[last]
-            if (further == last).all():
-                break
-            last = further
-        may = heads | (np.arange(len(at)) <= leap[0])
+        points, groups = bundle_groups(points, cell, ts)
+        times, heads = points.column(ts).to_numpy(), points.column("_head").to_numpy()
+        may, exits = np.zeros(len(times), bool), np.zeros_like(times)
+        for g in groups:
+            at = times[g]
+            leap = next_triggers(at, cooldown)
+            last = np.where(leap < len(at), leap, np.arange(len(at)))
+            while True:  # the last trigger of the chain from each point, by doubling
+                further = last[last]
+                if (further == last).all():
+                    break
+                last = further
+            may[g], exits[g] = heads[g] | (np.arange(len(at)) <= leap[0]), at[last]
         out = points.filter(pa.array(may)).select(["_k", ts, "_head"])
-        return out.append_column("exit", pa.array(at[last[may]]))
+        return out.append_column("exit", pa.array(exits[may]))
 
-    nodes = materialize(marked.groupBy("_k", "_cell").applyInArrow(entries, f"_k {key}, {ts} {time}, _head boolean, exit {time}"))
+    cell = ["_k", "_cell"]
+    n_points = marked.count()
+    nodes = materialize(bundled(marked, cell, n_points).groupBy("_bundle").applyInArrow(entries, f"_k {key}, {ts} {time}, _head boolean, exit {time}"))
     reach = Axis(("_k",), ("_at",), ax.chunk_len or max(1, 1_000 * cooldown))
     jumps = asof(nodes.where(F.col("exit").isNotNull()), nodes.withColumns({"_next": F.col(ts), "_into_head": F.col("_head")}), reach,
                  -(F.col("exit") + cooldown) - 1, -F.col(ts), ["_next", "_into_head"], "_hit")
@@ -154,12 +162,15 @@ def cooldown_triggers(df: DataFrame, ax: Axis, prob: str, threshold: float = 0.3
     schema = T.StructType([rows.schema[c] for c in kept])
 
     def walk(points: pa.Table) -> pa.Table:
-        points = points.sort_by(ts)
-        first = np.flatnonzero(points.column("_passed").is_valid().to_numpy())
-        picked = cooldown_walk(points.column(ts).to_numpy(), int(first[0]), cooldown) if len(first) else []
+        points, groups = bundle_groups(points, cell, ts)
+        times, passed, picked = points.column(ts).to_numpy(), points.column("_passed").is_valid().to_numpy(), []
+        for g in groups:
+            first = np.flatnonzero(passed[g])
+            if len(first):
+                picked += [g.start + i for i in cooldown_walk(times[g], int(first[0]), cooldown)]
         return points.take(pa.array(picked, pa.int64())).select(kept)
 
-    out = rows.groupBy("_k", "_cell").applyInArrow(walk, schema)
+    out = bundled(rows, cell, n_points).groupBy("_bundle").applyInArrow(walk, schema)
     return out.select(*[F.col(f"_k.{k}").alias(k) for k in ax.keys], *ax.order, prob)
 
 
