@@ -103,15 +103,22 @@ def neighbours(df: DataFrame, ident: str, vector: str, k: int, pivots: int = 64,
     cells = sorted(tuple(r) for r in cells.collect())  # one row per pivot
     ids, size, radius = (np.array(c) for c in zip(*cells))
 
-    def within(away: Column) -> Column:
-        """Cells that can hold one of the k nearest."""
-        reach = F.array(*[F.struct((F.get(away, F.lit(int(c))) + float(r)).alias("far"), F.lit(int(n)).alias("n")) for c, n, r in cells])
-        bound = F.aggregate(F.array_sort(reach), F.struct(F.lit(0).alias("n"), F.lit(float("inf")).alias("far")), lambda acc, e: F.struct(
-            (acc["n"] + e["n"]).alias("n"), F.when(acc["n"] > k, acc["far"]).otherwise(e["far"]).alias("far")))["far"]
-        fits = [F.when(F.get(away, F.lit(int(c))) - float(r) <= bound * (1 + 1e-9), F.lit(int(c))) for c, _, r in cells]
-        return F.array_compact(F.array(*fits))
-
-    asked = placed.select(ident, vector, F.explode(within(F.col("away"))).alias("cell"))
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The cells that can hold one of a row's k nearest."""
+        for batch in batches:
+            if len(batch):
+                away = np.stack(batch["away"].to_numpy())
+                far = away + radius
+                order = np.argsort(far, axis=1, kind="stable")
+                enough = (np.cumsum(size[order], axis=1) > k).argmax(axis=1)  # all of them, if none is
+                enough = np.where(size.sum() > k, enough, len(size) - 1)
+                bound = np.take_along_axis(far, order, axis=1)[np.arange(len(far)), enough]
+                fits = away - radius <= (bound * (1 + 1e-9))[:, None]
+                yield batch[[ident, vector]].assign(reach=[ids[row].astype("int32") for row in fits])
+
+    asked = placed.withColumn("away", F.array(*[F.get("away", F.lit(int(c))) for c in ids])).mapInPandas(
+        reach, f"{ident} {ident_type.simpleString()}, {vector} array<double>, reach array<int>")
+    asked = asked.select(ident, vector, F.explode("reach").alias("cell"))
     parts = F.element_at(F.create_map(*[F.lit(int(x)) for c, n in zip(ids, -(-size // part)) for x in (c, n)]), F.col("cell"))
     blocks = int(-(-size.sum() // part))
     hashed = F.xxhash64(ident)
@@ -124,13 +131,28 @@ def neighbours(df: DataFrame, ident: str, vector: str, k: int, pivots: int = 64,
         out = []
         if len(held) and len(seekers):
             x, ids = np.stack(held[vector].to_numpy()), held[ident].to_numpy()
-            for one, v in zip(seekers[ident].to_numpy(), seekers[vector].to_numpy()):
-                d = np.sqrt(((x - v) ** 2).sum(axis=1))
-                d[ids == one] = np.inf
-                at = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                at = at[np.lexsort((ids[at], d[at]))][:k]
-                at = at[np.isfinite(d[at])]
-                out.append(pd.DataFrame({ident: [one] * len(at), "other": ids[at], "distance": d[at]}))
+            seek = np.stack(seekers[vector].to_numpy())
+            codes = pd.factorize(np.concatenate([ids, seekers[ident].to_numpy()]))[0]
+            held_code, seek_code = codes[:len(ids)], codes[len(ids):]
+            least = min(k, len(x)) - 1
+            square, rows_at_once = (x * x).sum(axis=1), max(1, (1 << 21) // len(x))
+            for start in range(0, len(seek), rows_at_once):
+                q = seek[start:start + rows_at_once]
+                own = seek_code[start:start + rows_at_once, None] == held_code  # a row is no neighbour of its own id
+                size = (q * q).sum(axis=1)
+                # products tell which rows may be among the nearest, whatever they round; these get the exact distance
+                rough = square - 2 * (q @ x.T) + size[:, None]
+                slack = 16 * (x.shape[1] + 8) * np.finfo(float).eps * (size + square.max())
+                rough[own] = np.inf
+                bound = np.partition(rough, least, axis=1)[:, least] + slack
+                one, other = np.nonzero(~(rough > bound[:, None]))
+                d = np.sqrt(((x[other] - q[one]) ** 2).sum(axis=1))
+                good = np.isfinite(d) & ~own[one, other]
+                one, other, d = one[good], other[good], d[good]
+                order = np.lexsort((ids[other], d, one))
+                one, other, d = one[order], other[order], d[order]
+                first = np.arange(len(one)) - np.searchsorted(one, one) < k
+                out.append(pd.DataFrame({ident: seekers[ident].to_numpy()[start + one[first]], "other": ids[other[first]], "distance": d[first]}))
         return pd.concat(out) if out else pd.DataFrame({ident: held[ident][:0], "other": held[ident][:0], "distance": np.zeros(0)})
 
     keys = ["cell", "part", "block"]
