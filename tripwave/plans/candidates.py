@@ -101,6 +101,6 @@ def tensor_set(raw: DataFrame, labelled: DataFrame, ax: Axis, p: Resampling = Re
     usable = placed.where(F.col("segment_rows") >= t.rows).join(gapped.select("event_id"), "event_id", "left_anti")
     stream = F.concat_ws("#", key, "segment")
     tensors = event_tensors(grid.withColumn("_stream", stream), usable.withColumn("_stream", stream),
-                            "_stream", ts, "event_id", "at", t)
+                            "_stream", ts, "event_id", "at", t, ax.chunk_len)
     done = tensors.drop("_stream").join(labelled, "event_id")
     return done, skipped_tensors(labelled, tensors, placed, gapped, "event_id", t)

@@ -285,7 +285,7 @@ SELECT ev, trip_id, j - 1 AS pos, CASE WHEN j <= l OR j > 8 - e THEN 0.0 ELSE ro
 FROM (SELECT *, unnest(generate_series(1, 8)) AS j FROM z)""")
 def event_tensor(spark, folder):
     s = sensor(spark, folder).withColumn("v", F.when(F.col("event_type") != "error", F.col("v")))
-    out = windows.event_tensors(s, marked(spark, folder), "trip_id", "ts_us", "ev", "at", SIG_TENSOR)
+    out = windows.event_tensors(s, marked(spark, folder), "trip_id", "ts_us", "ev", "at", SIG_TENSOR, sig_axis(s).chunk_len)
     cells = out.select("ev", "trip_id", F.posexplode(F.arrays_zip("speed", "v", "gx")).alias("pos", "_c"))
     return cells.select("ev", "trip_id", F.col("pos").cast("bigint").alias("pos"), *[
         F.round(F.col(f"_c.{c}").cast("double") + d, 3).alias(c) for c, d in (("speed", 0.0), ("v", 1e-5), ("gx", 0.0))])
