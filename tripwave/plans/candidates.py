@@ -80,7 +80,8 @@ def labelled_feature_rows(raw: DataFrame, events: DataFrame, truth: DataFrame, b
     placed = materialize(in_segments(labelled, bounds, key, "at", ax.chunk_len).where(F.col("segment").isNotNull()))
     wanted = join_per_key(cut, placed.select(key, "segment").distinct(), [key, "segment"], [ts], "left_semi")
     by_segment = Axis((key, "segment"), ax.order, ax.chunk_len)
-    fused = native_fusion(wanted, by_segment, numeric, p=p)
+    # written: the features read their samples twice, and one plan of filters and features holds the driver's memory
+    fused = materialize(native_fusion(wanted, by_segment, numeric, p=p))
     one_key = fused.withColumn("_stream", F.concat_ws("#", key, "segment"))
     rows = placed.withColumn("_stream", F.concat_ws("#", key, "segment")).drop("segment", "segment_rows")
     return event_features(one_key, rows, Axis(("_stream",), (ts,), ax.chunk_len), p=window,
